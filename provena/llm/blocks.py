@@ -23,9 +23,9 @@ from provena.llm.common import default_parallelism, write_table
 from provena.llm.wordarrays import count_words, text_bytes
 
 #: Text bytes of a block (a longer document is a block of its own).
-BLOCK_BYTES = 8 << 20
+BLOCK_BYTES = 4 << 20
 #: Hashes that a bucket holds, about.
-BUCKET_ENTRIES = 2_000_000
+BUCKET_ENTRIES = 1_000_000
 REPLY = "block_id long, bucket int, payload binary"
 ASK = "bucket int, block_id long, payload binary"
 
