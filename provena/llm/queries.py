@@ -60,11 +60,183 @@ FROM d LEFT JOIN (SELECT doc_id, sum(v) AS v, sum(b) AS b FROM s GROUP BY doc_id
 GROUP BY d.doc_id, d.w
 """
 
+
+def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from provena.llm.line_dedup import dedup_lines
+
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    return dedup_lines(docs).select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
+
+
+OP1_SQL = r"""
+WITH l AS (
+  SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS p
+  FROM documents),
+k AS (
+  SELECT doc_id, p, line, translate(trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)),
+                                    'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key
+  FROM l),
+o AS (SELECT key, min(doc_id) AS owner FROM k WHERE length(key) >= 10 GROUP BY key),
+m AS (SELECT k.*, coalesce(o.owner <> k.doc_id, false) AS gone FROM k LEFT JOIN o ON k.key = o.key)
+SELECT doc_id, count(*)::BIGINT AS n_lines, count(*) FILTER (gone)::BIGINT AS n_dropped,
+       sha256(coalesce(string_agg(line, chr(10) ORDER BY p) FILTER (NOT gone), '')) AS kept_sha256
+FROM m GROUP BY doc_id
+"""
+
+
+def op2_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from provena.llm.near_duplicates import near_duplicates
+
+    return near_duplicates(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+OP2_SQL = r"""
+WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (
+  SELECT DISTINCT doc_id, array_to_string(w[i:i + 4], ' ') AS g
+  FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS i FROM d WHERE len(w) > 0)),
+z AS (SELECT doc_id, count(*) AS n, md5(string_agg(g, chr(10) ORDER BY g)) AS h FROM s GROUP BY doc_id),
+c AS (SELECT doc_id, n, min(doc_id) OVER (PARTITION BY h, n) AS class_id, count(*) OVER (PARTITION BY h, n) AS members FROM z),
+r AS (SELECT s.doc_id, g, c.n FROM s JOIN c ON s.doc_id = c.doc_id AND c.class_id = c.doc_id),
+p AS (
+  SELECT a.doc_id AS x, b.doc_id AS y FROM r a JOIN r b ON a.g = b.g AND a.doc_id <> b.doc_id
+  GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING count(*) * 5 >= 4 * (a.n + b.n - count(*))),
+t(node, root) AS (
+  SELECT DISTINCT x, x FROM p
+  UNION
+  SELECT p.y, t.root FROM t JOIN p ON t.node = p.x),
+g AS (SELECT node, min(root) AS root FROM t GROUP BY node),
+k AS (SELECT p.x, sum(c.members) AS links FROM p JOIN c ON p.y = c.doc_id GROUP BY p.x)
+SELECT d.doc_id, coalesce(g.root, c.class_id, d.doc_id) AS group_id, coalesce(c.class_id, d.doc_id) AS class_id,
+       coalesce(c.members - 1, 0)::BIGINT AS n_copies, (coalesce(c.members - 1, 0) + coalesce(k.links, 0))::BIGINT AS n_links,
+       coalesce(c.n, 0)::BIGINT AS n_shingles
+FROM d LEFT JOIN c ON d.doc_id = c.doc_id LEFT JOIN g ON c.class_id = g.node LEFT JOIN k ON c.class_id = k.x
+"""
+
+
+def tokenizer_path() -> str:
+    """The vocabulary file of the token-count query, from the installed public tokenizers."""
+    import os
+
+    return os.environ.get("PROVENA_UNIGRAM_MODEL", "/opt/tokenizers/piece_bpe_32k.model")
+
+
+def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from provena.llm.token_count import count_tokens_of
+
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    return count_tokens_of(docs, tokenizer_path()).select("doc_id", "n_tokens", "n_pieces")
+
+
+def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from provena.llm.decontaminate import contamination
+
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    out = contamination(docs, _table(spark, sf_dir, "benchmark"))
+    return out.select("doc_id", "n_words", "n_hit", "n_items", F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated")
+
+
+OP4_SQL = r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+b AS (SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
+win AS (
+  SELECT DISTINCT item_id, least(len(w), 13) AS m, array_to_string(w[i:i + 12], ' ') AS k
+  FROM (SELECT item_id, w, unnest(range(1, greatest(len(w) - 12, 1) + 1)) AS i FROM b WHERE len(w) > 0)),
+oc AS (
+  SELECT doc_id, i, m, array_to_string(w[i:i + m - 1], ' ') AS k
+  FROM (SELECT doc_id, w, m, unnest(range(1, len(w) - m + 2)) AS i FROM d, (SELECT DISTINCT m FROM win) WHERE len(w) >= m)),
+hit AS (SELECT a.doc_id, a.i, a.m, win.item_id FROM oc a JOIN win ON a.k = win.k AND a.m = win.m),
+pos AS (SELECT doc_id, count(DISTINCT p) AS n FROM (SELECT doc_id, unnest(range(i, i + m)) AS p FROM hit) GROUP BY doc_id),
+its AS (
+  SELECT doc_id, count(*) AS n, string_agg(item, ',' ORDER BY item) AS items
+  FROM (SELECT DISTINCT doc_id, item_id::VARCHAR AS item FROM hit) GROUP BY doc_id)
+SELECT d.doc_id, len(d.w)::BIGINT AS n_words, coalesce(pos.n, 0)::BIGINT AS n_hit, coalesce(its.n, 0)::BIGINT AS n_items,
+       sha256(coalesce(its.items, '')) AS items_sha256, coalesce(pos.n, 0) > 0 AND 20 * coalesce(pos.n, 0) >= len(d.w) AS contaminated
+FROM d LEFT JOIN pos ON d.doc_id = pos.doc_id LEFT JOIN its ON d.doc_id = its.doc_id
+"""
+
+
+def op5_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from provena.llm.mixing import mix_sources
+
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "source", "text")
+    return mix_sources(docs).select("doc_id", "source", "tokens", "epoch", "block", "shuffle_key")
+
+
+def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from provena.llm.warc import round_trip
+
+    out = round_trip(_table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+    return out.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from provena.llm.quality import quality_rules
+
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "source", "text")
+    return quality_rules(docs).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "n_removed_words", "kept")
+
+
+OP7_SQL = r"""
+WITH d AS (
+  SELECT doc_id, source, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w,
+         list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS l
+  FROM documents),
+g AS (
+  SELECT doc_id, i, array_to_string(w[i:i + 2], ' ') AS k
+  FROM (SELECT doc_id, w, unnest(range(1, len(w) - 1)) AS i FROM d WHERE len(w) >= 3)),
+rep AS (
+  SELECT doc_id, count(DISTINCT p) AS n
+  FROM (SELECT doc_id, unnest([i, i + 1, i + 2]) AS p FROM (SELECT *, count(*) OVER (PARTITION BY doc_id, k) AS c FROM g) WHERE c > 1)
+  GROUP BY doc_id),
+ln AS (
+  SELECT doc_id, source, lower(trim(x, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13))) AS line,
+         len(regexp_extract_all(x, '[^\x20\x09-\x0D]+')) AS words
+  FROM (SELECT doc_id, source, unnest(l) AS x FROM d)),
+f AS (
+  SELECT l.source, l.line FROM (SELECT source, line, count(DISTINCT doc_id) AS n FROM ln GROUP BY source, line) l
+  JOIN (SELECT source, count(*) AS m FROM d GROUP BY source) s ON l.source IS NOT DISTINCT FROM s.source
+  WHERE l.n >= 30 AND l.n > 0.03::DOUBLE * s.m),
+rm AS (SELECT ln.doc_id, sum(words) AS n FROM ln JOIN f ON ln.line = f.line AND ln.source IS NOT DISTINCT FROM f.source GROUP BY ln.doc_id),
+s AS (
+  SELECT d.doc_id, len(d.w)::BIGINT AS n_words, length(array_to_string(d.w, ''))::BIGINT AS word_chars,
+         (length(d.text) - length(regexp_replace(d.text, '[#*$%&|<>]', '', 'g')))::BIGINT AS n_symbols,
+         (len(d.l) - len(list_distinct(d.l)))::BIGINT AS n_dup_lines, coalesce(rep.n, 0)::BIGINT AS n_repeat_words,
+         coalesce(rm.n, 0)::BIGINT AS n_removed_words
+  FROM d LEFT JOIN rep ON d.doc_id = rep.doc_id LEFT JOIN rm ON d.doc_id = rm.doc_id),
+b AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM s)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, n_removed_words,
+       NOT base_failed AND n_words - n_removed_words >= 20 AND n_words - n_removed_words >= 0.3::DOUBLE * n_words AS kept
+FROM b
+"""
+
+
+def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from provena.llm.zip_quality import CompressionClassifier
+
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text").withColumn("held_out", F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(5)) == 0)
+    labels = _table(spark, sf_dir, "labels").select(F.col("doc_id").alias("of"), "quality")
+    train = docs.where(~F.col("held_out")).join(labels, F.col("doc_id") == F.col("of")).select("doc_id", "text", "quality")
+    return CompressionClassifier.fit(train).score(docs, threshold=0.3).select("doc_id", "held_out", "score", "predicted")
+
+
 QUERIES = {
+    "op1_line_dedup": op1_line_dedup,
+    "op2_ngram_jaccard_join": op2_ngram_jaccard_join,
+    "op3_token_counts": op3_token_counts,
+    "op4_decontamination": op4_decontamination,
+    "op5_source_mixing": op5_source_mixing,
+    "op6_warc": op6_warc,
+    "op7_quality_rules": op7_quality_rules,
     "op8_substring_dedup": op8_substring_dedup,
     "op9_lm_scoring": op9_lm_scoring,
+    "op10_quality_classifier": op10_quality_classifier,
 }
 ORACLES = {
+    "op1_line_dedup": OP1_SQL,
+    "op2_ngram_jaccard_join": OP2_SQL,
+    "op4_decontamination": OP4_SQL,
+    "op7_quality_rules": OP7_SQL,
     "op8_substring_dedup": OP8_SQL,
     "op9_lm_scoring": OP9_SQL,
 }
