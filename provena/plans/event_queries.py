@@ -287,3 +287,47 @@ def amount_parse(spark: SparkSession, sf: str) -> DataFrame:
     """Every amount that a written number may mean."""
     rows = spark.createDataFrame([(i, a) for i, a in enumerate(AMOUNTS)], "id int, written string")
     return rows.select("id", "written", Y.amount_readings("written").alias("readings"))
+
+
+@query()
+def html_text_stats(spark: SparkSession, sf: str) -> DataFrame:
+    """Characters and words of each page's visible text, anchors and title."""
+    from provena.sources.texts import read_pages
+
+    p = read_pages(table(spark, sf, "pages"))
+    return p.select("page_id", F.length("text").cast("bigint").alias("n_chars"), F.regexp_count("text", F.lit(r"\S+")).cast("bigint").alias("n_words"), F.size("anchors").cast("bigint").alias("n_anchors"), "title")
+
+
+@query()
+def link_ranking(spark: SparkSession, sf: str) -> DataFrame:
+    """Each page's best link by points, then address."""
+    from provena.sources.texts import link_scores, read_pages
+
+    links = link_scores(read_pages(table(spark, sf, "pages").select("page_id", "html")).select("page_id", F.inline("anchors")))
+    return S.top_per_group(links, ["page_id"], [F.col("points").desc(), F.col("href"), F.col("label")], 1).select("page_id", "href", "label", "points")
+
+
+@query("""
+SELECT user_id, date_trunc('day', ts) AS day, count(*) AS n_events, count(DISTINCT event_type) AS n_types, CAST(max(ts) AS TIMESTAMP) AS last_seen,
+       CASE WHEN epoch_us(TIMESTAMP '2024-01-31 00:00:00') - epoch_us(max(ts)) > 4 * 86400000000 THEN 'broken' WHEN epoch_us(TIMESTAMP '2024-01-31 00:00:00') - epoch_us(max(ts)) > 36 * 3600000000 THEN 'stale' ELSE 'healthy' END AS health
+FROM events GROUP BY ALL""".replace("date_trunc('day', ts) AS day", "CAST(ts AS DATE) AS day"))
+def source_health(spark: SparkSession, sf: str) -> DataFrame:
+    """How fresh each source is: stale after 36 hours, broken after four days."""
+    from provena.streaming.states import health
+
+    e = table(spark, sf, "events")
+    days = e.groupBy("user_id", F.to_date("ts").alias("day")).agg(F.count("*").alias("n_events"), F.count_distinct("event_type").alias("n_types"), F.max("ts").alias("last_seen"))
+    return days.withColumn("health", health(F.col("last_seen"), F.lit("2024-01-31 00:00:00").cast("timestamp_ntz")))
+
+
+@query("""
+SELECT event_id AS job, 1 + event_id % 6 AS attempts, least(60, CAST(pow(2, event_id % 6) AS BIGINT)) AS wait_minutes,
+       CASE WHEN event_type = 'purchase' THEN 'done' WHEN 1 + event_id % 6 >= 5 THEN 'dead' WHEN epoch_us(TIMESTAMP '2024-01-15 00:00:00') > epoch_us(ts) + 600000000 THEN 'retry' ELSE 'leased' END AS state
+FROM events""")
+def job_states(spark: SparkSession, sf: str) -> DataFrame:
+    """Attempts, waiting time and state of jobs: leases of ten minutes, five attempts."""
+    from provena.streaming.states import backoff_minutes, job_state
+
+    e = table(spark, sf, "events").withColumn("attempts", 1 + F.col("event_id") % 6)
+    now = F.lit("2024-01-15 00:00:00").cast("timestamp_ntz")
+    return e.select(F.col("event_id").alias("job"), "attempts", backoff_minutes(F.col("attempts")).alias("wait_minutes"), job_state(F.col("event_type") == "purchase", F.col("attempts"), F.col("ts"), now).alias("state"))
