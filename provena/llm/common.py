@@ -2,38 +2,15 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: A side of at most this many rows may be broadcast by :func:`join_sized`; beyond it the join shuffles.
-BROADCAST_ROWS = 500_000
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that every executor and the driver share: ``spark.checkpoint.dir``.
+from provena.storage import scratch_path, shared_dir, write_table
 
-    Only where the session names none (tests, a laptop) a folder of this machine is made and set.
-    """
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not root:
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="provena-"))
-        root = spark.sparkContext.getCheckpointDir()
-    return root.rstrip("/")
+__all__ = ["BROADCAST_ROWS", "default_parallelism", "join_sized", "scratch_path", "shared_dir", "without", "write_table"]
 
-
-def scratch_path(spark: SparkSession, label: str) -> str:
-    return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
-
-
-def write_table(df: DataFrame, label: str) -> DataFrame:
-    """Write ``df`` as Parquet in the shared folder and read it back: cuts lineage, survives lost executors."""
-    spark = df.sparkSession
-    path = scratch_path(spark, label)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+#: A side of at most this many rows may be broadcast by :func:`join_sized`; beyond it the join shuffles.
+BROADCAST_ROWS = 500_000
 
 
 def join_sized(left: DataFrame, right: DataFrame, on, how: str, limit: int = BROADCAST_ROWS) -> DataFrame:

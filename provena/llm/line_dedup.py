@@ -19,7 +19,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from provena.llm.common import default_parallelism, join_sized, scratch_path, without, write_table
+from provena.llm.common import default_parallelism, scratch_path, without, write_table
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 BLANKS = " \t\n\x0b\f\r"
@@ -101,7 +101,8 @@ def dedup_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     for k, low in enumerate(edges):
         batch = own.where(F.col("__rank") >= low) if low > -(1 << 63) else own
         batch = batch.where(F.col("__rank") < edges[k + 1]) if k + 1 < len(edges) else batch
-        keys = F.transform(F.split("__text", "\n"), lambda x: F.when(F.char_length(line_key(x)) >= min_chars, F.struct(F.xxhash64(line_key(x)).alias("h1"), F.xxhash64(F.lit(1), line_key(x)).alias("h2"))))
+        hashed = lambda k: F.when(F.char_length(k) >= min_chars, F.struct(F.xxhash64(k).alias("h1"), F.xxhash64(F.lit(1), k).alias("h2")))
+        keys = F.transform(F.transform(F.split("__text", "\n"), line_key), hashed)
         lines = batch.select("__rank", F.xxhash64("__text").alias("__a"), F.xxhash64(F.lit(1), "__text").alias("__b"), F.posexplode(keys).alias("pos", "key")).where("key IS NOT NULL").select("__rank", "__a", "__b", "pos", "key.h1", "key.h2")
         decided = runs.add(lines.groupBy("h1", "h2").agg(F.min("__rank").alias("owner"), F.max("__rank").alias("last")))
         shared = decided.where("shared").select("h1", "h2", "owner")
@@ -109,7 +110,7 @@ def dedup_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
         parts.append(gone.groupBy("__rank", "__a", "__b").agg(F.collect_set("pos").alias("__gone")))
     gone = write_table(reduce(DataFrame.unionByName, parts), "dropped-lines")
     runs.forget()
-    told = join_sized(own.withColumns({"__a": F.xxhash64("__text"), "__b": F.xxhash64(F.lit(1), "__text")}), gone, ["__rank", "__a", "__b"], "left", limit=100_000)
+    told = own.withColumns({"__a": F.xxhash64("__text"), "__b": F.xxhash64(F.lit(1), "__text")}).join(gone, ["__rank", "__a", "__b"], "left")
 
     def kept(lines: Column) -> Column:
         return F.array_join(F.transform(F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("__gone")), lambda i: lines[i]), "\n")

@@ -22,9 +22,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from provena.llm.common import join_sized, without, write_table
-from provena.llm.components import connected_components
-from provena.llm.wordarrays import Words, mix
+from provena.llm.common import without, write_table
+from provena.llm.wordarrays import Words, mix, text_slices
+from provena.operators.graph import connected_components
 
 OUTPUTS = ("group_id", "class_id", "n_copies", "n_links", "n_shingles")
 #: Documents of one side of a block pair.
@@ -142,7 +142,7 @@ def near_duplicates(
     docs = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
 
     def signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in text_slices(batches, "text"):
             low, high, size, keys = [], [], [], []
             for s in shingle_sets(batch.column("text"), shingle):
                 a, b = (mix(s), mix(s ^ np.uint64(0x9FB21C651E98DF25))) if len(s) else (s, s)
@@ -168,12 +168,12 @@ def near_duplicates(
 
     sizes = candidates.groupBy("grp").agg(F.count("*").alias("n"))
     sizes = write_table(sizes.select("grp", F.ceil(F.col("n") / block).cast("int").alias("blocks")), "group-sizes")
-    dealt = join_sized(candidates, sizes, "grp", "inner").withColumn("blk", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
-    dealt = write_table(join_sized(dealt, write_table(members.where("id = class_id AND members > 1").select("id", "members"), "class-sizes"), "id", "left").withColumn("members", F.coalesce("members", F.lit(1))), "dealt")
-    held = join_sized(docs, dealt, "id", "inner", limit=200_000)
+    dealt = candidates.join(sizes, "grp").withColumn("blk", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    dealt = write_table(dealt.join(members.where("id = class_id").select("id", "members"), "id"), "dealt")
+    held = docs.join(dealt, "id")
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in text_slices(batches, "text"):
             made = [s.tobytes() for s in shingle_sets(batch.column("text"), shingle)]
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("id", "grp", "blocks", "blk", "members")), pa.array(made, pa.binary())], ["id", "grp", "blocks", "blk", "members", "shingles"])
 
@@ -209,8 +209,7 @@ def near_duplicates(
     links = verified.groupBy("id").agg(F.sum("links").alias("links"))
     groups = connected_components(write_table(verified.where("id != root").select(F.col("id").alias("u"), F.col("root").alias("v")).distinct(), "links"))
     told = links.join(groups.withColumnRenamed("node", "id"), "id", "left").select(F.col("id").alias("class_id"), "links", "root")
-    told = write_table(told, "linked-classes")
-    out = join_sized(members, told, "class_id", "left")
+    out = members.join(told, "class_id", "left")
     return out.select(
         F.col("id").alias(id_col),
         F.coalesce("root", "class_id").alias("group_id"),
@@ -223,6 +222,6 @@ def near_duplicates(
 
 def keep_one_of_each_group(docs: DataFrame, groups: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """The documents whose id is the smallest of their group; rows without an id stay."""
-    gone = write_table(groups.where(F.col(id_col) != F.col("group_id")).select(F.col(id_col).alias("__of")), "copies")
+    gone = groups.where(F.col(id_col) != F.col("group_id")).select(F.col(id_col).alias("__of"))
     docs = without(docs, "__of")
-    return join_sized(docs, gone, F.col(id_col) == F.col("__of"), "left_anti")
+    return docs.join(gone, F.col(id_col) == F.col("__of"), "left_anti")

@@ -214,10 +214,10 @@ FROM b
 def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     from provena.llm.zip_quality import CompressionClassifier
 
-    docs = _table(spark, sf_dir, "documents").select("doc_id", "text").withColumn("held_out", F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(5)) == 0)
-    labels = _table(spark, sf_dir, "labels").select(F.col("doc_id").alias("of"), "quality")
-    train = docs.where(~F.col("held_out")).join(labels, F.col("doc_id") == F.col("of")).select("doc_id", "text", "quality")
-    return CompressionClassifier.fit(train).score(docs, threshold=0.3).select("doc_id", "held_out", "score", "predicted")
+    held_out = F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(5)) == 0
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text", held_out.alias("held_out"))
+    labels = _table(spark, sf_dir, "labels").where(~held_out).select("doc_id", "quality")
+    return CompressionClassifier.fit(docs, labels).score(docs, threshold=0.3).select("doc_id", "held_out", "score", "predicted")
 
 
 QUERIES = {

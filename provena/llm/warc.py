@@ -26,7 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from provena.llm.common import join_sized, scratch_path, write_table
+from provena.llm.common import scratch_path, write_table
 
 DICTIONARY_MAGIC = 0x184D2A5D
 #: An archive is closed once it has this many bytes, so that a reader holds one archive of about this size at most.
@@ -198,8 +198,7 @@ def write_archives(pages: DataFrame, folder: str | None = None, *, id_col: str =
     digests = rows.select("id", F.sha1("payload").alias("digest"), F.length("payload").alias("n"))
     first = digests.where(F.col("n") >= min_revisit_bytes).groupBy("digest").agg(F.min("id").alias("first"), F.max("id").alias("last")).where("last > first")
     revisits = digests.where(F.col("n") >= min_revisit_bytes).join(first, "digest").where("id > first").select(F.col("id").alias("of"), "digest", F.col("first").alias("refers_to")).distinct()
-    revisits = write_table(revisits, "revisits")
-    told = join_sized(rows.withColumn("digest", F.sha1("payload")), revisits.withColumnRenamed("digest", "of_digest"), (F.col("id") == F.col("of")) & (F.col("digest") == F.col("of_digest")), "left")
+    told = rows.withColumn("digest", F.sha1("payload")).join(revisits.withColumnRenamed("digest", "of_digest"), (F.col("id") == F.col("of")) & (F.col("digest") == F.col("of_digest")), "left")
     sample = rows.where(F.length("payload") > 0).select(F.substring("payload", 1, SAMPLE_BYTES).alias("p"), F.xxhash64("id").alias("h")).orderBy("h", "p").limit(SAMPLE_ROWS)
     dictionary = spark.sparkContext.broadcast(train([bytes(r.p) for r in sample.collect()]))
 

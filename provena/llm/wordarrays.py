@@ -61,6 +61,17 @@ def text_bytes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data, offsets - offsets[0]
 
 
+def text_slices(batches, column: str, size: int = 2 * SLICE_BYTES):
+    """The batches in slices of at most ``size`` bytes of text (a longer document is a slice of its own)."""
+    for batch in batches:
+        _, offsets = text_bytes(batch.column(column))
+        at = 0
+        while at < batch.num_rows:
+            to = min(batch.num_rows, max(at + 1, int(np.searchsorted(offsets, offsets[at] + size, "right")) - 1))
+            yield batch.slice(at, to - at)
+            at = to
+
+
 def count_words(data: np.ndarray, offsets: np.ndarray) -> int:
     """Words of the texts that ``offsets`` (one more than texts) bound in ``data``."""
     low, high = int(offsets[0]), int(offsets[-1])

@@ -1,11 +1,13 @@
 """Operator 10: quality scores from compression with class dictionaries.
 
 Two zstandard dictionaries of equal size are trained from good and from bad labelled texts (bounded samples). A
-text that looks like one class compresses better under its dictionary: the feature is the difference of the two
-compressed sizes, divided by the plain compressed size. A logistic curve fitted to labelled training rows turns it
-into a probability, the calibrated score.
+text that looks like one class compresses better under its dictionary: the main feature is the difference of the
+two compressed sizes, divided by the plain compressed size. Texts are compressed in small pieces, so that the
+dictionaries and not the text's own past decide. What no dictionary shows, a text that repeats itself, is in the
+plain ratio of compression: its logarithm is the second input of the calibration. A logistic curve fitted to
+labelled training rows turns both into a probability, the calibrated score.
 
-Scoring is one pass without a shuffle; what is broadcast are the two dictionaries and two numbers.
+Scoring is one pass without a shuffle; what is broadcast are the two dictionaries and a few numbers.
 """
 
 from __future__ import annotations
@@ -20,37 +22,38 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from provena.llm.common import without
+from provena.llm.common import without, write_table
 
 #: Labelled rows of each class that the dictionaries are trained on, at most, and characters of each.
 SAMPLE_ROWS, SAMPLE_CHARS = 1000, 4000
 #: Labelled rows that the curve is fitted to, at most.
-FIT_ROWS = 20_000
+FIT_ROWS = 5_000
 DICTIONARY_BYTES = 64 << 10
 LEVEL = 3
-#: Bytes of text compressed at a time; sizes add up over a longer text.
-PIECE = 64 << 10
-OUTPUTS = ("score", "predicted", "feature")
+#: Bytes of text compressed at a time with the dictionaries, and without one; sizes add up over a longer text.
+PIECE, PLAIN_PIECE = 4 << 10, 1 << 20
+OUTPUTS = ("score", "predicted", "feature", "ratio")
 
 
 class SizeDifference:
-    """The feature of a text under two class dictionaries."""
+    """(normalised size difference, logarithm of the plain ratio) of a text under two class dictionaries."""
 
     def __init__(self, good: bytes, bad: bytes):
-        make = lambda d: zstandard.ZstdCompressor(level=LEVEL, dict_data=d and zstandard.ZstdCompressionDict(d), write_checksum=False, write_dict_id=False)
-        self.good, self.bad, self.plain = make(good), make(bad), zstandard.ZstdCompressor(level=LEVEL, write_checksum=False)
+        def compressor(dictionary: bytes):
+            data = zstandard.ZstdCompressionDict(dictionary) if dictionary else None
+            if data:
+                data.precompute_compress(level=LEVEL)
+            return zstandard.ZstdCompressor(level=LEVEL, dict_data=data, write_checksum=False, write_dict_id=False, write_content_size=False)
 
-    def __call__(self, text: str | None) -> float:
+        self.good, self.bad, self.plain = compressor(good), compressor(bad), compressor(b"")
+
+    def __call__(self, text: str | None) -> tuple[float, float]:
         data = (text or "").encode()
         if not data:
-            return 0.0
-        good = bad = plain = 0
-        for i in range(0, len(data), PIECE):
-            part = data[i : i + PIECE]
-            good += len(self.good.compress(part))
-            bad += len(self.bad.compress(part))
-            plain += len(self.plain.compress(part))
-        return (bad - good) / plain
+            return 0.0, 0.0
+        sizes = [sum(len(c.compress(data[i : i + PIECE])) for i in range(0, len(data), PIECE)) for c in (self.good, self.bad, self.plain)]
+        whole = sizes[2] if len(data) <= PIECE else sum(len(self.plain.compress(data[i : i + PLAIN_PIECE])) for i in range(0, len(data), PLAIN_PIECE))
+        return (sizes[1] - sizes[0]) / sizes[2], math.log(whole / len(data))
 
 
 def _dictionary(texts: list[str]) -> bytes:
@@ -63,53 +66,61 @@ def _dictionary(texts: list[str]) -> bytes:
         return b"".join(samples)[:size]
 
 
-def fit_logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
-    """(slope, intercept) by Newton steps, with a small pull towards 0 so that separable rows have an answer."""
-    scale = float(np.std(x)) or 1.0
+def fit_logistic(x: np.ndarray, y: np.ndarray) -> list[float]:
+    """Weights of the columns of ``x`` and an intercept, by Newton steps, with a small pull towards 0 so that separable rows have an answer."""
+    scale = np.where(x.std(axis=0) > 0, x.std(axis=0), 1.0)
     design = np.column_stack([x / scale, np.ones(len(x))])
-    theta = np.zeros(2)
-    for _ in range(50):
+    theta = np.zeros(design.shape[1])
+    for _ in range(100):
         p = 1 / (1 + np.exp(-np.clip(design @ theta, -30, 30)))
         gradient = design.T @ (p - y) + 0.01 * theta
-        hessian = (design * (p * (1 - p))[:, None]).T @ design + 0.01 * np.eye(2)
+        hessian = (design * (p * (1 - p))[:, None]).T @ design + 0.01 * np.eye(len(theta))
         step = np.linalg.solve(hessian, gradient)
         theta -= step
         if np.abs(step).max() < 1e-9:
             break
-    return float(theta[0] / scale), float(theta[1])
+    return [float(t) for t in theta / np.append(scale, 1.0)]
 
 
 class CompressionClassifier:
     """Dictionaries of both classes and the fitted curve."""
 
-    def __init__(self, good: bytes, bad: bytes, slope: float, intercept: float):
-        self.good, self.bad, self.slope, self.intercept = good, bad, slope, intercept
+    def __init__(self, good: bytes, bad: bytes, weights: list[float]):
+        self.good, self.bad, self.weights = good, bad, weights
 
     @classmethod
-    def fit(cls, labelled: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", sample_rows: int = SAMPLE_ROWS, fit_rows: int = FIT_ROWS) -> CompressionClassifier:
-        """Fit on bounded samples of ``labelled`` (text, 0/1 label), chosen by a hash of the id.
+    def fit(cls, docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", sample_rows: int = SAMPLE_ROWS, fit_rows: int = FIT_ROWS) -> CompressionClassifier:
+        """Fit on bounded samples of the labelled documents, chosen among the labels by a hash of the id.
 
-        Rows with a null text or label are left out. Without rows of both classes the score is their share (or 1/2).
+        The ids are chosen first, so only the sample's texts leave their rows: at most ``sample_rows`` of each class
+        for the dictionaries (``SAMPLE_CHARS`` of each) and ``fit_rows`` for the curve. Rows with a null text, id or
+        label are left out, and of documents with one id one counts. Without rows of both classes the score is
+        their share (or 1/2).
         """
-        rows = labelled.where(F.col(label_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(text_col).alias("t"), F.col(label_col).cast("int").alias("y"), F.xxhash64(id_col).alias("h"), F.xxhash64(F.lit(1), id_col).alias("g"))
-        samples = {y: [r.t for r in rows.where(F.col("y") == y).select(F.substring("t", 1, SAMPLE_CHARS).alias("t"), "h").orderBy("h", "t").limit(sample_rows).collect()] for y in (0, 1)}
+        rows = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).select(F.col(id_col).alias("of"), F.col(label_col).cast("int").alias("y")).distinct()
+        dictionary = [rows.where(F.col("y") == y).orderBy(F.xxhash64("of"), "of").limit(sample_rows).withColumn("use", F.lit("dictionary")) for y in (0, 1)]
+        curve = rows.orderBy(F.xxhash64(F.lit(1), "of"), "of").limit(fit_rows).withColumn("use", F.lit("curve"))
+        chosen = F.broadcast(dictionary[0].unionByName(dictionary[1]).unionByName(curve))
+        texts = docs.where(F.col(text_col).isNotNull()).select(F.col(id_col).alias("of"), F.col(text_col).alias("t")).join(chosen, "of")
+        texts = write_table(texts.dropDuplicates(["of", "use"]), "labelled-sample")
+        samples = {y: [r.t for r in texts.where((F.col("use") == "dictionary") & (F.col("y") == y)).select(F.left("t", F.lit(SAMPLE_CHARS)).alias("t"), "of").orderBy("of").collect()] for y in (0, 1)}
         if not samples[0] or not samples[1]:
             share = 0.999 if samples[1] else 0.001 if samples[0] else 0.5
-            return cls(b"", b"", 0.0, math.log(share / (1 - share)))
+            return cls(b"", b"", [0.0, 0.0, math.log(share / (1 - share))])
         good, bad = _dictionary(samples[1]), _dictionary(samples[0])
-        featured = _with_feature(rows.orderBy("g", "t").limit(fit_rows), "t", good, bad)
-        got = featured.select("feature", "y").toPandas()
-        return cls(good, bad, *fit_logistic(got.feature.to_numpy(), got.y.to_numpy(float)))
+        got = _with_feature(texts.where("use = 'curve'"), "t", good, bad).select("of", "feature", "ratio", "y").toPandas().sort_values("of")
+        return cls(good, bad, fit_logistic(got[["feature", "ratio"]].to_numpy(), got.y.to_numpy(float)))
 
     def score(self, docs: DataFrame, *, text_col: str = "text", threshold: float = 0.3) -> DataFrame:
-        """The input's columns, ``feature``, ``score`` (0 to 1, higher: label 1 likelier) and ``predicted`` (score >= threshold).
+        """The input's columns, ``feature`` and ``ratio``, ``score`` (0 to 1, higher: label 1 likelier) and ``predicted`` (score >= threshold).
 
-        Input columns of these names are replaced. A null or empty text has feature 0. Every row is scored by its
+        Input columns of these names are replaced. A null or empty text has features 0. Every row is scored by its
         text alone, so repeated rows are equal; an empty table gives an empty result.
         """
         docs = without(docs, *OUTPUTS)
         out = _with_feature(docs, text_col, self.good, self.bad)
-        score = 1 / (1 + F.exp(-(F.lit(self.slope) * F.col("feature") + F.lit(self.intercept))))
+        a, b, c = self.weights
+        score = 1 / (1 + F.exp(-(F.lit(a) * F.col("feature") + F.lit(b) * F.col("ratio") + F.lit(c))))
         return out.withColumn("score", score).withColumn("predicted", (F.col("score") >= threshold).cast("int"))
 
 
@@ -119,7 +130,8 @@ def _with_feature(df: DataFrame, text_col: str, good: bytes, bad: bytes) -> Data
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         measure = SizeDifference(*shared.value)
         for batch in batches:
-            made = pa.array([measure(x.as_py()) for x in batch.column(text_col)], pa.float64())
-            yield pa.RecordBatch.from_arrays([*batch.columns, made], [*batch.schema.names, "feature"])
+            made = [measure(x.as_py()) for x in batch.column(text_col)]
+            new = [pa.array([m[i] for m in made], pa.float64()) for i in (0, 1)]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *new], [*batch.schema.names, "feature", "ratio"])
 
-    return df.mapInArrow(rows, T.StructType([*df.schema.fields, T.StructField("feature", T.DoubleType())]))
+    return df.mapInArrow(rows, T.StructType([*df.schema.fields, *(T.StructField(n, T.DoubleType()) for n in ("feature", "ratio"))]))
