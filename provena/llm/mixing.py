@@ -23,6 +23,8 @@ from provena.llm.common import join_sized, without, write_table
 
 WORD = r"[^\x20\x09-\x0D]+"
 OUTPUTS = ("tokens", "epoch", "block", "shuffle_key")
+#: A budget this close to whole epochs, as a share of one epoch, is those epochs: rounding must not cost a document.
+WHOLE = 1e-6
 _STEPS = 32
 _ROUNDS = 5
 
@@ -74,9 +76,12 @@ def mixing_weights(docs: DataFrame, *, source_col: str = "source", target_share:
     sources = sources.withColumn("share", F.col("tokens") / F.lit(float(total or 1)))
     a = find_exponent(sources, None if target_share is None else target_share * math.log(kinds), max_epochs, budget_share) if kinds else 1.0
     z = sources.where("share > 0").agg(F.sum(F.pow("share", F.lit(a)))).first()[0] or 1.0
-    weight = F.when(F.col("share") > 0, F.round(F.pow("share", F.lit(a)) / F.lit(z), 9)).otherwise(0.0)
+    weight = F.when(F.col("share") > 0, F.round(F.pow("share", F.lit(a)) / F.lit(z), 12)).otherwise(0.0)
+    exact = F.col("weight") * budget
+    near = F.round(F.try_divide(exact, F.col("tokens"))).cast("long") * F.col("tokens")
+    tokens = F.when((F.col("tokens") > 0) & (F.abs(exact - near) <= WHOLE * F.col("tokens")), near).otherwise(F.floor(exact)).cast("long")
     full = F.when(F.col("tokens") > 0, F.floor(F.col("budget") / F.col("tokens"))).otherwise(0).cast("long")
-    return sources.withColumn("weight", weight).withColumn("budget", F.floor(F.col("weight") * budget).cast("long")).withColumn("full", full).withColumn("rest", F.col("budget") - F.col("full") * F.col("tokens")).withColumn("exponent", F.lit(a))
+    return sources.withColumn("weight", weight).withColumn("budget", tokens).withColumn("full", full).withColumn("rest", F.col("budget") - F.col("full") * F.col("tokens")).withColumn("exponent", F.lit(a))
 
 
 def shuffle_key(seed: int, epoch: Column, *of: Column) -> Column:
