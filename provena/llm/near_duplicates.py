@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from provena.llm.common import without, write_table
+from provena.llm.common import join_sized, without, write_table
 from provena.llm.wordarrays import Words, mix, text_slices
 from provena.operators.graph import connected_components
 
@@ -209,7 +209,8 @@ def near_duplicates(
     links = verified.groupBy("id").agg(F.sum("links").alias("links"))
     groups = connected_components(write_table(verified.where("id != root").select(F.col("id").alias("u"), F.col("root").alias("v")).distinct(), "links"))
     told = links.join(groups.withColumnRenamed("node", "id"), "id", "left").select(F.col("id").alias("class_id"), "links", "root")
-    out = members.join(told, "class_id", "left")
+    # written, so that a class of very many copies is joined by broadcast or split by adaptive execution
+    out = join_sized(members, write_table(told, "linked-classes"), "class_id", "left")
     return out.select(
         F.col("id").alias(id_col),
         F.coalesce("root", "class_id").alias("group_id"),
