@@ -33,6 +33,7 @@ DICTIONARY_MAGIC = 0x184D2A5D
 ARCHIVE_BYTES = 8 << 20
 #: Payloads that the dictionary is trained on, at most, and bytes of each.
 SAMPLE_ROWS, SAMPLE_BYTES, DICTIONARY_BYTES = 400, 8192, 64 << 10
+_LAST = (1 << 63) - 1
 #: The identical-payload-digest profile of WARC/1.1 (fixed value).
 REVISIT = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 EMPTY_DATE = "1970-01-01T00:00:00Z"
@@ -199,7 +200,10 @@ def write_archives(pages: DataFrame, folder: str | None = None, *, id_col: str =
     first = digests.where(F.col("n") >= min_revisit_bytes).groupBy("digest").agg(F.min("id").alias("first"), F.max("id").alias("last")).where("last > first")
     revisits = digests.where(F.col("n") >= min_revisit_bytes).join(first, "digest").where("id > first").select(F.col("id").alias("of"), "digest", F.col("first").alias("refers_to")).distinct()
     told = rows.withColumn("digest", F.sha1("payload")).join(revisits.withColumnRenamed("digest", "of_digest"), (F.col("id") == F.col("of")) & (F.col("digest") == F.col("of_digest")), "left")
-    sample = rows.where(F.length("payload") > 0).select(F.substring("payload", 1, SAMPLE_BYTES).alias("p"), F.xxhash64("id").alias("h")).orderBy("h", "p").limit(SAMPLE_ROWS)
+    # some four times the sample passes the filter, however many rows and tasks there are
+    share = min(1.0, 4 * SAMPLE_ROWS / max(1, pages.count()))
+    hashed = rows.where(F.length("payload") > 0).select(F.substring("payload", 1, SAMPLE_BYTES).alias("p"), F.xxhash64("id", "payload").alias("h"))
+    sample = hashed.where(F.col("h") <= min(_LAST, int((share - 0.5) * 2 * _LAST))).orderBy("h", "p").limit(SAMPLE_ROWS)
     dictionary = spark.sparkContext.broadcast(train([bytes(r.p) for r in sample.collect()]))
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
