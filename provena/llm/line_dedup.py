@@ -41,12 +41,13 @@ class LineRuns:
         self.name = f"line_runs_{uuid.uuid4().hex[:12]}"
         self.made = 0
 
-    def _write(self, rows: DataFrame) -> str:
+    def _write(self, rows: DataFrame) -> tuple[str, str]:
         self.made += 1
         name = f"{self.name}_{self.made}"
+        path = scratch_path(self.spark, name)
         rows = rows.repartition(self.buckets, "h1", "h2")
-        rows.write.format("parquet").bucketBy(self.buckets, "h1", "h2").sortBy("h1", "h2").option("path", scratch_path(self.spark, name)).saveAsTable(name)
-        return name
+        rows.write.format("parquet").bucketBy(self.buckets, "h1", "h2").sortBy("h1", "h2").option("path", path).saveAsTable(name)
+        return name, path
 
     def runs(self) -> list[DataFrame]:
         return [self.spark.table(n).where("fresh").select("h1", "h2", F.col("owner").alias("held")) for level in self.levels for n in level]
@@ -62,16 +63,17 @@ class LineRuns:
             claims = claims.join(run.withColumnRenamed("held", f"held{k}"), ["h1", "h2"], "left")
             held = F.coalesce(held, F.col(f"held{k}"))
         decided = claims.select("h1", "h2", F.coalesce(held, F.col("owner")).alias("owner"), held.isNull().alias("fresh"), (held.isNotNull() | (F.col("last") > F.col("owner"))).alias("shared"))
-        name = self._write(decided)
+        name, path = self._write(decided)
         self.levels = self.levels or [[]]
         self.levels[0].append(name)
-        return self.spark.table(name)
+        # read without its buckets: a join with it is dealt anew, so that adaptive execution can split hot lines
+        return self.spark.read.schema(decided.schema).parquet(path)
 
     def _compact(self) -> None:
         for k in range(len(self.levels)):
             if len(self.levels[k]) >= self.fanout:
                 merged = reduce(DataFrame.unionByName, [self.spark.table(n).where("fresh") for n in self.levels[k]])
-                name = self._write(merged)
+                name, _ = self._write(merged)
                 if k + 1 == len(self.levels):
                     self.levels.append([])
                 self.levels[k + 1].append(name)
