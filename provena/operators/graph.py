@@ -13,7 +13,9 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
 
     Each round links every node's larger neighbours to its smallest one, then every node's smaller neighbours to its
     smallest one, until nothing changes; the number of rounds grows with the logarithm of the number of nodes. A
-    node's neighbours are never gathered: both steps are a minimum for each node, joined back to the edges.
+    node's neighbours are never gathered: both steps are a minimum for each node, joined back to the edges. The minima
+    are written before they are joined: Spark then broadcasts them while their files are small, and beyond that
+    splits a node of very many edges over tasks, which it can't do with an aggregate still in the join's own stage.
     Edges with a null end and loops tell nothing. Each round is written to the shared folder.
     """
     rows = edges.where("u IS NOT NULL AND v IS NOT NULL AND u != v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
@@ -21,10 +23,10 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     for _ in range(max_rounds):
         # large step: neighbours above a node go to the smallest of its neighbours and itself
         both = rows.select("u", "v").unionByName(rows.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        low = write_table(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")), "components")
+        large = write_table(both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(), "components")
         # small step: a node and its smaller neighbours go to the smallest of these
-        lowest = large.groupBy("u").agg(F.min("v").alias("m"))
+        lowest = write_table(large.groupBy("u").agg(F.min("v").alias("m")), "components")
         small = large.join(lowest, "u").select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct(F.col("u"), F.col("m").alias("v")))).alias("e"))
         new = write_table(small.select("e.*").where("u != v").distinct(), "components")
         changed = new.exceptAll(rows).limit(1).count() or rows.exceptAll(new).limit(1).count()
