@@ -247,6 +247,66 @@ def similar_names(left: DataFrame, right: DataFrame, block: Sequence[str], left_
     return ranked.withColumn("accepted", clear)
 
 
+def best_names(left: DataFrame, right: DataFrame, left_id: str, left_name: str, right_id: str, right_name: str, *, least: float = 0.86, margin: float = 0.02, others: bool = False) -> DataFrame:
+    """D12 without a block: each left name against every right name, complete down to what can decide.
+
+    A pair below ``least`` less ``margin`` can neither be accepted nor stand in the way, so only pairs of at least
+    that similarity are made, each by a key of its own rule: names that are a run of words or the start of the other
+    meet by equality with it, and names within so few edits share one of their rarest letter pairs (of k edits each
+    touches at most two pairs, so the 2k + 1 rarest of both sides meet) and lie close in length. Names must be
+    folded. ``others`` leaves out pairs with equal ids. Returns one row for each left row with the best right
+    row, similarity, runner_up and accepted; the middle three are null where no name is that much alike.
+    """
+    low = round(least - margin, 6)
+    share = 1 - low + 1e-6
+    a = left.select(F.col(left_id).alias("x"), F.col(left_name).alias("p")).where("p != ''")
+    b = right.select(F.col(right_id).alias("y"), F.col(right_name).alias("q")).where("q != ''")
+    plain = lambda c: F.replace(F.col(c), F.lit(" "), F.lit(""))
+
+    def runs(c: str) -> Column:
+        words = F.split(c, " ")
+        n = F.size(words)
+        return F.flatten(F.transform(F.sequence(F.lit(1), n), lambda i: F.transform(F.sequence(F.lit(1), n - i + 1), lambda k: F.array_join(F.slice(words, i, k), " "))))
+
+    def starts(c: str) -> Column:
+        n = F.char_length(c)
+        first = F.greatest(F.lit(1), F.floor(n * ((low - 0.80) / 0.15 - 1e-4)).cast("int"))
+        return F.transform(F.sequence(first, n), lambda k: F.substring(F.col(c), F.lit(1), k))
+
+    def parts(c: str) -> Column:
+        return F.explode(F.array_distinct(F.concat(runs(c), starts(c)))).alias("key")
+
+    same = a.select("x", "p", plain("p").alias("key")).join(b.select("y", "q", plain("q").alias("key")), "key")
+    inner = a.select("x", "p", parts("p")).join(b.withColumn("key", F.col("q")), "key")
+    outer = a.withColumn("key", F.col("p")).join(b.select("y", "q", parts("q")), "key")
+
+    def grams(rows: DataFrame, i: str, name: str) -> DataFrame:
+        n = F.char_length(name)
+        g = rows.where(n > 1).select(i, name, F.posexplode(F.transform(F.sequence(F.lit(1), n - 1), lambda k: F.substring(F.col(name), k, F.lit(2)))).alias("pos", "g"))
+        return g.withColumn("nth", F.row_number().over(W.partitionBy(i, "g").orderBy("pos")))
+
+    ga, gb = grams(a, "x", "p"), grams(b, "y", "q")
+    df = ga.select("g", "nth").unionAll(gb.select("g", "nth")).groupBy("g", "nth").agg(F.count("*").alias("df"))
+
+    def rarest(rows: DataFrame, i: str, name: str) -> DataFrame:
+        edits = F.floor(F.floor(F.char_length(name) / (1 - share)) * share)
+        ranked = rows.join(df, ["g", "nth"]).withColumn("rn", F.row_number().over(W.partitionBy(i).orderBy("df", "g", "nth")))
+        return ranked.where(F.col("rn") <= 2 * edits + 1).select(i, name, "g", "nth")
+
+    n = F.char_length("p")
+    near = F.sequence(F.ceil(n * (1 - share)).cast("int"), F.floor(n / (1 - share)).cast("int"))
+    close = rarest(ga, "x", "p").withColumn("size", F.explode(near)).join(rarest(gb, "y", "q").withColumn("size", F.char_length("q")), ["g", "nth", "size"])
+    pairs = same.select("x", "p", "y", "q").unionByName(inner.select("x", "p", "y", "q")).unionByName(outer.select("x", "p", "y", "q")).unionByName(close.select("x", "p", "y", "q"))
+    pairs = (pairs.where("x != y") if others else pairs).distinct()
+    alike = pairs.select("x", "y", F.round(name_similarity("p", "q"), 6).alias("similarity")).where(F.col("similarity") >= low)
+    w = W.partitionBy("x").orderBy(F.col("similarity").desc(), "y")
+    top = alike.withColumn("rn", F.row_number().over(w)).where("rn <= 2")
+    first, second = F.col("rn") == 1, F.col("rn") == 2
+    best = top.groupBy("x").agg(F.max(F.when(first, F.col("y"))).alias(right_id), F.max(F.when(first, F.col("similarity"))).alias("similarity"), F.max(F.when(second, F.col("similarity"))).alias("runner_up"))
+    clear = (F.col("similarity") >= least) & (F.col("runner_up").isNull() | (F.col("similarity") - F.col("runner_up") >= margin))
+    return left.join(best.withColumnRenamed("x", left_id), left_id, "left").withColumn("accepted", F.coalesce(clear, F.lit(False)))
+
+
 def shared_reference_chains(rows: DataFrame, node: str, reference: Sequence[str]) -> DataFrame:
     """Rows that share a reference, directly or through others; references of one row only are dropped.
 

@@ -220,6 +220,13 @@ def name_similarity(spark: SparkSession, sf: str) -> DataFrame:
     return M.similar_names(x, y, ["block"], "a", "a", "b", "b").select("a", "b", "similarity", "runner_up", "accepted")
 
 
+@query()
+def name_similarity_all(spark: SparkSession, sf: str) -> DataFrame:
+    """D12 over all names: each part name's best other name, whatever letter it starts with, with the runner-up."""
+    names = table(spark, sf, "part").select(fold("p_name").alias("a")).where("a != ''").distinct()
+    return M.best_names(names, names.withColumnRenamed("a", "b"), "a", "a", "b", "b", others=True).select("a", "b", "similarity", "runner_up", "accepted")
+
+
 @query(with_ctes(DOC_LINE).replace("WITH", "WITH RECURSIVE", 1) + """,
 k AS (SELECT DISTINCT doc, product, date_trunc('week', on_day) AS week FROM doc_line),
 low AS (SELECT product, week, min(doc) AS low, count(*) AS n FROM k GROUP BY ALL HAVING count(*) > 1),
