@@ -107,6 +107,14 @@ def day_window_sums(spark: SparkSession, sf: str) -> DataFrame:
     return N.day_windows(tx(spark, sf).where("kind = 'purchase'"), "account", "booked_on", "amount")
 
 
+@query()
+def day_window_matches(spark: SparkSession, sf: str) -> DataFrame:
+    """The runs of days, of any length, whose purchases sum to a later or same day's money in, within 62 days."""
+    t = tx(spark, sf)
+    spent = t.where("kind = 'purchase'").withColumn("amount", (-F.col("amount")).cast("decimal(18,2)"))
+    return N.day_window_matches(spent, t.where("amount > 0").select("id", "account", "booked_on", "amount"), "account", "booked_on", "amount", "id")
+
+
 @query("""
 SELECT user_id, min(ts) FILTER (event_type = 'signup') AS signup_at, min(ts) FILTER (event_type = 'view') AS view_at, min(ts) FILTER (event_type = 'purchase') AS purchase_at,
        CASE WHEN min(ts) FILTER (event_type = 'view') >= min(ts) FILTER (event_type = 'signup') THEN CAST(floor(floor((epoch_us(min(ts) FILTER (event_type = 'view')) - epoch_us(min(ts) FILTER (event_type = 'signup'))) / 1e6) / 60) AS BIGINT) END AS view_minutes,

@@ -1,12 +1,15 @@
 """Operators against brute force where an earlier form left part of the job out."""
 
 import random
+from datetime import date, timedelta
+from decimal import Decimal as D
 
 import pytest
 from pyspark.sql import functions as F
 
 from provena.functions.text import name_similarity
 from provena.operators import matching as M
+from provena.operators import windows as N
 
 
 @pytest.mark.parametrize("seed", [1, 2])
@@ -32,3 +35,25 @@ def test_best_names_against_all_pairs(spark, seed):
     got = {x.a: (x.b, x.similarity, x.runner_up, x.accepted) for x in M.best_names(a, b, "a", "a", "b", "b", others=True).collect()}
     assert got == want
     assert sum(x[0] is not None and x[0][0] != n[0] for n, x in want.items()) > 3
+
+
+def test_day_windows_of_any_length_meet_their_target(spark):
+    r = random.Random(3)
+    start = date(2024, 1, 1)
+    bought = [(k, start + timedelta(days=r.randrange(120)), D(r.randrange(-100, 400)) / 100) for k in (1, 2) for _ in range(110)]
+    bought += [(3, start + timedelta(days=2 * i), D("1.00")) for i in range(40)]
+    targets = [(i, r.choice((1, 2)), start + timedelta(days=r.randrange(140)), D(r.randrange(50, 9000)) / 100) for i in range(300)]
+    targets += [(900, 3, start + timedelta(days=78), D("32.00")), (901, 3, start + timedelta(days=78), D("33.00"))]
+    totals = {}
+    for k, d, x in bought:
+        totals[k, d] = totals.get((k, d), 0) + x
+    want = []
+    for i, k, until, goal in targets:
+        days = [d for d in sorted(d for a, d in totals if a == k) if until - timedelta(days=62) <= d <= until]
+        runs = [(days[a], days[b], b - a + 1) for a in range(len(days)) for b in range(a, len(days)) if sum(totals[k, d] for d in days[a : b + 1]) == goal]
+        want += [(i, *run, len(runs) > 1) for run in runs] or [(i, None, None, None, None)]
+    assert max(x[3] or 0 for x in want) > 30
+    kinds = "k int, d date, x decimal(18,2)"
+    out = N.day_window_matches(spark.createDataFrame(bought, kinds), spark.createDataFrame(targets, f"id int, {kinds}"), "k", "d", "x", "id")
+    got = [tuple(x) for x in out.select("id", "first_day", "last_day", "n_days", "ambiguous").collect()]
+    assert sorted(got, key=str) == sorted(want, key=str)
