@@ -6,14 +6,21 @@ from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+#: Numbers the rows of a group on their way to Python; 1 begins a group.
+NTH = "__nth"
+
 
 def fold_groups(rows: DataFrame, keys: Sequence[str], order: Sequence[Column | str], fold: Callable[[pd.DataFrame], list[tuple]], schema, *, keep_key: bool = True) -> DataFrame:
     """Call ``fold`` with each key's rows in order; its tuples, after the key's own values, are the result.
 
     Rows are dealt by key and sorted within each task, and a task reads its groups one after another: it holds one
     group and one batch at a time, and small groups cost no call to Python of their own. Null keys form a group.
+    The window that numbers a group's rows holds them together: ``mapInPandas`` asks for no distribution, so after a
+    plain repartition the adaptive planner may read a join's shuffle where it lies and cut groups in pieces.
     """
     kinds = T.StructType.fromDDL(schema) if isinstance(schema, str) else schema
     out = T.StructType([*[f for f in rows.schema.fields if f.name in keys], *kinds.fields]) if keep_key else kinds
@@ -27,23 +34,19 @@ def fold_groups(rows: DataFrame, keys: Sequence[str], order: Sequence[Column | s
             head = tuple(group[k].iloc[0] for k in keys) if keep_key else ()
             return [(*head, *t) for t in fold(group)]
 
-        def same(a: pd.DataFrame, b: pd.DataFrame) -> bool:
-            return all(x == y or (pd.isna(x) and pd.isna(y)) for x, y in ((a[k].iloc[-1], b[k].iloc[0]) for k in keys))
-
         def frame(made: list[tuple]) -> pd.DataFrame:
             return pd.DataFrame({n: pd.Series([m[i] for m in made], dtype=object) for i, n in enumerate(out.names)})
 
         for batch in batches:
             if not len(batch):
                 continue
-            changed = pd.Series(False, index=batch.index)
-            for k in keys:
-                changed |= (batch[k] != batch[k].shift()) & ~(batch[k].isna() & batch[k].shift().isna())
-            edges = [0, *[i for i in range(1, len(batch)) if changed.iloc[i]], len(batch)]
+            heads = (batch.pop(NTH) == 1).to_numpy().nonzero()[0].tolist()
+            edges = [0, *[i for i in heads if i], len(batch)]
+            begun = not heads or heads[0] > 0
             made: list[tuple] = []
             for a, b in zip(edges, edges[1:], strict=False):
                 part = batch.iloc[a:b]
-                if held and not same(held[-1], part):
+                if held and not (a == 0 and begun):
                     made += done(held)
                     held = []
                 held.append(part)
@@ -51,5 +54,5 @@ def fold_groups(rows: DataFrame, keys: Sequence[str], order: Sequence[Column | s
         if held:
             yield frame(done(held))
 
-    dealt = rows.select(*columns).repartition(*keys).sortWithinPartitions(*keys, *order)
+    dealt = rows.select(*columns, F.row_number().over(W.partitionBy(*keys).orderBy(*order)).alias(NTH))
     return dealt.mapInPandas(run, out)

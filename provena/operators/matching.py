@@ -138,6 +138,13 @@ def subset_sums(groups: DataFrame, key: str, target: str, item: str, amount: str
     return fold_groups(rows, [key], [item], search, f"items array<{dict(groups.dtypes)[item]}>, n_items bigint, capped boolean")
 
 
+def subset_rows(found: DataFrame, key: str) -> DataFrame:
+    """One row for each key of ``subset_sums``: how many sets, the sets as text in order, and whether a bound ended the search."""
+    text = F.when(F.col("items").isNotNull(), F.array_join(F.transform("items", lambda x: x.cast("string")), "+"))
+    agg = found.groupBy(key).agg(F.count("items").alias("n_sets"), F.sort_array(F.collect_list(text)).alias("s"), F.max("capped").alias("capped"))
+    return agg.select(key, "n_sets", F.when(F.col("n_sets") > 0, F.array_join("s", " ")).alias("sets"), "capped")
+
+
 def as_of(rows: DataFrame, facts: DataFrame, on: Sequence[str], day: str, fact_day: str, value: str, *, lookback: int = 7) -> DataFrame:
     """The latest fact on or before each row's day, at most ``lookback`` days old; null without one.
 

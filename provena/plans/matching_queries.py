@@ -88,6 +88,18 @@ def subset_sum_matches(spark: SparkSession, sf: str) -> DataFrame:
     return found.where("NOT capped").groupBy("doc").agg(F.count("*").alias("n_sets"), F.array_join(F.sort_array(F.collect_list(text)), " ").alias("sets"))
 
 
+@query()
+def subset_sum_matches_all(spark: SparkSession, sf: str) -> DataFrame:
+    """D03 whole: sets of two to six lines that sum to the document's largest quantity; ``capped`` if a bound ended the search.
+
+    ``n_sets`` counts what was found before that bound (0 with null ``sets`` where nothing was).
+    """
+    item = (F.col("line") * 1000000000 + F.col("supplier") * 1000000 + F.col("product")).alias("item")
+    lines = doc_line(spark, sf).groupBy("doc", item).agg(F.min("qty").alias("qty"))
+    goals = lines.groupBy("doc").agg(F.max("qty").alias("goal"))
+    return M.subset_rows(M.subset_sums(lines.join(goals, "doc"), "doc", "goal", "item", "qty"), "doc")
+
+
 RATES = [("EUR", "USD", date(1995, 1, 2), "1.10"), ("EUR", "USD", date(1996, 7, 1), "1.15"), ("EUR", "USD", date(1998, 10, 1), "1.21"), ("EUR", "GBP", date(1997, 5, 26), "0.70"), ("EUR", "GBP", date(1999, 1, 14), "0.68")]
 RATE_ROWS = ", ".join(f"('{b}', '{q}', DATE '{d}', CAST({r} AS DECIMAL(20,10)))" for b, q, d, r in RATES)
 

@@ -1,15 +1,23 @@
 """Operators against brute force where an earlier form left part of the job out."""
 
 import random
+from collections import defaultdict
 from datetime import date, timedelta
 from decimal import Decimal as D
+from itertools import combinations
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
 from provena.functions.text import name_similarity
+from provena.operators.folds import fold_groups
 from provena.operators import matching as M
 from provena.operators import windows as N
+from provena.plans import registry
+from provena.plans.bind import doc_line
+
+registry.load()
 
 
 @pytest.mark.parametrize("seed", [1, 2])
@@ -57,3 +65,36 @@ def test_day_windows_of_any_length_meet_their_target(spark):
     out = N.day_window_matches(spark.createDataFrame(bought, kinds), spark.createDataFrame(targets, f"id int, {kinds}"), "k", "d", "x", "id")
     got = [tuple(x) for x in out.select("id", "first_day", "last_day", "n_days", "ambiguous").collect()]
     assert sorted(got, key=str) == sorted(want, key=str)
+
+
+def test_subset_sums_of_up_to_six_lines(spark, sf):
+    lines = duckdb.sql(f"SELECT l_orderkey, CAST(l_linenumber AS BIGINT) * 1000000000 + l_suppkey * 1000000 + l_partkey AS item, min(CAST(l_quantity AS DECIMAL(18,2))) AS q FROM '{sf}/lineitem.parquet' GROUP BY ALL ORDER BY 1, 2").fetchall()
+    docs = defaultdict(list)
+    for k, item, q in lines:
+        docs[k].append((item, q))
+    got = {x.doc: x for x in registry.QUERIES["subset_sum_matches_all"](spark, sf).collect()}
+    large = 0
+    for k, items in docs.items():
+        goal = max(q for _, q in items)
+        want = {"+".join(str(i) for i, _ in c) for n in range(2, 7) for c in combinations(items, n) if sum(q for _, q in c) == goal} if len(items) <= 20 else None
+        large += any(x.count("+") > 2 for x in want or ())
+        if want is not None and len(want) < 8:
+            assert (set(got[k].sets.split()) == want and not got[k].capped) if want else k not in got
+        else:
+            assert got[k].capped
+    assert large
+
+
+def test_subset_search_ended_by_a_bound_is_returned_as_capped(spark):
+    many = [(1, D("2.00"), i, D("1.00")) for i in range(9)] + [(2, D("30.00"), i, D("1.00")) for i in range(25)] + [(3, D("3.00"), i, D(i + 1)) for i in range(2)]
+    df = spark.createDataFrame(many, "k int, goal decimal(18,2), item int, amount decimal(18,2)")
+    got = {x.k: (x.n_sets, x.capped) for x in M.subset_rows(M.subset_sums(df, "k", "goal", "item", "amount"), "k").collect()}
+    assert got == {1: (8, True), 2: (0, True), 3: (1, False)}
+
+
+def test_fold_sees_whole_groups_after_a_join(spark, sf):
+    lines = doc_line(spark, sf.replace("sf0.001", "sf0.1")).groupBy("doc", (F.col("line") * 1000 + F.col("supplier")).alias("item")).agg(F.min("qty").alias("qty"))
+    rows = lines.join(lines.groupBy("doc").agg(F.max("qty").alias("goal")), "doc")
+    n = rows.select("doc").distinct().count()
+    folded = fold_groups(rows, ["doc"], ["item"], lambda g: [(g["item"].is_monotonic_increasing,)], "ordered boolean")
+    assert folded.groupBy().agg(F.count("*"), F.count_distinct("doc"), F.every("ordered")).first()[:] == (n, n, True)
