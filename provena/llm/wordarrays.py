@@ -1,44 +1,28 @@
 """Vectorised word arrays: words of a whole Arrow text column as NumPy offsets and 64-bit hashes.
 
 A word is a maximal run of characters other than ``[\\x20\\x09-\\x0D]``. In UTF-8 these separators are single
-bytes, so the work is done on bytes. Hashes are polynomial prefix sums modulo 2**64 (one pass, any window
-length in O(1)) finished by a bit mixer.
+bytes, so the work is done on bytes. A word's hash chains a bit mixer over its eight-byte lanes and its length; a
+window's hash chains the same mixer over the hashes of its halves, quarters and so on. No step is linear in what it
+hashes, so that texts with a regular structure (repeats, Thue-Morse words) don't meet by construction. A second seed
+gives an independent hash of the same words.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 
 _U = np.uint64
-_BASE, _WORD_BASE = 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93
+_SEED, _LANE, _NEXT = 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
 #: Bytes of text hashed at once, which bounds the temporary arrays (a longer document is hashed alone).
 SLICE_BYTES = 2 << 20
-
-
-class _Powers:
-    """Powers of an odd base modulo 2**64 and of its inverse, grown on demand."""
-
-    def __init__(self, base: int):
-        self.base, self.inverse = base, pow(base, -1, 1 << 64)
-        self.up = self.down = np.ones(1, _U)
-
-    def upto(self, n: int):
-        if n > len(self.up):
-            size = max(n, 2 * len(self.up))
-
-            def grown(b):
-                out = np.full(size, b, _U)
-                out[0] = 1
-                return np.multiply.accumulate(out)
-
-            self.up, self.down = grown(self.base), grown(self.inverse)
-        return self.up[:n], self.down[:n]
-
-
-_BYTES, _WORDS = _Powers(_BASE), _Powers(_WORD_BASE)
+#: Longer words are hashed one by one.
+LANE_BYTES = 64
+#: The low 0 to 8 bytes of a lane.
+_LOW = np.array([(1 << (8 * n)) - 1 for n in range(9)], _U)
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -83,11 +67,36 @@ def count_words(data: np.ndarray, offsets: np.ndarray) -> int:
     return int(word[0]) + int(np.count_nonzero(word[1:] & ~word[:-1])) + int(np.count_nonzero(word[inner] & word[inner - 1]))
 
 
+def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed: int = 0) -> np.ndarray:
+    """64-bit hashes of the words ``data[starts:ends]``."""
+    size = ends - starts
+    h = mix(size.astype(_U) * _U(_LANE) + _U((_SEED * (2 * seed + 1)) % (1 << 64)))
+    if not len(starts):
+        return h
+    lanes = np.ndarray((len(data),), "<u8", np.concatenate([data, np.zeros(8, np.uint8)]), strides=(1,))
+    left, at = np.arange(len(starts)), 0
+    left = left[size <= LANE_BYTES]
+    while len(left):
+        rest = size[left] - 8 * at
+        lane = lanes[starts[left] + 8 * at] & _LOW[np.minimum(rest, 8)]
+        h[left] = mix((h[left] ^ lane) * _U(_LANE) + _U(_NEXT))
+        left, at = left[rest > 8], at + 1
+    for i in np.flatnonzero(size > LANE_BYTES):
+        h[i] = xxhash.xxh3_64_intdigest(data[starts[i] : ends[i]].tobytes(), seed)
+    return h
+
+
+def _joined(left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """The hash of a sequence, from those of its two parts."""
+    return mix((mix(left + _U(_NEXT)) ^ right) * _U(_LANE) + _U(_SEED))
+
+
 class Words:
     """The words of some texts: byte ``starts`` and ``ends``, ``first`` word of each text (one more at the end), ``hash``."""
 
-    def __init__(self, texts: pa.Array):
+    def __init__(self, texts: pa.Array, seed: int = 0):
         self.data, self.offsets = text_bytes(texts)
+        self.seed = seed
         n, parts, at = len(self.offsets) - 1, [], 0
         while at < n:
             to = int(np.searchsorted(self.offsets, self.offsets[at] + SLICE_BYTES, "right")) - 1
@@ -110,11 +119,14 @@ class Words:
         before[edges[:-1][edges[:-1] < len(data)]] = True
         after[edges[1:][edges[1:] > 0] - 1] = True
         starts, ends = np.flatnonzero(~space & before), np.flatnonzero(~space & after) + 1
-        up, down = _BYTES.upto(len(data) + 1)
-        sums = np.zeros(len(data) + 1, _U)
-        np.cumsum((data.astype(_U) + _U(1)) * up[:-1], out=sums[1:])
-        hashes = mix((sums[ends] - sums[starts]) * down[starts])
-        return starts + low, ends + low, hashes
+        return starts + low, ends + low, word_hashes(data, starts, ends, self.seed)
+
+    def reseeded(self, seed: int) -> Words:
+        """The same words under another hash."""
+        out = object.__new__(Words)
+        out.__dict__.update({k: v for k, v in self.__dict__.items() if k in ("data", "offsets", "starts", "ends", "first")}, seed=seed)
+        out.hash = word_hashes(self.data, self.starts, self.ends, seed)
+        return out
 
     def counts(self) -> np.ndarray:
         return np.diff(self.first)
@@ -125,11 +137,14 @@ class Words:
         starts = np.flatnonzero(np.arange(len(self.hash)) + size <= ends)
         return starts, self.window_hash(starts, size)
 
-    def window_hash(self, starts: np.ndarray, size) -> np.ndarray:
-        """Hashes of windows at ``starts``; ``size`` may be an array."""
-        if not hasattr(self, "_sums"):
-            up, _ = _WORDS.upto(len(self.hash) + 1)
-            self._sums = np.zeros(len(self.hash) + 1, _U)
-            np.cumsum(self.hash * up[:-1], out=self._sums[1:])
-        _, down = _WORDS.upto(len(self.hash) + 1)
-        return mix((self._sums[starts + size] - self._sums[starts]) * down[starts] + np.asarray(size).astype(_U))
+    def window_hash(self, starts: np.ndarray, size: int) -> np.ndarray:
+        """Hashes of the ``size``-word windows at ``starts``, joined from runs of 1, 2, 4, ... words."""
+        out, at, run, span = None, 0, self.hash, 1
+        while True:
+            if size & span:
+                part = run[starts + at]
+                out, at = part if out is None else _joined(out, part), at + span
+            if 2 * span > size:
+                break
+            run, span = _joined(run[: len(run) - span], run[span:]), 2 * span
+        return mix(out ^ _U((size * _LANE) % (1 << 64)))

@@ -5,7 +5,7 @@ from itertools import combinations
 import numpy as np
 import pytest
 
-from provena.llm.near_duplicates import forest_depth, keep_one_of_each_group, linked, near_duplicates
+from provena.llm.near_duplicates import choose_prefixes, climb, keep_one_of_each_group, linked, near_duplicates
 
 
 def shingles(t):
@@ -82,7 +82,55 @@ def test_threshold_is_met_exactly():
     assert linked([a], [b, c], 0.8).tolist() == [[True, False]]
 
 
-def test_the_prefix_is_shortened_to_the_target_recall():
-    k = forest_depth(0.8, 32, 8, 0.9999)
-    assert 1 - (1 - 0.8**k) ** 32 >= 0.9999 > 1 - (1 - 0.8 ** (k + 1)) ** 32
-    assert forest_depth(0.8, 32, 8, 0.5) == 8
+def missed(lengths, threshold=0.8):
+    return np.prod([1 - threshold**k for k in lengths])
+
+
+def test_prefixes_are_shortened_to_the_target_recall():
+    usual = climb({}, 0.8, 32, 8, 5, 0.9999)
+    assert missed(usual) <= 1e-4 < missed([k + 1 for k in usual]) and set(usual) == {6, 7}
+    assert missed(usual) > 0.5e-4  # no further than needed
+    assert climb({}, 0.8, 32, 8, 5, 0.5) == [8] * 32
+    # crowded trees keep long prefixes where the others suffice, and are entered where they don't
+    some = climb({t: 6 for t in range(12)}, 0.8, 32, 8, 5, 0.9999)
+    assert missed(some) <= 1e-4 and set(some[:12]) == {7} and min(some[12:]) == 5
+    every = climb({t: 8 for t in range(32)}, 0.8, 32, 8, 5, 0.9999)
+    assert missed(every) <= 1e-4
+    assert climb({}, 0.8, 4, 8, 5, 0.9999) == [5] * 4
+
+
+def test_classes_use_prefixes_of_their_own(spark):
+    rows = [(i, t, [1000 + t, 2000 + t, 3000 + t, 4000 + t + i]) for i in (1, 2) for t in range(32)] + [(3, t, [9, 9, 9, 9]) for t in range(32)]
+    nodes = [(5 + j, 1000 * (j + 1) + t, 100 if t < 12 and j < 2 else 2, 1) for t in range(32) for j in range(3)]
+    m = spark.createDataFrame(rows, "id long, tree int, keys array<long>")
+    n = spark.createDataFrame(nodes, "length int, key long, n long, low long")
+    got = choose_prefixes(m, n, threshold=0.8, trees=32, depth=8, floor=5, recall=0.9999, crowd=64).collect()
+    lengths = {i: [r.length for r in sorted(got, key=lambda r: r.tree) if r.id == i] for i in (1, 2, 3)}
+    assert lengths[1] == lengths[2] == climb({t: 6 for t in range(12)}, 0.8, 32, 8, 5, 0.9999)
+    assert lengths[3] == climb({}, 0.8, 32, 8, 5, 0.9999) != lengths[1]
+    assert all(r.key == dict(((i, t), k) for i, t, k in rows)[r.id, r.tree][r.length - 5] for r in got)
+
+
+def test_crowded_forest_against_all_pairs(spark):
+    r = random.Random(4)
+    page = [f"p{i}" for i in range(60)]
+    texts = [" ".join(page + [f"w{r.randrange(200)}" for _ in range(r.randrange(0, 40))]) for _ in range(150)]
+    texts += [mutated(r, page * 2, r.randrange(0, 12)) for _ in range(60)]
+    rows = list(enumerate(texts))
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    assert result(near_duplicates(df, block=16, crowd=8)) == brute(rows)
+
+
+def thue_morse(n):
+    s = "a"
+    for _ in range(n):
+        s += s.translate(str.maketrans("ab", "ba"))
+    return s
+
+
+def test_words_of_regular_structure_differ(spark):
+    a = thue_morse(10)
+    b = a.translate(str.maketrans("ab", "ba"))
+    rows = [(1, a), (2, b), (3, a + " x"), (4, " ".join(a)), (5, " ".join(b)), (6, a)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert result(near_duplicates(df)) == brute(rows)
