@@ -118,14 +118,14 @@ def tokenizer_path() -> str:
     """The vocabulary file of the token-count query, from the installed public tokenizers."""
     import os
 
-    return os.environ.get("PROVENA_UNIGRAM_MODEL", "/opt/tokenizers/piece_bpe_32k.model")
+    return os.environ.get("PROVENA_TOKENIZER_MODEL", "/opt/tokenizers/piece_bpe_32k.model")
 
 
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     from provena.llm.token_count import count_tokens_of
 
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
-    return count_tokens_of(docs, tokenizer_path()).select("doc_id", "n_tokens", "n_pieces")
+    return count_tokens_of(docs, tokenizer_path(), kind="merges").select("doc_id", "n_tokens", "n_pieces")
 
 
 def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

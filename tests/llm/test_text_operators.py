@@ -18,7 +18,7 @@ from provena.llm.lm_score import stupid_backoff
 from provena.llm.quality import quality_rules
 from provena.llm.queries import tokenizer_path
 from provena.llm.substring_dedup import COVERS, cover_for, drop_repeated_passages
-from provena.llm.token_count import UnigramCounter, count_tokens, load_vocabulary
+from provena.llm.token_count import MergeCounter, UnigramCounter, count_tokens, count_tokens_of, load_vocabulary
 from provena.llm.wordarrays import Words, text_slices
 from provena.llm.zip_quality import CompressionClassifier
 
@@ -255,8 +255,8 @@ def library(vocabulary, byte_fallback=True):
 
 
 @pytest.mark.skipif(not Path(tokenizer_path()).exists(), reason="no vocabulary file")
-def test_tokens_of_the_public_vocabulary(spark, odd, none, sf):
-    vocabulary = load_vocabulary(tokenizer_path())
+def test_tokens_under_the_scores_of_a_public_vocabulary(spark, odd, none, sf):
+    vocabulary = [("<unk>", 0.0), *(v for v in load_vocabulary(tokenizer_path()) if v[0])]
     t = library(vocabulary)
     docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").unionByName(odd.select("doc_id", "text"))
     for r in count_tokens(docs, vocabulary).collect():
@@ -265,6 +265,34 @@ def test_tokens_of_the_public_vocabulary(spark, odd, none, sf):
     assert count_tokens(odd.withColumn("N_Tokens", F.lit(1)), vocabulary).columns == [*odd.columns, "n_tokens", "n_pieces"]
 
 
+@pytest.mark.skipif(not Path(tokenizer_path()).exists(), reason="no vocabulary file")
+def test_tokens_of_the_public_tokenizer(spark, odd, none, sf):
+    import sentencepiece
+
+    from provena.llm.queries import op3_token_counts
+
+    model = sentencepiece.SentencePieceProcessor(model_file=tokenizer_path())
+    texts = {r.doc_id: r.text for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    got = op3_token_counts(spark, sf).collect()
+    assert len(got) == len(texts)
+    assert all(r.n_tokens == len(model.encode(texts[r.doc_id])) for r in got)
+    out = count_tokens_of(odd, tokenizer_path(), kind="merges")
+    assert out.columns == [*odd.columns, "n_tokens", "n_pieces"]
+    assert all(r.n_tokens == len(model.encode(r.text or "")) for r in out.collect())
+    assert count_tokens_of(none, tokenizer_path(), kind="merges").collect() == []
+    counter = MergeCounter(load_vocabulary(tokenizer_path()))
+    for t in ("<s> </s><unk> <0x41>", " ", "  a ", "x" * 3000, "ab" * 900 + " " * 77, "a\x00b\u2581\u2581 c\n\n", "日本 😀 ﬁ ＡＢ", "\u2581" * 40 + "the"):
+        assert counter.count(t)[0] == len(model.encode(t))
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.text(alphabet="ab▁", min_size=1, max_size=4), max_size=14), st.text(alphabet="ab c", max_size=24))
+def test_merges_against_their_definition(tokens, text):
+    ranked = [(t, -float(i // 2)) for i, t in enumerate(dict.fromkeys(["a", "b", "▁", *tokens]))]
+    counter = MergeCounter(ranked)
+    assert counter.count(text)[0] == (len(counter.merged(("▁" + text).replace(" ", "▁"))) if text else 0)
+
+
 TIES = [("<unk>", 0.0), ("▁", -2.0), ("a", -2.0), ("b", -2.0), ("ab", -4.0), ("aba", -6.0), ("▁a", -4.0), ("▁ab", -6.0), ("bb", -3.0), ("ba", -4.0)]
 
 
