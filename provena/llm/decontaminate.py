@@ -1,18 +1,20 @@
 """Operator 4: benchmark decontamination with one Aho-Corasick automaton.
 
-Item texts and document texts are normalised alike: A-Z lower-cased, words ``[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+``
-joined by single spaces. Every window of ``window`` consecutive item words becomes a pattern with a space at both
-ends, so that matches start and end at words; a document is scanned once and match offsets map back to its words
-and to character offsets of the original text.
-
-The documents are never shuffled. The patterns are broadcast: the benchmark is cut into shards of at most
-``SHARD_BYTES`` of item text, so neither the driver nor a worker ever holds more than one shard's automaton;
-further shards scan the written result of the one before.
+Item texts and document texts are normalised alike: A-Z lower-cased, words ``[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+``.
+Every window of ``window`` consecutive item words becomes a pattern whose symbols are words, so that matches start and
+end at words; a document is scanned once and match offsets map back to its words and to character offsets of the
+original text.
+
+The documents are never shuffled. The benchmark's texts are broadcast and each worker builds the automaton once. One
+automaton holds at most ``NODES`` nodes (a node takes about 50 bytes; an item word makes up to ``window`` of them), so
+that neither the driver nor a worker ever holds more, however large the benchmark: beyond that it is cut into shards
+by item, and each further shard scans the written result of the one before.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from fractions import Fraction
 
 import ahocorasick
 import numpy as np
@@ -23,8 +25,9 @@ from pyspark.sql import types as T
 
 from provena.llm.common import without, write_table
 
-#: Item text whose patterns are broadcast at once.
-SHARD_BYTES = 4 << 20
+#: Nodes of one automaton, at most (some 200 MB in a worker); an item of more is an automaton of its own.
+NODES = 4_000_000
+WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 #: ASCII bytes outside 0-9, A-Z, a-z become spaces; A-Z become a-z; bytes of other characters stay.
 NORMAL = bytes(b + 32 if 65 <= b <= 90 else b if b >= 128 or 48 <= b <= 57 or 97 <= b <= 122 else 32 for b in range(256))
 OUTPUTS = ("n_words", "n_hit", "n_items", "items", "contaminated", "hit_spans")
@@ -36,52 +39,44 @@ def _words(text: str | None) -> list[bytes]:
     return (text or "").encode().translate(NORMAL).split()
 
 
-def _patterns(items: list[tuple[str | None, str | None]], window: int) -> dict[bytes, tuple[str, ...]]:
-    found: dict[bytes, set[str]] = {}
+def _patterns(items: list[tuple[str | None, str | None]], window: int) -> dict[tuple[bytes, ...], tuple[str, ...]]:
+    found: dict[tuple[bytes, ...], set[str]] = {}
     for item, text in items:
         words = _words(text)
         for i in range(max(1, len(words) - window + 1) if words else 0):
-            found.setdefault(b" " + b" ".join(words[i : i + window]) + b" ", set()).update(() if item is None else (item,))
+            found.setdefault(tuple(words[i : i + window]), set()).update(() if item is None else (item,))
     return {p: tuple(sorted(ids)) for p, ids in found.items()}
 
 
-def _automaton(shared):
-    """The automaton of a broadcast shard, built once in each worker; the one before it is let go."""
-    if shared.id not in _built:
+def _automaton(shard: _Shard, window: int):
+    """(numbers of the item words, automaton over them), built once in each worker; the one before it is let go."""
+    if shard.id not in _built:
         _built.clear()
-        made = ahocorasick.Automaton()
-        for pattern, items in shared.value.items():
-            made.add_word(pattern.decode("latin-1"), (len(pattern), items))
+        made = ahocorasick.Automaton(ahocorasick.STORE_ANY, ahocorasick.KEY_SEQUENCE)
+        numbers: dict[bytes, int] = {}
+        for pattern, items in _patterns(shard.broadcast.value, window).items():
+            made.add_word(tuple(numbers.setdefault(w, len(numbers) + 1) for w in pattern), (len(pattern), items))
         made.make_automaton()
-        _built[shared.id] = made
-    return _built[shared.id]
+        _built[shard.id] = numbers, made
+    return _built[shard.id]
 
 
 class _Shard:
-    """A broadcast with a name of its own, by which workers keep its automaton."""
+    """Broadcast items with a name of their own, by which workers keep their automaton."""
 
-    def __init__(self, spark, patterns):
-        self.broadcast = spark.sparkContext.broadcast(patterns)
-        self.id = f"{spark.sparkContext.applicationId}/{id(self)}/{len(patterns)}/{hash(frozenset(patterns))}"
+    def __init__(self, spark, items, window):
+        self.broadcast = spark.sparkContext.broadcast(items)
+        self.id = f"{spark.sparkContext.applicationId}/{id(self)}/{len(items)}/{window}/{hash(tuple(items))}"
 
-    @property
-    def value(self):
-        return self.broadcast.value
 
-
-def _hits(automaton, words: list[bytes]) -> tuple[np.ndarray, set[str]]:
-    """Merged (first, last + 1) word spans of all occurrences, and the items they belong to."""
-    if not words or not len(automaton):
-        return np.zeros((0, 2), np.int64), set()
-    text = b" " + b" ".join(words) + b" "
+def _hits(numbers: dict[bytes, int], automaton, words: list[bytes]) -> tuple[np.ndarray, set[str]]:
+    """(first, last + 1) word spans of all occurrences, and the items they belong to."""
     at, items = [], set()
-    for end, (size, own) in automaton.iter(text.decode("latin-1")):
-        at.append((end - size + 1, end))
-        items.update(own)
-    if not at:
-        return np.zeros((0, 2), np.int64), items
-    spaces = np.flatnonzero(np.frombuffer(text, np.uint8) == 32)
-    return np.searchsorted(spaces, np.array(at)), items
+    if words and len(automaton):
+        for end, (size, own) in automaton.iter(tuple([numbers.get(w, 0) for w in words])):
+            at.append((end - size + 1, end + 1))
+            items.update(own)
+    return np.array(at, np.int64).reshape(-1, 2), items
 
 
 def _merged(spans: np.ndarray, n: int) -> tuple[np.ndarray, int]:
@@ -99,13 +94,13 @@ def _character_spans(text: str, spans: np.ndarray) -> list[dict]:
 
 
 def contamination(
-    docs: DataFrame, benchmark: DataFrame, *, text_col: str = "text", item_id_col: str = "item_id", item_text_col: str = "text", window: int = 13, min_share: float = 0.05, shard_bytes: int = SHARD_BYTES
+    docs: DataFrame, benchmark: DataFrame, *, text_col: str = "text", item_id_col: str = "item_id", item_text_col: str = "text", window: int = 13, min_share: float = 0.05, nodes: int = NODES
 ) -> DataFrame:
     """Mark the words of each document that an occurrence of a benchmark window covers.
 
     A window is ``window`` consecutive words of an item; an item of fewer words, but not none, is one window.
     Returns the input's columns and ``n_words``, ``n_hit`` (words covered), ``items`` (sorted item ids as strings),
-    ``n_items``, ``contaminated`` (n_hit > 0 and n_hit >= min_share * n_words) and ``hit_spans`` (array of
+    ``n_items``, ``contaminated`` (n_hit > 0 and n_hit >= min_share * n_words, exactly) and ``hit_spans`` (array of
     (start, end) character offsets in the original text); input columns of these names are replaced.
 
     A null or empty text has no words and no hits; null or empty items match nothing; an item with a null id marks
@@ -115,8 +110,8 @@ def contamination(
     docs = without(docs, *OUTPUTS, "__items", "__spans")
     spark = docs.sparkSession
     items = benchmark.select(F.col(item_id_col).cast("string").alias("i"), F.col(item_text_col).alias("t"))
-    shards = int((items.agg(F.sum(F.octet_length("t"))).first()[0] or 0) // shard_bytes) + 1
-    columns, share = docs.columns, int(round(1 / min_share))
+    shards = int((items.agg(F.sum(F.regexp_count("t", F.lit(WORD)))).first()[0] or 0) * window // nodes) + 1
+    columns, share = docs.columns, Fraction(str(min_share))
     spans_type = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
     carry = T.StructType([*docs.schema.fields, T.StructField("__items", T.ArrayType(T.StringType())), T.StructField("__spans", T.ArrayType(T.IntegerType()))])
     final = T.StructType(
@@ -133,7 +128,7 @@ def contamination(
 
     def scan(shard: _Shard, first: bool, last: bool):
         def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            automaton = _automaton(shard)
+            numbers, automaton = _automaton(shard, window)
             for batch in batches:
                 n = batch.num_rows
                 texts = batch.column(text_col)
@@ -142,7 +137,7 @@ def contamination(
                 for text, (items_before, spans_before) in zip(texts, before, strict=True):
                     text = text.as_py() or ""
                     words = _words(text)
-                    spans, found = _hits(automaton, words)
+                    spans, found = _hits(numbers, automaton, words)
                     spans = np.concatenate([np.array(spans_before, np.int64).reshape(-1, 2), spans])
                     spans, hit = _merged(spans, len(words)) if len(spans) else (spans, 0)
                     out["items"].append(sorted({*items_before, *found}))
@@ -150,7 +145,7 @@ def contamination(
                     if last:
                         out["n"].append(len(words))
                         out["hit"].append(hit)
-                        out["flag"].append(hit > 0 and share * hit >= len(words))
+                        out["flag"].append(hit > 0 and hit >= share * len(words))
                         out["chars"].append(_character_spans(text, spans) if hit else [])
                 arrays = [batch.column(c) for c in columns]
                 if not last:
@@ -163,7 +158,7 @@ def contamination(
 
     for k in range(shards):
         own = items if shards == 1 else items.where(F.pmod(F.xxhash64("i", "t"), F.lit(shards)) == k)
-        shard = _Shard(spark, _patterns([(r.i, r.t) for r in own.toLocalIterator()], window))
+        shard = _Shard(spark, [(r.i, r.t) for r in own.toLocalIterator()], window)
         last = k == shards - 1
         docs = docs.mapInArrow(scan(shard, k == 0, last), final if last else carry)
         if not last:

@@ -179,8 +179,8 @@ def test_decontamination(spark, odd, odd_rows):
     base = odd_rows[0][1]
     items = [(1, base[40:260]), (2, " ".join(normal(base)[10:20]).upper() + "!"), (3, "one, TWO"), (10, "one two"), (4, None), (5, ""), (None, "three four"), (1, base[40:260]), (6, "日本語 の")]
     bench = spark.createDataFrame(items, "item_id long, text string")
-    for size in (1 << 20, 200):
-        got = contamination(odd, bench, shard_bytes=size)
+    for nodes in (1 << 20, 400):
+        got = contamination(odd, bench, nodes=nodes)
         assert by_row(got.withColumn("ids", F.array_join("items", ",")), "doc_id", "n_words", "n_hit", "n_items", "ids", "contaminated") == brute_hits(odd_rows, items)
     for r in got.where("n_hit > 0").collect():
         original = odd_rows[[x[0] for x in odd_rows].index(r.doc_id)][1] if r.doc_id != 9 else None
@@ -189,6 +189,13 @@ def test_decontamination(spark, odd, odd_rows):
     assert set(got.columns) == {*odd.columns, "n_hit", "n_items", "items", "contaminated", "hit_spans"}
 
 
+@pytest.mark.parametrize(("share", "flagged"), [(0.0, True), (0.7, True), (0.8, True), (0.81, False), (1.0, False)])
+def test_share_of_hit_words_is_exact(spark, share, flagged):
+    docs = spark.createDataFrame([(1, "a b c d e f g h x y")], "doc_id long, text string")
+    got = contamination(docs, spark.createDataFrame([(1, "a b c d e f g h")], "item_id long, text string"), min_share=share).first()
+    assert (got.n_hit, got.n_words, got.contaminated) == (8, 10, flagged)
+
+
 def test_no_benchmark_and_no_documents(spark, odd, none):
     bench = spark.createDataFrame([], "item_id long, text string")
     assert contamination(odd, bench).where("n_hit > 0 OR contaminated").count() == 0
