@@ -7,8 +7,9 @@ the exponents at which five bisection steps could arrive.
 
 The weights are then realised: a source gets a budget of tokens, as whole epochs over all its documents and a last
 part of one. An epoch is a permutation of the source's documents by a seeded hash, dealt into blocks of about
-``block_rows``; the part takes documents in that order while their running tokens fit. Running sums need no
-ordered pass over a source: blocks are summed first, and only rows of one block are ordered together.
+``block_rows``; the part takes documents in that order while their running tokens fit. Blocks are summed first, and
+only the one block in which a source's budget ends is ordered: where it ends is one row for each source, against which
+every document is held without being moved.
 """
 
 from __future__ import annotations
@@ -25,6 +26,8 @@ WORD = r"[^\x20\x09-\x0D]+"
 OUTPUTS = ("tokens", "epoch", "block", "shuffle_key")
 #: A budget this close to whole epochs, as a share of one epoch, is those epochs: rounding must not cost a document.
 WHOLE = 1e-6
+#: Columns that a draw makes for itself.
+_OWN = ("__of", "__id", "__hash", "__full", "__rest", "__blocks", "__last", "__end", "__u", "__b", "__epochs", "__source")
 _STEPS = 32
 _ROUNDS = 5
 
@@ -53,7 +56,13 @@ def _edge(sources: DataFrame, low: float, high: float, ratio: float, fits, risin
 
 
 def find_exponent(sources: DataFrame, target_entropy: float | None, max_epochs: float | None, ratio: float) -> float:
-    """The exponent in [0, 1] for the target entropy (nats) and the repetition limit, to about 3e-8."""
+    """The exponent in [0, 1] for the target entropy (nats) and the repetition limit, to about 3e-8.
+
+    Where both can't be met, the limit is. With exponent 1 every source repeats ``ratio`` times: a lower limit can't
+    be met at all and raises ValueError.
+    """
+    if max_epochs is not None and ratio > max_epochs + 1e-12:
+        raise ValueError(f"drawing {ratio} times all tokens repeats some source more than max_epochs = {max_epochs} times")
     a = 1.0
     if target_entropy is not None:
         a = _edge(sources, 0.0, 1.0, ratio, lambda r: r.entropy >= target_entropy - 1e-12, rising=False)
@@ -66,9 +75,11 @@ def mixing_weights(docs: DataFrame, *, source_col: str = "source", target_share:
     """One row for each source: of, tokens, rows, share, weight, budget (tokens), full (epochs), rest (tokens of the last).
 
     ``docs`` has a ``tokens`` column. ``target_share`` is the target entropy as a share of the most that the
-    sources allow; ``budget_share`` the tokens to draw as a share of all tokens.
+    sources allow, 1 at most; ``budget_share`` the tokens to draw as a share of all tokens.
     """
-    by = docs.groupBy(F.col(source_col).alias("of")).agg(F.sum("tokens").alias("tokens"), F.count("*").alias("rows"))
+    if target_share is not None and target_share > 1:
+        raise ValueError("target_share is a share of the largest entropy")
+    by = docs.groupBy(F.col(f"`{source_col}`").alias("of")).agg(F.sum("tokens").alias("tokens"), F.count("*").alias("rows"))
     sources = write_table(by, "sources")
     total, kinds = sources.agg(F.sum("tokens"), F.sum(F.when(F.col("tokens") > 0, 1))).first()
     total, kinds = total or 0, kinds or 0
@@ -89,36 +100,51 @@ def shuffle_key(seed: int, epoch: Column, *of: Column) -> Column:
     return F.shiftrightunsigned(F.xxhash64(F.lit(seed), epoch.cast("long"), *of), 2)
 
 
+def _of_source(rows: DataFrame, sources: DataFrame) -> DataFrame:
+    """``rows`` with the columns of their source in a written table of sources (null is a source)."""
+    told = sources.withColumnRenamed("__of", "__source")
+    return join_sized(rows, told, F.col("__of").eqNullSafe(F.col("__source")), "inner").drop("__source")
+
+
 def mix_sources(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", target_share: float | None = 0.95, max_epochs: float | None = 4.0, budget_share: float = 1.0, block_rows: int = 4096, seed: int = 17) -> DataFrame:
     """Draw documents so that sources have their target weights: one row for each document and epoch it is drawn in.
 
     Returns the input's columns and ``tokens`` (words of the text), ``epoch`` (from 1), ``block`` (within the
     epoch's permutation of the source) and ``shuffle_key`` (the order within it); input columns of these names are
-    replaced. Sorting by (epoch, block, shuffle_key) gives the block permutations. A source never exceeds its
-    budget. A null or empty text has no tokens: it is drawn in every whole epoch and where it falls into the last
-    part; a source without tokens has weight 0 and is not drawn; documents with a null source form one source;
-    repeated rows are drawn together or not at all; an empty table gives an empty result.
+    replaced, as are those whose names begin with two underscores and one of of, id, hash, full, rest, blocks, last,
+    end, u, b, epochs
+    and source. Sorting by (epoch, block, shuffle_key) gives the block permutations. A source never exceeds its budget; a
+    ``max_epochs`` below ``budget_share`` can't be met and raises ValueError. A null or empty text has no tokens: it
+    is drawn in every whole epoch and where it falls into the last part; a source without tokens has weight 0 and is
+    not drawn; documents with a null source form one source; repeated rows are drawn together or not at all; an empty
+    table gives an empty result.
     """
-    docs = without(docs, *OUTPUTS, "__full", "__rest", "__blocks", "__a")
-    text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
-    sized = docs.withColumn("tokens", F.regexp_count(text, F.lit(WORD)).cast("long"))
-    weights = write_table(mixing_weights(sized, source_col=source_col, target_share=target_share, max_epochs=max_epochs, budget_share=budget_share), "weights")
-    weights = weights.select("of", F.col("full").alias("__full"), F.col("rest").alias("__rest"), F.greatest(F.lit(1), F.ceil(F.col("rows") / block_rows)).cast("long").alias("__blocks"))
-    drawn = join_sized(sized, weights, sized[f"`{source_col}`"].eqNullSafe(weights["of"]), "inner").drop("of").withColumn("__a", F.xxhash64(text))
+    docs = without(docs, *OUTPUTS, *_OWN)
     names = [F.col(f"`{c}`") for c in docs.columns]
-
-    key = shuffle_key(seed, F.col("__full") + 1, F.col(id_col).cast("string"), F.col("__a"))
-    last = drawn.where("__rest > 0").select(F.col(f"`{source_col}`").alias("of"), F.col(id_col).cast("string").alias("id"), "__a", "__rest", "__blocks", "tokens", key.alias("u")).withColumn("block", F.col("u") % F.col("__blocks"))
-    blocks = last.groupBy("of", "block").agg(F.sum("tokens").alias("sum"))
-    before = W.partitionBy("of").orderBy("block").rowsBetween(W.unboundedPreceding, -1)
-    blocks = write_table(blocks.select(F.col("of").alias("b_of"), F.col("block").alias("b_block"), F.coalesce(F.sum("sum").over(before), F.lit(0)).alias("base")), "block-sums")
+    text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
+    own = {"__of": F.col(f"`{source_col}`"), "__id": F.coalesce(F.col(f"`{id_col}`").cast("string"), F.lit("")), "__hash": F.xxhash64(text), "tokens": F.regexp_count(text, F.lit(WORD)).cast("long")}
+    # words are counted once for all that follows but the last pass over the documents themselves
+    light = write_table(docs.select(*[c.alias(n) for n, c in own.items()]), "sized")
+    weights = write_table(mixing_weights(light, source_col="__of", target_share=target_share, max_epochs=max_epochs, budget_share=budget_share), "weights")
+    plan = weights.select(F.col("of").alias("__of"), F.col("full").alias("__full"), F.col("rest").alias("__rest"), F.greatest(F.lit(1), F.ceil(F.col("rows") / block_rows)).cast("long").alias("__blocks"))
+
+    place = lambda epoch: shuffle_key(seed, epoch, F.col("__id"), F.col("__hash"))
+    part = _of_source(light, plan.where("__rest > 0")).withColumn("u", place(F.col("__full") + 1)).withColumn("block", F.col("u") % F.col("__blocks"))
+    sums = part.groupBy("__of", "block").agg(F.sum("tokens").alias("sum"), F.first("__rest").alias("rest"))
+    running = F.sum("sum").over(W.partitionBy("__of").orderBy("block"))
+    ends = sums.withColumn("run", running).where("run > rest").groupBy("__of").agg(F.min(F.struct("block", (F.col("rest") - F.col("run") + F.col("sum")).alias("left"))).alias("e"))
+    ends = write_table(ends.select("__of", F.col("e.block").alias("__last"), F.col("e.left").alias("left")), "last-blocks")
     # a range frame: repeated rows are peers, with one running sum
-    inside = W.partitionBy("of", "block").orderBy("u", "id", "__a").rangeBetween(W.unboundedPreceding, W.currentRow)
-    ranked = last.withColumn("run", F.sum("tokens").over(inside))
-    placed = join_sized(ranked, blocks, ranked["of"].eqNullSafe(blocks["b_of"]) & (ranked["block"] == blocks["b_block"]), "inner")
-    taken = placed.where(F.col("base") + F.col("run") <= F.col("__rest")).select(F.col("of").alias("t_of"), F.col("id").alias("t_id"), F.col("__a").alias("t_a")).distinct().withColumn("t", F.lit(1))
-    told = drawn.join(taken, drawn[f"`{source_col}`"].eqNullSafe(taken["t_of"]) & drawn[id_col].cast("string").eqNullSafe(taken["t_id"]) & (drawn["__a"] == taken["t_a"]), "left")
-    epochs = F.col("__full") + F.coalesce(F.col("t"), F.lit(0))
-    out = told.withColumn("__full", epochs).where("__full > 0").select(*names, "tokens", "__blocks", "__a", F.explode(F.sequence(F.lit(1).cast("long"), "__full")).alias("epoch"))
-    u = shuffle_key(seed, F.col("epoch"), F.col(id_col).cast("string"), F.col("__a"))
+    inside = W.partitionBy("__of").orderBy("u", "__id", "__hash").rangeBetween(W.unboundedPreceding, W.currentRow)
+    fits = _of_source(part, ends).where("block = __last").withColumn("run", F.sum("tokens").over(inside)).where("run <= left")
+    fits = fits.groupBy("__of").agg(F.max(F.struct("u", "__id", "__hash")).alias("__end"))
+    cut = ends.alias("e").join(fits.alias("f"), F.col("e.__of").eqNullSafe(F.col("f.__of")), "left").select("e.__of", "e.__last", "f.__end")
+    plan = plan.alias("p").join(cut.alias("c"), F.col("p.__of").eqNullSafe(F.col("c.__of")), "left").select("p.*", "c.__last", "c.__end")
+    plan = write_table(plan, "mixing-plan")
+
+    drawn = _of_source(docs.withColumns(own), plan).withColumn("__u", place(F.col("__full") + 1)).withColumn("__b", F.col("__u") % F.col("__blocks"))
+    before = (F.col("__b") < F.col("__last")) | (F.col("__b") == F.col("__last")) & (F.struct(F.col("__u").alias("u"), "__id", "__hash") <= F.col("__end"))
+    epochs = F.col("__full") + F.when((F.col("__rest") > 0) & before, 1).otherwise(0)
+    out = drawn.withColumn("__epochs", epochs).where("__epochs > 0").select(*names, "tokens", "__id", "__hash", "__blocks", F.explode(F.sequence(F.lit(1).cast("long"), "__epochs")).alias("epoch"))
+    u = place(F.col("epoch"))
     return out.select(*names, "tokens", "epoch", (u % F.col("__blocks")).alias("block"), u.alias("shuffle_key"))
