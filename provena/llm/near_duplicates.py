@@ -243,11 +243,11 @@ def near_duplicates(
     span = F.floor(F.log("n_shingles") / (1.01 * math.log(1 / threshold))) if threshold < 1 else F.col("n_shingles")
     candidates = write_table(candidates.withColumn("span", span.cast("long")), "candidates")
     sizes = write_table(candidates.groupBy("grp", "span").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks")), "group-sizes")
-    dealt = candidates.join(sizes, ["grp", "span"]).withColumn("blk", F.struct("span", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int").alias("part")))
-    near = sizes.select("grp", F.col("span").alias("other_span"), F.col("blocks").alias("other_blocks"))
-    near = dealt.select("grp", "span").distinct().join(near, "grp").where(F.abs(F.col("span") - F.col("other_span")) <= 1)
-    near = near.groupBy("grp", "span").agg(F.flatten(F.collect_list(F.transform(F.sequence(F.lit(0), F.col("other_blocks") - 1), lambda k: F.struct(F.col("other_span").alias("span"), k.alias("part"))))).alias("others"))
-    dealt = write_table(dealt.join(near, ["grp", "span"]).select("id", "grp", "members", "blk", "others"), "dealt")
+    near = sizes.select("grp", "span", "blocks").join(sizes.select("grp", F.col("span").alias("other_span"), F.col("blocks").alias("other_blocks")), "grp").where(F.abs(F.col("span") - F.col("other_span")) <= 1)
+    parts = F.transform(F.sequence(F.lit(0), F.col("other_blocks") - 1), lambda k: F.struct(F.col("other_span").alias("span"), k.alias("part")))
+    near = write_table(near.groupBy("grp", "span", "blocks").agg(F.flatten(F.collect_list(parts)).alias("others")), "block-pairs")
+    dealt = join_sized(candidates, near, ["grp", "span"], "inner").withColumn("blk", F.struct("span", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int").alias("part")))
+    dealt = write_table(dealt.select("id", "grp", "members", "blk", "others"), "dealt")
     held = docs.join(dealt, "id")
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
