@@ -1,6 +1,6 @@
 """Operator 1: line dedup over levelled sorted runs of line hashes.
 
-Documents come in batches, smallest ids first. A batch claims its line keys (hash, smallest document); the claims
+Lines are hashed once, in one pass over the documents. They come in batches, smallest ids first. A batch claims its line keys (hash, smallest document); the claims
 are merge-joined with the runs kept so far, and those without a match are a new run. Runs are bucketed and sorted
 by hash in the shared folder, so that the join moves only the batch and never the runs. When a level holds
 ``fanout`` runs they are compacted into one run of the next level, so a batch meets few runs however many came
@@ -9,6 +9,9 @@ before it.
 A key that very many documents hold is one claim for each map task (the smallest document is combined before the
 shuffle). Telling the documents which lines go is a join against keys with more than one holder, whose hot keys
 adaptive execution splits.
+
+Runs may outlive a call: a caller that passes its own :class:`LineRuns` dedups later documents against all earlier
+ones, in another session too (:meth:`LineRuns.state`).
 """
 
 from __future__ import annotations
@@ -38,13 +41,29 @@ class LineRuns:
     def __init__(self, spark, fanout: int = 3):
         self.spark, self.fanout, self.buckets = spark, fanout, default_parallelism(spark)
         self.levels: list[list[str]] = []
+        self.paths: dict[str, str] = {}
         self.name = f"line_runs_{uuid.uuid4().hex[:12]}"
-        self.made = 0
+
+    def state(self) -> dict:
+        """What :meth:`restored` needs to go on with these runs: their folders by level, and how they are bucketed."""
+        return {"buckets": self.buckets, "fanout": self.fanout, "levels": [[self.paths[n] for n in level] for level in self.levels]}
+
+    @classmethod
+    def restored(cls, spark, state: dict) -> LineRuns:
+        runs = cls(spark, state["fanout"])
+        runs.buckets = state["buckets"]
+        for level in state["levels"]:
+            runs.levels.append([])
+            for path in level:
+                name = f"{runs.name}_{len(runs.paths)}"
+                spark.sql(f"CREATE TABLE {name} (h1 BIGINT, h2 BIGINT, owner BIGINT, fresh BOOLEAN, shared BOOLEAN) USING parquet CLUSTERED BY (h1, h2) SORTED BY (h1, h2) INTO {runs.buckets} BUCKETS LOCATION '{path}'")
+                runs.paths[name] = path
+                runs.levels[-1].append(name)
+        return runs
 
     def _write(self, rows: DataFrame) -> tuple[str, str]:
-        self.made += 1
-        name = f"{self.name}_{self.made}"
-        path = scratch_path(self.spark, name)
+        name = f"{self.name}_{len(self.paths)}"
+        path = self.paths[name] = scratch_path(self.spark, name)
         rows = rows.repartition(self.buckets, "h1", "h2")
         rows.write.format("parquet").bucketBy(self.buckets, "h1", "h2").sortBy("h1", "h2").option("path", path).saveAsTable(name)
         return name, path
@@ -81,38 +100,43 @@ class LineRuns:
 
     def forget(self) -> None:
         """Drop the names; the files stay in the shared folder while results still read them."""
-        for k in range(1, self.made + 1):
-            self.spark.sql(f"DROP TABLE IF EXISTS {self.name}_{k}")
+        for name in self.paths:
+            self.spark.sql(f"DROP TABLE IF EXISTS {name}")
 
 
-def dedup_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", min_chars: int = 10, batches: int = 4, fanout: int = 2) -> DataFrame:
+def dedup_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", min_chars: int = 10, batches: int = 4, fanout: int = 2, runs: LineRuns | None = None) -> DataFrame:
     """Drop each line whose key an earlier document (by id) also holds; other lines stay, joined by newlines.
 
     A line's key is the line without blanks at its ends, A-Z lower-cased; keys of fewer than ``min_chars`` code
     points are never dropped. Returns the input's columns and ``n_lines`` (before) and ``n_dropped``; input columns
-    of these names are replaced. A document keeps all its own repeats of a line that it owns. A null text is one
-    empty line and comes back empty; rows with the same id are one document, so none of them takes lines from the
-    other; a null id comes after all others; an empty table gives an empty result.
+    of these names are replaced. A document keeps all its own repeats of a line that it owns. Ids are integers (others
+    are cast to long, and fail if they can't be). A null text is one empty line and comes back empty; rows with the
+    same id are one document, so none of them takes lines from the other; a null id comes after all others; an empty
+    table gives an empty result. With ``runs`` given, documents of earlier calls own their lines whatever their ids,
+    and the lines of these documents join the runs, which the caller keeps (and forgets).
     """
     docs = without(docs, *OUTPUTS, "__rank", "__text", "__gone", "__a", "__b")
-    spark = docs.sparkSession
-    own = docs.withColumns({"__rank": F.coalesce(F.col(id_col).cast("long"), F.lit(_LAST)), "__text": F.coalesce(F.col(f"`{text_col}`"), F.lit(""))})
-    cuts = docs.agg(F.percentile_approx(F.col(id_col).cast("long"), [k / batches for k in range(1, batches)], 10000)).first()[0] if batches > 1 else None
+    rank = F.coalesce(F.col(f"`{id_col}`").cast("long"), F.lit(_LAST))
+    own = docs.withColumns({"__rank": rank, "__text": F.coalesce(F.col(f"`{text_col}`"), F.lit(""))}).withColumns({"__a": F.xxhash64("__text"), "__b": F.xxhash64(F.lit(1), "__text")})
+    hashed = lambda k: F.when(F.char_length(k) >= min_chars, F.struct(F.xxhash64(k).alias("h1"), F.xxhash64(F.lit(1), k).alias("h2")))
+    keys = F.transform(F.transform(F.split("__text", "\n"), line_key), hashed)
+    lines = own.select("__rank", "__a", "__b", F.posexplode(keys).alias("pos", "key")).where("key IS NOT NULL").select("__rank", "__a", "__b", "pos", "key.h1", "key.h2")
+    lines = write_table(lines, "line-hashes")
+    cuts = lines.agg(F.percentile_approx("__rank", [k / batches for k in range(1, batches)], 10000)).first()[0] if batches > 1 else None
     edges = sorted({-(1 << 63), *(cuts or [])})
-    runs, parts = LineRuns(spark, fanout), []
-    for k, low in enumerate(edges):
-        batch = own.where(F.col("__rank") >= low) if low > -(1 << 63) else own
-        batch = batch.where(F.col("__rank") < edges[k + 1]) if k + 1 < len(edges) else batch
-        hashed = lambda k: F.when(F.char_length(k) >= min_chars, F.struct(F.xxhash64(k).alias("h1"), F.xxhash64(F.lit(1), k).alias("h2")))
-        keys = F.transform(F.transform(F.split("__text", "\n"), line_key), hashed)
-        lines = batch.select("__rank", F.xxhash64("__text").alias("__a"), F.xxhash64(F.lit(1), "__text").alias("__b"), F.posexplode(keys).alias("pos", "key")).where("key IS NOT NULL").select("__rank", "__a", "__b", "pos", "key.h1", "key.h2")
-        decided = runs.add(lines.groupBy("h1", "h2").agg(F.min("__rank").alias("owner"), F.max("__rank").alias("last")))
-        shared = decided.where("shared").select("h1", "h2", "owner")
-        gone = lines.join(shared, ["h1", "h2"]).where(F.col("owner") != F.col("__rank"))
-        parts.append(gone.groupBy("__rank", "__a", "__b").agg(F.collect_set("pos").alias("__gone")))
-    gone = write_table(reduce(DataFrame.unionByName, parts), "dropped-lines")
-    runs.forget()
-    told = own.withColumns({"__a": F.xxhash64("__text"), "__b": F.xxhash64(F.lit(1), "__text")}).join(gone, ["__rank", "__a", "__b"], "left")
+    kept_runs, parts = runs or LineRuns(docs.sparkSession, fanout), []
+    try:
+        for k, low in enumerate(edges):
+            batch = lines.where(F.col("__rank") >= low) if k else lines
+            batch = batch.where(F.col("__rank") < edges[k + 1]) if k + 1 < len(edges) else batch
+            decided = kept_runs.add(batch.groupBy("h1", "h2").agg(F.min("__rank").alias("owner"), F.max("__rank").alias("last")))
+            gone = batch.join(decided.where("shared").select("h1", "h2", "owner"), ["h1", "h2"]).where(F.col("owner") != F.col("__rank"))
+            parts.append(gone.groupBy("__rank", "__a", "__b").agg(F.collect_set("pos").alias("__gone")))
+        gone = write_table(reduce(DataFrame.unionByName, parts), "dropped-lines")
+    finally:
+        if runs is None:
+            kept_runs.forget()
+    told = own.join(gone, ["__rank", "__a", "__b"], "left")
 
     def kept(lines: Column) -> Column:
         return F.array_join(F.transform(F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("__gone")), lambda i: lines[i]), "\n")

@@ -170,6 +170,18 @@ def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+OP6_SQL = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS h, sha1(coalesce(html, '')) AS x FROM pages),
+f AS (SELECT h, min(page_id) AS holder FROM p GROUP BY h)
+SELECT page_id, strlen(p.h)::BIGINT AS payload_bytes,
+       array_to_string(list_transform(range(32), lambda j: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+         (((('0x' || substr(x, 10 * (j // 8) + 1, 10))::BIGINT >> (35 - 5 * (j % 8))) & 31) + 1)::BIGINT, 1)), '') AS payload_digest,
+       CASE WHEN page_id = holder THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN page_id <> holder THEN holder END AS refers_to
+FROM p JOIN f ON p.h = f.h
+"""
+
+
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     from provena.llm.quality import quality_rules
 
@@ -236,6 +248,7 @@ ORACLES = {
     "op1_line_dedup": OP1_SQL,
     "op2_ngram_jaccard_join": OP2_SQL,
     "op4_decontamination": OP4_SQL,
+    "op6_warc": OP6_SQL,
     "op7_quality_rules": OP7_SQL,
     "op8_substring_dedup": OP8_SQL,
     "op9_lm_scoring": OP9_SQL,

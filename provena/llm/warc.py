@@ -31,6 +31,8 @@ from provena.llm.common import scratch_path, write_table
 DICTIONARY_MAGIC = 0x184D2A5D
 #: An archive is closed once it has this many bytes, so that a reader holds one archive of about this size at most.
 ARCHIVE_BYTES = 8 << 20
+#: Bytes of decoded records that a reader holds before it passes them on.
+READ_BYTES = 4 << 20
 #: Payloads that the dictionary is trained on, at most, and bytes of each.
 SAMPLE_ROWS, SAMPLE_BYTES, DICTIONARY_BYTES = 400, 8192, 64 << 10
 _LAST = (1 << 63) - 1
@@ -251,19 +253,26 @@ def read_archives(spark: SparkSession, folder: str) -> DataFrame:
     columns = [n.split()[0] for n in names]
     kinds = {"long": pa.int64(), "string": pa.string(), "binary": pa.binary()}
 
+    def batch_of(rows: list[dict]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([r[c] for r in rows], kinds[n.split()[1]]) for n, c in zip(names, columns, strict=True)], columns)
+
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for path, content in zip(batch.column("path"), batch.column("content"), strict=True):
-                rows, frames = [], read_archive(content.as_py())
+                rows, size, frames = [], 0, read_archive(content.as_py())
                 while True:
                     try:
                         data = next(frames, None)
                         if data is None:
                             break
                         rows.append(parse(data) | {"archive": path.as_py(), "error": None})
+                        size += len(data)
                     except WarcError as e:
                         rows.append(dict.fromkeys(columns) | {"archive": path.as_py(), "error": str(e)})
-                yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in rows], kinds[n.split()[1]]) for n, c in zip(names, columns, strict=True)], columns)
+                    if size >= READ_BYTES:
+                        yield batch_of(rows)
+                        rows, size = [], 0
+                yield batch_of(rows)
 
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.warc.zst").load(folder).select("path", "content")
     return files.mapInArrow(read, RECORDS)

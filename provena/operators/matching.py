@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -12,7 +13,7 @@ from pyspark.sql import functions as F
 from provena.functions.text import name_similarity
 from provena.operators.folds import fold_groups
 from provena.operators.graph import connected_components
-from provena.storage import write_table
+from provena.storage import Scratch, write_table
 
 CENT = "0.01"
 
@@ -77,28 +78,22 @@ def score_pairs(pairs: DataFrame, *, paid: str, due: str, paid_on: str, issued_o
 def greedy_one_to_one(candidates: DataFrame, left: str, right: str, order: Sequence[tuple[str, bool]]) -> DataFrame:
     """Take pairs in one global order, each side at most once.
 
-    Candidate pairs that share no row, directly or through others, cannot influence each other: the pair graph is
-    cut into connected components and each is solved by itself, so the order is global in effect only. ``order``
-    are (column, ascending); ties fall to the ids. The result does not depend on the order of the input.
+    ``order`` are numeric (column, ascending); ties fall to the ids, so the order is total. A pair that comes first
+    for both of its sides is taken by any run through that order, whatever else it takes: each round takes all such
+    pairs, drops their rivals and goes on, with one minimum for each side and no group in one task. A round's
+    tables are written and the one before deleted.
     """
-    both = candidates.select(F.concat(F.lit("l"), F.col(left).cast("string")).alias("u"), F.concat(F.lit("r"), F.col(right).cast("string")).alias("v"))
-    roots = connected_components(both)
-    keyed = candidates.withColumn("__u", F.concat(F.lit("l"), F.col(left).cast("string"))).join(roots, F.col("__u") == F.col("node")).drop("__u", "node")
-
-    def take(group: pd.DataFrame) -> list[tuple]:
-        used_left, used_right, out = set(), set(), []
-        for row in group.itertuples(index=False, name=None):
-            a, b = row[at_left], row[at_right]
-            if a not in used_left and b not in used_right:
-                used_left.add(a)
-                used_right.add(b)
-                out.append(row[1:])
-        return out
-
-    keyed = keyed.select("root", *candidates.columns)
-    at_left, at_right = keyed.columns.index(left), keyed.columns.index(right)
-    by = [F.col(c).asc() if up else F.col(c).desc() for c, up in order]
-    return fold_groups(keyed, ["root"], [*by, left, right], take, candidates.schema, keep_key=False)
+    place = F.struct(*[(F.col(c) if up else -F.col(c)).alias(f"o{i}") for i, (c, up) in enumerate(order)], left, right)
+    taken: list[DataFrame] = []
+    with Scratch(candidates.sparkSession) as scratch:
+        rest = scratch.write(candidates.withColumn("__at", place), "pairs")
+        while not rest.isEmpty():
+            best = lambda side: rest.groupBy(side).agg(F.min("__at").alias("__at")).select("__at")  # noqa: B023, E731
+            first = write_table(rest.join(best(left), "__at", "left_semi").join(best(right), "__at", "left_semi"), "taken")
+            taken.append(first)
+            rest = scratch.write(rest.join(first.select(left), left, "left_anti").join(first.select(right), right, "left_anti"), "pairs")
+            scratch.drop(keep=1)
+    return reduce(DataFrame.unionByName, taken).drop("__at") if taken else candidates.limit(0)
 
 
 def subset_sums(groups: DataFrame, key: str, target: str, item: str, amount: str, *, most: int = 6, pool: int = 20, solutions: int = 8, nodes: int = 50_000) -> DataFrame:
@@ -339,11 +334,14 @@ def cosine_top_k(rows: DataFrame, queries: DataFrame, id_col: str, vector: str,
     """Exact cosine neighbours of a bounded set of query vectors among all rows.
 
     Each side's vectors are normalised once; the queries must be few (they are broadcast), the rows may be any
-    number: every task keeps its own best k of each query before the shuffle.
+    number: every task keeps its own best k of each query before the shuffle. A zero or null vector has no direction:
+    it finds nothing and is not found.
     """
-    unit = lambda v: F.transform(v, lambda x: x.cast("double") / F.sqrt(F.aggregate(v, F.lit(0.0), lambda a, y: a + y.cast("double") * y.cast("double"))))
-    a = queries.select(F.col(id_col).alias("query_id"), unit(F.col(vector)).alias("q"))
-    b = rows.select(F.col(id_col).alias("found_id"), unit(F.col(vector)).alias("f"))
+    size = lambda v: F.sqrt(F.aggregate(v, F.lit(0.0), lambda a, y: a + y.cast("double") * y.cast("double")))
+    unit = lambda v: F.transform(F.array(size(v)), lambda n: F.transform(v, lambda x: x.cast("double") / n))[0]
+    some = size(F.col(vector)) > 0
+    a = queries.where(some).select(F.col(id_col).alias("query_id"), unit(F.col(vector)).alias("q"))
+    b = rows.where(some).select(F.col(id_col).alias("found_id"), unit(F.col(vector)).alias("f"))
     pairs = b.join(F.broadcast(a), F.col("query_id") != F.col("found_id"))
     cosine = F.aggregate(F.zip_with("q", "f", lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
     scored = pairs.select("query_id", "found_id", F.round(cosine, 6).alias("cosine"))
