@@ -104,6 +104,14 @@ class LineRuns:
             self.spark.sql(f"DROP TABLE IF EXISTS {name}")
 
 
+def line_hashes(own: DataFrame, min_chars: int) -> DataFrame:
+    """(__rank, __a, __b, pos, h1, h2): the key hashes of all lines long enough, as a written table."""
+    hashed = lambda k: F.when(F.char_length(k) >= min_chars, F.struct(F.xxhash64(k).alias("h1"), F.xxhash64(F.lit(1), k).alias("h2")))
+    keys = F.transform(F.transform(F.split("__text", "\n"), line_key), hashed)
+    lines = own.select("__rank", "__a", "__b", F.posexplode(keys).alias("pos", "key")).where("key IS NOT NULL")
+    return write_table(lines.select("__rank", "__a", "__b", "pos", "key.h1", "key.h2"), "line-hashes")
+
+
 def dedup_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", min_chars: int = 10, batches: int = 4, fanout: int = 2, runs: LineRuns | None = None) -> DataFrame:
     """Drop each line whose key an earlier document (by id) also holds; other lines stay, joined by newlines.
 
@@ -118,10 +126,7 @@ def dedup_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     docs = without(docs, *OUTPUTS, "__rank", "__text", "__gone", "__a", "__b")
     rank = F.coalesce(F.col(f"`{id_col}`").cast("long"), F.lit(_LAST))
     own = docs.withColumns({"__rank": rank, "__text": F.coalesce(F.col(f"`{text_col}`"), F.lit(""))}).withColumns({"__a": F.xxhash64("__text"), "__b": F.xxhash64(F.lit(1), "__text")})
-    hashed = lambda k: F.when(F.char_length(k) >= min_chars, F.struct(F.xxhash64(k).alias("h1"), F.xxhash64(F.lit(1), k).alias("h2")))
-    keys = F.transform(F.transform(F.split("__text", "\n"), line_key), hashed)
-    lines = own.select("__rank", "__a", "__b", F.posexplode(keys).alias("pos", "key")).where("key IS NOT NULL").select("__rank", "__a", "__b", "pos", "key.h1", "key.h2")
-    lines = write_table(lines, "line-hashes")
+    lines = line_hashes(own, min_chars)
     cuts = lines.agg(F.percentile_approx("__rank", [k / batches for k in range(1, batches)], 10000)).first()[0] if batches > 1 else None
     edges = sorted({-(1 << 63), *(cuts or [])})
     kept_runs, parts = runs or LineRuns(docs.sparkSession, fanout), []

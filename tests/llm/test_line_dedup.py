@@ -2,7 +2,7 @@ import string
 
 from pyspark.sql import functions as F
 
-from provena.llm.line_dedup import LineRuns, dedup_lines
+from provena.llm.line_dedup import LineRuns, dedup_lines, line_hashes
 
 LOWER = str.maketrans(string.ascii_uppercase, string.ascii_lowercase)
 
@@ -61,3 +61,25 @@ def test_a_run_is_not_shuffled(spark):
         runs.forget()
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_runs_go_on_in_later_calls(spark):
+    rows = [(i, "\n".join(f"line number {(i * k) % 17} of the text" for k in range(1, 6))) for i in range(30)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    whole = {r.doc_id: r.text for r in dedup_lines(df, batches=1).collect()}
+    runs, got = LineRuns(spark, fanout=2), {}
+    for low in (0, 7, 15, 22):
+        high = {0: 7, 7: 15, 15: 22, 22: 30}[low]
+        got |= {r.doc_id: r.text for r in dedup_lines(df.where(f"doc_id >= {low} AND doc_id < {high}"), batches=2, runs=runs).collect()}
+        later = LineRuns.restored(spark, runs.state())
+        runs.forget()
+        runs = later
+    assert got == whole
+    runs.forget()
+
+
+def test_batches_are_filtered_in_the_scan(spark):
+    df = spark.createDataFrame([(i, f"line number {i} of all") for i in range(40)], "doc_id long, text string")
+    lines = line_hashes(df.withColumns({"__rank": F.col("doc_id"), "__text": F.col("text"), "__a": F.lit(1), "__b": F.lit(2)}), 10)
+    plan = lines.where(F.col("__rank") >= 5)._jdf.queryExecution().executedPlan().toString()
+    assert "GreaterThanOrEqual(__rank,5)" in plan
