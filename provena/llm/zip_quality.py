@@ -1,13 +1,12 @@
 """Operator 10: quality scores from compression with class dictionaries.
 
 Two zstandard dictionaries of equal size are trained from good and from bad labelled texts (bounded samples). A
-text that looks like one class compresses better under its dictionary: the main feature is the difference of the
-two compressed sizes, divided by the plain compressed size. Texts are compressed in small pieces, so that the
-dictionaries and not the text's own past decide. What no dictionary shows, a text that repeats itself, is in the
-plain ratio of compression: its logarithm is the second input of the calibration. A logistic curve fitted to
-labelled training rows turns both into a probability, the calibrated score.
+text that looks like one class compresses better under its dictionary: the feature is the difference of the two
+compressed sizes, divided by the plain compressed size. Texts are compressed in small pieces, so that the
+dictionaries and not the text's own past decide. A logistic curve fitted to labelled training rows turns the
+difference into a probability, the calibrated score.
 
-Scoring is one pass without a shuffle; what is broadcast are the two dictionaries and a few numbers.
+Scoring is one pass without a shuffle; what is broadcast are the two dictionaries and two numbers.
 """
 
 from __future__ import annotations
@@ -18,25 +17,26 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from provena.llm.common import without, write_table
 
-#: Labelled rows of each class that the dictionaries are trained on, at most, and characters of each.
-SAMPLE_ROWS, SAMPLE_CHARS = 1000, 4000
+#: Labelled rows of each class that the dictionaries are trained on, at most, and characters of each: of a longer text
+#: that many, in pieces spread evenly from its start to its end.
+SAMPLE_ROWS, SAMPLE_CHARS, SAMPLE_PIECES = 1000, 4000, 4
 #: Labelled rows that the curve is fitted to, at most.
 FIT_ROWS = 5_000
 DICTIONARY_BYTES = 64 << 10
 LEVEL = 3
-#: Bytes of text compressed at a time with the dictionaries, and without one; sizes add up over a longer text.
-PIECE, PLAIN_PIECE = 4 << 10, 1 << 20
-OUTPUTS = ("score", "predicted", "feature", "ratio")
+#: Bytes of text compressed at a time; sizes add up over a longer text.
+PIECE = 4 << 10
+OUTPUTS = ("score", "predicted", "feature")
 
 
 class SizeDifference:
-    """(normalised size difference, logarithm of the plain ratio) of a text under two class dictionaries."""
+    """The normalised size difference of a text under two class dictionaries."""
 
     def __init__(self, good: bytes, bad: bytes):
         def compressor(dictionary: bytes):
@@ -47,13 +47,19 @@ class SizeDifference:
 
         self.good, self.bad, self.plain = compressor(good), compressor(bad), compressor(b"")
 
-    def __call__(self, text: str | None) -> tuple[float, float]:
+    def __call__(self, text: str | None) -> float:
         data = (text or "").encode()
         if not data:
-            return 0.0, 0.0
-        sizes = [sum(len(c.compress(data[i : i + PIECE])) for i in range(0, len(data), PIECE)) for c in (self.good, self.bad, self.plain)]
-        whole = sizes[2] if len(data) <= PIECE else sum(len(self.plain.compress(data[i : i + PLAIN_PIECE])) for i in range(0, len(data), PLAIN_PIECE))
-        return (sizes[1] - sizes[0]) / sizes[2], math.log(whole / len(data))
+            return 0.0
+        good, bad, plain = (sum(len(c.compress(data[i : i + PIECE])) for i in range(0, len(data), PIECE)) for c in (self.good, self.bad, self.plain))
+        return (bad - good) / plain
+
+
+def spread_pieces(text: Column) -> Column:
+    """At most ``SAMPLE_CHARS`` characters of a text: the whole, or pieces spread from its start to its end."""
+    size = SAMPLE_CHARS // SAMPLE_PIECES
+    at = lambda k: F.floor((F.char_length(text) - size) * k / (SAMPLE_PIECES - 1)).cast("int") + 1
+    return F.when(F.char_length(text) <= SAMPLE_CHARS, text).otherwise(F.concat(*[F.substring(text, at(F.lit(k)), F.lit(size)) for k in range(SAMPLE_PIECES)]))
 
 
 def _dictionary(texts: list[str]) -> bytes:
@@ -103,24 +109,24 @@ class CompressionClassifier:
         chosen = F.broadcast(dictionary[0].unionByName(dictionary[1]).unionByName(curve))
         texts = docs.where(F.col(text_col).isNotNull()).select(F.col(id_col).alias("of"), F.col(text_col).alias("t")).join(chosen, "of")
         texts = write_table(texts.dropDuplicates(["of", "use"]), "labelled-sample")
-        samples = {y: [r.t for r in texts.where((F.col("use") == "dictionary") & (F.col("y") == y)).select(F.left("t", F.lit(SAMPLE_CHARS)).alias("t"), "of").orderBy("of").collect()] for y in (0, 1)}
+        samples = {y: [r.t for r in texts.where((F.col("use") == "dictionary") & (F.col("y") == y)).select(spread_pieces(F.col("t")).alias("t"), "of").orderBy("of").collect()] for y in (0, 1)}
         if not samples[0] or not samples[1]:
             share = 0.999 if samples[1] else 0.001 if samples[0] else 0.5
-            return cls(b"", b"", [0.0, 0.0, math.log(share / (1 - share))])
+            return cls(b"", b"", [0.0, math.log(share / (1 - share))])
         good, bad = _dictionary(samples[1]), _dictionary(samples[0])
-        got = _with_feature(texts.where("use = 'curve'"), "t", good, bad).select("of", "feature", "ratio", "y").toPandas().sort_values("of")
-        return cls(good, bad, fit_logistic(got[["feature", "ratio"]].to_numpy(), got.y.to_numpy(float)))
+        got = _with_feature(texts.where("use = 'curve'"), "t", good, bad).select("of", "feature", "y").toPandas().sort_values("of")
+        return cls(good, bad, fit_logistic(got[["feature"]].to_numpy(), got.y.to_numpy(float)))
 
     def score(self, docs: DataFrame, *, text_col: str = "text", threshold: float = 0.3) -> DataFrame:
-        """The input's columns, ``feature`` and ``ratio``, ``score`` (0 to 1, higher: label 1 likelier) and ``predicted`` (score >= threshold).
+        """The input's columns, ``feature``, ``score`` (0 to 1, higher: label 1 likelier) and ``predicted`` (score >= threshold).
 
-        Input columns of these names are replaced. A null or empty text has features 0. Every row is scored by its
+        Input columns of these names are replaced. A null or empty text has feature 0. Every row is scored by its
         text alone, so repeated rows are equal; an empty table gives an empty result.
         """
         docs = without(docs, *OUTPUTS)
         out = _with_feature(docs, text_col, self.good, self.bad)
-        a, b, c = self.weights
-        score = 1 / (1 + F.exp(-(F.lit(a) * F.col("feature") + F.lit(b) * F.col("ratio") + F.lit(c))))
+        slope, shift = self.weights
+        score = 1 / (1 + F.exp(-(F.lit(slope) * F.col("feature") + F.lit(shift))))
         return out.withColumn("score", score).withColumn("predicted", (F.col("score") >= threshold).cast("int"))
 
 
@@ -130,8 +136,7 @@ def _with_feature(df: DataFrame, text_col: str, good: bytes, bad: bytes) -> Data
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         measure = SizeDifference(*shared.value)
         for batch in batches:
-            made = [measure(x.as_py()) for x in batch.column(text_col)]
-            new = [pa.array([m[i] for m in made], pa.float64()) for i in (0, 1)]
-            yield pa.RecordBatch.from_arrays([*batch.columns, *new], [*batch.schema.names, "feature", "ratio"])
+            made = pa.array([measure(x.as_py()) for x in batch.column(text_col)], pa.float64())
+            yield pa.RecordBatch.from_arrays([*batch.columns, made], [*batch.schema.names, "feature"])
 
-    return df.mapInArrow(rows, T.StructType([*df.schema.fields, *(T.StructField(n, T.DoubleType()) for n in ("feature", "ratio"))]))
+    return df.mapInArrow(rows, T.StructType([*df.schema.fields, T.StructField("feature", T.DoubleType())]))

@@ -20,7 +20,7 @@ from provena.llm.queries import tokenizer_path
 from provena.llm.substring_dedup import COVERS, cover_for, drop_repeated_passages
 from provena.llm.token_count import MergeCounter, UnigramCounter, count_tokens, count_tokens_of, load_vocabulary
 from provena.llm.wordarrays import Words, text_slices
-from provena.llm.zip_quality import CompressionClassifier
+from provena.llm.zip_quality import CompressionClassifier, spread_pieces
 
 
 def words(t):
@@ -325,7 +325,7 @@ def test_classifier(spark, odd, none):
     again = CompressionClassifier.fit(docs.where("doc_id < 80").repartition(7), labels)
     assert (again.good, again.bad, again.weights) == (model.good, model.bad, model.weights)
     out = model.score(odd.withColumn("Score", F.lit(1)))
-    assert out.columns == [*odd.columns, "feature", "ratio", "score", "predicted"]
+    assert out.columns == [*odd.columns, "feature", "score", "predicted"]
     assert out.where("score IS NULL OR score < 0 OR score > 1 OR predicted NOT IN (0, 1)").count() == 0
     assert len({(r.score, r.predicted) for r in out.where("doc_id IN (1, 2)").collect()}) == 1
     assert model.score(none).collect() == []
@@ -340,6 +340,16 @@ def test_classifier_on_held_out_labels(spark, sf):
     sf = sf.replace("sf0.001", "sf0.01")
     out = op10_quality_classifier(spark, sf).join(spark.read.parquet(f"{sf}/labels.parquet"), "doc_id").where("held_out").collect()
     assert sum(r.predicted == r.quality for r in out) >= 0.9 * len(out) > 40
+    good, bad = ([r.score for r in out if r.quality == q] for q in (1, 0))
+    # the share of (good, bad) pairs in the right order doesn't profit from most labels being good
+    assert sum((g > b) + (g == b) / 2 for g in good for b in bad) >= 0.95 * len(good) * len(bad)
+
+
+def test_samples_are_spread_over_the_text(spark):
+    text = "".join(chr(97 + i // 1000) for i in range(20_000))
+    got = spark.createDataFrame([(text,), ("short",)], "t string").select(spread_pieces(F.col("t"))).collect()
+    assert got[1][0] == "short" and len(got[0][0]) == 4000
+    assert got[0][0][:1000] == text[:1000] and got[0][0][-1000:] == text[-1000:]
 
 
 def test_digest_is_of_the_text(spark):
