@@ -1,28 +1,235 @@
-"""Operator 9: stupid-backoff language-model scores from corpus n-gram counts.
+"""Operator 9: stupid-backoff language-model scores from corpus n-gram counts, as joins and sums.
 
-The count tables of all orders are partitioned by n-gram hash; documents' exploded n-grams are joined to them and
-their log scores summed for each document. The tables and the join travel through the blocked hash exchange: a
-block sends each distinct n-gram once with its count, the bucket of that hash adds up the counts of the whole
-corpus, and the joined counts come back to the block, which sums for each document.
+1. *Vocabulary.* Words are counted over the whole corpus. The ``COMMON`` most frequent ones get small numbers, which
+   are broadcast with their counts (a bounded table); any other word is its 63-bit hash, with a negative sign.
+2. *Exploded n-grams.* Every position becomes a row (document, n-gram) of these codes.
+3. *Counts.* Rows are dealt by n-gram, and counted and joined in one exchange. A pair's rows go to the partition of its
+   rarer word: of two common words to that of the pair, with a rare word to that word's own (of two rare words to
+   both), so that the pair's count and the rare word's meet there; common words' counts come by broadcast.
+4. *Scores.* Each row's log score depends on these counts only; they are summed for each document, with partial sums
+   before the shuffle, and joined to the documents by 128 bits of their text.
+
+No key can be hot: pairs of the ``HOT`` most frequent words, bounded in number, are counted before the shuffle and
+their counts broadcast, so they never become rows. Any other pair holds a word outside those, hence at most one in
+``HOT`` of all words; a rare word holds at most one in ``COMMON``.
+
+Orders above 2 add, for each order, what its seen n-grams gain over backing off: a table of n-gram counts joined to
+that of the order below by prefix and suffix, then to the exploded n-grams.
 """
 
 from __future__ import annotations
 
+import math
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
-from pyspark.sql import types as T
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
+from pyspark.sql import functions as F
 
-from provena.llm import blocks as B
-from provena.llm.common import without
-from provena.llm.wordarrays import Words
+from provena.llm.common import without, write_table
+from provena.llm.wordarrays import Words, text_slices
 
 #: The published backoff factor.
 BACKOFF = 0.4
+#: Words with numbers and broadcast counts; the most frequent of them, whose pairs are counted before the shuffle.
+COMMON, HOT = 65_536, 512
+#: Distinct words that a task counts before it passes them on.
+HELD = 200_000
 OUTPUTS = ("n_words", "log_score", "mean_log_score", "n_backed_off")
+_SIGN = np.uint64(1 << 63)
+#: Sides of a row: the rare word is the pair's first word, its second, or the row is a document's own sum.
+_FIRST, _SECOND, _OWN = 0, 1, 2
+_START = -(1 << 62)  # the word before a first one: no hash of a word is this number by chance (2 ** -63)
+
+
+def _rare(hashes: np.ndarray) -> np.ndarray:
+    return (hashes | _SIGN).view(np.int64)
+
+
+def word_counts(docs: DataFrame) -> DataFrame:
+    """(word, n): hashes of all words and how often the corpus holds them, as a written table."""
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+
+        def merged():
+            words, place = np.unique(np.concatenate([w for w, _ in held]), return_inverse=True)
+            return words, np.bincount(place, np.concatenate([n for _, n in held])).astype(np.int64)
+
+        for batch in text_slices(batches, "text"):
+            held.append(np.unique(_rare(Words(batch.column("text")).hash), return_counts=True))
+            held = [merged()]
+            if len(held[0][0]) > HELD:
+                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in held[0]], ["word", "n"])
+                held = []
+        if held:
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in held[0]], ["word", "n"])
+
+    counts = docs.select("text").mapInArrow(rows, "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    return write_table(counts, "word-counts")
+
+
+class Codes:
+    """The numbers of the common words; other words are their own (negative) code."""
+
+    def __init__(self, words: np.ndarray, counts: np.ndarray):
+        self.counts = counts
+        self.order = np.argsort(words)
+        self.words = words[self.order]
+
+    def of(self, hashes: np.ndarray) -> np.ndarray:
+        rare = _rare(hashes)
+        if not len(self.words):
+            return rare
+        at = np.minimum(np.searchsorted(self.words, rare), len(self.words) - 1)
+        return np.where(self.words[at] == rare, self.order[at], rare)
+
+
+def _positions(words: Words) -> np.ndarray:
+    """The place of each word in its document."""
+    return np.arange(len(words.hash)) - np.repeat(words.first[:-1], words.counts())
+
 
+def _hot_pairs(docs: DataFrame, codes, hot: int) -> np.ndarray:
+    """Counts of the pairs of the most frequent words, added up before the shuffle: at most ``hot`` * ``hot`` numbers."""
 
-def stupid_backoff(docs: DataFrame, *, text_col: str = "text", order: int = 2, min_count: int = 2, backoff: float = BACKOFF) -> DataFrame:
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(hot * hot, np.int64)
+        for batch in text_slices(batches, "text"):
+            words = Words(batch.column("text"))
+            c = codes.value.of(words.hash)
+            a, b = c[:-1], c[1:]
+            both = (a >= 0) & (a < hot) & (b >= 0) & (b < hot) & (_positions(words)[1:] > 0)
+            total += np.bincount(a[both] * hot + b[both], minlength=hot * hot)
+        some = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(some, pa.int64()), pa.array(total[some], pa.int64())], ["pair", "n"])
+
+    found = docs.select("text").mapInArrow(rows, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n")).collect()
+    out = np.zeros(hot * hot, np.int64)
+    for r in found:
+        out[r.pair] = r.n
+    return out
+
+
+def _pair_rows(docs: DataFrame, shared, hot: int, order: int, min_count: int, backoff: float, total: int) -> DataFrame:
+    """(a, b, w, side, o, score, n, backed): a row for each pair that the broadcast counts don't settle, and one for each document."""
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        codes, pairs = shared.value
+        log1 = np.log(np.maximum(codes.counts, 1)) if len(codes.counts) else np.zeros(1)
+        seen = np.log(np.maximum(pairs, 1)) - np.repeat(log1[:hot], hot)[: len(pairs)]
+        settled = np.where(pairs >= min_count, seen, math.log(backoff) + np.tile(log1[:hot], hot)[: len(pairs)] - math.log(total or 1))
+        at_slice = 0
+        for batch in text_slices(batches, "text"):
+            words = Words(batch.column("text"))
+            c, place = codes.of(words.hash), _positions(words)
+            doc = np.repeat(np.arange(batch.num_rows), words.counts())
+            alone = place == 0 if order > 1 else np.ones(len(c), bool)
+            score, backed = np.zeros(batch.num_rows), np.zeros(batch.num_rows, np.int64)
+            first = alone & (c >= 0)
+            np.add.at(score, doc[first], log1[c[first]] - math.log(total or 1))
+            out = [(doc[alone & (c < 0)], c[alone & (c < 0)], _SECOND, np.full(int((alone & (c < 0)).sum()), _START))]
+            two = np.flatnonzero(~alone)
+            a, b, d = c[two - 1], c[two], doc[two]
+            known = (a >= 0) & (a < hot) & (b >= 0) & (b < hot)
+            pair = a[known] * hot + b[known]
+            np.add.at(score, d[known], settled[pair])
+            np.add.at(backed, d[known], pairs[pair] < min_count)
+            common = (a >= 0) & (b >= 0) & ~known
+            out.append((d[common], a[common] << 17 | b[common], _FIRST, np.zeros(int(common.sum()), np.int64)))
+            out.append((d[a < 0], a[a < 0], _FIRST, b[a < 0]))
+            out.append((d[b < 0], b[b < 0], _SECOND, a[b < 0]))
+            spread = np.arange(batch.num_rows) + at_slice
+            at_slice += batch.num_rows
+            docs_ = np.concatenate([*(x[0] for x in out), np.arange(batch.num_rows)])
+            rows_ = sum(len(x[0]) for x in out)
+            tail = lambda x, kind: np.concatenate([np.zeros(rows_, kind), x.astype(kind)])  # noqa: B023, E731
+            columns = [
+                *(batch.column(k).take(pa.array(docs_)) for k in ("a", "b")),
+                pa.array(np.concatenate([*(x[1] for x in out), spread]), pa.int64()),
+                pa.array(np.concatenate([*(np.full(len(x[0]), x[2], np.int32) for x in out), np.full(batch.num_rows, _OWN, np.int32)]), pa.int32()),
+                pa.array(np.concatenate([*(x[3] for x in out), np.zeros(batch.num_rows, np.int64)]), pa.int64()),
+                pa.array(tail(score, np.float64), pa.float64()),
+                pa.array(tail(words.counts(), np.int64), pa.int64()),
+                pa.array(tail(backed, np.int64), pa.int64()),
+            ]
+            whole = pa.RecordBatch.from_arrays(columns, ["a", "b", "w", "side", "o", "score", "n", "backed"])
+            # in the order of documents, whose repeated keys then compress well on their way
+            yield whole.take(pa.array(np.argsort(docs_, kind="stable")))
+
+    return docs.select("a", "b", "text").mapInArrow(rows, "a long, b long, w long, side int, o long, score double, n long, backed long")
+
+
+def _scored_pairs(rows: DataFrame, common: DataFrame, total: int, min_count: int, backoff: float) -> DataFrame:
+    """``rows`` with the log score and whether it backed off, from counts within the exchange and the common words' table."""
+    dealt = rows.repartition("w")
+    pair, word = W.partitionBy("w", "side", "o"), W.partitionBy("w")
+    told = dealt.withColumns({"c2": F.count("*").over(pair), "c1": F.count_if(F.col("side") == _SECOND).over(word)})
+    seen, rare, second = F.col("c2") >= min_count, F.col("w") < 0, F.col("side") == _SECOND
+    both, other = ~rare & (F.col("side") == _FIRST), F.col("o") >= 0
+    start = rare & second & (F.col("o") == _START)
+    need = F.when(both, F.when(seen, F.shiftright("w", 17)).otherwise(F.col("w").bitwiseAND((1 << 17) - 1))).when(rare & other & (seen == second), F.col("o"))
+    told = told.withColumns({"seen": seen, "need": need}).join(F.broadcast(common), F.col("need") == F.col("code"), "left")
+    at = lambda n: F.log(n.cast("double"))
+    low = math.log(backoff) - math.log(total or 1)
+    by_seen, by_backoff = at(F.col("c2")) - at(F.coalesce("of", "c1")), low + at(F.coalesce("of", "c1"))
+    score = (
+        F.when(F.col("side") == _OWN, F.col("score"))
+        .when(both, F.when(seen, by_seen).otherwise(by_backoff))
+        .when(start, at(F.col("c1")) - math.log(total or 1))
+        # of two rare words the first one's partition scores a seen pair, the second one's an unseen one
+        .when(second, F.when(seen, F.when(other, by_seen).otherwise(0.0)).otherwise(low + at(F.col("c1"))))
+        .otherwise(F.when(seen, at(F.col("c2")) - at(F.col("c1"))).otherwise(F.when(other, by_backoff).otherwise(0.0)))
+    )
+    backed = F.when(F.col("side") == _OWN, F.col("backed")).when(~seen & ~start & (both | second | other), 1).otherwise(0)
+    return told.select("a", "b", score.alias("score"), "n", backed.alias("backed"), (F.col("side") == _OWN).cast("long").alias("docs"))
+
+
+def _grams(docs: DataFrame, codes, order: int, heads: bool) -> DataFrame:
+    """(a, b, g1 ... gN): the n-grams of each document, or only the one that it begins with."""
+    names = [f"g{i + 1}" for i in range(order)]
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in text_slices(batches, "text"):
+            words = Words(batch.column("text"))
+            c, place = codes.value.of(words.hash), _positions(words)
+            doc = np.repeat(np.arange(batch.num_rows), words.counts())
+            ends = np.flatnonzero(place == order - 1 if heads else place >= order - 1)
+            took = pa.array(doc[ends])
+            yield pa.RecordBatch.from_arrays([*(batch.column(k).take(took) for k in ("a", "b")), *(pa.array(c[ends - order + 1 + i], pa.int64()) for i in range(order))], ["a", "b", *names])
+
+    return docs.select("a", "b", "text").mapInArrow(rows, ", ".join(f"{n} long" for n in ["a", "b", *names]))
+
+
+def _higher_orders(docs: DataFrame, codes, words: DataFrame, order: int, min_count: int, backoff: float) -> list[DataFrame]:
+    """For each order from 3 on (a, b, score, n, backed, docs): what it adds to the sums; backing off is counted here."""
+    names = lambda k: [f"g{i + 1}" for i in range(k)]
+    below = write_table(_grams(docs, codes, 2, False).groupBy("g1", "g2").agg(F.count("*").alias("c")).where(F.col("c") >= min_count), "2-grams")
+    below = below.join(words.select(F.col("code").alias("g1"), F.col("of").alias("c1")), "g1").select("g1", "g2", "c", (F.log("c") - F.log("c1")).alias("s"))
+    out = []
+    for k in range(2, order + 1):
+        if k > 2:
+            own = _grams(docs, codes, k, False).groupBy(*names(k)).agg(F.count("*").alias("c")).where(F.col("c") >= min_count)
+            prefix = below.select(*names(k - 1), F.col("c").alias("before"))
+            suffix = below.select(*[F.col(f"g{i + 1}").alias(f"g{i + 2}") for i in range(k - 1)], F.col("s").alias("less"))
+            s = F.log("c") - F.log("before")
+            below = write_table(own.join(prefix, names(k - 1)).join(suffix, names(k)[1:]).select(*names(k), "c", s.alias("s"), (s - math.log(backoff) - F.col("less")).alias("gain")), f"{k}-grams")
+        missed = F.col("c").isNull().cast("long")
+        heads = _grams(docs, codes, k, k < order).join(below.select(*names(k), "c", *(["gain"] if k > 2 else [])), names(k), "left")
+        zero = F.lit(0).cast("long")
+        if k == order:
+            out.append(heads.select("a", "b", (math.log(backoff) + F.coalesce("gain", F.lit(0.0))).alias("score"), zero.alias("n"), missed.alias("backed"), zero.alias("docs")))
+        else:
+            out.append(heads.select("a", "b", F.lit(0.0).alias("score"), zero.alias("n"), missed.alias("backed"), zero.alias("docs")))
+            if k > 2:
+                every = _grams(docs, codes, k, False).join(below.select(*names(k), "gain"), names(k), "left")
+                out.append(every.select("a", "b", (math.log(backoff) + F.coalesce("gain", F.lit(0.0))).alias("score"), zero.alias("n"), zero.alias("backed"), zero.alias("docs")))
+    return out
+
+
+def stupid_backoff(docs: DataFrame, *, text_col: str = "text", order: int = 2, min_count: int = 2, backoff: float = BACKOFF, common: int = COMMON, hot: int = HOT) -> DataFrame:
     """Score every whole text under the stupid-backoff model of all of them.
 
     A word's score is count(n-gram) / count(its context) for the highest order whose n-gram the corpus holds at
@@ -32,53 +239,36 @@ def stupid_backoff(docs: DataFrame, *, text_col: str = "text", order: int = 2, m
     Returns the input's columns and ``n_words``, ``log_score`` (sum of natural logarithms), ``mean_log_score``
     (null without words), ``n_backed_off`` (words scored below the highest order that their position allows);
     input columns of these names are replaced. A null or empty text has no words and log_score 0; repeated rows
-    count as often as they occur; an empty table gives an empty result.
+    count as often as they occur; an empty table gives an empty result. Words are told apart by 63 bits of their hash.
     """
-    docs = without(docs, *OUTPUTS)
-    columns = docs.columns
-
-    def grams(words: Words) -> list[tuple[np.ndarray, np.ndarray]]:
-        return [words.windows(n) for n in range(1, order + 1)]
-
-    def hashes(table: pa.Table) -> np.ndarray:
-        return np.concatenate([h for _, h in grams(Words(table.column(text_col)))])
-
-    blocks = B.to_blocks(docs, text_col, label="ngrams")
-    total = B.total_words(blocks)
-
-    def result(table: pa.Table, replies: pa.Table) -> pa.Table:
-        words = Words(table.column(text_col))
-        made = grams(words)
-        _, place = np.unique(np.concatenate([h for _, h in made]), return_inverse=True)
-        counts = B.aligned(replies)[place].astype(np.float64) if len(place) else np.zeros(0)
-        n = len(words.hash)
-        by_order, at = [], 0
-        for starts, h in made:
-            own = np.zeros(n + 1)
-            own[starts] = counts[at : at + len(h)]
-            by_order.append(own)
-            at += len(h)
-        inside = np.arange(n) - np.repeat(words.first[:-1], words.counts())
-        score = np.log(by_order[0][:n] / total) if n else np.zeros(0)
-        level = np.ones(n, np.int64)
-        for k in range(2, order + 1):
-            # the k-gram that ends at each word, and the (k-1)-gram before that word
-            ends = np.flatnonzero(inside >= k - 1)
-            count, context = by_order[k - 1][ends - k + 1], by_order[k - 2][ends - k + 1]
-            seen = count >= min_count
-            score[ends] = np.where(seen, np.log(np.where(seen, count / np.maximum(context, 1), 1.0)), score[ends] + np.log(backoff))
-            level[ends[seen]] = k
-        sums = np.concatenate([[0.0], np.cumsum(score)])
-        backed = np.concatenate([[0], np.cumsum(level < np.minimum(inside + 1, order))])
-        per_doc = np.array([score[a:b].sum() for a, b in zip(words.first[:-1], words.first[1:], strict=True)]) if table.num_rows else sums[:0]
-        size = words.counts()
-        mean = pa.array(np.divide(per_doc, size, out=np.zeros(len(size)), where=size > 0), pa.float64(), mask=size == 0)
-        return pa.table(
-            {c: table.column(c) for c in columns}
-            | {"n_words": pa.array(size, pa.int64()), "log_score": pa.array(per_doc, pa.float64()), "mean_log_score": mean, "n_backed_off": pa.array(np.diff(backed[words.first]), pa.int64())}
-        )
-
-    buckets = B.bucket_count(blocks, 0.9 * order)
-    replies = B.answer(B.ask(blocks, hashes, buckets))
-    new = [T.StructField("n_words", T.LongType()), T.StructField("log_score", T.DoubleType()), T.StructField("mean_log_score", T.DoubleType()), T.StructField("n_backed_off", T.LongType())]
-    return B.finish(blocks, replies, result, T.StructType([*docs.schema.fields, *new]))
+    docs = without(docs, *OUTPUTS, "__a", "__b")
+    context = docs.sparkSession.sparkContext
+    text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
+    a, b = F.xxhash64(text), F.xxhash64(F.lit(1), text)
+    texts = docs.select(a.alias("a"), b.alias("b"), text.alias("text"))
+
+    counts = word_counts(texts)
+    total = counts.agg(F.sum("n")).first()[0] or 0
+    top = counts.orderBy(F.col("n").desc(), "word").limit(common).collect()
+    codes = Codes(np.array([r.word for r in top], np.int64), np.array([r.n for r in top], np.int64))
+    numbers = context.broadcast(codes)
+    hot = min(hot, len(top))
+    pairs = _hot_pairs(texts, numbers, hot) if order > 1 and hot else np.zeros(hot * hot, np.int64)
+    shared = context.broadcast((codes, pairs))
+    table = docs.sparkSession.createDataFrame([(i, r.n) for i, r in enumerate(top)], "code long, of long")
+
+    rows = _pair_rows(texts, shared, hot, order, min_count, backoff, total)
+    parts = _scored_pairs(rows, table, total, min_count, backoff)
+    if order > 2:
+        parts = parts.withColumn("backed", F.lit(0).cast("long"))
+        every = counts.select(F.col("word").alias("code"), F.col("n").alias("of")).join(F.broadcast(docs.sparkSession.createDataFrame([(r.word,) for r in top], "code long")), "code", "left_anti").unionByName(table)
+        for more in _higher_orders(texts, numbers, every, order, min_count, backoff):
+            parts = parts.unionByName(more)
+    sums = parts.groupBy("a", "b").agg(*[F.sum(c).alias(c) for c in ("score", "n", "backed", "docs")])
+    # a text that several rows hold was added up as often
+    each = [(F.col(c) / F.col("docs")).alias(c) for c in ("score", "n", "backed")]
+    sums = write_table(sums.select(F.col("a").alias("__a"), F.col("b").alias("__b"), *each), "document-scores")
+    told = docs.withColumns({"__a": a, "__b": b}).join(sums.select("__a", "__b", *[F.col(c).alias(f"__{c}") for c in ("score", "n", "backed")]), ["__a", "__b"])
+    names: list[Column] = [F.col(f"`{c}`") for c in docs.columns]
+    mean = F.when(F.col("__n") > 0, F.col("__score") / F.col("__n"))
+    return told.select(*names, F.col("__n").cast("long").alias("n_words"), F.col("__score").alias("log_score"), mean.alias("mean_log_score"), F.col("__backed").cast("long").alias("n_backed_off"))

@@ -116,8 +116,9 @@ def test_no_passages(none):
 # -- 9: language model ---------------------------------------------------------------------------------------------
 
 
-@pytest.mark.parametrize(("order", "min_count"), [(1, 2), (2, 2), (3, 2), (3, 4)])
-def test_stupid_backoff(odd, odd_rows, order, min_count):
+@pytest.mark.parametrize("common", [{}, {"common": 12, "hot": 3}, {"common": 1, "hot": 1}])
+@pytest.mark.parametrize(("order", "min_count"), [(1, 2), (2, 2), (3, 2), (3, 4), (4, 2)])
+def test_stupid_backoff(odd, odd_rows, order, min_count, common):
     docs = [words(r[1]) for r in odd_rows]
     count = Counter(tuple(w[i : i + n]) for w in docs for n in range(1, order + 1) for i in range(len(w) - n + 1))
     total = sum(len(w) for w in docs)
@@ -138,10 +139,26 @@ def test_stupid_backoff(odd, odd_rows, order, min_count):
                 backed += n < high
                 break
         want.append((r[0], len(w), round(score, 5), backed))
-    got = stupid_backoff(odd, order=order, min_count=min_count)
+    got = stupid_backoff(odd, order=order, min_count=min_count, **common)
     assert sorted(((r.doc_id, r.n_words, round(r.log_score, 5), r.n_backed_off) for r in got.collect()), key=str) == sorted(want, key=str)
 
 
+def test_scores_tell_words_of_regular_structure_apart(spark):
+    a = "a"
+    for _ in range(10):
+        a += a.translate(str.maketrans("ab", "ba"))
+    docs = spark.createDataFrame([(1, a), (2, a.translate(str.maketrans("ab", "ba")))], "doc_id long, text string")
+    assert [round(r.log_score, 9) for r in stupid_backoff(docs).collect()] == [round(math.log(0.5), 9)] * 2
+    words = [(i, " ".join(w if i == 1 else w.translate(str.maketrans("ab", "ba")) for w in ["x"] * 34 + [a])) for i in (1, 2)]
+    assert [r.n_removed for r in drop_repeated_passages(spark.createDataFrame(words, "doc_id long, text string")).collect()] == [0, 0]
+
+
+def test_the_model_is_counted_and_joined(odd):
+    plan = stupid_backoff(odd)._jdf.queryExecution().executedPlan().toString()
+    assert "CoGroups" not in plan and "FlatMapGroups" not in plan
+    assert stupid_backoff(odd.limit(0)).count() == 0
+
+
 def test_no_scores(none):
     assert stupid_backoff(none).collect() == []
 
