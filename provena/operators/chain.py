@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import hashlib
+from collections.abc import Iterator, Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -20,22 +22,41 @@ def link(prev: Column, body: Column) -> Column:
     return F.sha2(F.concat(prev, F.lit("\n"), body), 256)
 
 
-def build_chain(events: DataFrame, tenant: str, seq: str, body: str) -> DataFrame:
-    """(tenant, seq, body, prev_hash, hash) for an append-only log.
+def chained(rows: DataFrame, tenant: str, order: str, body: str, tails: DataFrame | None = None) -> DataFrame:
+    """(tenant, seq, body, prev_hash, hash): each tenant's bodies in order, numbered and linked on from its tail.
 
-    A link needs the one before it, so each tenant's bodies are folded in order of ``seq`` within the JVM; a
-    tenant's log is the unit of appending and of the chain, and is folded once for each append.
+    ``tails`` (tenant, seq, hash) are the last links so far; without one a chain begins at its genesis. A link needs
+    the one before it, so a tenant's rows pass through one task, sorted, and are given out as they come: the task
+    holds one batch and the last link, however long the log. The window that numbers the rows keeps them together.
     """
-    w = F.sort_array(F.collect_list(F.struct(F.col(seq).alias("seq"), F.col(body).alias("body"))))
-    logs = events.groupBy(tenant).agg(w.alias("log"))
-    start = F.array(F.struct(F.lit(None).cast(dict(events.dtypes)[seq]).alias("seq"), F.lit("").alias("body"), F.lit("").alias("prev_hash"), genesis(F.col(tenant)).alias("hash")))
+    told = rows.select(F.col(tenant).alias("tenant"), F.col(order).alias("order"), F.col(body).alias("body"))
+    told = told.withColumn("nth", F.row_number().over(W.partitionBy("tenant").orderBy("order")))
+    if tails is None:
+        told = told.withColumns({"seq": F.lit(0).cast("bigint"), "hash": F.lit(None).cast("string")})
+    else:
+        told = told.join(tails.select(F.col(tenant).alias("tenant"), F.col("seq").cast("bigint").alias("seq"), "hash"), "tenant", "left")
+        # numbered again behind the join, which may have dealt the rows anew
+        told = told.withColumn("nth", F.row_number().over(W.partitionBy("tenant").orderBy("order")))
+    told = told.select("tenant", "body", F.col("nth").cast("bigint").alias("nth"), F.coalesce("seq", F.lit(0)).alias("seq"), F.coalesce("hash", genesis(F.col("tenant"))).alias("hash"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last = ""
+        for batch in batches:
+            links: list[str] = []
+            before: list[str] = []
+            for text, nth, start in zip(*(batch.column(c).to_pylist() for c in ("body", "nth", "hash")), strict=True):
+                before.append(start if nth == 1 else last)
+                last = hashlib.sha256(f"{before[-1]}\n{text}".encode()).hexdigest() if text is not None else ""
+                links.append(last)
+            seq = pa.array([s + n for s, n in zip(batch.column("seq").to_pylist(), batch.column("nth").to_pylist(), strict=True)], pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column("tenant"), seq, batch.column("body"), pa.array(before, pa.string()), pa.array(links, pa.string())], [tenant, "seq", "body", "prev_hash", "hash"])
+
+    return told.mapInArrow(run, f"`{tenant}` {dict(rows.dtypes)[tenant]}, seq bigint, body string, prev_hash string, hash string")
 
-    def step(done: Column, e: Column) -> Column:
-        prev = F.element_at(done, -1)["hash"]
-        return F.concat(done, F.array(F.struct(e["seq"].alias("seq"), e["body"].alias("body"), prev.alias("prev_hash"), link(prev, e["body"]).alias("hash"))))
 
-    folded = logs.select(tenant, F.inline(F.slice(F.aggregate("log", start, step), F.lit(2), F.size("log"))))
-    return folded.select(tenant, F.col("seq").alias(seq), F.col("body").alias(body), "prev_hash", "hash")
+def build_chain(events: DataFrame, tenant: str, seq: str, body: str) -> DataFrame:
+    """(tenant, seq, body, prev_hash, hash) for a whole append-only log whose numbers run from 1."""
+    return chained(events, tenant, seq, body).withColumnsRenamed({"seq": seq, "body": body})
 
 
 def verify_chain(log: DataFrame, tenant: str, seq: str, body: str, expected_last: DataFrame | None = None) -> DataFrame:

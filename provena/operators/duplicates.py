@@ -3,20 +3,26 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from provena.functions.text import tokens
+from provena.storage import write_table
 
 
 def copies(rows: DataFrame, keys: Sequence[Column], id_col: str) -> DataFrame:
-    """Rows with equal keys: each but the smallest id, with ``original`` that smallest id. Linear in the copies."""
-    named = [k.alias(f"__k{i}") for i, k in enumerate(keys)]
-    w = W.partitionBy(*[f"__k{i}" for i in range(len(keys))])
-    low = rows.select(id_col, *named).withColumn("original", F.min(id_col).over(w))
-    return low.where(F.col(id_col) != F.col("original")).select(id_col, "original")
+    """Rows with equal keys: each but the smallest id, with ``original`` that smallest id. Linear in the copies.
+
+    The smallest id of a key is combined before the shuffle and joined back, so no task holds all copies of a key.
+    """
+    names = [f"__k{i}" for i in range(len(keys))]
+    named = rows.select(id_col, *[k.alias(n) for k, n in zip(keys, names, strict=True)])
+    low = named.groupBy(*names).agg(F.min(id_col).alias("original"), F.count("*").alias("n")).where("n > 1").drop("n")
+    same = reduce(lambda x, y: x & y, [named[n].eqNullSafe(low[n]) for n in names])
+    return named.join(low, same).where(F.col(id_col) != F.col("original")).select(id_col, "original")
 
 
 def survivors(rows: DataFrame, keys: Sequence[Column], best: Sequence[Column], id_col: str) -> DataFrame:
@@ -32,23 +38,54 @@ def near_in_amount(rows: DataFrame, party: str, amount: str, day: str, id_col: s
     return a.join(b, [party, amount]).where((F.col("a") < F.col("b")) & (F.abs(F.datediff("a_day", "b_day")) <= days))
 
 
-def shingle_overlap(rows: DataFrame, id_col: str, text: str, *, size: int = 3, least: float = 0.5, most_common: int = 50) -> DataFrame:
-    """D14 by text: pairs whose word shingles overlap by ``least`` or more (Jaccard), exactly.
-
-    Equal shingle sets are compared once, through their smallest row. Two sets with that overlap must share one of
-    their rarest shingles: each set is indexed by as many of its rarest shingles as it may lack, plus one (prefix
-    filter), so common shingles create no pairs. Returns a, b (a < b), similarity.
-    """
+def _shingle_sets(rows: DataFrame, id_col: str, text: str, size: int) -> tuple[DataFrame, DataFrame]:
+    """(members, classes): each row's set key, and for each key its smallest row, members and set, as a written table."""
     words = tokens(text)
-    sets = rows.select(id_col, words.alias("w")).where(F.size("w") >= size).select(id_col, F.array_distinct(F.transform(F.sequence(F.lit(0), F.size("w") - size), lambda i: F.xxhash64(F.array_join(F.slice("w", i + 1, size), " ")))).alias("s"))
-    sets = sets.withColumn("k", F.xxhash64(F.sort_array("s"))).withColumn("low", F.min(id_col).over(W.partitionBy("k")))
-    reps = sets.where(F.col(id_col) == F.col("low")).select(F.col(id_col).alias("id"), "s")
-    freq = reps.select(F.explode("s").alias("g")).groupBy("g").agg(F.count("*").alias("df"))
-    ranked = reps.select("id", F.size("s").alias("n"), F.explode("s").alias("g")).join(freq, "g").where("df > 1 OR n > 0")
-    w = W.partitionBy("id").orderBy("df", "g")
-    prefix = ranked.withColumn("rn", F.row_number().over(w)).where(F.col("rn") <= F.col("n") - F.ceil(F.col("n") * least) + 1).where("df > 1").select("id", "g")
-    pairs = prefix.select(F.col("id").alias("x"), "g").join(prefix.select(F.col("id").alias("y"), "g"), "g").where("x < y").select("x", "y").distinct()
+    shingles = F.transform(F.sequence(F.lit(0), F.size("w") - size), lambda i: F.xxhash64(F.array_join(F.slice("w", i + 1, size), " ")))
+    sets = rows.select(F.col(id_col).alias("id"), words.alias("w")).where(F.size("w") >= size).select("id", F.sort_array(F.array_distinct(shingles)).alias("s"))
+    sets = write_table(sets.withColumns({"k": F.xxhash64("s"), "k2": F.xxhash64(F.lit(1), "s")}), "shingle-sets")
+    low = sets.groupBy("k", "k2").agg(F.min("id").alias("low"), F.count("*").alias("members"))
+    reps = sets.join(low.withColumnRenamed("low", "id"), ["k", "k2", "id"]).select("id", "k", "k2", "members", "s", F.size("s").alias("n"))
+    return sets.select("id", "k", "k2"), write_table(reps, "shingle-classes")
+
+
+def _overlaps(reps: DataFrame, least: float) -> DataFrame:
+    freq = reps.select(F.explode("s").alias("g")).groupBy("g").agg(F.count("*").alias("df")).where("df > 1")
+    # a shingle of one set only is rarer than any shared one: it takes a place of the prefix without joining anything
+    ranked = reps.select("id", "n", F.explode("s").alias("g")).join(freq, "g", "left")
+    w = W.partitionBy("id").orderBy(F.coalesce("df", F.lit(1)), "g")
+    prefix = ranked.withColumn("rn", F.row_number().over(w)).where((F.col("rn") <= F.col("n") - F.ceil(F.col("n") * least) + 1) & F.col("df").isNotNull()).select("id", "n", "g")
+    prefix = write_table(prefix, "rarest-shingles")
+    x, y = prefix.select(F.col("id").alias("x"), F.col("n").alias("nx"), "g"), prefix.select(F.col("id").alias("y"), F.col("n").alias("ny"), "g")
+    # sets of that overlap are of similar size
+    close = (F.col("x") < F.col("y")) & (F.least("nx", "ny") >= least * F.greatest("nx", "ny"))
+    pairs = x.join(y, "g").where(close).select("x", "y").distinct()
     found = pairs.join(reps.select(F.col("id").alias("x"), F.col("s").alias("sx")), "x").join(reps.select(F.col("id").alias("y"), F.col("s").alias("sy")), "y")
     common = F.size(F.array_intersect("sx", "sy"))
     similar = found.withColumn("similarity", common / (F.size("sx") + F.size("sy") - common)).where(F.col("similarity") >= least)
     return similar.select(F.col("x").alias("a"), F.col("y").alias("b"), F.round("similarity", 6).alias("similarity"))
+
+
+def shingle_overlap(rows: DataFrame, id_col: str, text: str, *, size: int = 3, least: float = 0.5) -> DataFrame:
+    """D14 by text: pairs of texts whose word shingles overlap by ``least`` or more (Jaccard), exactly.
+
+    Equal shingle sets are compared once, through their smallest row (:func:`shingle_classes` tells who they stand
+    for). Two sets with that overlap must share one of their rarest shingles: each set is indexed by as many of its
+    rarest shingles as it may lack, plus one (prefix filter), so common shingles create no pairs. Returns a, b
+    (a < b), similarity.
+    """
+    return _overlaps(_shingle_sets(rows, id_col, text, size)[1], least)
+
+
+def shingle_classes(rows: DataFrame, id_col: str, text: str, *, size: int = 3, least: float = 0.5) -> DataFrame:
+    """D14 by text: for each row of at least ``size`` words its class (smallest row of equal shingles), copies, and links.
+
+    ``n_links`` counts the other rows that overlap by ``least`` or more, copies included.
+    """
+    members, reps = _shingle_sets(rows, id_col, text, size)
+    pairs = write_table(_overlaps(reps, least), "overlaps")
+    both = pairs.select(F.col("a").alias("id"), F.col("b").alias("other")).unionByName(pairs.select(F.col("b").alias("id"), F.col("a").alias("other")))
+    links = both.join(reps.select(F.col("id").alias("other"), "members"), "other").groupBy("id").agg(F.sum("members").alias("links"))
+    told = write_table(reps.select("id", "k", "k2", "members").join(links, "id", "left").withColumnRenamed("id", "class_id"), "class-links")
+    out = members.join(told, ["k", "k2"])
+    return out.select(F.col("id").alias(id_col), "class_id", (F.col("members") - 1).alias("n_copies"), (F.col("members") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"))

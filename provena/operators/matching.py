@@ -240,15 +240,6 @@ def resolve_strong_keys(rows: DataFrame, row_id: str, keys: Sequence[str], parti
     return agg.select(row_id, F.when(F.col("low") == F.col("high"), F.col("low")).alias(party_id), F.array_join("by", ",").alias("by"), (F.col("low") != F.col("high")).alias("conflict"))
 
 
-def similar_names(left: DataFrame, right: DataFrame, block: Sequence[str], left_id: str, left_name: str, right_id: str, right_name: str, *, least: float = 0.86, margin: float = 0.02) -> DataFrame:
-    """Each left name's best right name in its block, if it is alike enough and clearly ahead of the runner-up."""
-    pairs = left.join(right, list(block)).withColumn("similarity", F.round(name_similarity(left_name, right_name), 6))
-    w = W.partitionBy(left_id).orderBy(F.col("similarity").desc(), F.col(right_id))
-    ranked = pairs.withColumns({"__rn": F.row_number().over(w), "runner_up": F.lead("similarity").over(w)}).where("__rn = 1").drop("__rn")
-    clear = (F.col("similarity") >= least) & (F.col("runner_up").isNull() | (F.col("similarity") - F.col("runner_up") >= margin))
-    return ranked.withColumn("accepted", clear)
-
-
 def best_names(left: DataFrame, right: DataFrame, left_id: str, left_name: str, right_id: str, right_name: str, *, least: float = 0.86, margin: float = 0.02, others: bool = False) -> DataFrame:
     """D12 without a block: each left name against every right name, complete down to what can decide.
 

@@ -107,7 +107,12 @@ def day_window_sums(spark: SparkSession, sf: str) -> DataFrame:
     return N.day_windows(tx(spark, sf).where("kind = 'purchase'"), "account", "booked_on", "amount")
 
 
-@query()
+@query(with_ctes(TX) + """,
+d AS (SELECT account, booked_on, -sum(amount) AS total FROM tx WHERE kind = 'purchase' GROUP BY account, booked_on),
+c AS (SELECT *, sum(total) OVER (PARTITION BY account ORDER BY booked_on) AS cum, row_number() OVER (PARTITION BY account ORDER BY booked_on) AS rn FROM d),
+w AS (SELECT a.account, a.booked_on AS first_day, b.booked_on AS last_day, b.cum - a.cum + a.total AS total, b.rn - a.rn + 1 AS n_days FROM c a JOIN c b ON a.account = b.account AND b.booked_on >= a.booked_on),
+h AS (SELECT t.id, first_day, last_day, n_days, count(*) OVER (PARTITION BY t.id) > 1 AS ambiguous FROM tx t JOIN w ON t.account = w.account AND t.amount = w.total AND last_day <= t.booked_on AND first_day >= t.booked_on - 62 WHERE t.amount > 0)
+SELECT t.id, t.account, t.booked_on, t.amount, first_day, last_day, n_days, ambiguous FROM tx t LEFT JOIN h ON t.id = h.id WHERE t.amount > 0""")
 def day_window_matches(spark: SparkSession, sf: str) -> DataFrame:
     """The runs of days, of any length, whose purchases sum to a later or same day's money in, within 62 days."""
     t = tx(spark, sf)

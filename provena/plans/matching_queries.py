@@ -69,23 +69,27 @@ def match_greedy_one_to_one(spark: SparkSession, sf: str) -> DataFrame:
     return M.greedy_one_to_one(pairs, "pay_id", "id", [("points", False), ("rank", True), ("apart", True)])
 
 
-@query(with_ctes(DOC_LINE) + """,
+@query(with_ctes(DOC_LINE).replace("WITH", "WITH RECURSIVE", 1) + """,
 x AS (SELECT doc, line * 1000000000 + supplier * 1000000 + product AS item, CAST(qty AS BIGINT) AS q FROM doc_line),
 y AS (SELECT doc, item, min(q) AS q FROM x GROUP BY doc, item),
-t AS (SELECT doc, max(q) AS goal FROM y GROUP BY doc HAVING count(*) BETWEEN 2 AND 20),
-z AS (SELECT y.*, t.goal FROM y JOIN t USING (doc)),
-two AS (SELECT a.doc, [a.item, b.item] AS items FROM z a JOIN z b ON a.doc = b.doc AND a.item < b.item WHERE a.q + b.q = a.goal),
-three AS (SELECT a.doc, [a.item, b.item, c.item] AS items FROM z a JOIN z b ON a.doc = b.doc AND a.item < b.item JOIN z c ON a.doc = c.doc AND b.item < c.item WHERE a.q + b.q + c.q = a.goal),
-u AS (SELECT * FROM two UNION ALL SELECT * FROM three)
-SELECT doc, count(*) AS n_sets, string_agg(array_to_string(items, '+'), ' ' ORDER BY array_to_string(items, '+')) AS sets FROM u GROUP BY doc HAVING count(*) < 8""")
+t AS (SELECT doc, max(q) AS goal, count(*) AS lines FROM y GROUP BY doc),
+c(doc, goal, item, items, total, n) AS (
+  SELECT y.doc, goal, item, [item], q, 1 FROM y JOIN t USING (doc) WHERE lines <= 20
+  UNION ALL SELECT c.doc, goal, y.item, list_append(items, y.item), total + q, n + 1 FROM c JOIN y ON c.doc = y.doc AND y.item > c.item WHERE n < 6 AND total + q <= goal),
+u AS (SELECT doc, array_to_string(items, '+') AS i FROM c WHERE total = goal AND n >= 2)
+SELECT doc, count(*) AS n_sets, string_agg(i, ' ' ORDER BY i) AS sets, false AS capped FROM u GROUP BY doc
+UNION ALL SELECT doc, 0, NULL, true FROM t WHERE lines > 20""")
 def subset_sum_matches(spark: SparkSession, sf: str) -> DataFrame:
-    """Sets of two or three lines whose quantities sum to the document's largest one, exactly."""
+    """All sets of two to six lines whose quantities sum to the document's largest one, exactly.
+
+    Documents of up to 20 lines are searched without a bound on sets or steps; a larger one is a row with ``capped``.
+    """
     item = (F.col("line") * 1000000000 + F.col("supplier") * 1000000 + F.col("product")).alias("item")
     lines = doc_line(spark, sf).groupBy("doc", item).agg(F.min("qty").alias("qty"))
-    goals = lines.groupBy("doc").agg(F.max("qty").alias("goal"), F.count("*").alias("n")).where("n BETWEEN 2 AND 20").drop("n")
-    found = M.subset_sums(lines.join(goals, "doc"), "doc", "goal", "item", "qty", most=3)
-    text = F.array_join(F.transform("items", lambda x: x.cast("string")), "+")
-    return found.where("NOT capped").groupBy("doc").agg(F.count("*").alias("n_sets"), F.array_join(F.sort_array(F.collect_list(text)), " ").alias("sets"))
+    sized = lines.groupBy("doc").agg(F.max("qty").alias("goal"), F.count("*").alias("lines"))
+    found = M.subset_sums(lines.join(sized.where("lines <= 20").drop("lines"), "doc"), "doc", "goal", "item", "qty", solutions=1 << 20, nodes=1 << 20)
+    large = sized.where("lines > 20").select("doc", F.lit(0).cast("bigint").alias("n_sets"), F.lit(None).cast("string").alias("sets"), F.lit(True).alias("capped"))
+    return M.subset_rows(found, "doc").unionByName(large)
 
 
 @query()
@@ -217,22 +221,29 @@ SIMILAR = """CASE WHEN a = b THEN 1.0 WHEN replace(a, ' ', '') = replace(b, ' ',
   ELSE 1 - levenshtein(a, b)::DOUBLE / greatest(length(a), length(b))::DOUBLE END"""
 
 
-@query(f"""
-WITH x AS (SELECT DISTINCT lower(p_name) AS a, left(lower(p_name), 1) AS block FROM part WHERE p_partkey % 2 = 0),
-y AS (SELECT DISTINCT lower(p_name) AS b, left(lower(p_name), 1) AS block FROM part WHERE p_partkey % 3 = 1),
-p AS (SELECT a, b, round(CAST({SIMILAR} AS DOUBLE), 6) AS similarity FROM x JOIN y USING (block)),
-r AS (SELECT *, row_number() OVER (PARTITION BY a ORDER BY similarity DESC, b) AS rn, lead(similarity) OVER (PARTITION BY a ORDER BY similarity DESC, b) AS runner_up FROM p)
-SELECT a, b, similarity, runner_up, similarity >= 0.86 AND (runner_up IS NULL OR similarity - runner_up >= 0.02) AS accepted FROM r WHERE rn = 1""")
+BEST_NAMES = f"""
+p AS (SELECT a, b, round(CAST({SIMILAR} AS DOUBLE), 6) AS similarity FROM x, y WHERE a <> '' AND b <> '' AND KEPT),
+r AS (SELECT *, row_number() OVER (PARTITION BY a ORDER BY similarity DESC, b) AS rn, lead(similarity) OVER (PARTITION BY a ORDER BY similarity DESC, b) AS runner_up FROM p WHERE similarity >= 0.84)
+SELECT x.a, r.b, similarity, runner_up, coalesce(similarity >= 0.86 AND (runner_up IS NULL OR similarity - runner_up >= 0.02), false) AS accepted FROM x LEFT JOIN r ON x.a = r.a AND rn = 1"""
+
+
+@query("""
+WITH x AS (SELECT DISTINCT CASE p_partkey % 4 WHEN 0 THEN n WHEN 1 THEN replace(n, ' ', '') WHEN 2 THEN trim(left(n, CAST(length(n) * 4 // 5 AS BIGINT))) ELSE left(n, 2) || 'x' || substr(n, 4) END AS a FROM (SELECT p_partkey, lower(p_name) AS n FROM part)),
+y AS (SELECT DISTINCT lower(p_name) AS b FROM part),""" + BEST_NAMES.replace("KEPT", "true"))
 def name_similarity(spark: SparkSession, sf: str) -> DataFrame:
-    """Each name's most similar name in its block, with the runner-up."""
+    """Names as a bank writes them (whole, without blanks, cut off, misread) and the party each one means, with the runner-up.
+
+    Every name is compared with every party, by an exact scheme that makes no pairs below what can decide.
+    """
+    n, k = fold("p_name"), F.col("p_partkey") % 4
+    cut = F.trim(F.left(n, F.floor(F.char_length(n) * 4 / 5).cast("int")))
+    said = F.when(k == 0, n).when(k == 1, F.replace(n, F.lit(" "), F.lit(""))).when(k == 2, cut).otherwise(F.concat(F.left(n, F.lit(2)), F.lit("x"), F.substring(n, 4, 1000)))
     p = table(spark, sf, "part")
-    name = fold("p_name")
-    x = p.where("p_partkey % 2 = 0").select(name.alias("a"), F.left(name, F.lit(1)).alias("block")).distinct()
-    y = p.where("p_partkey % 3 = 1").select(name.alias("b"), F.left(name, F.lit(1)).alias("block")).distinct()
-    return M.similar_names(x, y, ["block"], "a", "a", "b", "b").select("a", "b", "similarity", "runner_up", "accepted")
+    return M.best_names(p.select(said.alias("a")).distinct(), p.select(n.alias("b")).distinct(), "a", "a", "b", "b").select("a", "b", "similarity", "runner_up", "accepted")
 
 
-@query()
+@query("""
+WITH x AS (SELECT DISTINCT lower(p_name) AS a FROM part WHERE p_name <> ''), y AS (SELECT a AS b FROM x),""" + BEST_NAMES.replace("KEPT", "a <> b"))
 def name_similarity_all(spark: SparkSession, sf: str) -> DataFrame:
     """D12 over all names: each part name's best other name, whatever letter it starts with, with the runner-up."""
     names = table(spark, sf, "part").select(fold("p_name").alias("a")).where("a != ''").distinct()
@@ -324,18 +335,32 @@ def duplicate_survivor(spark: SparkSession, sf: str) -> DataFrame:
     return out.where("n > 1").select("h", "survivor", "n")
 
 
-@query(r"""
+NEAR = r"""
 WITH w AS (SELECT doc_id, list_filter(regexp_split_to_array(trim(regexp_replace(translate(lower(text), 'àáâãäåçèéêëìíîïñòóôõöùúûüýÿ', 'aaaaaaceeeeiiiinooooouuuuyy'), '\s+', ' ', 'g')), '[^a-z0-9]+'), lambda x: x <> '') AS w FROM documents),
 s AS (SELECT DISTINCT doc_id, array_to_string(w[i:i + 2], ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 1)) AS i FROM w WHERE len(w) >= 3)),
 z AS (SELECT doc_id, count(*) AS n, md5(string_agg(g, '|' ORDER BY g)) AS h FROM s GROUP BY doc_id),
 r AS (SELECT doc_id, n FROM z QUALIFY doc_id = min(doc_id) OVER (PARTITION BY h)),
 p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM s a JOIN s b ON a.g = b.g AND a.doc_id < b.doc_id WHERE a.doc_id IN (SELECT doc_id FROM r) AND b.doc_id IN (SELECT doc_id FROM r) GROUP BY ALL)
+"""
+
+
+@query(NEAR + """
 SELECT a, b, round(c::DOUBLE / (x.n + y.n - c)::DOUBLE, 6) AS similarity FROM p JOIN r x ON x.doc_id = a JOIN r y ON y.doc_id = b WHERE c::DOUBLE / (x.n + y.n - c)::DOUBLE >= 0.5""")
 def near_copy_jaccard(spark: SparkSession, sf: str) -> DataFrame:
     """Documents whose word triples overlap by half or more; copies of one set count once."""
     return U.shingle_overlap(table(spark, sf, "documents"), "doc_id", "text", size=3, least=0.5)
 
 
+@query(NEAR + """,
+l AS (SELECT p.a, p.b FROM p JOIN r x ON x.doc_id = a JOIN r y ON y.doc_id = b WHERE c::DOUBLE / (x.n + y.n - c)::DOUBLE >= 0.5),
+m AS (SELECT doc_id, min(doc_id) OVER (PARTITION BY h) AS class_id, count(*) OVER (PARTITION BY h) AS members FROM z),
+k AS (SELECT id, sum(members)::BIGINT AS links FROM (SELECT a AS id, b AS other FROM l UNION ALL SELECT b, a FROM l) JOIN m ON other = m.doc_id GROUP BY id)
+SELECT m.doc_id, class_id, members - 1 AS n_copies, (members - 1 + coalesce(links, 0))::BIGINT AS n_links FROM m LEFT JOIN k ON class_id = k.id""")
+def near_copy_classes(spark: SparkSession, sf: str) -> DataFrame:
+    """Each document's class of equal word triples, its copies, and how many documents overlap by half or more."""
+    return U.shingle_classes(table(spark, sf, "documents"), "doc_id", "text", size=3, least=0.5)
+
+
 @query("""
 SELECT o_custkey AS party, 'without_customer_segment' AS what FROM (SELECT o_custkey FROM orders EXCEPT SELECT c_custkey FROM customer WHERE c_mktsegment = 'BUILDING')
 UNION ALL SELECT c_custkey, 'in_both' FROM (SELECT c_custkey FROM customer WHERE c_mktsegment = 'BUILDING' INTERSECT SELECT o_custkey FROM orders)

@@ -100,9 +100,14 @@ def intact(content: Column, claimed: Column) -> Column:
     return F.sha2(content, 256) == F.lower(claimed)
 
 
-def safe_xml(x: Column, limit: int = 5_000_000) -> Column:
-    """XML text without a document type and within a size, else null: entities are never expanded."""
-    return F.when((F.length(x) <= limit) & ~x.rlike(r"(?i)<!doctype|<!entity"), F.regexp_replace(x, r"<(/?)[A-Za-z0-9]+:", "<$1"))
+def safe_xml(x: Column) -> Column:
+    """XML text of any size without a document type, else null: entities are never expanded. See :func:`xml_problem`."""
+    return F.when(~x.rlike(r"(?i)<!doctype|<!entity"), F.regexp_replace(x, r"<(/?)[A-Za-z0-9]+:", "<$1"))
+
+
+def xml_problem(x: Column) -> Column:
+    """Why :func:`safe_xml` gives nothing: ``empty`` or ``document_type``; null where it gives the text."""
+    return F.when(x.isNull() | (F.trim(x) == ""), "empty").when(x.rlike(r"(?i)<!doctype|<!entity"), "document_type")
 
 
 def _path(x: Column, *paths: str) -> Column:
@@ -111,7 +116,7 @@ def _path(x: Column, *paths: str) -> Column:
 
 
 def einvoice_fields(rows: DataFrame, xml: str) -> DataFrame:
-    """The critical fields of UBL 2.1 and UN/CEFACT CII invoices; null where absent. Prefixes are ignored."""
+    """The critical fields of UBL 2.1 and UN/CEFACT CII invoices; null where absent, with ``problem`` for a refused text. Prefixes are ignored."""
     x = safe_xml(F.col(xml))
     cii = "/CrossIndustryInvoice/SupplyChainTradeTransaction"
     day = lambda c: F.coalesce(F.try_to_date(c, "yyyy-MM-dd"), F.try_to_date(c, "yyyyMMdd"))
@@ -119,6 +124,7 @@ def einvoice_fields(rows: DataFrame, xml: str) -> DataFrame:
     kind = F.when(F.col("__x").rlike(r"<CreditNote\b"), "credit_note").when(F.col("__x").rlike(r"<Invoice\b"), "invoice").when(F.xpath_string("__x", F.lit("/CrossIndustryInvoice/ExchangedDocument/TypeCode")) == "381", "credit_note").when(F.col("__x").rlike(r"<CrossIndustryInvoice\b"), "invoice")
     return rows.withColumn("__x", x).withColumns(
         {
+            "problem": xml_problem(F.col(xml)),
             "doc_type": kind,
             "invoice_number": _path(F.col("__x"), "/*/ID", "/CrossIndustryInvoice/ExchangedDocument/ID"),
             "issue_date": day(_path(F.col("__x"), "/*/IssueDate", "/CrossIndustryInvoice/ExchangedDocument/IssueDateTime/DateTimeString")),

@@ -4,43 +4,66 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from py4j.protocol import Py4JJavaError
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from provena.operators.chain import genesis, link
+from provena.operators.chain import chained
+from provena.storage import scratch_path
+
+
+class LogMoved(RuntimeError):
+    """Another writer has appended since this one read the log."""
+
+
+def _stored(spark: SparkSession, path: str, schema: str) -> DataFrame | None:
+    """The rows of all committed batches at ``path``; None where there is none yet."""
+    try:
+        return spark.read.schema(schema).option("recursiveFileLookup", "true").parquet(path)
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return None
+
+
+def _commit(rows: DataFrame, path: str, label: str) -> DataFrame:
+    """Write ``rows`` in the shared folder and move them to ``path`` as the next batch, which only one writer can do."""
+    spark, context = rows.sparkSession, rows.sparkSession.sparkContext
+    staged = scratch_path(spark, label)
+    rows.write.parquet(staged)
+    jvm, conf = context._jvm, context._jsc.hadoopConfiguration()
+    at = jvm.org.apache.hadoop.fs.Path(path)
+    store = at.getFileSystem(conf)
+    store.mkdirs(at)
+    batches = [x.getPath().getName() for x in store.listStatus(at) if x.getPath().getName().startswith("batch-")]
+    goal = f"{path.rstrip('/')}/batch-{len(batches) + 1:06d}"
+    rename = context._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 0)
+    try:
+        jvm.org.apache.hadoop.fs.FileContext.getFileContext(store.getUri(), conf).rename(jvm.org.apache.hadoop.fs.Path(staged), jvm.org.apache.hadoop.fs.Path(goal), rename)
+    except Py4JJavaError as e:
+        raise LogMoved(goal) from e
+    return spark.read.schema(rows.schema).parquet(goal)
+
+
+LOG = "seq bigint, body string, prev_hash string, hash string"
 
 
 def append_events(new: DataFrame, path: str, *, tenant: str = "tenant_id", expected: DataFrame | None = None) -> DataFrame:
     """Append events (tenant, order, body) to a hash-chained log at ``path``; returns what was written.
 
     Numbers go on from each tenant's last one. ``expected`` (tenant, last_seq) holds what the writer had read: a
-    tenant whose log has moved on since is refused as a whole (optimistic locking). Only each tenant's last link is
-    read from the log, and a tenant's new bodies are folded onto it.
+    tenant whose log has moved on since is refused as a whole (optimistic locking). An append is one new batch
+    folder, put in place by a rename that fails where another writer was first (:class:`LogMoved`). Only the last
+    links are read from the log.
     """
-    spark = new.sparkSession
-    try:
-        log = spark.read.parquet(path)
-        tail = log.groupBy(tenant).agg(F.max(F.struct("seq", "hash")).alias("t")).select(tenant, "t.seq", "t.hash")
-    except Exception as e:  # no log yet
-        if "PATH_NOT_FOUND" not in str(e):
-            raise
-        tail = spark.createDataFrame([], f"`{tenant}` {dict(new.dtypes)[tenant]}, seq bigint, hash string")
+    log = _stored(new.sparkSession, path, f"`{tenant}` {dict(new.dtypes)[tenant]}, {LOG}")
+    tail = None if log is None else log.groupBy(tenant).agg(F.max(F.struct("seq", "hash")).alias("t")).select(tenant, "t.seq", "t.hash")
     if expected is not None:
-        moved = expected.join(tail, tenant, "left").where(F.coalesce("seq", F.lit(0)) != F.col("last_seq")).select(tenant)
-        new = new.join(moved, tenant, "left_anti")
-    logs = new.groupBy(tenant).agg(F.sort_array(F.collect_list(F.struct("order", "body"))).alias("log")).join(tail, tenant, "left")
-    first = F.struct(F.coalesce("seq", F.lit(0)).cast("bigint").alias("seq"), F.lit("").alias("body"), F.lit("").alias("prev_hash"), F.coalesce("hash", genesis(F.col(tenant))).alias("hash"))
-
-    def step(done: Column, e: Column) -> Column:
-        last = F.element_at(done, -1)
-        return F.concat(done, F.array(F.struct((last["seq"] + 1).alias("seq"), e["body"].alias("body"), last["hash"].alias("prev_hash"), link(last["hash"], e["body"]).alias("hash"))))
-
-    rows = logs.select(tenant, F.inline(F.slice(F.aggregate("log", F.array(first), step), F.lit(2), F.size("log"))))
-    # computed once, from the log as it was: the append itself must not feed back
-    rows = rows.checkpoint() if spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() else rows.persist()
-    rows.write.mode("append").partitionBy(tenant).parquet(path)
-    return rows
+        seen = expected.withColumn("seq", F.lit(0).cast("bigint")) if tail is None else expected.join(tail, tenant, "left")
+        new = new.join(seen.where(F.coalesce("seq", F.lit(0)) != F.col("last_seq")).select(tenant), tenant, "left_anti")
+    return _commit(chained(new, tenant, "order", "body", tail), path, "events")
 
 
 def write_ledger(rows: DataFrame, path: str, columns: Sequence[str], order: Sequence[str]) -> None:
@@ -57,9 +80,11 @@ def manifest(entries: DataFrame, name: str, content: str) -> DataFrame:
 
 
 def package_hash(lines: DataFrame) -> DataFrame:
-    """The hash of a manifest whatever the order of its lines: the hash of its sorted lines."""
-    text = F.array_join(F.sort_array(F.collect_list(F.concat_ws("  ", "sha256", "name"))), "\n")
-    return lines.agg(F.sha2(text, 256).alias("package_sha256"), F.count("*").alias("files"), F.sum("bytes").alias("bytes"))
+    """A digest of a manifest whatever the order of its lines: their number and two sums over 128 bits of each line's hash."""
+    digest = F.sha2(F.concat_ws("  ", "sha256", "name"), 256)
+    part = lambda i: F.conv(F.substring(digest, i, 15), 16, 10).cast("decimal(38,0)")
+    sums = lines.agg(F.count("*").alias("files"), F.sum("bytes").alias("bytes"), F.sum(part(1)).alias("x"), F.sum(part(16)).alias("y"))
+    return sums.select(F.sha2(F.concat_ws(":", "files", "x", "y"), 256).alias("package_sha256"), "files", "bytes")
 
 
 def verify_package(lines: DataFrame, files: DataFrame, name: str, content: str) -> DataFrame:
@@ -70,18 +95,15 @@ def verify_package(lines: DataFrame, files: DataFrame, name: str, content: str)
 
 
 def put_objects(objects: DataFrame, path: str, content: str = "content") -> DataFrame:
-    """Write-once storage under the content's hash; returns the objects that were new."""
-    spark = objects.sparkSession
-    keyed = objects.withColumn("key", F.sha2(content, 256)).dropDuplicates(["key"]).withColumn("shard", F.left("key", F.lit(2)))
-    try:
-        have = spark.read.parquet(path).select("key")
-        keyed = keyed.join(have, "key", "left_anti")
-    except Exception as e:
-        if "PATH_NOT_FOUND" not in str(e):
-            raise
-    fresh = keyed.persist()
-    fresh.write.mode("append").partitionBy("shard").parquet(path)
-    return fresh
+    """Write-once storage under the content's hash (``key``); returns the objects that were new.
+
+    They are one new batch folder, put in place by a rename that only one writer can do.
+    """
+    keyed = objects.withColumn("key", F.sha2(content, 256)).dropDuplicates(["key"])
+    have = _stored(objects.sparkSession, path, "key string")
+    if have is not None:
+        keyed = keyed.join(have.select("key"), "key", "left_anti")
+    return _commit(keyed, path, "objects")
 
 
 def enqueue_once(jobs: DataFrame, queue: DataFrame | None, keys: Sequence[str] = ("tenant_id", "kind", "key")) -> DataFrame:

@@ -11,6 +11,7 @@ import hashlib
 import io
 import re
 import zipfile
+import zlib
 from collections.abc import Iterator
 from html.parser import HTMLParser
 
@@ -99,7 +100,11 @@ def expand_zips(files: DataFrame, *, path: str = "path", content: str = "content
             elif info.compress_size and info.file_size / info.compress_size > most_ratio:
                 yield name, None, "ratio"
             else:
-                data = archive.read(info)
+                try:
+                    data = archive.read(info)
+                except (zipfile.BadZipFile, zlib.error, NotImplementedError, EOFError, OSError) as e:
+                    yield name, None, f"damaged: {type(e).__name__}"
+                    continue
                 budget[0] -= len(data)
                 if data[:4] == b"PK\x03\x04" and depth < most_depth:
                     yield from members(data, f"{name}!", depth + 1, budget)

@@ -9,9 +9,14 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The shared folder: ``spark.checkpoint.dir``. Only where the session names none is one made on this machine."""
+    """The shared folder: ``spark.checkpoint.dir``. In a local session that names none, a temporary one of this machine.
+
+    On a cluster there is no such fallback: executors would write to their own disks.
+    """
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="provena-"))
         root = spark.sparkContext.getCheckpointDir()
     return root.rstrip("/")
