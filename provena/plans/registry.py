@@ -25,4 +25,4 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
 
 def load() -> None:
     """Import the modules that register queries."""
-    from provena.plans import close_queries, event_queries, link_queries, matching_queries, money_queries, text_queries  # noqa: F401
+    from provena.plans import close_queries, event_queries, link_queries, matching_queries, money_queries, source_queries, text_queries  # noqa: F401

@@ -7,7 +7,6 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from provena.functions.money import amount_readings
 from provena.functions.text import squash
@@ -39,7 +38,7 @@ def read_csv(spark: SparkSession, path: str, aliases: Mapping[str, Sequence[str]
     return rows.select(bound)
 
 
-BANK_LINE = T.StructType.fromDDL(
+BANK_LINE = (
     "transactionId string, internalTransactionId string, bookingDate string, valueDate string, transactionAmount struct<amount:string,currency:string>, creditorName string, debtorName string, "
     "creditorAccount struct<iban:string>, debtorAccount struct<iban:string>, remittanceInformationUnstructured string, remittanceInformationUnstructuredArray array<string>"
 )
@@ -142,14 +141,11 @@ def einvoice_fields(rows: DataFrame, xml: str) -> DataFrame:
 
 def einvoice_lines(rows: DataFrame, xml: str, keys: Sequence[str]) -> DataFrame:
     """The lines of UBL invoices and credit notes: number, description, quantity, unit price, net, rate."""
-    x = safe_xml(F.col(xml))
-    line = "/*/*[local-name()='InvoiceLine' or local-name()='CreditNoteLine']"
-    count = F.size(F.xpath("__x", F.lit(f"{line}/ID/text()")))
-    numbered = rows.withColumn("__x", x).withColumn("__n", count).where("__n > 0").withColumn("line", F.explode(F.sequence(F.lit(1), F.col("__n"))))
-    at = lambda p: F.xpath_string("__x", F.concat(F.lit(f"({line})["), F.col("line").cast("string"), F.lit(f"]/{p}")))
-    some = lambda p: F.when(at(p) != "", at(p))
+    found = F.regexp_extract_all(safe_xml(F.col(xml)), F.lit(r"(?s)(<(?:InvoiceLine|CreditNoteLine)\b.*?</(?:InvoiceLine|CreditNoteLine)>)"), 1)
+    lines = rows.withColumn("__l", found).select(*keys, F.posexplode("__l").alias("__n", "__x"))
+    some = lambda p: _path(F.col("__x"), f"/*/{p}")
     quantity = F.coalesce(some("InvoicedQuantity"), some("CreditedQuantity")).try_cast("decimal(18,3)")
-    return numbered.select(*keys, F.col("line").cast("bigint").alias("line"), some("ID").alias("line_id"), some("Item/Name").alias("description"), quantity.alias("quantity"), some("Price/PriceAmount").try_cast("decimal(18,6)").alias("unit_price"), some("LineExtensionAmount").try_cast(MONEY).alias("net"), some("Item/ClassifiedTaxCategory/Percent").try_cast("decimal(6,3)").alias("rate"))
+    return lines.select(*keys, (F.col("__n") + 1).cast("bigint").alias("line"), some("ID").alias("line_id"), some("Item/Name").alias("description"), quantity.alias("quantity"), some("Price/PriceAmount").try_cast("decimal(18,6)").alias("unit_price"), some("LineExtensionAmount").try_cast(MONEY).alias("net"), some("Item/ClassifiedTaxCategory/Percent").try_cast("decimal(6,3)").alias("rate"))
 
 
 def json_fields(rows: DataFrame, payload: str, paths: Mapping[str, tuple[str, str]]) -> DataFrame:
