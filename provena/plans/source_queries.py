@@ -97,7 +97,7 @@ def einvoice_headers(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     with_ctes(DOC, DOC_LINE)
     + """
-SELECT doc AS id, row_number() OVER (PARTITION BY doc ORDER BY line, supplier, product) AS line, CAST(line AS VARCHAR) AS line_id, 'Part ' || product AS description, CAST(qty AS DECIMAL(18,3)) AS quantity, net
+SELECT doc AS id, row_number() OVER (PARTITION BY doc ORDER BY line, supplier, product, CAST(qty AS VARCHAR), CAST(net AS VARCHAR)) AS line, CAST(line AS VARCHAR) AS line_id, 'Part ' || product AS description, CAST(qty AS DECIMAL(18,3)) AS quantity, net
 FROM doc_line WHERE doc % 50 <> 7"""
 )
 def einvoice_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
