@@ -76,32 +76,90 @@ def price_regimes(rows: DataFrame, key: str, day: str, value: str, tie: str, *,
     return fold_groups(rows.select(key, day, value, tie), [key], [day, tie], fold, f"runs bigint, level double, previous double, changed_on {dict(rows.dtypes)[day]}")
 
 
-def recurring_series(rows: DataFrame, key: str, day: str, *, fit: float = 0.75) -> DataFrame:
-    """the period that a key's days follow best, on a grid anchored at one of its own days.
+def _anchored(day: Column, family: Column, anchor: Column) -> Column:
+    """struct(off, unit, at): days from the nearest anchor day (the earlier on a tie), its week or month, and that day.
 
-    For each period and each of the last days as anchor, a day fits if it is within the tolerance of a whole number
-    of nominal periods from it; the share of distinct periods hit must be ``fit`` or more. The shortest period with
-    the best share wins. Returns key, cadence, n, share, last_seen, next_expected. At most a few hundred days of a
-    key matter: the days are distinct and dates, so a group is bounded by the calendar.
+    ``family`` is ``week`` (anchor 0 to 6, from Monday) or ``month`` (anchor 1 to 31, cut to the month's length).
     """
+    back = F.pmod(anchor - F.weekday(day) + 3, F.lit(7)) - 3
+    week = F.date_add(day, back)
 
-    def find(group: pd.DataFrame) -> list[tuple]:
-        days = sorted(set(group[day]))
-        nums = [d.toordinal() for d in days]
-        best = None
-        for name, (nominal, slack, least) in PERIODS.items():
-            if len(nums) < least:
-                continue
-            for anchor in nums[-3:]:
-                at = [round((n - anchor) / nominal) for n in nums]
-                good = [k for k, n in zip(at, nums, strict=True) if abs(n - anchor - k * nominal) <= slack]
-                share = min(len(set(good)) / (max(at) - min(at) + 1), len(good) / len(nums))
-                if len(set(good)) >= least and share >= fit and (best is None or share > best[1]):
-                    best = (name, share, nominal)
-        name, share, nominal = best or (None, None, None)
-        return [(name, len(nums), share, days[-1], days[-1] + timedelta(days=round(nominal)) if name else None)]
-
-    return fold_groups(rows.select(key, day).distinct(), [key], [day], find, "cadence string, n bigint, share double, last_seen date, next_expected date")
+    def in_month(k: int) -> Column:
+        first = F.add_months(F.trunc(day, "month"), k)
+        at = F.least(F.date_add(first, anchor - 1), F.last_day(first))
+        return F.struct(F.abs(F.datediff(day, at)).alias("far"), at.alias("at"))
+
+    at = F.when(family == "week", week).otherwise(F.array_min(F.array(*[in_month(k) for k in (-1, 0, 1)]))["at"])
+    unit = F.when(family == "week", F.floor(F.datediff(week, F.lit("1970-01-05").cast("date")) / 7).cast("int")).otherwise(F.year(at) * 12 + F.month(at) - 1)
+    return F.struct(F.datediff(day, at).alias("off"), unit.alias("unit"), at.alias("at"))
+
+
+def recurring_series(rows: DataFrame, key: str, day: str, *, fit: float = 0.75, extras: float = 0.25) -> DataFrame:
+    """the rhythm that a key's distinct days follow, the shortest that fits.
+
+    Every weekday and every day of the month is tried as anchor against all days; the one nearest to them in total is
+    taken. A day within a period's tolerance of it is on the cycle, one for each period; the others are extras, of
+    which there may be ``extras`` of all. Of the gaps between days on the cycle, ``fit`` or more must be whole periods,
+    most of them one, with a period in four skipped at most. Where months are skipped, or no rhythm fits, a season is
+    tried: days in one unbroken stretch of months, quiet for the whole rest of every year (once if that is three
+    months or more, else twice).
+
+    Returns key, cadence, n (days), on_cycle, share (of gaps that fit), anchor, season (months, joined by commas),
+    last_seen, next_expected; a key without a rhythm has nulls. All of it is aggregates and windows: an anchor is a row
+    for each day, added up before the shuffle.
+    """
+    days = rows.select(key, F.col(day).alias("day")).distinct()
+    tries = F.explode(F.concat(F.transform(F.sequence(F.lit(0), F.lit(6)), lambda a: F.struct(F.lit("week").alias("family"), a.alias("anchor"))), F.transform(F.sequence(F.lit(1), F.lit(31)), lambda a: F.struct(F.lit("month").alias("family"), a.alias("anchor"))))).alias("t")
+    costs = days.select(key, "day", tries).select(key, "t.*", F.abs(_anchored(F.col("day"), F.col("t.family"), F.col("t.anchor"))["off"]).alias("off"))
+    best = costs.groupBy(key, "family", "anchor").agg(F.sum("off").alias("cost"), F.count("*").alias("n"))
+    best = best.groupBy(key, "family").agg(F.min(F.struct("cost", "anchor")).alias("b"), F.max("n").alias("n")).select(key, "family", F.col("b.anchor").alias("anchor"), "n")
+    told = days.join(best, key).withColumn("a", _anchored(F.col("day"), F.col("family"), F.col("anchor"))).select(key, "day", "family", "anchor", "n", "a.*")
+
+    steps = {"weekly": 1, "monthly": 1, "quarterly": 3, "annual": 12}
+    kinds = F.array(*[F.struct(F.lit(k).alias("order"), F.lit(c).alias("cadence"), F.lit("week" if c == "weekly" else "month").alias("of"), F.lit(nominal).alias("nominal"), F.lit(slack).alias("slack"), F.lit(least).alias("least"), F.lit(steps[c]).alias("per")) for k, (c, (nominal, slack, least)) in enumerate(PERIODS.items())])
+    near = told.withColumn("c", F.explode(F.filter(kinds, lambda c: c["of"] == F.col("family")))).where(F.abs("off") <= F.col("c.slack"))
+    cycle = near.groupBy(key, "c", "unit", "anchor", "n").agg(F.min(F.struct(F.abs("off").alias("far"), "day", "at")).alias("d")).select(key, "c.*", "unit", "anchor", "n", "d.day", "d.at")
+    w = W.partitionBy(key, "order").orderBy("unit")
+    gap, units = F.datediff("day", F.lag("day").over(w)), F.col("unit") - F.lag("unit").over(w)
+    whole = F.round(F.col("gap") / F.col("nominal")).cast("int")
+    by_days = (whole >= 1) & (F.abs(F.col("gap") - whole * F.col("nominal")) <= F.col("slack"))
+    periods = F.when(by_days, whole).when((F.col("units") >= F.col("per")) & (F.col("units") % F.col("per") == 0), (F.col("units") / F.col("per")).cast("int"))
+    seen = cycle.withColumns({"gap": gap, "units": units, "before": F.lag("unit").over(w)}).withColumn("periods", periods)
+    sums = seen.groupBy(key, "order", "cadence", "least", "anchor", "n").agg(
+        F.count("*").alias("on_cycle"),
+        F.count("periods").alias("fitted"),
+        F.count_if(F.col("periods") == 1).alias("singles"),
+        F.sum(F.col("periods") - 1).alias("missed"),
+        F.max(F.struct("day", "at")).alias("last"),
+        F.sort_array(F.collect_set(F.col("unit") % 12 + 1)).alias("months"),
+        F.sort_array(F.collect_list(F.when(F.col("before").isNotNull(), F.struct("before", "unit")))).alias("pairs"),
+    )
+    budget, few = F.greatest(F.lit(1), F.floor(F.col("on_cycle") / 4)), F.col("n") - F.col("on_cycle") <= F.col("n") * extras
+    share = F.col("fitted") / (F.col("on_cycle") - 1)
+    fits = (F.col("on_cycle") >= F.greatest(F.col("least"), F.lit(2))) & few & (F.col("fitted") > 0) & (share >= fit) & (F.col("singles") * 2 > F.col("fitted")) & (F.col("missed") <= budget)
+
+    starts = F.filter("months", lambda m: ~F.array_contains("months", (m + 10) % 12 + 1))
+    one = F.size("months").between(2, 11) & (F.size(starts) == 1)
+    season = F.when(one, F.transform(F.sequence(F.lit(0), F.size("months") - 1), lambda i: (starts[0] - 1 + i) % 12 + 1))
+    between = F.transform("pairs", lambda p: F.when(p["unit"] - p["before"] > 1, F.sequence(p["before"] + 1, p["unit"] - 1)).otherwise(F.array().cast("array<int>")))
+    off = F.transform(between, lambda ms: F.size(F.filter(ms, lambda m: ~F.array_contains(F.col("months"), m % 12 + 1))))
+    skipped = F.transform(between, lambda ms: F.size(F.filter(ms, lambda m: F.array_contains(F.col("months"), m % 12 + 1))))
+    quiet = 12 - F.size("months")
+    total = lambda xs: F.aggregate(xs, F.lit(0), lambda a, x: a + x)
+    crossings = F.size(F.filter(off, lambda x: x > 0))
+    rhythm = one & F.forall(off, lambda x: (x == 0) | (x == quiet)) & ((crossings >= 2) | (crossings == 1) & (quiet >= 3))
+    steady = (total(skipped) <= budget) & (F.size(F.filter(skipped, lambda x: x == 0)) * 2 > F.size("pairs"))
+    sums = sums.withColumns({"fits": F.coalesce(fits, F.lit(False)), "seasonal": F.coalesce((F.col("cadence") == "monthly") & (F.col("on_cycle") >= F.col("least")) & few & rhythm & steady, F.lit(False)), "season": F.array_join(season, ","), "share": share})
+    # a monthly series that skips months is seasonal if it can be; a season without a rhythm comes after all rhythms
+    wins = sums.where("fits OR seasonal").withColumn("rank", F.when(F.col("fits"), F.col("order")).otherwise(9)).withColumn("as_season", F.col("seasonal") & (~F.col("fits") | (F.col("missed") > 0)))
+    won = wins.groupBy(key).agg(F.min_by(F.struct("cadence", "on_cycle", F.when(F.col("as_season"), 1.0).otherwise(F.col("share")).alias("share"), "anchor", F.when(F.col("as_season"), F.col("season")).alias("season"), "months", "last", "as_season"), "rank").alias("w")).select(key, "w.*")
+    last = F.col("last.at")
+    month = lambda k: F.least(F.date_add(F.add_months(F.trunc(last, "month"), k), F.col("anchor") - 1), F.last_day(F.add_months(F.trunc(last, "month"), k)))
+    in_season = F.array_min(F.filter(F.array(*[month(k) for k in range(1, 13)]), lambda d: F.array_contains("months", F.month(d))))
+    ahead = F.when(F.col("as_season"), in_season).when(F.col("cadence") == "weekly", F.date_add(last, 7)).when(F.col("cadence") == "monthly", month(1)).when(F.col("cadence") == "quarterly", month(3)).otherwise(month(12))
+    every = days.groupBy(key).agg(F.count("*").alias("n"), F.max("day").alias("last_seen"))
+    out = every.join(won.withColumn("next_expected", ahead), key, "left")
+    return out.select(key, "cadence", "n", "on_cycle", "share", "anchor", "season", "last_seen", "next_expected")
 
 
 def next_expected(last_seen: Column, months: Column, today: Column) -> Column:
