@@ -34,7 +34,7 @@ from provena.operators.graph import connected_components
 
 OUTPUTS = ("group_id", "class_id", "n_copies", "n_links", "n_shingles")
 #: Documents of one side of a block pair.
-BLOCK = 128
+BLOCK = 64
 #: Distinct shingles compared at once in a task.
 COLUMNS = 4096
 #: Prefix length of the shallowest trie level, and members beyond which a node counts as crowded.
