@@ -26,3 +26,9 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
 def load() -> None:
     """Import the modules that register queries."""
     from provena.plans import close_queries, event_queries, link_queries, matching_queries, money_queries, source_queries, text_queries  # noqa: F401
+
+
+def catalog() -> list[dict]:
+    """The named queries as a callable surface: name, what it answers, and whether SQL says the same."""
+    load()
+    return [{"name": n, "answers": (q.__doc__ or "").strip().split("\n")[0], "has_sql": n in ORACLES} for n, q in sorted(QUERIES.items())]
