@@ -254,3 +254,31 @@ def column_layout(boxes: DataFrame, *, gap: float = 20.0) -> DataFrame:
     reach = F.max("x1").over(w.rowsBetween(W.unboundedPreceding, -1))
     begins = boxes.withColumn("__new", F.when(F.col("x0") - reach >= gap, 1).otherwise(0))
     return begins.withColumn("column", (F.sum("__new").over(w.rowsBetween(W.unboundedPreceding, 0)) + 1).cast("bigint")).drop("__new")
+
+
+def field_consensus(observations: DataFrame) -> DataFrame:
+    """What the readers of a field agree on: distinct voters (channels) for each value, and what decides.
+
+    Anchors (high-rank methods) decide where all of them say the same; where they differ nothing is decided. Without
+    anchors a value needs more than half of the voting channels. Consensus is never more than ``agreed``.
+    """
+    rank = F.element_at(_map([(k, F.lit(v)) for k, v in METHOD_RANK.items()]), F.col("method"))
+    votes = observations.where("value IS NOT NULL").select("document", "field", "value", channel().alias("channel"), (rank >= HIGH_RANK).alias("anchor")).distinct()
+    by_value = votes.groupBy("document", "field", "value").agg(F.count_distinct("channel").alias("voters"), F.count_if("anchor").alias("anchors"))
+    agg = by_value.groupBy("document", "field").agg(F.sum("voters").alias("all"), F.max(F.struct("voters", "value")).alias("top"), F.count_if(F.col("anchors") > 0).alias("anchored"), F.max(F.when(F.col("anchors") > 0, F.col("value"))).alias("by_anchor"))
+    majority = F.col("top.voters") * 2 > F.col("all")
+    how = F.when(F.col("anchored") > 1, "anchors_differ").when(F.col("anchored") == 1, "anchor").when(majority, "majority").otherwise("split")
+    value = F.when(F.col("anchored") == 1, F.col("by_anchor")).when((F.col("anchored") == 0) & majority, F.col("top.value"))
+    return agg.select("document", "field", how.alias("how"), value.alias("value"), F.col("all").alias("voters"))
+
+
+def net_vat(lines: DataFrame) -> DataFrame:
+    """Tax by month and direction, credit notes negative, and advances taken off by the invoice that settles them.
+
+    ``lines`` (month, direction, kind, vat, settles): kind is invoice, credit_note or advance; an invoice that
+    ``settles`` advances states their tax there, which is not counted twice.
+    """
+    sign = F.when(F.col("kind") == "credit_note", -1).otherwise(1)
+    own = (F.abs("vat") * sign - F.when(F.col("kind") == "invoice", F.coalesce("settles", F.lit(0))).otherwise(0)).cast("decimal(18,2)")
+    agg = lines.groupBy("month").agg(F.coalesce(F.sum(F.when(F.col("direction") == "sale", own)), F.lit(0)).cast("decimal(28,2)").alias("charged"), F.coalesce(F.sum(F.when(F.col("direction") == "purchase", own)), F.lit(0)).cast("decimal(28,2)").alias("deductible"))
+    return agg.withColumn("to_pay", (F.col("charged") - F.col("deductible")).cast("decimal(28,2)"))

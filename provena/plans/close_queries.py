@@ -343,3 +343,63 @@ def open_obligations(spark: SparkSession, sf_dir: str) -> DataFrame:
     o = doc(spark, sf_dir).withColumn("due_on", F.date_add("issue_date", 30)).join(payment(spark, sf_dir).select(F.col("pay_id").alias("id")), "id", "left_anti")
     state = F.when(F.col("due_on") <= today, "open_this_month").when(F.col("due_on") <= F.date_add(today, 14), "due_soon").otherwise("later")
     return o.select("id", state.alias("state"), F.datediff("due_on", today).cast("bigint").alias("days_left"), (F.col("gross") >= 5000).alias("high_value"))
+
+
+@query(
+    with_ctes(DOC, OBSERVED.strip())
+    + """
+, v AS (SELECT DISTINCT document, field, value, CASE WHEN method IN ('ocr', 'vlm') THEN method || ':' || split_part(source, '@', -1) ELSE method END AS channel, method = 'structured_xml' AS anchor FROM o),
+b AS (SELECT document, field, value, count(DISTINCT channel) AS voters, count(*) FILTER (anchor) AS anchors FROM v GROUP BY ALL),
+a AS (SELECT document, field, sum(voters) AS voters, arg_max(value, (voters, value)) AS top, max(voters) AS most, count(*) FILTER (anchors > 0) AS anchored, max(value) FILTER (anchors > 0) AS by_anchor FROM b GROUP BY ALL)
+SELECT document, field, CASE WHEN anchored > 1 THEN 'anchors_differ' WHEN anchored = 1 THEN 'anchor' WHEN most * 2 > voters THEN 'majority' ELSE 'split' END AS how,
+       CASE WHEN anchored = 1 THEN by_anchor WHEN anchored = 0 AND most * 2 > voters THEN top END AS value, voters::BIGINT AS voters FROM a"""
+)
+def field_consensus(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the readers of a field agree on, by anchors or a strict majority of independent channels."""
+    return C.field_consensus(C.merge_observations(*_observations(spark, sf_dir)))
+
+
+@query(
+    with_ctes(DOC)
+    + """
+, l AS (SELECT strftime(issue_date, '%Y-%m') AS month, CASE WHEN party % 2 = 0 THEN 'sale' ELSE 'purchase' END AS direction, CASE WHEN id % 9 = 0 THEN 'credit_note' WHEN id % 7 = 0 THEN 'advance' ELSE 'invoice' END AS kind,
+  CAST(round(gross * CAST(0.2 AS DECIMAL(3,2)), 2) AS DECIMAL(18,2)) AS vat, CASE WHEN id % 7 = 1 THEN CAST(1.00 AS DECIMAL(18,2)) END AS settles FROM doc),
+o AS (SELECT month, direction, vat * CASE kind WHEN 'credit_note' THEN -1 ELSE 1 END - CASE WHEN kind = 'invoice' THEN coalesce(settles, 0) ELSE 0 END AS own FROM l),
+a AS (SELECT month, CAST(coalesce(sum(own) FILTER (direction = 'sale'), 0) AS DECIMAL(28,2)) AS charged, CAST(coalesce(sum(own) FILTER (direction = 'purchase'), 0) AS DECIMAL(28,2)) AS deductible FROM o GROUP BY month)
+SELECT month, charged, deductible, CAST(charged - deductible AS DECIMAL(28,2)) AS to_pay FROM a"""
+)
+def vat_to_pay(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tax to pay by month: sales less purchases, credit notes negative, advances not counted twice."""
+    i = F.col("id")
+    kind = F.when(i % 9 == 0, "credit_note").when(i % 7 == 0, "advance").otherwise("invoice")
+    lines = doc(spark, sf_dir).select(F.date_format("issue_date", "yyyy-MM").alias("month"), F.when(F.col("party") % 2 == 0, "sale").otherwise("purchase").alias("direction"), kind.alias("kind"), F.round(F.col("gross") * F.lit("0.2").cast("decimal(3,2)"), 2).cast(MONEY).alias("vat"), F.when(i % 7 == 1, F.lit("1.00").cast(MONEY)).alias("settles"))
+    return C.net_vat(lines)
+
+
+@query(
+    with_ctes(DOC)
+    + """
+SELECT id, CASE WHEN id % 10 = 0 THEN 'a payment to a person' ELSE 'Party ' || party END AS counterparty, id % 10 = 0 AS hidden FROM doc WHERE party % 3 = 0 AND (id % 4 = 0 OR party % 2 = 0)"""
+)
+def visible_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a principal of one tenant and company sees: its own and shared rows, sensitive ones as a summary only."""
+    from provena.operators.selection import scrub, visible_to
+
+    rows = doc(spark, sf_dir).select("id", F.concat(F.lit("t"), F.col("party") % 3).alias("tenant_id"), F.when(F.col("id") % 4 != 0, F.concat(F.lit("c"), F.col("party") % 2)).alias("company_id"), F.concat(F.lit("Party "), "party").alias("counterparty"))
+    seen = scrub(visible_to(rows, "t0", ["c0"]), rows.where("id % 10 = 0"), "id", ["counterparty"], "a payment to a person")
+    return seen.select("id", "counterparty", (F.col("id") % 10 == 0).alias("hidden"))
+
+
+@query(
+    with_ctes(DOC)
+    + """
+, p AS (SELECT party, day(min(issue_date)) AS usual_day, arg_min(gross, (issue_date, id)) AS usual FROM doc GROUP BY party)
+SELECT id, abs(gross - usual) <= abs(usual) * 0.1::DOUBLE AND least(abs(day(issue_date) - usual_day), 31 - abs(day(issue_date) - usual_day)) <= 4 AS fits FROM doc JOIN p ON doc.party = p.party"""
+)
+def pattern_fits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether a document's amount and day of the month fit its party's first one, round the month."""
+    from provena.operators.selection import pattern_fits as fits
+
+    d = doc(spark, sf_dir)
+    usual = d.groupBy("party").agg(F.dayofmonth(F.min("issue_date")).alias("usual_day"), F.min_by("gross", F.struct("issue_date", "id")).alias("usual"))
+    return d.join(usual, "party").select("id", fits(F.col("issue_date"), F.col("gross"), F.col("usual_day"), F.col("usual")).alias("fits"))

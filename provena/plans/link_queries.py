@@ -375,3 +375,42 @@ def cash_deposits_fifo(spark: SparkSession, sf_dir: str) -> DataFrame:
     days = t.where("kind = 'purchase'").groupBy("account", F.col("booked_on").alias("day")).agg((-F.sum("amount")).cast(MONEY).alias("cash"))
     deposits = t.where("kind = 'signup' AND amount > 0").select("account", "id", F.col("booked_on").alias("day"), "amount")
     return _fifo_deposits(days, deposits, "account")
+
+
+@query(
+    with_ctes(DOC)
+    + """
+, p AS (SELECT id AS pay, party, gross AS amount, issue_date AS paid_on FROM doc WHERE id % 3 = 0),
+r AS (SELECT id AS ret, party, gross AS amount, issue_date + CAST(id % 70 AS INTEGER) AS back_on FROM doc WHERE id % 6 = 0),
+j AS (SELECT pay, ret, back_on - paid_on AS days FROM p JOIN r ON p.party = r.party AND p.amount = r.amount),
+a AS (SELECT *, count(*) OVER (PARTITION BY pay) + count(*) OVER (PARTITION BY ret) AS n FROM j WHERE days BETWEEN 0 AND 60),
+b AS (SELECT *, count(*) OVER (PARTITION BY pay) + count(*) OVER (PARTITION BY ret) AS n FROM j WHERE days BETWEEN 0 AND 14)
+SELECT pay, ret, days::BIGINT AS days, 1 AS "window" FROM a WHERE n = 2
+UNION ALL SELECT pay, ret, days, 2 FROM b WHERE n = 2 AND pay NOT IN (SELECT pay FROM a WHERE n = 2) AND ret NOT IN (SELECT ret FROM a WHERE n = 2)"""
+)
+def returned_debits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Debits that came back and the payment each one undoes: alone within 60 days, else alone within 14."""
+    d = doc(spark, sf_dir)
+    paid = d.where("id % 3 = 0").select(F.col("id").alias("pay"), "party", F.col("gross").alias("amount"), F.col("issue_date").alias("paid_on"))
+    back = d.where("id % 6 = 0").select(F.col("id").alias("ret"), "party", F.col("gross").alias("amount"), F.date_add("issue_date", (F.col("id") % 70).cast("int")).alias("back_on"))
+    found = L.unique_within(paid, back, ["party", "amount"], "pay", "ret", F.datediff("back_on", "paid_on"), [(0, 60), (0, 14)])
+    return found.select("pay", "ret", F.col("days").cast("bigint").alias("days"), "window")
+
+
+@query(
+    with_ctes(DOC)
+    + """
+, l AS (SELECT id AS lease, n + 1 AS instalment, party, gross AS amount, CAST(issue_date + to_months(CAST(n AS INTEGER)) AS DATE) AS due_on FROM doc, range(6) r(n) WHERE id % 20 = 0),
+p AS (SELECT lease * 10 + instalment AS pay, party, amount, due_on + CAST((lease + instalment * 3) % 14 AS INTEGER) AS booked_on FROM l WHERE instalment <> 2),
+j AS (SELECT pay, lease, instalment, booked_on - due_on AS days FROM p JOIN l ON p.party = l.party AND p.amount = l.amount WHERE abs(booked_on - due_on) <= 10),
+u AS (SELECT *, count(*) OVER (PARTITION BY pay) + count(*) OVER (PARTITION BY lease, instalment) AS n FROM j)
+SELECT pay, lease, instalment::BIGINT AS instalment, days::BIGINT AS days FROM u WHERE n = 2"""
+)
+def lease_payments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lease instalments and the payment of each, of equal amount within ten days, where exactly one fits."""
+    n = F.explode(F.sequence(F.lit(1), F.lit(6))).alias("instalment")
+    plan = doc(spark, sf_dir).where("id % 20 = 0").select(F.col("id").alias("lease"), "party", F.col("gross").alias("amount"), "issue_date", n).withColumn("due_on", F.add_months("issue_date", F.col("instalment") - 1))
+    paid = plan.where("instalment != 2").select((F.col("lease") * 10 + F.col("instalment")).alias("pay"), "party", "amount", F.date_add("due_on", ((F.col("lease") + F.col("instalment") * 3) % 14).cast("int")).alias("booked_on"))
+    line = F.struct("lease", "instalment")
+    found = L.unique_within(paid, plan.withColumn("line", line), ["party", "amount"], "pay", "line", F.datediff("booked_on", "due_on"), [(-10, 10)])
+    return found.select("pay", "line.lease", F.col("line.instalment").cast("bigint").alias("instalment"), F.col("days").cast("bigint").alias("days"))
