@@ -292,14 +292,24 @@ def check_digits(spark: SparkSession, sf: str) -> DataFrame:
     return d.select("id", "digits", K.luhn_ok("digits").alias("luhn"), K.mod97("digits").cast("bigint").alias("remainder"))
 
 
-AMOUNTS = ["1.234,56", "1,234.56", "1.234", "12,5", "-12.30", "(99,90)", "EUR 1 000,00", "1.2.3", "abc", "0,01", "1,234", "10.000.000"]
-
-
-@query()
+@query("""
+WITH o AS (SELECT o_orderkey AS id, CAST(o_totalprice AS DECIMAL(18,2)) AS g FROM orders)
+SELECT id, CASE id % 7 WHEN 6 THEN 0 ELSE 1 END::BIGINT AS n_readings, CASE WHEN id % 7 IN (2, 4) THEN CAST(-g AS DECIMAL(18,2)) WHEN id % 7 = 5 THEN CAST(floor(g) AS DECIMAL(18,2)) WHEN id % 7 = 6 THEN NULL ELSE g END AS amount FROM o""")
 def amount_parse(spark: SparkSession, sf: str) -> DataFrame:
-    """Every amount that a written number may mean."""
-    rows = spark.createDataFrame([(i, a) for i, a in enumerate(AMOUNTS)], "id int, written string")
-    return rows.select("id", "written", Y.amount_readings("written").alias("readings"))
+    """Each order's total written in seven ways (marks, brackets, signs, currency, no amount) and what it may mean."""
+    k, g = F.col("o_orderkey") % 7, F.col("o_totalprice").cast("decimal(18,2)")
+    marked, comma = F.format_number(g, 2), F.translate(F.format_number(g, 2), ",.", ".,")
+    written = (
+        F.when(k == 0, marked)
+        .when(k == 1, F.concat(F.lit("EUR "), comma))
+        .when(k == 2, F.concat(F.lit("("), comma, F.lit(")")))
+        .when(k == 3, F.concat(F.replace(g.cast("string"), F.lit("."), F.lit(",")), F.lit(" €")))
+        .when(k == 4, F.concat(g.cast("string"), F.lit("-")))
+        .when(k == 5, F.format_number(F.floor(g), 0))
+        .otherwise(F.concat(F.lit("no. "), "o_orderkey", F.lit("/x1.2.3")))
+    )
+    found = table(spark, sf, "orders").select(F.col("o_orderkey").alias("id"), Y.amount_readings(written).alias("r"))
+    return found.select("id", F.size("r").cast("bigint").alias("n_readings"), F.get("r", F.lit(0)).alias("amount"))
 
 
 @query()
