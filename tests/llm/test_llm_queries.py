@@ -52,3 +52,29 @@ def test_pipeline_on_odd_rows(spark, sf, odd, none):
             assert out.count() >= 0
             if k < 4:
                 assert out.columns == docs.columns
+
+
+def test_pipeline_against_brute_force(spark, sf):
+    from test_line_dedup import brute as brute_lines
+    from test_near_duplicates import brute as brute_groups
+    from test_text_operators import brute_hits, brute_quality
+
+    from provena.llm.mixing import mix_sources
+
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    rows = [tuple(r) for r in docs.select("doc_id", "text", "lang", "source", "n_chars").collect()]
+    assert len({r[0] for r in rows}) == len(rows)
+    rest = {r[0]: r[2:] for r in rows}
+    texts = {q[0]: q[-1] for q in brute_quality(rows, 30, 0.03) if q[-2]}
+    assert 0 < len(texts) < len(rows)
+    texts = {q[0]: q[1] for q in brute_lines([(i, t, *rest[i]) for i, t in texts.items()])}
+    groups = brute_groups(list(texts.items()))
+    assert any(g[0] != i for i, g in groups.items())
+    texts = {i: t for i, t in texts.items() if groups[i][0] == i}
+    items = [(r.item_id, r.text) for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect()]
+    flagged = {h[0] for h in brute_hits(list(texts.items()), items) if h[-1]}
+    assert flagged
+    left = [(i, t, *rest[i][:2], len(t)) for i, t in texts.items() if i not in flagged]
+    want = mix_sources(spark.createDataFrame(left, "doc_id long, text string, lang string, source string, n_chars long"))
+    got = corpus_pipeline.run(spark, sf)
+    assert sorted(map(str, got.select(want.columns).collect())) == sorted(map(str, want.collect()))
