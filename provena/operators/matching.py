@@ -321,20 +321,24 @@ def replies(turns: DataFrame, thread: str, order: str, role: str) -> DataFrame:
     return runs.withColumn("answers", F.first("__before").over(W.partitionBy(thread, "__run").orderBy(order).rowsBetween(W.unboundedPreceding, 0))).drop("__before", "__new", "__run")
 
 
-def cosine_top_k(rows: DataFrame, queries: DataFrame, id_col: str, vector: str, k: int) -> DataFrame:
-    """Exact cosine neighbours of a bounded set of query vectors among all rows.
+def cosine_top_k(rows: DataFrame, queries: DataFrame, id_col: str, vector: str, k: int, *, block: int = 2000) -> DataFrame:
+    """Exact cosine neighbours of query vectors among all rows.
 
-    Each side's vectors are normalised once; the queries must be few (they are broadcast), the rows may be any
-    number: every task keeps its own best k of each query before the shuffle. A zero or null vector has no direction:
-    it finds nothing and is not found.
+    Each side's vectors are normalised once. Queries are counted and broadcast in blocks of about ``block``, so what is
+    broadcast doesn't grow with them; the rows may be any number and are never moved: every task keeps its own best k
+    of each query before the shuffle. A zero or null vector has no direction: it finds nothing and is not found.
     """
     size = lambda v: F.sqrt(F.aggregate(v, F.lit(0.0), lambda a, y: a + y.cast("double") * y.cast("double")))
     unit = lambda v: F.transform(F.array(size(v)), lambda n: F.transform(v, lambda x: x.cast("double") / n))[0]
     some = size(F.col(vector)) > 0
     a = queries.where(some).select(F.col(id_col).alias("query_id"), unit(F.col(vector)).alias("q"))
     b = rows.where(some).select(F.col(id_col).alias("found_id"), unit(F.col(vector)).alias("f"))
-    pairs = b.join(F.broadcast(a), F.col("query_id") != F.col("found_id"))
+    blocks = max(1, -(-a.count() // block))
     cosine = F.aggregate(F.zip_with("q", "f", lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
-    scored = pairs.select("query_id", "found_id", F.round(cosine, 6).alias("cosine"))
     w = W.partitionBy("query_id").orderBy(F.col("cosine").desc(), "found_id")
-    return scored.withColumn("rank", F.row_number().over(w).cast("bigint")).where(F.col("rank") <= k)
+
+    def best(some_queries: DataFrame) -> DataFrame:
+        scored = b.join(F.broadcast(some_queries), F.col("query_id") != F.col("found_id")).select("query_id", "found_id", F.round(cosine, 6).alias("cosine"))
+        return scored.withColumn("rank", F.row_number().over(w).cast("bigint")).where(F.col("rank") <= k)
+
+    return reduce(DataFrame.unionByName, [best(a.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == n) if blocks > 1 else a) for n in range(blocks)])

@@ -104,3 +104,13 @@ def test_hmac_and_digests(spark):
 def test_product_keys_and_verdicts(spark):
     got = spark.range(1).select(X.product_key(F.lit("Azeite Virgem 1,5 L")), X.product_key(F.lit("virgem azeite 6x33cl")), N.easter(F.lit(2024)), N.counterparty_key(F.lit("PAYPAL *ADOBE 402-935-9800")), N.counterparty_key(F.lit("Hazel Tree, Lda.")), N.counterparty_key(F.lit("S.A."))).first()
     assert list(got) == ["azeite virgem", "azeite virgem", date(2024, 3, 31), "adobe", "hazel tree", "sa"]
+
+
+def test_neighbours_in_blocks_of_queries(spark):
+    r = random.Random(6)
+    rows = [(i, [r.random() - 0.5 for _ in range(4)]) for i in range(60)] + [(100, [0.0] * 4), (101, None)]
+    df = spark.createDataFrame(rows, "id int, v array<double>")
+    key = lambda d: sorted(map(tuple, d.collect()))
+    got = key(M.cosine_top_k(df, df.where("id % 5 = 0"), "id", "v", 3))
+    assert got == key(M.cosine_top_k(df, df.where("id % 5 = 0"), "id", "v", 3, block=4))
+    assert len(got) == 36 and not {100, 101} & {x for row in got for x in row[:2]}
