@@ -26,7 +26,6 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from provena.llm.common import join_sized, without, write_table
 from provena.llm.wordarrays import Words, mix, text_slices
@@ -246,21 +245,20 @@ def near_duplicates(
     near = sizes.select("grp", "span", "blocks").join(sizes.select("grp", F.col("span").alias("other_span"), F.col("blocks").alias("other_blocks")), "grp").where(F.abs(F.col("span") - F.col("other_span")) <= 1)
     parts = F.transform(F.sequence(F.lit(0), F.col("other_blocks") - 1), lambda k: F.struct(F.col("other_span").alias("span"), k.alias("part")))
     near = write_table(near.groupBy("grp", "span", "blocks").agg(F.flatten(F.collect_list(parts)).alias("others")), "block-pairs")
-    dealt = join_sized(candidates, near, ["grp", "span"], "inner").withColumn("blk", F.struct("span", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int").alias("part")))
-    dealt = write_table(dealt.select("id", "grp", "members", "blk", "others"), "dealt")
-    held = docs.join(dealt, "id")
+    # the texts meet a narrow table of candidates, their sets the block pairs: neither is wide where it is broadcast
+    dealt = write_table(candidates.select("id", "grp", "span", "members"), "dealt")
+    held = join_sized(docs, dealt, "id", "inner")
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in text_slices(batches, "text"):
             made = [s.tobytes() for s in shingle_sets(Words(batch.column("text")), shingle)]
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in held_columns), pa.array(made, pa.binary())], [*held_columns, "shingles"])
 
-    held_columns = ["id", "grp", "members", "blk", "others"]
-    block_type = T.StructType([T.StructField("span", T.LongType()), T.StructField("part", T.IntegerType())])
-    kinds = T.StructType([*(T.StructField(c, T.LongType()) for c in held_columns[:3]), T.StructField("blk", block_type), T.StructField("others", T.ArrayType(block_type)), T.StructField("shingles", T.BinaryType())])
-    sets_of = held.select(*held_columns, "text").mapInArrow(sets, kinds)
+    held_columns = ["id", "grp", "span", "members"]
+    sets_of = held.select(*held_columns, "text").mapInArrow(sets, ", ".join([*(f"{c} long" for c in held_columns), "shingles binary"]))
+    told = join_sized(sets_of, near, ["grp", "span"], "inner").withColumn("blk", F.struct("span", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int").alias("part")))
     # a block meets another once: in the pair (smaller, larger)
-    pairs = sets_of.select("id", "grp", "blk", "members", "shingles", F.explode("others").alias("other")).withColumns({"i": F.least("blk", "other"), "j": F.greatest("blk", "other")})
+    pairs = told.select("id", "grp", "blk", "members", "shingles", F.explode("others").alias("other")).withColumns({"i": F.least("blk", "other"), "j": F.greatest("blk", "other")})
     pairs = pairs.select("id", "grp", "members", "shingles", "i", "j", F.expr("blk = i").alias("left"), F.expr("blk = j").alias("right"))
 
     def verify(table: pa.Table) -> pa.Table:
