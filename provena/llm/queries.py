@@ -232,6 +232,15 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return CompressionClassifier.fit(docs, labels).score(docs, threshold=0.3).select("doc_id", "held_out", "score", "predicted")
 
 
+def op12_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from provena.llm.token_files import token_file_round_trip
+
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    return token_file_round_trip(docs, str(public_tokenizers.path("word_bpe_49k.json")), end_id=2).select("doc_id", "start", "n_tokens", "ids_crc32")
+
+
 QUERIES = {
     "op1_line_dedup": op1_line_dedup,
     "op2_ngram_jaccard_join": op2_ngram_jaccard_join,
@@ -243,6 +252,7 @@ QUERIES = {
     "op8_substring_dedup": op8_substring_dedup,
     "op9_lm_scoring": op9_lm_scoring,
     "op10_quality_classifier": op10_quality_classifier,
+    "op12_token_files": op12_token_files,
 }
 ORACLES = {
     "op1_line_dedup": OP1_SQL,
