@@ -232,6 +232,59 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return CompressionClassifier.fit(docs, labels).score(docs, threshold=0.3).select("doc_id", "held_out", "score", "predicted")
 
 
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from provena.llm.line_dedup import LOWER, UPPER
+    from provena.llm.merkle import build_manifest, proofs, row_digest
+
+    docs = _table(spark, sf_dir, "documents")
+    columns = ["doc_id", "source", "lang", "n_chars", "text"]
+    tampered = [F.translate("text", UPPER, LOWER) if c == "text" else F.col(c) for c in columns]
+    altered = F.when(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 0, row_digest(*tampered))
+    return proofs(build_manifest(docs, columns, altered=altered)).withColumnRenamed("id", "doc_id")
+
+
+OP11_SQL = r"""
+WITH RECURSIVE
+b AS (
+  SELECT *, list_reduce(list_concat([4294967295::BIGINT], list_transform(string_split(doc_id::VARCHAR, ''), lambda c: ascii(c)::BIGINT)),
+    lambda crc, byte: list_reduce(list_concat([xor(crc, byte)], [0::BIGINT, 0, 0, 0, 0, 0, 0, 0]),
+      lambda x, z: CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384) ELSE x >> 1 END)) AS crc
+  FROM documents),
+f AS (
+  SELECT *, coalesce(strlen(doc_id::VARCHAR) || ':' || doc_id, '-') || coalesce(strlen(source) || ':' || source, '-')
+         || coalesce(strlen(lang) || ':' || lang, '-') || coalesce(strlen(n_chars::VARCHAR) || ':' || n_chars, '-') AS head,
+         CASE WHEN xor(crc, 4294967295) % 3 = 0 THEN translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') ELSE text END AS other
+  FROM b),
+d AS (
+  SELECT doc_id, dense_rank() OVER (ORDER BY lang NULLS FIRST) - 1 AS tr,
+         row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST) - 1 AS i, count(*) OVER (PARTITION BY lang) AS w,
+         sha256(head || coalesce(strlen(text) || ':' || text, '-')) AS leaf, sha256(head || coalesce(strlen(other) || ':' || other, '-')) AS used
+  FROM f),
+t(tr, lvl, i, h, w) AS (
+  SELECT tr, 0, i, leaf, w FROM d
+  UNION ALL
+  SELECT tr, lvl + 1, i // 8, sha256(string_agg(h, '' ORDER BY i)), (any_value(w) + 7) // 8 FROM t WHERE w > 1 GROUP BY tr, lvl, i // 8),
+sub AS (SELECT tr, h FROM t WHERE w = 1),
+u(lvl, i, h, w) AS (
+  SELECT 0, tr, h, (SELECT count(*) FROM sub) FROM sub
+  UNION ALL
+  SELECT lvl + 1, i // 8, sha256(string_agg(h, '' ORDER BY i)), (any_value(w) + 7) // 8 FROM u WHERE w > 1 GROUP BY lvl, i // 8),
+n AS (SELECT tr, lvl, i, h, w FROM t UNION ALL SELECT -1, lvl, i, h, w FROM u),
+r AS (SELECT tr, lvl, i // 8 AS g, list(h ORDER BY i) AS hs FROM n WHERE w > 1 GROUP BY tr, lvl, i // 8),
+p(doc_id, tr, lvl, i, w, proof, cur) AS (
+  SELECT doc_id, tr, 0, i, w, '', used FROM d
+  UNION ALL
+  SELECT doc_id, CASE WHEN p.w = 1 THEN -1 ELSE p.tr END, CASE WHEN p.w = 1 THEN 0 ELSE p.lvl + 1 END,
+         CASE WHEN p.w = 1 THEN p.tr ELSE p.i // 8 END, CASE WHEN p.w = 1 THEN (SELECT count(*) FROM sub) ELSE (p.w + 7) // 8 END,
+         CASE WHEN p.w = 1 THEN proof ELSE proof || array_to_string(r.hs[:p.i % 8], '') || array_to_string(r.hs[p.i % 8 + 2:], '') END,
+         CASE WHEN p.w = 1 THEN cur ELSE sha256(array_to_string(r.hs[:p.i % 8], '') || cur || array_to_string(r.hs[p.i % 8 + 2:], '')) END
+  FROM p LEFT JOIN r ON p.tr = r.tr AND p.lvl = r.lvl AND p.i // 8 = r.g
+  WHERE p.w > 1 OR p.tr >= 0)
+SELECT d.doc_id, d.leaf, sub.h AS subroot, root.h AS root, sha256(p.proof) AS proof_sha256, p.cur AS folded_root, p.cur = root.h AS verified
+FROM d JOIN sub ON d.tr = sub.tr JOIN p ON d.doc_id = p.doc_id AND p.tr = -1 AND p.w = 1, (SELECT h FROM u WHERE w = 1) root
+"""
+
+
 def op12_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -252,6 +305,7 @@ QUERIES = {
     "op8_substring_dedup": op8_substring_dedup,
     "op9_lm_scoring": op9_lm_scoring,
     "op10_quality_classifier": op10_quality_classifier,
+    "op11_merkle_manifest": op11_merkle_manifest,
     "op12_token_files": op12_token_files,
 }
 ORACLES = {
@@ -262,4 +316,5 @@ ORACLES = {
     "op7_quality_rules": OP7_SQL,
     "op8_substring_dedup": OP8_SQL,
     "op9_lm_scoring": OP9_SQL,
+    "op11_merkle_manifest": OP11_SQL,
 }
