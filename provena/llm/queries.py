@@ -294,6 +294,28 @@ def op12_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_file_round_trip(docs, str(public_tokenizers.path("word_bpe_49k.json")), end_id=2).select("doc_id", "start", "n_tokens", "ids_crc32")
 
 
+def op13_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from provena.llm.tiered_search import ranked_search
+
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    return ranked_search(docs, _table(spark, sf_dir, "benchmark"), k=10).select("item_id", "rank", "doc_id", "score")
+
+
+OP13_SQL = r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM documents),
+b AS (SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM benchmark),
+s AS (SELECT count(*) AS n_docs, sum(len(w))::BIGINT AS total FROM d WHERE len(w) > 0),
+p AS (SELECT doc_id, t, count(*) AS tf, any_value(n) AS n FROM (SELECT doc_id, len(w)::BIGINT AS n, unnest(w) AS t FROM d) GROUP BY doc_id, t),
+w AS (SELECT t, floor(1000 * ln((2 * n_docs + 2) / (2 * df + 1)))::BIGINT AS weight FROM (SELECT t, count(*) AS df FROM p GROUP BY t), s),
+q AS (SELECT item_id, t, count(*) AS times FROM (SELECT item_id, unnest(w) AS t FROM b) GROUP BY item_id, t),
+r AS (
+  SELECT item_id, doc_id, sum(times * weight * ((1000000000 * tf) // (1000 * tf + 8 * (25 + (75 * n * n_docs) // total))))::BIGINT AS score
+  FROM q JOIN w ON q.t = w.t JOIN p ON q.t = p.t, s GROUP BY item_id, doc_id)
+SELECT item_id, rank, doc_id, score
+FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id)::INTEGER AS rank FROM r WHERE score > 0) WHERE rank <= 10
+"""
+
+
 QUERIES = {
     "op1_line_dedup": op1_line_dedup,
     "op2_ngram_jaccard_join": op2_ngram_jaccard_join,
@@ -307,6 +329,7 @@ QUERIES = {
     "op10_quality_classifier": op10_quality_classifier,
     "op11_merkle_manifest": op11_merkle_manifest,
     "op12_token_files": op12_token_files,
+    "op13_ranked_search": op13_ranked_search,
 }
 ORACLES = {
     "op1_line_dedup": OP1_SQL,
@@ -317,4 +340,5 @@ ORACLES = {
     "op8_substring_dedup": OP8_SQL,
     "op9_lm_scoring": OP9_SQL,
     "op11_merkle_manifest": OP11_SQL,
+    "op13_ranked_search": OP13_SQL,
 }
