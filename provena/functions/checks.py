@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 EMAIL = r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}"
 IBAN = r"\b[A-Z]{2}[0-9]{2}[A-Z0-9]{11,30}\b"
+PHONE = r"\+[0-9]{1,3}(?:[ .-]?[0-9]{2,4}){2,5}\b"
+ACCOUNT = r"\b[0-9]{4}[ ]?[0-9]{4}[ ]?[0-9]{11}[ ]?[0-9]{2}\b"
 CARD = r"\b[0-9]{4}[ -]?[0-9]{4}[ -]?[0-9]{4}[ -]?[0-9]{4}\b"
 
 

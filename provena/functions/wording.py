@@ -5,13 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from provena.functions.checks import CARD, EMAIL, IBAN
+from provena.functions.checks import ACCOUNT, CARD, EMAIL, IBAN, PHONE, iban_ok, luhn_ok, mod97
 from provena.functions.normalise import MONTHS, _map, phrase_in, skeleton
 from provena.functions.text import fold
 from provena.functions.web import registrable_domain
 
 #: Free mailbox providers, whose domains name nobody (fixed values).
-FREE_MAIL = "gmail.com outlook.com hotmail.com yahoo.com icloud.com sapo.pt live.com".split()
+FREE_MAIL = ["gmail.com", "outlook.com", "hotmail.com", "yahoo.com", "icloud.com", "sapo.pt", "live.com"]
 #: Wording of bank lines by rule, folded (fixed values).
 WORDS = {
     "card_repayment": ["pagamento cartao credito", "card repayment", "credit card payment", "liquidacao cartao"],
@@ -71,28 +71,52 @@ def domain_verdict(sender: Column | str, own_domain: Column | str) -> Column:
     return F.when(d == own, "known").when(d.isin(*FREE_MAIL), "free_mail").when(skeleton(d) == skeleton(own), "lookalike").otherwise("unknown")
 
 
+#: The mark that parts an opening bracket of the text itself from those of tokens.
+_APART = "\u200b"
+
+
+def _pii_kind(value: Column) -> Column:
+    """The kind of a found value; null where its check digits say that it is none."""
+    digits = F.regexp_replace(value, "[^0-9]", "")
+    return (
+        F.when(value.contains("@"), "email")
+        .when(value.rlike("^[A-Z]{2}[0-9]{2}"), F.when(iban_ok(value), "iban"))
+        .when(value.startswith("+"), F.when(F.length(digits).between(9, 15), "phone"))
+        .when(F.length(digits) == 21, F.when(mod97(digits) == 1, "bank_account"))
+        .otherwise(F.when(luhn_ok(digits), "card"))
+    )
+
+
 def redact(text: Column | str) -> Column:
-    """struct(text, tokens): mail addresses, IBANs and card numbers replaced by [[k]], and what they stood for, in order.
+    """struct(text, tokens, kinds): personal data replaced by [[k]], what each token stood for, and of which kind.
 
-    Brackets that are already there are doubled apart by a zero-width mark, so that :func:`restore` is exact.
+    Mail addresses, international phone numbers, and IBANs, 21-digit accounts and card numbers whose check digits are
+    right; equal values have one token. Texts are cut where the values were found, so nothing else is touched but
+    opening brackets: each is followed by a zero-width mark, by which :func:`restore` tells them from tokens.
     """
-    t = F.replace(F.coalesce(_col(text), F.lit("")), F.lit("[["), F.lit("[​["))
-    pattern = f"({EMAIL}|{IBAN}|{CARD})"
+    t = F.coalesce(_col(text), F.lit(""))
+    pattern = f"{EMAIL}|{IBAN}|{PHONE}|{ACCOUNT}|{CARD}"
+    plain = lambda c: F.replace(c, F.lit("["), F.lit("[" + _APART))
+
+    def made(found: Column) -> Column:
+        known = F.array_distinct(F.transform(F.filter(found, lambda f: f["kind"].isNotNull()), lambda f: f["value"]))
+        return F.transform(F.array(known), lambda tokens: put(found, tokens))[0]
 
-    def made(t: Column) -> Column:
-        found = F.array_distinct(F.regexp_extract_all(t, F.lit(pattern), 1))
-        numbered = F.transform(found, lambda v, i: F.struct(v.alias("value"), F.concat(F.lit("[["), i.cast("string"), F.lit("]]")).alias("token")))
-        # a longer value first: a shorter one may be part of it
-        ordered = F.array_sort(numbered, lambda a, b: F.length(b["value"]) - F.length(a["value"]))
-        return F.struct(F.aggregate(ordered, t, lambda done, v: F.replace(done, v["value"], v["token"])).alias("text"), found.alias("tokens"))
+    def put(found: Column, tokens: Column) -> Column:
+        told = F.transform(found, lambda f: F.when(f["kind"].isNull(), plain(f["value"])).otherwise(F.concat(F.lit("[["), (F.array_position(tokens, f["value"]) - 1).cast("string"), F.lit("]]"))))
+        parts = F.zip_with(F.split(t, pattern, -1), told, lambda a, b: F.concat(plain(a), F.coalesce(b, F.lit(""))))
+        return F.struct(F.array_join(parts, "").alias("text"), tokens.alias("tokens"), F.transform(tokens, _pii_kind).alias("kinds"))
 
-    return F.transform(F.array(t), made)[0]
+    values = F.transform(F.regexp_extract_all(t, F.lit(pattern), 0), lambda v: F.struct(v.alias("value"), _pii_kind(v).alias("kind")))
+    return F.transform(F.array(values), made)[0]
 
 
 def restore(text: Column | str, tokens: Column | str) -> Column:
     """The text before :func:`redact`."""
-    numbered = F.transform(_col(tokens), lambda v, i: F.struct(v.alias("value"), F.concat(F.lit("[["), i.cast("string"), F.lit("]]")).alias("token")))
-    return F.replace(F.aggregate(numbered, _col(text), lambda done, v: F.replace(done, v["token"], v["value"])), F.lit("[​["), F.lit("[["))
+    t, tokens = _col(text), _col(tokens)
+    mark = r"\[" + _APART + r"|\[\[[0-9]+\]\]"
+    meant = F.transform(F.regexp_extract_all(t, F.lit(mark), 0), lambda m: F.when(m == "[" + _APART, "[").otherwise(F.get(tokens, F.regexp_extract(m, "[0-9]+", 0).try_cast("int"))))
+    return F.array_join(F.zip_with(F.split(t, mark, -1), meant, lambda a, b: F.concat(a, F.coalesce(b, F.lit("")))), "")
 
 
 def expected_evidence(lines: DataFrame) -> DataFrame:
@@ -183,8 +207,8 @@ def period_of(question: Column | str, today: Column) -> Column:
     days = F.regexp_extract(t, r"last (\d+) days", 1).try_cast("int")
     quarter = F.regexp_extract(t, r"\bq([1-4])\b", 1).try_cast("int")
     of_quarter = F.add_months(year_start, (quarter - 1) * 3)
-    names = "|".join(sorted({n for all_ in MONTHS.values() for n in all_.split() if len(n) > 3 or n == "may"}, key=len, reverse=True))
-    number = F.try_element_at(_map([(n, F.lit(k)) for k, all_ in MONTHS.items() for n in all_.split()]), F.regexp_extract(t, rf"\b({names})\b", 1))
+    names = "|".join(sorted({n for all_ in MONTHS.values() for n in all_ if len(n) > 3 or n == "may"}, key=len, reverse=True))
+    number = F.try_element_at(_map([(n, F.lit(k)) for k, all_ in MONTHS.items() for n in all_]), F.regexp_extract(t, rf"\b({names})\b", 1))
     of_month = F.add_months(year_start, number - 1)
     of_month = F.when(of_month > today, F.add_months(of_month, -12)).otherwise(of_month)
     year = F.regexp_extract(t, r"\b((?:19|20)\d{2})\b", 1).try_cast("int")

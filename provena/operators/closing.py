@@ -156,14 +156,14 @@ def month_summary(activities: DataFrame, owner_time: DataFrame) -> DataFrame:
     """By entity and month: distinct subjects of each kind of activity, and the owner's minutes.
 
     Activities (entity, month, kind, actor, subject): retrieved documents count only where the system did it; one
-    without a subject counts by itself. Owner time (entity, month, seconds) without an entity counts for every one.
+    without a subject counts by itself. Owner time (entity, month, seconds) without an entity counts for every one; an entity with owner time only has its row.
     """
     alone = F.coalesce(F.col("subject").cast("string"), F.concat(F.lit("#"), F.col("id").cast("string")))
     of = lambda cond: F.count_distinct(F.when(cond, alone))
     kinds = activities.groupBy("entity", "month").agg(of((F.col("kind") == "retrieved") & (F.col("actor") == "system")).alias("retrieved"), of(F.col("kind") == "chased").alias("chased"), of(F.col("kind") == "resolved").alias("resolved"))
     own = owner_time.where("entity IS NOT NULL").groupBy("entity", "month").agg(F.sum("seconds").alias("own"))
     shared = owner_time.where("entity IS NULL").groupBy("month").agg(F.sum("seconds").alias("shared"))
-    told = kinds.join(own, ["entity", "month"], "left").join(shared, "month", "left")
+    told = kinds.join(own, ["entity", "month"], "full").join(shared, "month", "left").fillna(0, ["retrieved", "chased", "resolved"])
     minutes = F.ceil((F.coalesce("own", F.lit(0)) + F.coalesce("shared", F.lit(0))) / 60).cast("bigint")
     return told.select("entity", "month", "retrieved", "chased", "resolved", minutes.alias("owner_minutes"))
 

@@ -14,7 +14,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from provena.functions.text import fold, name_similarity
-from provena.operators.matching import as_of
+from provena.operators.matching import as_of, greedy_one_to_one
 
 #: From worst to best (fixed values).
 RELATIONS = ("different", "different_name", "unclear", "unknown", "similar", "same", "same_vat")
@@ -117,7 +117,7 @@ def check_statement(lines: DataFrame, documents: DataFrame, payments: DataFrame,
     """A supplier's lines (party, row, number, on, amount, is_payment) against our documents and payments.
 
     By number first (another amount ``differs``), then a unique equal amount within ``near`` days unless both sides
-    carry numbers, then payments of equal amount within ``pay_near`` days, each used once, nearest first. Returns
+    carry numbers, then payments of equal amount within ``pay_near`` days, each used once, nearest first until none is left to take. Returns
     party, row, outcome, ours.
     """
     bills = lines.where("NOT is_payment")
@@ -128,9 +128,8 @@ def check_statement(lines: DataFrame, documents: DataFrame, payments: DataFrame,
     pairs = rest.join(free.withColumn("amount", F.col("own_amount")), ["party", "amount"]).where((F.abs(F.datediff("on", "own_on")) <= near) & (F.col("number").isNull() | F.col("own_number").isNull()))
     by_amount = without_rivals(pairs.withColumn("line", F.struct("party", "row")), "line", "ours").where("rivals = 0").select("party", "row", "ours", F.lit("matched").alias("outcome"))
     paid = lines.where("is_payment").join(payments.select("party", "amount", F.col("id").alias("ours"), F.col("on").alias("own_on")), ["party", "amount"]).withColumn("apart", F.abs(F.datediff("on", "own_on"))).where(F.col("apart") <= pay_near)
-    # equal amounts of one party are few; the k-th nearest line takes the k-th nearest payment of what both leave over
-    first = paid.withColumns({"__l": F.row_number().over(W.partitionBy("party", "row").orderBy("apart", "ours")), "__p": F.row_number().over(W.partitionBy("ours").orderBy("apart", "row"))})
-    taken = first.where("__l = 1 AND __p = 1").select("party", "row", "ours", F.lit("paid").alias("outcome"))
+    pairs = paid.select(F.struct("party", "row").alias("line"), "ours", "apart")
+    taken = greedy_one_to_one(pairs, "line", "ours", [("apart", True)]).select("line.party", "line.row", "ours", F.lit("paid").alias("outcome"))
     found = by_number.unionByName(by_amount).unionByName(taken)
     return lines.select("party", "row").join(found, ["party", "row"], "left").withColumn("outcome", F.coalesce("outcome", F.lit("not_found")))
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from decimal import Context, Decimal
 from functools import reduce
 
 import pandas as pd
@@ -96,23 +97,32 @@ def greedy_one_to_one(candidates: DataFrame, left: str, right: str, order: Seque
     return reduce(DataFrame.unionByName, taken).drop("__at") if taken else candidates.limit(0)
 
 
-def subset_sums(groups: DataFrame, key: str, target: str, item: str, amount: str, *, most: int = 6, pool: int = 20, solutions: int = 8, nodes: int = 50_000) -> DataFrame:
+def _whole_numbers(amounts: Sequence) -> list[int]:
+    """Decimal amounts in units of their smallest decimal place: exact, whatever their size."""
+    exact = [a if isinstance(a, Decimal) else Decimal(str(a)) for a in amounts]
+    places = max(0, *(-a.as_tuple().exponent for a in exact))
+    return [int(a.scaleb(places, Context(prec=60))) for a in exact]
+
+
+def subset_sums(groups: DataFrame, key: str, target: str, item: str, amount: str, *, near: str | None = None, most: int = 6, pool: int = 20, solutions: int = 8, nodes: int = 50_000) -> DataFrame:
     """For each key the sets of two to ``most`` items that sum to its target exactly.
 
-    ``groups`` has a row for each (key, item), the target repeated. Items are tried in order of id, at most ``pool``
-    of them; sums that can no longer reach the target are cut off by the smallest and largest sums of what is left.
+    ``groups`` has a row for each (key, item), the target repeated. Of more than ``pool`` items those with the
+    smallest ``near`` (days from the target) are tried, or those with the smallest ids without it; sums are of whole
+    numbers of the smallest decimal place; sums that can no longer reach the target are cut off by the smallest and largest sums of what is left.
     ``capped`` says that a bound ended the search, so an answer may be missing. Returns key, items (sorted),
     n_items, capped; a capped key without an answer has a row with null items.
     """
 
     def search(group: pd.DataFrame) -> list[tuple]:
-        ids = group[item].tolist()[:pool]
-        cents = [int(round(float(x) * 100)) for x in group[amount].tolist()[:pool]]
-        goal = int(round(float(group[target].iloc[0]) * 100))
+        capped = len(group) > pool
+        group = group.head(pool).sort_values(item, kind="stable")
+        ids = group[item].tolist()
+        *cents, goal = _whole_numbers([*group[amount], group[target].iloc[0]])
         low, high = [0] * (len(cents) + 1), [0] * (len(cents) + 1)
         for i in range(len(cents) - 1, -1, -1):
             low[i], high[i] = low[i + 1] + min(0, cents[i]), high[i + 1] + max(0, cents[i])
-        found, visited, capped = [], 0, len(group) > pool
+        found, visited = [], 0
         stack = [(0, goal, ())]
         while stack:
             at, left, chosen = stack.pop()
@@ -129,8 +139,8 @@ def subset_sums(groups: DataFrame, key: str, target: str, item: str, amount: str
         rows = [([ids[i] for i in f], len(f), capped) for f in found]
         return rows or ([(None, 0, True)] if capped else [])
 
-    rows = groups.select(key, target, item, amount)
-    return fold_groups(rows, [key], [item], search, f"items array<{dict(groups.dtypes)[item]}>, n_items bigint, capped boolean")
+    rows = groups.select(*dict.fromkeys([key, target, item, amount, *([near] if near else [])]))
+    return fold_groups(rows, [key], [near, item] if near else [item], search, f"items array<{dict(groups.dtypes)[item]}>, n_items bigint, capped boolean")
 
 
 def subset_rows(found: DataFrame, key: str) -> DataFrame:

@@ -83,11 +83,74 @@ def test_receipts_pay_back_costs(spark):
 
 
 def test_redaction_is_undone(spark):
-    texts = ["mail a.b@x.com and a.b@x.com, card 4111 1111 1111 1111", "PT50000201231234567890154 [[0]] [[", "", None, "b@x.com ab@x.com"]
+    mark = "\u200b"
+    texts = [
+        "mail a.b@x.com and a.b@x.com, card 4111 1111 1111 1111", "PT50000201231234567890154 [[0]] [[", "", None, "b@x.com ab@x.com",
+        "[[[0]] a@b.co", f"[{mark}[ a@b.co [{mark}{mark}", f"{mark}[a@b.co[[0]][", "4111 1111 1111 1112 is no card, +351 912 345 678 a phone",
+        "DE89370400440532013000 GB00WEST12345698765432 0002 0123 12345678901 54", "a@b.co" * 300, "[" * 50,
+    ]
     got = spark.createDataFrame([(t,) for t in texts], "t string").select("t", X.redact("t").alias("r"), X.restore(X.redact("t")["text"], X.redact("t")["tokens"]).alias("back")).collect()
     assert [r.back for r in got] == [t or "" for t in texts]
     assert got[0].r.text == "mail [[0]] and [[0]], card [[1]]" and got[0].r.tokens == ["a.b@x.com", "4111 1111 1111 1111"]
-    assert got[4].r.text == "[[0]] [[1]]"
+    assert got[4].r.text == "[[0]] [[1]]" and got[0].r.kinds == ["email", "card"]
+    assert got[8].r.kinds == ["phone"] and got[8].r.tokens == ["+351 912 345 678"]
+    assert got[9].r.kinds == ["iban", "bank_account"]
+
+
+def test_redaction_leaves_only_values_out(spark, sf):
+    """Against positions found by Python, on every document."""
+    import re
+
+    from provena.functions.checks import ACCOUNT, CARD, EMAIL, IBAN, PHONE
+
+    pattern = re.compile(f"{EMAIL}|{IBAN}|{PHONE}|{ACCOUNT}|{CARD}", re.ASCII)
+
+    def luhn(d):
+        return sum(x if k % 2 == 0 else x * 2 - 9 * (x > 4) for k, x in enumerate(map(int, reversed(d)))) % 10 == 0
+
+    def good(v):
+        d = re.sub("[^0-9]", "", v)
+        if "@" in v or v[0] == "+":
+            return "@" in v or 9 <= len(d) <= 15
+        if v[:2].isalpha():
+            return int("".join(str(int(c, 36)) for c in v[4:] + v[:4])) % 97 == 1
+        return int(d) % 97 == 1 if len(d) == 21 else luhn(d)
+
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("text", X.redact("text").alias("r")).collect()
+    assert any(r.r.tokens for r in docs)
+    for r in docs:
+        want = list(dict.fromkeys(m.group() for m in pattern.finditer(r.text or "") if good(m.group())))
+        assert r.r.tokens == want
+        assert not any(v in r.r.text for v in want)
+
+
+def test_statement_takes_every_payment_once(spark):
+    from datetime import date as d
+
+    lines = spark.createDataFrame([("p", k, None, d(2024, 1, 10 + k), D("10.00"), True) for k in range(3)], "party string, row int, number string, on date, amount decimal(18,2), is_payment boolean")
+    none = spark.createDataFrame([], "party string, number string, id int, amount decimal(18,2), on date")
+    paid = spark.createDataFrame([("p", 70 + k, D("10.00"), d(2024, 1, 10)) for k in range(2)], "party string, id int, amount decimal(18,2), on date")
+    got = {r.row: (r.outcome, r.ours) for r in L.check_statement(lines, none, paid).collect()}
+    assert got == {0: ("paid", 70), 1: ("paid", 71), 2: ("not_found", None)}
+
+
+def test_owner_time_alone_has_its_row(spark):
+    acts = spark.createDataFrame([("a", "2024-01", "chased", "system", 1, 1)], "entity string, month string, kind string, actor string, subject int, id int")
+    time = spark.createDataFrame([("b", "2024-01", 61), (None, "2024-01", 60)], "entity string, month string, seconds int")
+    assert sorted(map(tuple, C.month_summary(acts, time).collect())) == [("a", "2024-01", 0, 1, 0, 1), ("b", "2024-01", 0, 0, 0, 3)]
+
+
+def test_dates_by_their_pieces(spark):
+    from datetime import date as d
+
+    cases = {
+        "Wednesday, 3rd of May 2023": [d(2023, 5, 3)], "sat 1/2/24 9:05pm": [d(2024, 2, 1), d(2024, 1, 2)], "2024-02-30": [], "2024-02-29T10:00:00+01:00": [d(2024, 2, 29)],
+        "1.2/2024": [], "31/04/2024": [], "13/01/2024": [d(2024, 1, 13)], "20240229": [d(2024, 2, 29)], "5 de março de 2024": [d(2024, 3, 5)], "mar 5, 2024": [d(2024, 3, 5)],
+        "hello 5 may 2024": [], "5 may": [], "": [], "12 2024 may": [], "2024 5 6": [], "5-Okt-24": [d(2024, 10, 5)], "01/01/1850": [],
+    }
+    got = spark.createDataFrame([(k,) for k in cases], "t string").select("t", N.date_readings("t").alias("r"), N.date_readings("t", day_first=True).alias("f")).collect()
+    assert {r.t: r.r for r in got} == cases
+    assert all(r.f == cases[r.t][:1] for r in got)
 
 
 def test_hmac_and_digests(spark):

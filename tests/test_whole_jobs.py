@@ -98,3 +98,15 @@ def test_fold_sees_whole_groups_after_a_join(spark, sf):
     n = rows.select("doc").distinct().count()
     folded = fold_groups(rows, ["doc"], ["item"], lambda g: [(g["item"].is_monotonic_increasing,)], "ordered boolean")
     assert folded.groupBy().agg(F.count("*"), F.count_distinct("doc"), F.every("ordered")).first()[:] == (n, n, True)
+
+
+def test_subset_sums_are_exact_and_nearest_first(spark):
+    from decimal import Decimal as D
+
+    big = [("a", i, D(x), D("90071992547409.93"), 0) for i, x in ((1, "90071992547409.91"), (2, "0.02"), (3, "0.03"))]
+    # the two that fit are the nearest in time, behind forty smaller ids
+    far = [("b", i, D("7.00"), D("5.00"), 50) for i in range(40)] + [("b", 100, D("2.00"), D("5.00"), 1), ("b", 101, D("3.00"), D("5.00"), 2)]
+    df = spark.createDataFrame(big + far, "k string, item int, amount decimal(20,2), goal decimal(20,2), days int")
+    got = {r.k: r["items"] for r in M.subset_sums(df, "k", "goal", "item", "amount", near="days").collect()}
+    assert got == {"a": [1, 2], "b": [100, 101]}
+    assert all(r["items"] is None for r in M.subset_sums(df.where("k = 'b'"), "k", "goal", "item", "amount").collect())
