@@ -28,8 +28,10 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without lines that an earlier document holds."""
-    return _as_documents(dedup_lines(docs), docs)
+    """Documents without lines that an earlier document holds; those of which nothing is left but blanks go."""
+    out = dedup_lines(docs)
+    left = (F.col("n_dropped") == 0) | F.col("text").rlike(r"[^\x20\x09-\x0D]")
+    return _as_documents(out.where(left), docs)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
