@@ -93,12 +93,32 @@ def _headers(text: bytes, what: str) -> dict[str, str]:
         key, colon, value = line.partition(b":")
         if not colon or not key.strip():
             raise WarcError(f"{what}: bad header line")
-        out[key.strip().decode().lower()] = value.strip().decode()
+        try:
+            out[key.strip().decode().lower()] = value.strip().decode()
+        except UnicodeDecodeError:
+            out[key.strip().decode("latin-1").lower()] = value.strip().decode("latin-1")
     return out
 
 
+def _number(text: str | None, what: str) -> int | None:
+    if text is None:
+        return None
+    try:
+        value = int(text)
+    except ValueError:
+        raise WarcError(f"bad {what}") from None
+    if not -(1 << 63) <= value < 1 << 63:
+        raise WarcError(f"bad {what}")
+    return value
+
+
 def parse(data: bytes) -> dict:
-    """The fields of one record; raises :class:`WarcError` where header, length or digest is wrong."""
+    """The fields of one record; raises :class:`WarcError` where a header, length or digest is wrong.
+
+    Responses and revisits must hold an HTTP message; a stated length or digest of its payload must be right, an
+    unstated one is taken from the payload (of a revisit, which has none, it is null). Records of other types, such
+    as warcinfo and request, come back with their type and their block as payload.
+    """
     head, mark, rest = data.partition(b"\r\n\r\n")
     version, _, lines = head.partition(b"\r\n")
     if not mark or version not in (b"WARC/1.0", b"WARC/1.1"):
@@ -107,33 +127,40 @@ def parse(data: bytes) -> dict:
     for need in ("warc-type", "warc-record-id", "warc-date", "content-length"):
         if need not in h:
             raise WarcError(f"no {need}")
-    if not h["content-length"].isdigit():
+    if not (h["content-length"].isascii() and h["content-length"].isdigit()):
         raise WarcError("bad content-length")
     n = int(h["content-length"])
     if len(rest) != n + 4 or rest[n:] != b"\r\n\r\n":
         raise WarcError("content-length does not fit the record")
     block = rest[:n]
-    if "warc-block-digest" in h and h["warc-block-digest"] != f"sha1:{base32_sha1(block)}":
+    if h.get("warc-block-digest", "").startswith("sha1:") and h["warc-block-digest"] != f"sha1:{base32_sha1(block)}":
         raise WarcError("block digest differs")
-    http, mark, payload = block.partition(b"\r\n\r\n")
-    if not mark or not http.startswith(b"HTTP/"):
-        raise WarcError("no HTTP response")
-    inner = _headers(http.partition(b"\r\n")[2], "response")
-    digest, kind = h.get("warc-payload-digest", "").removeprefix("sha1:"), h["warc-type"]
-    if kind == "response" and (digest != base32_sha1(payload) or int(inner.get("content-length", -1)) != len(payload)):
+    kind, stated = h["warc-type"], h.get("warc-payload-digest", "")
+    if kind in ("response", "revisit"):
+        http, mark, payload = block.partition(b"\r\n\r\n")
+        if not mark or not http.startswith(b"HTTP/"):
+            raise WarcError("no HTTP response")
+        fields = http.partition(b"\r\n")[2]
+        length = _number((_headers(fields, "response") if fields else {}).get("content-length"), "length of the response")
+        if kind == "revisit" and payload:
+            raise WarcError("a revisit with a payload")
+        size = len(payload) if kind == "response" else length
+        if kind == "response" and length not in (None, size):
+            raise WarcError("payload digest or length differs")
+    else:
+        payload, size = block, len(block)
+    own = None if kind == "revisit" else base32_sha1(payload)
+    if own and stated.startswith("sha1:") and stated != f"sha1:{own}":
         raise WarcError("payload digest or length differs")
-    if kind == "revisit" and payload:
-        raise WarcError("a revisit with a payload")
-    number = lambda x: None if x is None else int(x)
     return {
-        "page_id": number(h.get("x-page-id")),
+        "page_id": _number(h.get("x-page-id"), "page id"),
         "url": h.get("warc-target-uri"),
-        "payload_bytes": int(inner["content-length"]),
-        "payload_digest": digest,
+        "payload_bytes": size,
+        "payload_digest": own or stated.removeprefix("sha1:") or None,
         "record_type": kind,
-        "refers_to": number(h.get("x-refers-to-page-id")),
+        "refers_to": _number(h.get("x-refers-to-page-id"), "page id"),
         "record_id": h["warc-record-id"],
-        "payload": payload if kind == "response" else None,
+        "payload": None if kind == "revisit" else payload,
     }
 
 

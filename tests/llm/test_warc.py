@@ -83,6 +83,32 @@ def test_broken_records(old, new, message):
     assert message
 
 
+def foreign(kind, block, *headers):
+    head = [b"WARC/1.0", b"WARC-Type: " + kind, b"WARC-Record-ID: <urn:x>", b"WARC-Date: 2020-01-01T00:00:00Z", b"Content-Length: %d" % len(block), *headers]
+    return b"\r\n".join(head) + b"\r\n\r\n" + block + b"\r\n\r\n"
+
+
+def test_foreign_records():
+    http = b"HTTP/1.1 200 OK\r\nX-Name: caf\xe9\r\n\r\n"
+    assert Z.parse(foreign(b"warcinfo", b"software: x\r\n"))["record_type"] == "warcinfo"
+    assert bytes(Z.parse(foreign(b"request", b"GET / HTTP/1.1\r\n\r\n"))["payload"]).startswith(b"GET")
+    plain = Z.parse(foreign(b"response", http + b"body"))  # no length stated
+    assert (plain["payload_bytes"], plain["payload_digest"], plain["page_id"]) == (4, Z.base32_sha1(b"body"), None)
+    unsized = Z.parse(foreign(b"revisit", http, b"WARC-Payload-Digest: sha1:ABC"))
+    assert (unsized["payload_bytes"], unsized["payload_digest"]) == (None, "ABC")
+    assert Z.parse(foreign(b"response", b"HTTP/1.1 200 OK\r\n\r\nx"))["payload"] == b"x"
+    for bad in (foreign(b"response", http + b"x", b"X-Page-Id: seven"), foreign(b"response", http + b"x", b"X-Page-Id: 1" + b"0" * 30), foreign(b"response", b"HTTP/1.1 200 OK\r\nContent-Length: two\r\n\r\nx"), foreign(b"response", b"no http"), foreign(b"response", http + b"x", b"WARC-Payload-Digest: sha1:AAAA")):
+        with pytest.raises(Z.WarcError):
+            Z.parse(bad)
+
+
+def test_a_bad_record_is_a_row(spark, tmp_path):
+    records = [foreign(b"warcinfo", b"a: b"), foreign(b"response", b"HTTP/1.1 200 OK\r\n\r\nx", b"X-Page-Id: seven"), Z.record(3, "u", b"x", None)]
+    (tmp_path / "a.warc.zst").write_bytes(b"".join(zstandard.compress(r) for r in records))
+    rows = Z.read_archives(spark, str(tmp_path)).collect()
+    assert [(r.record_type, r.page_id, r.error) for r in rows] == [("warcinfo", None, None), (None, None, "bad page id"), ("response", 3, None)]
+
+
 def test_broken_archives(spark, tmp_path):
     good = Z.ArchiveWriter(b"")
     good.add(Z.record(1, "u", b"hello", None))
