@@ -272,3 +272,52 @@ def package_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The files and bytes of a package's manifest, whose digest doesn't depend on the order of its lines."""
     p = table(spark, sf_dir, "pages").where("html IS NOT NULL").select(F.concat(F.lit("page-"), F.col("page_id") % 10).alias("name"), F.encode("html", "UTF-8").alias("content"))
     return package_hash(manifest(p, "name", "content")).select("files", "bytes")
+
+
+@query(
+    """
+SELECT CAST(ts AS DATE) AS day, count(*) AS lines, sum(CAST(value AS DECIMAL(18,2)))::DECIMAL(28,2) AS amount,
+       CAST(ts AS DATE) > DATE '2024-01-05' OR event_id % 97 = 0 AND CAST(ts AS DATE) > DATE '2023-12-31' AS in_second_run
+FROM events GROUP BY ALL"""
+)
+def bank_feed_synced(spark: SparkSession, sf: str) -> DataFrame:
+    """Two syncs of a growing folder of the events: what the second run brings, late lines and repeats included, counts once.
+
+    The first run sees the days up to 5 January less some late lines; the second one a folder with the rest, those late
+    lines and the last days once more.
+    """
+    from datetime import date
+
+    from provena.sources import feeds
+    from provena.storage import scratch_path, write_table
+
+    day = F.to_date("ts")
+    lines = table(spark, sf, "events").select(F.col("event_id").cast("string").alias("line_id"), F.col("user_id").cast("string").alias("account"), day.cast("string").alias("booked_on"), F.col("value").cast("decimal(18,2)").cast("string").alias("amount"), F.col("props").alias("text"), day.cast("string").alias("day"), (F.col("event_id") % 97 == 0).alias("late"))
+    folder, cut = scratch_path(spark, "feed"), "2024-01-05"
+    land = lambda rows: rows.drop("late").write.mode("append").partitionBy("day").json(folder)
+    land(lines.where((F.col("day") <= cut) & ~F.col("late")))
+    first = write_table(feeds.sync(spark, folder, None, None), "synced")
+    land(lines.where((F.col("day") > cut) | F.col("late")))
+    land(lines.where(F.col("day").between("2024-01-03", cut)))
+    cursor = first.agg(F.max("booked_on")).first()[0] or date(2024, 1, 1)
+    second = write_table(feeds.sync(spark, folder, first, cursor), "synced")
+    both = first.withColumn("in_second_run", F.lit(False)).unionByName(second.withColumn("in_second_run", F.lit(True)))
+    return both.groupBy(F.col("booked_on").alias("day"), "in_second_run").agg(F.count("*").alias("lines"), F.sum("amount").cast("decimal(28,2)").alias("amount"))
+
+
+@query(
+    """
+WITH l AS (SELECT user_id AS tenant, event_type, ts, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS seq FROM events),
+c AS (SELECT tenant, max(seq) AS seen FROM l WHERE ts < TIMESTAMP '2024-01-10 00:00:00' GROUP BY tenant)
+SELECT l.tenant, count(*) AS n, min(l.seq) AS first_seq, max(l.seq) AS last_seq, count(DISTINCT event_type) AS kinds
+FROM l LEFT JOIN c ON l.tenant = c.tenant WHERE l.seq > coalesce(c.seen, 0) GROUP BY l.tenant"""
+)
+def events_after_cursor(spark: SparkSession, sf: str) -> DataFrame:
+    """Each user's events behind the last one seen before 10 January."""
+    from pyspark.sql import Window as W
+
+    from provena.sources.feeds import scan_after
+
+    log = table(spark, sf, "events").select(F.col("user_id").alias("tenant"), "event_type", "ts", F.row_number().over(W.partitionBy("user_id").orderBy("ts", "event_id")).alias("seq"))
+    seen = log.where("ts < TIMESTAMP_NTZ '2024-01-10 00:00:00'").groupBy("tenant").agg(F.max("seq").alias("seen"))
+    return scan_after(log, seen).groupBy("tenant").agg(F.count("*").alias("n"), F.min("seq").cast("bigint").alias("first_seq"), F.max("seq").cast("bigint").alias("last_seq"), F.count_distinct("event_type").alias("kinds"))
