@@ -321,3 +321,51 @@ def events_after_cursor(spark: SparkSession, sf: str) -> DataFrame:
     log = table(spark, sf, "events").select(F.col("user_id").alias("tenant"), "event_type", "ts", F.row_number().over(W.partitionBy("user_id").orderBy("ts", "event_id")).alias("seq"))
     seen = log.where("ts < TIMESTAMP_NTZ '2024-01-10 00:00:00'").groupBy("tenant").agg(F.max("seq").alias("seen"))
     return scan_after(log, seen).groupBy("tenant").agg(F.count("*").alias("n"), F.min("seq").cast("bigint").alias("first_seq"), F.max("seq").cast("bigint").alias("last_seq"), F.count_distinct("event_type").alias("kinds"))
+
+
+@query(
+    """
+WITH RECURSIVE
+c AS (SELECT '21.' || n_regionkey || '.' || n_nationkey || '.' || c_custkey AS account, '21.' || n_regionkey || '.' || n_nationkey AS parent, c_custkey, CAST(c_acctbal AS DECIMAL(18,2)) AS opening
+      FROM customer JOIN nation ON c_nationkey = n_nationkey),
+p AS (SELECT c.account, CAST(o_totalprice AS DECIMAL(18,2)) AS debit, 0::DECIMAL(18,2) AS credit FROM orders JOIN c ON o_custkey = c_custkey
+      UNION ALL
+      SELECT '71.' || o_orderpriority, 0, CAST(o_totalprice AS DECIMAL(18,2)) FROM orders WHERE o_custkey IN (SELECT c_custkey FROM c)),
+a AS (SELECT account, parent, opening FROM c
+      UNION ALL SELECT '71.' || o_orderpriority, '71', 0 FROM (SELECT DISTINCT o_orderpriority FROM orders)
+      UNION ALL SELECT '71', NULL, 0
+      UNION ALL SELECT '21', NULL, 0
+      UNION ALL SELECT '21.' || r_regionkey, '21', 0 FROM region
+      UNION ALL SELECT '21.' || n_regionkey || '.' || n_nationkey, '21.' || n_regionkey, 0 FROM nation),
+t(account, ancestor) AS (SELECT account, account FROM a UNION ALL SELECT t.account, a.parent FROM t JOIN a ON t.ancestor = a.account WHERE a.parent IS NOT NULL),
+m AS (SELECT account, sum(debit) AS debit, sum(credit) AS credit FROM p GROUP BY account)
+SELECT t.ancestor AS account, count(*) AS accounts, sum(a.opening)::DECIMAL(28,2) AS opening, sum(coalesce(m.debit, 0))::DECIMAL(28,2) AS debit, sum(coalesce(m.credit, 0))::DECIMAL(28,2) AS credit,
+       (sum(a.opening) + sum(coalesce(m.debit, 0)) - sum(coalesce(m.credit, 0)))::DECIMAL(28,2) AS closing,
+       (sum(a.opening) + sum(coalesce(m.debit, 0)) - sum(coalesce(m.credit, 0)))::DECIMAL(28,2) AS stated, true AS agrees
+FROM t JOIN a ON t.account = a.account LEFT JOIN m ON t.account = m.account GROUP BY t.ancestor"""
+)
+def ledger_trial_balance(spark: SparkSession, sf: str) -> DataFrame:
+    """customers' and sales accounts with all orders as postings, written as an audit file's XML, read back by row tag and rolled up."""
+    from functools import reduce
+
+    from provena.plans.bind import money
+    from provena.sources import audit_ledgers as A
+    from provena.storage import scratch_path, write_table
+
+    text = lambda *parts: F.concat_ws(".", *[F.lit(x) if x.isdigit() else F.col(x) for x in parts])
+    nation, orders = table(spark, sf, "nation"), table(spark, sf, "orders")
+    customers = table(spark, sf, "customer").join(nation, F.col("c_nationkey") == F.col("n_nationkey"))
+    customers = customers.select("c_custkey", text("21", "n_regionkey", "n_nationkey", "c_custkey").alias("account"), text("21", "n_regionkey", "n_nationkey").alias("parent"), money("c_acctbal").alias("opening"))
+    sales = orders.join(customers.select(F.col("c_custkey").alias("o_custkey"), "account"), "o_custkey").select(F.concat(F.lit("T"), "o_orderkey").alias("transaction"), F.to_date("o_orderdate").alias("day"), F.month("o_orderdate").alias("period"), "account", text("71", "o_orderpriority").alias("income"), money("o_totalprice").alias("total"))
+    zero = F.lit(0).cast("decimal(18,2)")
+    head = ["transaction", "day", "period"]
+    postings = sales.select(*head, "account", F.col("total").alias("debit"), zero.alias("credit")).unionByName(sales.select(*head, F.col("income").alias("account"), zero.alias("debit"), F.col("total").alias("credit")))
+    # accounts above these hold nothing themselves
+    empty = [nation.select(text("21", "n_regionkey", "n_nationkey").alias("account"), text("21", "n_regionkey").alias("parent")), table(spark, sf, "region").select(text("21", "r_regionkey").alias("account"), F.lit("21").alias("parent")), orders.select(text("71", "o_orderpriority").alias("account"), F.lit("71").alias("parent")).distinct(), spark.createDataFrame([("21", None), ("71", None)], "account string, parent string")]
+    chart = reduce(DataFrame.unionByName, [customers.select("account", "parent", "opening"), *[e.withColumn("opening", zero) for e in empty]])
+    moved = postings.groupBy("account").agg((F.sum("debit") - F.sum("credit")).cast("decimal(28,2)").alias("net"))
+    chart = chart.join(moved, "account", "left").select("account", F.concat(F.lit("Account "), "account").alias("description"), "parent", F.lit("GM").alias("category"), "opening", (F.col("opening") + F.coalesce("net", zero)).cast("decimal(28,2)").alias("closing"))
+    folder = scratch_path(spark, "ledgers")
+    A.write_ledgers(chart, postings, folder)
+    accounts = write_table(A.read_accounts(spark, f"{folder}/accounts"), "accounts")
+    return A.trial_balance(accounts, A.read_journal(spark, f"{folder}/journal"))
