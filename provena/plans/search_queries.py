@@ -2,8 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
+from pyspark.sql import functions as F
 
+from provena.functions.text import MARKED, PLAIN
+from provena.operators import phrases as P
 from provena.operators import vectors as V
 from provena.plans.bind import table
 from provena.plans.registry import query
@@ -17,3 +23,60 @@ def embedding_index_topk(spark: SparkSession, sf: str) -> DataFrame:
     if index is None:
         return spark.createDataFrame([], "query_id long, rank long, found_id long, cosine double")
     return index.search(e.where("vec_id % 50 = 0"), "vec_id", "embedding")
+
+
+FOLDED_WORDS = r"""regexp_extract_all(translate(lower({}), 'àáâãäåçèéêëìíîïñòóôõöùúûüýÿ', 'aaaaaaceeeeiiiinooooouuuuyy'), '[a-z0-9]+')"""
+
+
+def known_phrases(spark: SparkSession, sf: str) -> DataFrame:
+    """Identifiers of all kinds: every supplier's and customer's name, every part name, all runs of three words of the benchmark."""
+    words = F.regexp_extract_all(F.translate(F.lower("text"), MARKED, PLAIN), F.lit("[a-z0-9]+"), 0)
+    runs = table(spark, sf, "benchmark").select(words.alias("w")).where("size(w) >= 3").select(F.explode(F.transform(F.sequence(F.lit(1), F.size("w") - 2), lambda i: F.array_join(F.slice("w", i, 3), " "))).alias("phrase"))
+    names = lambda t, c: table(spark, sf, t).select(F.col(c).alias("phrase"))
+    kinds = [("supplier", names("supplier", "s_name")), ("customer", names("customer", "c_name")), ("part", names("part", "p_name")), ("passage", runs)]
+    return reduce(DataFrame.unionByName, [rows.distinct().withColumn("kind", F.lit(kind)) for kind, rows in kinds])
+
+
+KNOWN_PHRASES = f"""
+b AS (SELECT {FOLDED_WORDS.format('text')} AS w FROM benchmark),
+k AS (
+  SELECT DISTINCT 'supplier' AS kind, s_name AS phrase FROM supplier UNION ALL SELECT DISTINCT 'customer', c_name FROM customer UNION ALL SELECT DISTINCT 'part', p_name FROM part
+  UNION ALL SELECT DISTINCT 'passage', array_to_string(w[i:i + 2], ' ') FROM (SELECT w, unnest(range(1, len(w) - 1)) AS i FROM b WHERE len(w) >= 3)),
+f AS (SELECT kind, phrase, array_to_string({FOLDED_WORDS.format('phrase')}, ' ') AS words, len({FOLDED_WORDS.format('phrase')}) AS m FROM k),
+d AS (SELECT doc_id, {FOLDED_WORDS.format('text')} AS w FROM documents),
+n AS (SELECT doc_id, i - 1 AS word, m, array_to_string(w[i:i + m - 1], ' ') AS words FROM (SELECT doc_id, w, m, unnest(range(1, len(w) - m + 2)) AS i FROM d, (SELECT DISTINCT m FROM f) WHERE len(w) >= m)),
+h AS (SELECT n.doc_id, n.word, f.kind, f.phrase, f.words FROM n JOIN f ON n.words = f.words AND n.m = f.m)"""
+
+
+@query(
+    f"""
+WITH {KNOWN_PHRASES}
+SELECT doc_id, count(*) AS hits, count(DISTINCT words) AS phrases, min(word)::INTEGER AS first_word, arg_min(phrase, (word, words, phrase)) AS first_phrase,
+       count(*) FILTER (kind = 'passage') AS passages
+FROM h GROUP BY doc_id"""
+)
+def identifiers_in_documents(spark: SparkSession, sf: str) -> DataFrame:
+    """Every known name and passage in every whole document, in one pass over each text."""
+    hits = P.phrase_hits(table(spark, sf, "documents"), "doc_id", "text", known_phrases(spark, sf), "phrase")
+    first = F.min_by("phrase", F.struct("word", "words", "phrase")).alias("first_phrase")
+    return hits.groupBy("doc_id").agg(F.count("*").alias("hits"), F.count_distinct("words").alias("phrases"), F.min("word").alias("first_word"), first, F.count(F.when(F.col("kind") == "passage", 1)).alias("passages"))
+
+
+@query(
+    f"""
+WITH b AS (SELECT item_id, {FOLDED_WORDS.format('text')} AS w FROM benchmark),
+r AS (SELECT row_number() OVER (ORDER BY length(item_id::VARCHAR), item_id::VARCHAR) AS rank, item_id, w FROM b),
+f AS (SELECT DISTINCT rank, item_id, array_to_string(w[i:i + 3], ' ') AS words FROM (SELECT *, unnest(range(1, len(w) - 2)) AS i FROM r WHERE len(w) >= 4)),
+d AS (SELECT doc_id, {FOLDED_WORDS.format('text')} AS w FROM documents),
+n AS (SELECT doc_id, i - 1 AS word, array_to_string(w[i:i + 3], ' ') AS words FROM (SELECT doc_id, w, unnest(range(1, len(w) - 2)) AS i FROM d WHERE len(w) >= 4)),
+h AS (SELECT n.doc_id, f.rank, f.item_id, n.word, n.words FROM n JOIN f ON n.words = f.words),
+x AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY rank, word) AS nth FROM h)
+SELECT d.doc_id, x.rank::INTEGER AS rank, x.item_id, x.words AS phrase, x.word::INTEGER AS word FROM d LEFT JOIN x ON d.doc_id = x.doc_id AND x.nth = 1"""
+)
+def first_rule_of_documents(spark: SparkSession, sf: str) -> DataFrame:
+    """An ordered chain of rules from a table (each benchmark item: its runs of four words) decides on every whole document."""
+    words = F.regexp_extract_all(F.translate(F.lower("text"), MARKED, PLAIN), F.lit("[a-z0-9]+"), 0)
+    ranked = table(spark, sf, "benchmark").select("item_id", words.alias("w"), F.row_number().over(W.orderBy(F.length(F.col("item_id").cast("string")), F.col("item_id").cast("string"))).alias("rank"))
+    rules = ranked.where("size(w) >= 4").select("rank", "item_id", F.explode(F.transform(F.sequence(F.lit(1), F.size("w") - 3), lambda i: F.array_join(F.slice("w", i, 4), " "))).alias("phrase")).distinct()
+    out = P.first_rule(table(spark, sf, "documents"), "doc_id", "text", rules)
+    return out.select("doc_id", "rank", "item_id", "phrase", "word")
