@@ -9,6 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from provena.functions.text import MARKED, PLAIN
+from provena.operators import layout as L
 from provena.operators import phrases as P
 from provena.operators import vectors as V
 from provena.plans.bind import table
@@ -80,3 +81,26 @@ def first_rule_of_documents(spark: SparkSession, sf: str) -> DataFrame:
     rules = ranked.where("size(w) >= 4").select("rank", "item_id", F.explode(F.transform(F.sequence(F.lit(1), F.size("w") - 3), lambda i: F.array_join(F.slice("w", i, 4), " "))).alias("phrase")).distinct()
     out = P.first_rule(table(spark, sf, "documents"), "doc_id", "text", rules)
     return out.select("doc_id", "rank", "item_id", "phrase", "word")
+
+
+@query(
+    r"""
+WITH l AS (
+  SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM documents WHERE text IS NOT NULL),
+w AS (SELECT doc_id, i, len(regexp_extract_all(line, '[^\x20\x09-\x0D]+')) AS n FROM l),
+f AS (SELECT *, i - row_number() OVER (PARTITION BY doc_id ORDER BY i) AS run FROM w WHERE n > 0)
+SELECT doc_id AS page, doc_id % 9 - 4 AS skew, sum(n)::BIGINT AS boxes, count(*) AS rows, count(DISTINCT run) AS blocks, max(n)::BIGINT AS widest FROM f GROUP BY doc_id"""
+)
+def page_rows_of_texts(spark: SparkSession, sf: str) -> DataFrame:
+    """Every document set as a page of word boxes, turned by up to four degrees: skew, lines and paragraphs are found again."""
+    docs = table(spark, sf, "documents").where("text IS NOT NULL").select(F.col("doc_id").alias("page"), F.posexplode(F.split("text", "\n")).alias("line", "text"))
+    words = docs.select("page", "line", F.posexplode(F.regexp_extract_all("text", F.lit(r"[^\x20\x09-\x0D]+"), 0)).alias("nth", "word"))
+    angle = F.radians(F.col("page") % 9 - 4)
+    left, top = F.col("nth") * 30.0, F.col("line") * 20.0
+    right, bottom = left + 10.0 + F.least(F.length("word"), F.lit(15)), top + 12.0
+    x = lambda a, b: a * F.cos(angle) - b * F.sin(angle)
+    y = lambda a, b: a * F.sin(angle) + b * F.cos(angle)
+    box = (F.col("line").cast("long") * (1 << 31) + F.col("nth")).alias("box")
+    boxes = words.select("page", box, x(left, top).alias("x0"), y(left, top).alias("y0"), x(right, top).alias("x1"), y(right, top).alias("y1"), x(left, bottom).alias("x2"), y(left, bottom).alias("y2"))
+    rows = L.page_rows(boxes).groupBy("page", "row").agg(F.count("*").alias("n"), F.first("block").alias("block"), F.first("skew").alias("skew"))
+    return rows.groupBy("page").agg(F.round(F.first("skew")).cast("bigint").alias("skew"), F.sum("n").alias("boxes"), F.count("*").alias("rows"), F.count_distinct("block").alias("blocks"), F.max("n").alias("widest"))
