@@ -14,6 +14,7 @@ from provena.operators import phrases as P
 from provena.operators import vectors as V
 from provena.plans.bind import table
 from provena.plans.registry import query
+from provena.sources import extractors as X
 
 
 @query()
@@ -104,3 +105,31 @@ def page_rows_of_texts(spark: SparkSession, sf: str) -> DataFrame:
     boxes = words.select("page", box, x(left, top).alias("x0"), y(left, top).alias("y0"), x(right, top).alias("x1"), y(right, top).alias("y1"), x(left, bottom).alias("x2"), y(left, bottom).alias("y2"))
     rows = L.page_rows(boxes).groupBy("page", "row").agg(F.count("*").alias("n"), F.first("block").alias("block"), F.first("skew").alias("skew"))
     return rows.groupBy("page").agg(F.round(F.first("skew")).cast("bigint").alias("skew"), F.sum("n").alias("boxes"), F.count("*").alias("rows"), F.count_distinct("block").alias("blocks"), F.max("n").alias("widest"))
+
+
+#: Extractors of what web texts state about themselves; each field by its first occurrence.
+TEXT_EXTRACTORS = [
+    X.PatternExtractor("contacts", {"email": (r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}", "string"), "address": (r"\b[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}\b", "string")}, r"@|[0-9]\.[0-9]", 0.9),
+    X.PatternExtractor("numbers", {"number": (r"\b([0-9]{6,18})\b", "bigint"), "address": (r"\b[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}\b", "string")}, "[0-9]", 0.7),
+]
+
+
+@query(
+    r"""
+WITH d AS (
+  SELECT doc_id, text, regexp_extract(text, '[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}') AS email,
+         regexp_extract(text, '\b[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}\b') AS address, regexp_extract(text, '\b([0-9]{6,18})\b', 1) AS number FROM documents),
+o AS (
+  SELECT doc_id, 'email' AS field, email AS value, 'contacts' AS extractor, 0.9::DOUBLE AS confidence, 1 AS agree FROM d WHERE email <> ''
+  UNION ALL SELECT doc_id, 'address', address, 'contacts', 0.9, 2 FROM d WHERE address <> ''
+  UNION ALL SELECT doc_id, 'number', number::BIGINT::VARCHAR, 'numbers', 0.7, 1 FROM d WHERE number <> '')
+SELECT doc_id, field, value, extractor, confidence, agree::BIGINT AS agree FROM o"""
+)
+def extracted_fields(spark: SparkSession, sf: str) -> DataFrame:
+    """Two extractors called from SQL over all documents, one by its own columns, one as first match, and merged."""
+    X.register_extractors(spark, TEXT_EXTRACTORS)
+    docs = table(spark, sf, "documents")
+    contacts = spark.sql("SELECT doc_id, c.email, c.address FROM {docs} d, LATERAL extract_fields(d.text, 'contacts') c", docs=docs)
+    told = contacts.select("doc_id", F.lit("contacts").alias("extractor"), F.lit(0.9).alias("confidence"), F.explode(F.array(*[F.struct(F.lit(c).alias("field"), F.col(c).alias("value")) for c in ("email", "address")])).alias("o")).select("doc_id", "extractor", "confidence", "o.*")
+    first = spark.sql("SELECT doc_id, n.* FROM {docs} d, LATERAL first_extraction(d.text, 'numbers', 'contacts') n", docs=docs)
+    return X.merged(told.where("value IS NOT NULL"), first, id_col="doc_id")
