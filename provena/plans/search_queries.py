@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from provena.functions import domains as N
 from provena.functions.text import MARKED, PLAIN
 from provena.operators import layout as L
 from provena.operators import phrases as P
@@ -133,3 +134,14 @@ def extracted_fields(spark: SparkSession, sf: str) -> DataFrame:
     told = contacts.select("doc_id", F.lit("contacts").alias("extractor"), F.lit(0.9).alias("confidence"), F.explode(F.array(*[F.struct(F.lit(c).alias("field"), F.col(c).alias("value")) for c in ("email", "address")])).alias("o")).select("doc_id", "extractor", "confidence", "o.*")
     first = spark.sql("SELECT doc_id, n.* FROM {docs} d, LATERAL first_extraction(d.text, 'numbers', 'contacts') n", docs=docs)
     return X.merged(told.where("value IS NOT NULL"), first, id_col="doc_id")
+
+
+@query(
+    r"""
+WITH h AS (SELECT DISTINCT regexp_extract(lower(url), '^[a-z]+://([^/?#:.]+)', 1) AS n FROM pages)
+SELECT a.n AS a, b.n AS b FROM h a JOIN h b ON a.n < b.n AND damerau_levenshtein(a.n, b.n) = 1"""
+)
+def close_host_names(spark: SparkSession, sf: str) -> DataFrame:
+    """The first host labels of all pages that one edit or swapped pair of letters turns into each other."""
+    names = table(spark, sf, "pages").select(F.regexp_extract(F.lower("url"), r"^[a-z]+://([^/?#:.]+)", 1).alias("n"))
+    return N.close_names(names, "n")
