@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from provena.plans import tools as T
 from provena.plans.bind import money, table
 from provena.plans.registry import query
+from provena.sources import erasure as E
 from provena.storage import write_table
 from provena.streaming import chases as C
 from provena.streaming import snapshots as S
@@ -63,3 +67,41 @@ def chase_steps_by_day(spark: SparkSession, sf: str) -> DataFrame:
     answered = sent.join(orders, "chase_id").where("sent_on >= asked_on").groupBy("chase_id").agg(F.min("sent_on").alias("answered_on"))
     steps = C.chase_timeline(orders.join(answered, "chase_id", "left"), F.lit("1998-06-30").cast("date"))
     return steps.groupBy("step", "at").agg(F.count("*").alias("n"), F.min("chase_id").alias("first_chase"), F.max("chase_id").alias("last_chase"))
+
+
+@query(
+    """
+SELECT source AS tenant, count(*) AS rows_before, count(text) AS readable_before, CASE WHEN source = (SELECT min(source) FROM documents) THEN 0 ELSE count(*) END AS rows_after,
+       CASE WHEN source = (SELECT min(source) FROM documents) THEN 0 ELSE count(text) END AS readable_after, source <> (SELECT min(source) FROM documents) AS unchanged
+FROM documents WHERE source IS NOT NULL GROUP BY source"""
+)
+def tenant_erased(spark: SparkSession, sf: str) -> DataFrame:
+    """Documents sealed by source; the first source's key is dropped and its rows are rewritten away; what is left of each."""
+    docs = table(spark, sf, "documents").where("source IS NOT NULL")
+    keys = write_table(E.new_keys(docs, "source"), "keys")
+    sealed = E.SealedTable.write(docs.select("doc_id", "source", "text"), "source", ["text"], keys, F.col("doc_id"))
+    digests = lambda k: E.tenant_digests(sealed.readable(k), "source", ["text", "doc_id"])
+    before = write_table(digests(keys), "digests")
+    gone = before.agg(F.min("tenant")).first()[0]
+    left = write_table(E.drop_key(keys, gone), "keys")
+    sealed.erase(gone)
+    after = digests(left).select("tenant", F.col("rows").alias("rows_after"), F.col("readable").alias("readable_after"), F.col("digest").alias("now"))
+    told = before.join(after, "tenant", "left").fillna(0, ["rows_after", "readable_after"])
+    return told.select("tenant", F.col("rows").alias("rows_before"), F.col("readable").alias("readable_before"), "rows_after", "readable_after", F.coalesce(F.col("digest") == F.col("now"), F.lit(False)).alias("unchanged"))
+
+
+@query(
+    """
+SELECT 'spending' AS tool, o_orderpriority AS label, count(*) AS n, sum(CAST(o_totalprice AS DECIMAL(18,2)))::DECIMAL(28,2) AS amount FROM orders
+WHERE CAST(o_orderdate AS DATE) BETWEEN DATE '1995-01-01' AND DATE '1996-06-30' GROUP BY o_orderpriority
+UNION ALL
+SELECT 'largest', label, n, amount FROM (
+  SELECT c_custkey, c_name || ' ' || c_mktsegment AS label, count(*) AS n, sum(CAST(o_totalprice AS DECIMAL(18,2)))::DECIMAL(28,2) AS amount
+  FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY c_custkey, c_name, c_mktsegment HAVING sum(CAST(o_totalprice AS DECIMAL(18,2))) > 1000000.5 ORDER BY amount DESC, c_custkey LIMIT 10)
+UNION ALL
+SELECT 'documents', source, count(*), sum(n_chars)::DECIMAL(28,2) FROM documents WHERE contains(lower(text), 'the ') AND lang = 'en' GROUP BY source"""
+)
+def tool_answers(spark: SparkSession, sf: str) -> DataFrame:
+    """Three tools called with JSON arguments."""
+    calls = [("spending", '{"start": "1995-01-01", "end": "1996-06-30"}'), ("largest", '{"above": 1000000.5}'), ("documents", '{"phrase": "The ", "lang": "en"}')]
+    return reduce(DataFrame.unionByName, [T.call(spark, sf, name, args).select(F.lit(name).alias("tool"), "label", "n", "amount") for name, args in calls])
