@@ -18,6 +18,7 @@ from provena.operators import selection as S
 from provena.operators import windows as N
 from provena.plans.bind import DOC, TX, doc, table, tx, with_ctes
 from provena.plans.registry import query
+from provena.storage import write_table
 
 BANDS = "CASE WHEN g BETWEEN 6 AND 8 THEN 'weekly' WHEN g BETWEEN 26 AND 35 THEN 'monthly' WHEN g BETWEEN 84 AND 98 THEN 'quarterly' WHEN g BETWEEN 355 AND 376 THEN 'yearly' END"
 
@@ -202,7 +203,7 @@ def event_chain_verify(spark: SparkSession, sf: str) -> DataFrame:
     from pyspark.sql import Window as W
 
     numbered = e.select("user_id", F.row_number().over(W.partitionBy("user_id").orderBy("ts", "event_id")).cast("bigint").alias("seq"), F.to_json(F.struct("event_type", F.col("value").cast("decimal(18,2)").cast("string").alias("value"))).alias("body"))
-    log = H.build_chain(numbered, "user_id", "seq", "body")
+    log = write_table(H.build_chain(numbered, "user_id", "seq", "body"), "event-chain")
     last = log.groupBy("user_id").agg(F.max(F.struct("seq", "hash")).alias("l")).select("user_id", F.col("l.seq").alias("last_seq"), F.col("l.hash").alias("last_hash"))
     kinds = {
         "intact": log,

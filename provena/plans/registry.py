@@ -25,7 +25,7 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
 
 def load() -> None:
     """Import the modules that register queries."""
-    from provena.plans import close_queries, event_queries, link_queries, matching_queries, money_queries, search_queries, source_queries, state_queries, text_queries  # noqa: F401
+    from provena.plans import close_queries, event_queries, link_queries, matching_queries, money_queries, search_queries, sink_queries, source_queries, state_queries, text_queries  # noqa: F401
 
 
 def catalog() -> list[dict]:
