@@ -76,27 +76,63 @@ def score_pairs(pairs: DataFrame, *, paid: str, due: str, paid_on: str, issued_o
     return out.withColumn("grade", F.when(F.col("viable") & (F.col("points") >= 70) & (F.col("status") == "exact"), "green").when(F.col("viable") & (F.col("points") >= 45), "amber").otherwise("red"))
 
 
+#: Rounds before what is left is looked at by components, and pairs of a component that one task may take in order.
+ROUNDS, COMPONENT_PAIRS = 4, 50_000
+
+
 def greedy_one_to_one(candidates: DataFrame, left: str, right: str, order: Sequence[tuple[str, bool]]) -> DataFrame:
     """Take pairs in one global order, each side at most once.
 
     ``order`` are numeric (column, ascending); ties fall to the ids, so the order is total. A pair that comes first
     for both of its sides is taken by any run through that order, whatever else it takes: each round takes all such
-    pairs, drops their rivals and goes on, with one minimum for each side and no group in one task. A round's
-    tables are written and the one before deleted.
+    pairs, drops their rivals and goes on, with one minimum for each side and no group in one task. Pairs that decide
+    each other one after another would need a round each; so after ``ROUNDS`` rounds the components that are left
+    are run through in order, each in one task if it has at most ``COMPONENT_PAIRS`` pairs. Larger ones take further
+    rounds, by which they fall apart. A round's tables are written and the one before deleted.
     """
     place = F.struct(*[(F.col(c) if up else -F.col(c)).alias(f"o{i}") for i, (c, up) in enumerate(order)], left, right)
     taken: list[DataFrame] = []
     with Scratch(candidates.sparkSession) as scratch:
         rest = scratch.write(candidates.withColumn("__at", place), "pairs")
+        rounds = 0
         while not rest.isEmpty():
             best = lambda side: rest.groupBy(side).agg(F.min("__at").alias("__at")).select("__at")  # noqa: B023, E731
             first = write_table(rest.join(best(left), "__at", "left_semi").join(best(right), "__at", "left_semi"), "taken")
             taken.append(first)
             rest = scratch.write(rest.join(first.select(left), left, "left_anti").join(first.select(right), right, "left_anti"), "pairs")
             scratch.drop(keep=1)
+            rounds += 1
+            if rounds % ROUNDS == 0 and not rest.isEmpty():
+                done, rest = _by_component(rest, left, right, scratch)
+                taken.append(done)
     return reduce(DataFrame.unionByName, taken).drop("__at") if taken else candidates.limit(0)
 
 
+def _by_component(rest: DataFrame, left: str, right: str, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
+    """(pairs taken, pairs left): components of few pairs are run through in order, the others stay."""
+    node = lambda side, c: F.concat(F.lit(side), F.to_json(F.struct(F.col(c).alias("k"))))
+    known = rest.withColumns({"__l": node("l", left), "__r": node("r", right)})
+    roots = connected_components(known.select(F.col("__l").alias("u"), F.col("__r").alias("v")))
+    known = known.join(roots.select(F.col("node").alias("__l"), F.col("root").alias("__root")), "__l")
+    sizes = known.groupBy("__root").agg(F.count("*").alias("__n"))
+    known = scratch.write(known.join(sizes, "__root"), "pair-components")
+    small = known.where(F.col("__n") <= COMPONENT_PAIRS)
+
+    def run(group: pd.DataFrame) -> list[tuple]:
+        used: set[str] = set()
+        out = []
+        for n, (a, b) in enumerate(zip(group["__l"], group["__r"], strict=True)):
+            if a not in used and b not in used:
+                used |= {a, b}
+                out.append((n + 1,))
+        return out
+
+    chosen = fold_groups(small.select("__root", "__at", "__l", "__r"), ["__root"], ["__at"], run, "__nth bigint")
+    nth = F.row_number().over(W.partitionBy("__root").orderBy("__at")).cast("bigint")
+    done = write_table(small.withColumn("__nth", nth).join(chosen, ["__root", "__nth"], "left_semi").select(*rest.columns), "taken")
+    return done, scratch.write(known.where(F.col("__n") > COMPONENT_PAIRS).select(*rest.columns), "pairs")
+
+
 def _whole_numbers(amounts: Sequence) -> list[int]:
     """Decimal amounts in units of their smallest decimal place: exact, whatever their size."""
     exact = [a if isinstance(a, Decimal) else Decimal(str(a)) for a in amounts]

@@ -191,3 +191,35 @@ def test_selection(spark):
     cards = spark.createDataFrame([("1111", "c1"), ("2222", "c2"), ("2222", "c3")], "card_last4 string, card_source string")
     accounts = spark.createDataFrame([("a", "A"), ("b", "B")], "account_id string, account_source string")
     assert rows(S.source_of(p, cards, accounts).select("id", "source")) == [(1, "c1"), (2, "A"), (3, "B")]
+
+
+def test_greedy_pairs_along_a_chain_need_few_rounds(spark, monkeypatch):
+    """Pairs that decide each other one after another, beside random ones, against one run through the order."""
+    import random
+
+    from provena.storage import Scratch
+
+    r = random.Random(8)
+    pairs = {(k, k): 2 * k for k in range(60)} | {(k + 1, k): 2 * k + 1 for k in range(60)}
+    pairs |= {(1000 + r.randrange(40), 1000 + r.randrange(40)): 1000 + k for k in range(300)}
+    rows = [(a, b, float(p)) for (a, b), p in pairs.items()]
+    r.shuffle(rows)
+
+    def brute():
+        used, out = set(), set()
+        for a, b, _ in sorted(rows, key=lambda x: (x[2], x[0], x[1])):
+            if ("l", a) not in used and ("r", b) not in used:
+                used |= {("l", a), ("r", b)}
+                out.add((a, b))
+        return out
+
+    writes = []
+    plain = Scratch.write
+    monkeypatch.setattr(Scratch, "write", lambda self, df, label: writes.append(label) or plain(self, df, label))
+    df = spark.createDataFrame(rows, "a int, b int, p double")
+    got = M.greedy_one_to_one(df, "a", "b", [("p", True)])
+    assert {(x.a, x.b) for x in got.collect()} == brute() and writes.count("pairs") < 10
+    monkeypatch.setattr(M, "COMPONENT_PAIRS", 5)  # large ones go on by rounds
+    few = df.where("a < 12 OR a >= 1000")
+    rows[:] = [x for x in rows if x[0] < 12 or x[0] >= 1000]
+    assert {(x.a, x.b) for x in M.greedy_one_to_one(few, "a", "b", [("p", True)]).collect()} == brute()
