@@ -13,7 +13,7 @@ from provena.operators import aggregates as A
 from provena.operators import duplicates as U
 from provena.operators import matching as M
 from provena.operators import selection as S
-from provena.plans.bind import DOC, DOC_LINE, PAYMENT, doc, doc_line, payment, table, with_ctes
+from provena.plans.bind import DOC, DOC_LINE, PAYMENT, doc, doc_line, money, payment, table, with_ctes
 from provena.plans.registry import query
 
 NEAR = "least(greatest(2.00, round(abs(gross) * 0.01, 2)), 25.00)"
@@ -433,3 +433,51 @@ def parties_as_known_then(spark: SparkSession, sf: str) -> DataFrame:
     owners = table(spark, sf, "customer").select(F.lit("tax_id").alias("kind"), F.col("c_custkey").cast("string").alias("value"), F.col("c_custkey").alias("party"))
     none = spark.createDataFrame([], "party bigint, name string")
     return A.resolve(rows, "id", ["tax_id"], owners, aliases, none).select("id", "party", "method")
+
+
+@query(
+    """
+WITH s AS (SELECT l_orderkey, min(CAST(l_shipdate AS DATE)) AS shipped, max(l_linenumber) AS lines FROM lineitem GROUP BY l_orderkey),
+p AS (
+  SELECT o_orderkey AS id, -CAST(o_totalprice AS DECIMAL(18,2)) AS due, CAST(o_orderdate AS DATE) AS issued_on, s.shipped AS paid_on, s.lines, c_nationkey % 3 = 0 AS foreign_, o_orderpriority = '1-URGENT' AS quoted,
+         c_mktsegment = 'BUILDING' AS building, c_mktsegment = 'MACHINERY' AS machinery,
+         -CAST(CASE WHEN c_nationkey % 3 = 0 THEN CAST(o_totalprice AS DECIMAL(18,2)) * 0.9 + s.lines WHEN s.lines > 4 THEN CAST(o_totalprice AS DECIMAL(18,2)) * 0.5 ELSE CAST(o_totalprice AS DECIMAL(18,2)) + (s.lines - 1) * 0.5 END AS DECIMAL(18,2)) AS paid
+  FROM orders JOIN s ON o_orderkey = l_orderkey JOIN customer ON o_custkey = c_custkey WHERE o_totalprice > 0),
+t AS (
+  SELECT *, least(greatest(2.00, round(abs(due) * 0.01, 2)), 25.00)::DECIMAL(18,2) AS tol, abs(paid - due) AS gap, CAST(abs(due) * 0.9 AS DECIMAL(30,10)) AS expected, round(-CAST(abs(due) * 0.9 AS DECIMAL(30,10)) - paid, 2)::DECIMAL(18,2) AS cost_,
+         date_diff('day', issued_on, paid_on) AS days FROM p),
+u AS (
+  SELECT *, CASE WHEN foreign_ THEN CASE WHEN abs(cost_) <= expected * 0.03 THEN 'near' ELSE 'mismatch' END
+              WHEN gap = 0 THEN 'exact' WHEN gap <= tol THEN 'near' WHEN abs(paid) < abs(due) THEN 'partial' ELSE 'mismatch' END AS status,
+         CASE WHEN foreign_ THEN cost_ END AS cost, days BETWEEN -7 AND 60 AS inside FROM t),
+v AS (
+  SELECT *, CASE status WHEN 'exact' THEN 40 WHEN 'partial' THEN 15 WHEN 'mismatch' THEN 0
+              ELSE CASE WHEN foreign_ THEN CASE WHEN abs(cost_) * 2 <= abs(paid) * 0.03 THEN 20 ELSE 12 END WHEN gap * 4 <= tol THEN 20 WHEN gap * 2 <= tol THEN 12 ELSE 6 END END
+         + CASE WHEN status <> 'mismatch' THEN 5 ELSE 0 END + CASE WHEN NOT inside THEN 0 WHEN abs(days) <= 3 THEN 10 WHEN abs(days) <= 7 THEN 8 WHEN abs(days) <= 14 THEN 6 WHEN abs(days) <= 31 THEN 4 ELSE 3 END
+         + CASE WHEN building THEN 20 WHEN machinery THEN -40 ELSE 15 END + CASE WHEN quoted THEN 25 ELSE 0 END AS raw FROM u)
+SELECT id, status, cost, least(100, greatest(0, raw))::INTEGER AS points,
+       CASE WHEN status = 'mismatch' THEN 'amounts differ' WHEN status = 'partial' AND NOT quoted THEN 'partial payment without a reference' WHEN machinery THEN 'different supplier' WHEN NOT inside AND NOT quoted THEN 'outside the date window' END AS rejection,
+       CASE WHEN status = 'exact' AND NOT machinery AND inside AND raw >= 70 THEN 'green' ELSE 'amber' END AS grade
+FROM v"""
+)
+def pairs_scored_in_full(spark: SparkSession, sf: str) -> DataFrame:
+    """Every order against a payment at its first shipment: near, partial and converted amounts, dates, supplier and quoted number."""
+    from provena.operators.scoring import score_in_full
+
+    shipped = table(spark, sf, "lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.min(F.to_date("l_shipdate")).alias("paid_on"), F.max("l_linenumber").alias("lines"))
+    rows = table(spark, sf, "orders").where("o_totalprice > 0").join(shipped, "o_orderkey").join(table(spark, sf, "customer").withColumnRenamed("c_custkey", "o_custkey"), "o_custkey")
+    abroad, total, part = F.col("c_nationkey") % 3 == 0, money("o_totalprice"), lambda x: F.lit(x).cast("decimal(2,1)")
+    paid = F.when(abroad, total * part("0.9") + F.col("lines")).when(F.col("lines") > 4, total * part("0.5")).otherwise(total + (F.col("lines") - 1) * part("0.5"))
+    pairs = rows.select(
+        F.col("o_orderkey").alias("id"),
+        (-money(paid)).cast("decimal(18,2)").alias("paid"),
+        F.lit("EUR").alias("paid_currency"),
+        "paid_on",
+        (-money("o_totalprice")).cast("decimal(18,2)").alias("due"),
+        F.when(abroad, "USD").otherwise("EUR").alias("due_currency"),
+        F.to_date("o_orderdate").alias("issued_on"),
+        F.when(abroad, F.lit("0.9")).cast("decimal(20,10)").alias("reference_rate"),
+        F.when(F.col("c_mktsegment") == "BUILDING", "same_vat").when(F.col("c_mktsegment") == "MACHINERY", "different").otherwise("same").alias("relation"),
+        (F.col("o_orderpriority") == "1-URGENT").alias("number_quoted"),
+    )
+    return score_in_full(pairs).select("id", "status", "cost", "points", "rejection", "grade")
