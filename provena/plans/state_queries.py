@@ -51,13 +51,13 @@ WITH c AS (
   SELECT o_orderkey AS chase_id, CAST(o_orderdate AS DATE) AS asked_on, CAST(min(l_shipdate) AS DATE) AS answered_on
   FROM orders LEFT JOIN lineitem ON o_orderkey = l_orderkey AND l_shipdate >= o_orderdate GROUP BY o_orderkey, o_orderdate),
 s AS (
-  SELECT chase_id, asked_on AS at, 'ask' AS step FROM c
+  SELECT chase_id, asked_on AS day, 'ask' AS step FROM c
   UNION ALL
   SELECT chase_id, asked_on + d, step FROM c, (VALUES (6, 'remind'), (12, 'remind'), (18, 'escalate'), (30, 'give_up')) v(d, step)
   WHERE answered_on IS NULL OR asked_on + d < answered_on
   UNION ALL
   SELECT chase_id, answered_on, 'answer' FROM c WHERE answered_on <= asked_on + 30)
-SELECT step, at, count(*) AS n, min(chase_id) AS first_chase, max(chase_id) AS last_chase FROM s WHERE at <= DATE '1998-06-30' GROUP BY step, at"""
+SELECT step, day, count(*) AS n, min(chase_id) AS first_chase, max(chase_id) AS last_chase FROM s WHERE day <= DATE '1998-06-30' GROUP BY step, day"""
 )
 def chase_steps_by_day(spark: SparkSession, sf: str) -> DataFrame:
     """What falls due each day in the chases for all orders until their first shipment: reminders, escalations, ends."""
@@ -66,7 +66,7 @@ def chase_steps_by_day(spark: SparkSession, sf: str) -> DataFrame:
     # shipments before the order answer nothing; each order's first later one is taken behind the join
     answered = sent.join(orders, "chase_id").where("sent_on >= asked_on").groupBy("chase_id").agg(F.min("sent_on").alias("answered_on"))
     steps = C.chase_timeline(orders.join(answered, "chase_id", "left"), F.lit("1998-06-30").cast("date"))
-    return steps.groupBy("step", "at").agg(F.count("*").alias("n"), F.min("chase_id").alias("first_chase"), F.max("chase_id").alias("last_chase"))
+    return steps.groupBy("step", F.col("at").alias("day")).agg(F.count("*").alias("n"), F.min("chase_id").alias("first_chase"), F.max("chase_id").alias("last_chase"))
 
 
 @query(
