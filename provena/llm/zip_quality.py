@@ -99,22 +99,29 @@ class CompressionClassifier:
         """Fit on bounded samples of the labelled documents, chosen among the labels by a hash of the id.
 
         The ids are chosen first, so only the sample's texts leave their rows: at most ``sample_rows`` of each class
-        for the dictionaries (``SAMPLE_CHARS`` of each) and ``fit_rows`` for the curve. Rows with a null text, id or
+        for the dictionaries (``SAMPLE_CHARS`` of each) and ``fit_rows`` for the curve, whose features are taken by
+        dictionaries of the other half of the ids. Rows with a null text, id or
         label are left out, and of documents with one id one counts. Without rows of both classes the score is
         their share (or 1/2).
         """
         rows = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).select(F.col(id_col).alias("of"), F.col(label_col).cast("int").alias("y")).distinct()
+        rows = rows.withColumn("half", F.pmod(F.xxhash64(F.lit(2), "of"), F.lit(2)))
         dictionary = [rows.where(F.col("y") == y).orderBy(F.xxhash64("of"), "of").limit(sample_rows).withColumn("use", F.lit("dictionary")) for y in (0, 1)]
         curve = rows.orderBy(F.xxhash64(F.lit(1), "of"), "of").limit(fit_rows).withColumn("use", F.lit("curve"))
         chosen = F.broadcast(dictionary[0].unionByName(dictionary[1]).unionByName(curve))
         texts = docs.where(F.col(text_col).isNotNull()).select(F.col(id_col).alias("of"), F.col(text_col).alias("t")).join(chosen, "of")
         texts = write_table(texts.dropDuplicates(["of", "use"]), "labelled-sample")
-        samples = {y: [r.t for r in texts.where((F.col("use") == "dictionary") & (F.col("y") == y)).select(spread_pieces(F.col("t")).alias("t"), "of").orderBy("of").collect()] for y in (0, 1)}
+        samples = {y: [(r.t, r.half) for r in texts.where((F.col("use") == "dictionary") & (F.col("y") == y)).select(spread_pieces(F.col("t")).alias("t"), "of", "half").orderBy("of").collect()] for y in (0, 1)}
         if not samples[0] or not samples[1]:
             share = 0.999 if samples[1] else 0.001 if samples[0] else 0.5
             return cls(b"", b"", [0.0, math.log(share / (1 - share))])
-        good, bad = _dictionary(samples[1]), _dictionary(samples[0])
-        got = _with_feature(texts.where("use = 'curve'"), "t", good, bad).select("of", "feature", "y").toPandas().sort_values("of")
+        # a text compresses too well by a dictionary that it trained: each half's feature is taken by the other half's
+        seen = []
+        for half in (0, 1):
+            good, bad = (_dictionary([t for t, h in samples[y] if h != half] or [t for t, _ in samples[y]]) for y in (1, 0))
+            seen.append(_with_feature(texts.where((F.col("use") == "curve") & (F.col("half") == half)), "t", good, bad).select("of", "feature", "y"))
+        got = seen[0].unionByName(seen[1]).toPandas().sort_values("of")
+        good, bad = (_dictionary([t for t, _ in samples[y]]) for y in (1, 0))
         return cls(good, bad, fit_logistic(got[["feature"]].to_numpy(), got.y.to_numpy(float)))
 
     def score(self, docs: DataFrame, *, text_col: str = "text", threshold: float = 0.3) -> DataFrame:
