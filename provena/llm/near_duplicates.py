@@ -243,8 +243,8 @@ def near_duplicates(
     candidates = write_table(candidates.withColumn("span", span.cast("long")), "candidates")
     sizes = write_table(candidates.groupBy("grp", "span").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks")), "group-sizes")
     near = sizes.select("grp", "span", "blocks").join(sizes.select("grp", F.col("span").alias("other_span"), F.col("blocks").alias("other_blocks")), "grp").where(F.abs(F.col("span") - F.col("other_span")) <= 1)
-    parts = F.transform(F.sequence(F.lit(0), F.col("other_blocks") - 1), lambda k: F.struct(F.col("other_span").alias("span"), k.alias("part")))
-    near = write_table(near.groupBy("grp", "span", "blocks").agg(F.flatten(F.collect_list(parts)).alias("others")), "block-pairs")
+    # a row holds the three size classes that can be linked to its own, however many blocks they have
+    near = write_table(near.groupBy("grp", "span", "blocks").agg(F.collect_list(F.struct(F.col("other_span").alias("span"), F.col("other_blocks").alias("blocks"))).alias("beside")), "block-pairs")
     # the texts meet a narrow table of candidates, their sets the block pairs: neither is wide where it is broadcast
     dealt = write_table(candidates.select("id", "grp", "span", "members"), "dealt")
     held = join_sized(docs, dealt, "id", "inner")
@@ -257,8 +257,9 @@ def near_duplicates(
     held_columns = ["id", "grp", "span", "members"]
     sets_of = held.select(*held_columns, "text").mapInArrow(sets, ", ".join([*(f"{c} long" for c in held_columns), "shingles binary"]))
     told = join_sized(sets_of, near, ["grp", "span"], "inner").withColumn("blk", F.struct("span", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int").alias("part")))
+    others = F.flatten(F.transform("beside", lambda b: F.transform(F.sequence(F.lit(0), b["blocks"] - 1), lambda k: F.struct(b["span"].alias("span"), k.alias("part")))))
     # a block meets another once: in the pair (smaller, larger)
-    pairs = told.select("id", "grp", "blk", "members", "shingles", F.explode("others").alias("other")).withColumns({"i": F.least("blk", "other"), "j": F.greatest("blk", "other")})
+    pairs = told.select("id", "grp", "blk", "members", "shingles", F.explode(others).alias("other")).withColumns({"i": F.least("blk", "other"), "j": F.greatest("blk", "other")})
     pairs = pairs.select("id", "grp", "members", "shingles", "i", "j", F.expr("blk = i").alias("left"), F.expr("blk = j").alias("right"))
 
     def verify(table: pa.Table) -> pa.Table:
