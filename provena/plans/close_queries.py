@@ -403,3 +403,42 @@ def pattern_fits(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = doc(spark, sf_dir)
     usual = d.groupBy("party").agg(F.dayofmonth(F.min("issue_date")).alias("usual_day"), F.min_by("gross", F.struct("issue_date", "id")).alias("usual"))
     return d.join(usual, "party").select("id", fits(F.col("issue_date"), F.col("gross"), F.col("usual_day"), F.col("usual")).alias("fits"))
+
+
+@query(
+    """
+WITH cash AS (SELECT 'cash' AS source, 'out' AS direction, 'cost' AS kind, o_orderstatus = 'P' AS pending, CAST(o_totalprice AS DECIMAL(18,2)) AS amount, false AS twice FROM orders
+  WHERE o_orderpriority = '5-LOW' AND o_orderstatus IN ('F', 'P') AND o_orderkey NOT IN (SELECT l_orderkey FROM lineitem WHERE l_quantity > 45) AND o_orderkey NOT IN (SELECT l_orderkey FROM lineitem WHERE l_returnflag = 'R')),
+claims AS (SELECT 'claims', 'out', CASE WHEN l_linestatus = 'O' THEN 'claim_waiting' ELSE 'cost' END, false, CAST(l_extendedprice AS DECIMAL(18,2)), count(*) OVER (PARTITION BY l_orderkey, l_linenumber) > 1 FROM lineitem WHERE l_returnflag = 'R' AND l_linestatus IN ('O', 'F')),
+tills AS (SELECT 'tills', 'in', 'till_cash', false, sum(CAST(value AS DECIMAL(18,2)))::DECIMAL(18,2), false FROM events WHERE event_type = 'purchase' GROUP BY CAST(ts AS DATE) HAVING sum(CAST(value AS DECIMAL(18,2))) <> 0),
+desk AS (SELECT 'desk', 'in', 'income', false, CAST(c_acctbal AS DECIMAL(18,2)), false FROM customer WHERE c_acctbal > 0 AND c_mktsegment = 'BUILDING'),
+reports AS (SELECT l_suppkey, CAST(l_shipdate AS DATE) AS day, sum(CAST(l_extendedprice AS DECIMAL(18,2)))::DECIMAL(18,2) AS sales, sum(CAST(round(CAST(l_extendedprice AS DECIMAL(18,2)) * CAST(l_tax AS DECIMAL(4,2)), 2) AS DECIMAL(18,2)))::DECIMAL(18,2) AS fees, count(*) % 5 <> 0 AS settled FROM lineitem GROUP BY 1, 2),
+payouts AS (SELECT 'payouts', 'in', 'sales', false, sales, false FROM reports WHERE settled AND sales > 0 UNION ALL SELECT 'payouts', 'out', 'platform_fee', false, fees, false FROM reports WHERE settled AND fees > 0),
+l AS (SELECT * FROM cash UNION ALL SELECT * FROM claims UNION ALL SELECT * FROM tills UNION ALL SELECT * FROM desk UNION ALL SELECT * FROM payouts)
+SELECT source, direction, kind, pending, count(*) AS lines, sum(amount)::DECIMAL(28,2) AS amount, count(*) FILTER (twice) AS clashes FROM l GROUP BY ALL"""
+)
+def ledger_of_all_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five sources beside the bank as ledger lines (cash purchases, claims, tills, desk receipts, payout parts), and how many lines share their id with another one."""
+    from provena.operators import ledger as L
+
+    orders, items, events = (table(spark, sf_dir, t) for t in ("orders", "lineitem", "events"))
+    stage = F.when(F.col("o_orderstatus") == "F", "closed").when(F.col("o_orderstatus") == "P", "needs_owner").otherwise("reading")
+    documents = orders.select(F.col("o_orderkey").alias("document"), F.to_date("o_orderdate").alias("on"), F.col("o_totalprice").cast(MONEY).alias("gross"), F.lit("EUR").alias("currency"), F.lit("a").alias("company"), stage.alias("stage"), (F.col("o_orderpriority") == "5-LOW").alias("paid_in_cash"))
+    returned, order = items.where("l_returnflag = 'R'"), F.col("l_orderkey").alias("document")
+    status = F.when(F.col("l_linestatus") == "O", "waiting").when(F.col("l_linestatus") == "F", "paid").otherwise("declined")
+    claims = returned.select(F.concat_ws(".", "l_orderkey", "l_linenumber").alias("claim"), order, F.to_date("l_shipdate").alias("on"), F.col("l_extendedprice").cast(MONEY).alias("amount"), F.lit("EUR").alias("currency"), F.lit("a").alias("company"), status.alias("status"))
+    tills = events.where("event_type = 'purchase'").groupBy(F.to_date("ts").alias("on")).agg(F.sum(F.col("value").cast(MONEY)).alias("cash")).select(F.concat(F.lit("till-"), F.col("on").cast("string")).alias("document"), "on", "cash", F.lit("EUR").alias("currency"), F.lit("a").alias("company"), F.lit(True).alias("usable"))
+    desk = table(spark, sf_dir, "customer").where("c_acctbal > 0").select(F.col("c_custkey").alias("document"), F.lit("2024-01-01").cast("date").alias("on"), F.col("c_acctbal").cast(MONEY).alias("amount"), F.lit("a").alias("company"), (F.col("c_mktsegment") == "BUILDING").alias("cash"), F.lit("paid").alias("status"))
+    price = F.col("l_extendedprice").cast(MONEY)
+    reports = items.groupBy(F.concat_ws("@", F.col("l_suppkey").cast("string"), F.to_date("l_shipdate").cast("string")).alias("line"), F.to_date("l_shipdate").alias("on")).agg(F.sum(price).alias("gross_sales"), F.sum(F.round(price * F.col("l_tax").cast("decimal(4,2)"), 2)).alias("fees"), (F.count("*") % 5 != 0).alias("settled"))
+    reports = reports.withColumns({"document": F.col("line"), "currency": F.lit("EUR"), "company": F.lit("b"), "pending": F.lit(False)})
+    ledger = L.whole_ledger(
+        cash=L.cash_purchases(documents, returned.select(order), items.where("l_quantity > 45").select(order)),
+        claims=L.expense_claims(claims),
+        tills=L.till_cash(tills),
+        desk=L.desk_receipts(desk),
+        payouts=L.settled_payouts(reports, reports.select("line", "document", "currency", "gross_sales", "fees", "settled")),
+    )
+    twice = L.clashes(ledger).select("line", "n")
+    told = ledger.join(twice, "line", "left").groupBy("source", "direction", "kind", "pending")
+    return told.agg(F.count("*").alias("lines"), F.sum("amount").cast("decimal(28,2)").alias("amount"), F.count("n").alias("clashes"))
