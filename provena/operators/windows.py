@@ -105,14 +105,20 @@ def recurring_series(rows: DataFrame, key: str, day: str, *, fit: float = 0.75,
     months or more, else twice).
 
     Returns key, cadence, n (days), on_cycle, share (of gaps that fit), anchor, season (months, joined by commas),
-    last_seen, next_expected; a key without a rhythm has nulls. All of it is aggregates and windows: an anchor is a row
-    for each day, added up before the shuffle.
+    last_seen, next_expected; a key without a rhythm has nulls. All of it is aggregates and windows: an anchor is one sum
+    over the key's days.
     """
     days = rows.select(key, F.col(day).alias("day")).distinct()
-    tries = F.explode(F.concat(F.transform(F.sequence(F.lit(0), F.lit(6)), lambda a: F.struct(F.lit("week").alias("family"), a.alias("anchor"))), F.transform(F.sequence(F.lit(1), F.lit(31)), lambda a: F.struct(F.lit("month").alias("family"), a.alias("anchor"))))).alias("t")
-    costs = days.select(key, "day", tries).select(key, "t.*", F.abs(_anchored(F.col("day"), F.col("t.family"), F.col("t.anchor"))["off"]).alias("off"))
-    best = costs.groupBy(key, "family", "anchor").agg(F.sum("off").alias("cost"), F.count("*").alias("n"))
-    best = best.groupBy(key, "family").agg(F.min(F.struct("cost", "anchor")).alias("b"), F.max("n").alias("n")).select(key, "family", F.col("b.anchor").alias("anchor"), "n")
+    # how far each anchor is from a day follows from a few small numbers of the day: one sum for each anchor, no row
+    length = lambda k: F.dayofmonth(F.last_day(F.add_months(F.trunc("day", "month"), k)))
+    parts = days.select(key, F.weekday("day").alias("wd"), F.dayofmonth("day").alias("d"), length(-1).alias("l0"), length(0).alias("l1"), length(1).alias("l2"))
+    in_week = lambda a: F.abs(F.pmod(F.lit(a + 3) - F.col("wd"), F.lit(7)) - 3)
+    cut = lambda a, m: F.least(F.lit(a), F.col(m))
+    in_month = lambda a: F.least(F.abs(F.col("d") - cut(a, "l1")), F.col("d") + F.col("l0") - cut(a, "l0"), F.col("l1") - F.col("d") + cut(a, "l2"))
+    families = {"week": [(a, in_week(a)) for a in range(7)], "month": [(a, in_month(a)) for a in range(1, 32)]}
+    costs = parts.groupBy(key).agg(F.count("*").alias("n"), *[F.sum(off).alias(f"{family}{a}") for family, tries in families.items() for a, off in tries])
+    least = lambda family: F.array_min(F.array(*[F.struct(F.col(f"{family}{a}").alias("cost"), F.lit(a).alias("anchor")) for a, _ in families[family]]))["anchor"]
+    best = costs.select(key, "n", F.explode(F.array(*[F.struct(F.lit(f).alias("family"), least(f).alias("anchor")) for f in families])).alias("b")).select(key, "b.family", "b.anchor", "n")
     told = days.join(best, key).withColumn("a", _anchored(F.col("day"), F.col("family"), F.col("anchor"))).select(key, "day", "family", "anchor", "n", "a.*")
 
     steps = {"weekly": 1, "monthly": 1, "quarterly": 3, "annual": 12}
