@@ -179,6 +179,17 @@ def next_expected(last_seen: Column, months: Column, today: Column) -> Column:
     return F.array_min(F.filter(days, lambda d: d >= today))
 
 
+def next_in_season(last_seen: Column, season: Column, today: Column, *, years: int = 3) -> Column:
+    """the first day from ``today`` on, in whole months after ``last_seen``, that lies in a season (array of month numbers).
+
+    Months out of season are stepped over; a month without the anchor's day has its last day. Null for an empty season,
+    and where a gap of more than ``years`` years lies between.
+    """
+    start = F.greatest(F.floor(F.months_between(today, last_seen)).cast("int") - 1, F.lit(1))
+    days = F.transform(F.sequence(start, start + 12 * years), lambda k: F.add_months(last_seen, k))
+    return F.array_min(F.filter(days, lambda d: (d >= today) & F.array_contains(season, F.month(d))))
+
+
 def reset_balance(rows: DataFrame, keys: Sequence[str], order: Sequence[Column], amount: Column, counted: Column) -> DataFrame:
     """A running balance that a count replaces; rows before any count run from 0."""
     w = W.partitionBy(*keys).orderBy(*order)

@@ -53,6 +53,23 @@ def next_expected_overdue(spark: SparkSession, sf: str) -> DataFrame:
     return last.withColumns({"expected": N.next_expected(F.col("last_seen"), F.col("months"), today), "overdue": F.add_months("last_seen", F.col("months").cast("int")) < today})
 
 
+@query(with_ctes(DOC) + """,
+m AS (SELECT party, month(issue_date) AS m, count(*) AS n FROM doc GROUP BY ALL),
+s AS (SELECT party, list_sort(list(m)) AS season FROM (SELECT *, row_number() OVER (PARTITION BY party ORDER BY n DESC, m) AS nth FROM m) WHERE nth <= 4 GROUP BY party),
+l AS (SELECT party, max(issue_date) AS last_seen FROM doc GROUP BY party),
+e AS (SELECT party, (SELECT min(CAST(last_seen + to_months(CAST(k AS INTEGER)) AS DATE)) FROM range(1, 121) r(k) WHERE CAST(last_seen + to_months(CAST(k AS INTEGER)) AS DATE) >= DATE '2001-08-01' AND list_contains(season, month(last_seen + to_months(CAST(k AS INTEGER))))) AS expected FROM l JOIN s USING (party))
+SELECT party, last_seen, array_to_string(season, ',') AS season, expected FROM l JOIN s USING (party) JOIN e USING (party)""")
+def next_in_season(spark: SparkSession, sf: str) -> DataFrame:
+    """the next arrival of each party within its season, the (up to) four months in which most of its invoices lie."""
+    from pyspark.sql import Window as W
+
+    months = doc(spark, sf).groupBy("party", F.month("issue_date").alias("m")).agg(F.count("*").alias("n"))
+    best = months.withColumn("nth", F.row_number().over(W.partitionBy("party").orderBy(F.col("n").desc(), "m"))).where("nth <= 4")
+    season = best.groupBy("party").agg(F.array_sort(F.collect_list("m")).alias("months"))
+    last = doc(spark, sf).groupBy("party").agg(F.max("issue_date").alias("last_seen")).join(season, "party")
+    return last.select("party", "last_seen", F.array_join(F.col("months").cast("array<string>"), ",").alias("season"), N.next_in_season(F.col("last_seen"), F.col("months"), F.lit(date(2001, 8, 1))).alias("expected"))
+
+
 @query(with_ctes(TX) + """,
 d AS (SELECT account, kind, booked_on, CAST(round(abs(amount), 0) AS BIGINT) AS units, count(*) AS n FROM tx GROUP BY ALL),
 g AS (SELECT *, date_diff('day', lag(booked_on) OVER (PARTITION BY account, kind ORDER BY booked_on, units), booked_on) AS gap FROM d)

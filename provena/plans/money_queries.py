@@ -159,6 +159,26 @@ def supplier_summary(spark: SparkSession, sf: str) -> DataFrame:
     return out.join(table(spark, sf, "supplier").select(F.col("s_suppkey").alias("supplier"), "s_name"), "supplier")
 
 
+@query("""
+WITH l AS (SELECT l_suppkey AS supplier, strftime(l_shipdate, '%Y-%m') AS month, l_returnflag = 'R' AS refund, CAST(l_extendedprice AS DECIMAL(18,2)) AS price FROM lineitem),
+m AS (SELECT supplier, month, sum(CASE WHEN refund THEN 0 ELSE price END)::DECIMAL(28,2) AS spend, sum(CASE WHEN refund THEN price ELSE 0 END)::DECIMAL(28,2) AS refunds, count(*) FILTER (refund) AS n_refunds FROM l GROUP BY ALL),
+s AS (SELECT *, lag(spend) OVER (PARTITION BY supplier ORDER BY month) AS before FROM m)
+SELECT supplier, sum(spend)::DECIMAL(28,2) AS spend, sum(refunds)::DECIMAL(28,2) AS refunds, sum(spend - refunds)::DECIMAL(28,2) AS net, sum(n_refunds)::BIGINT AS n_refunds, count(*) AS months,
+       max(spend)::DECIMAL(28,2) AS largest_month, arg_max(month, (spend, month)) AS largest, count(*) FILTER (before > 0 AND abs(CAST(spend AS DOUBLE) / CAST(before AS DOUBLE) - 1) >= 0.05) AS steps
+FROM s GROUP BY supplier""")
+def supplier_balances(spark: SparkSession, sf: str) -> DataFrame:
+    """What each supplier was paid and gave back, its months, the largest one, and how often a month steps by 5 % or more."""
+    price, refund = F.col("l_extendedprice").cast("decimal(18,2)"), F.col("l_returnflag") == "R"
+    zero = F.lit(0).cast("decimal(18,2)")
+    lines = table(spark, sf, "lineitem").select(F.col("l_suppkey").alias("supplier"), month_key("l_shipdate").alias("month"), refund.alias("refund"), F.when(refund, zero).otherwise(price).alias("spend"), F.when(refund, price).otherwise(zero).alias("refunds"))
+    months = lines.groupBy("supplier", "month").agg(A.total("spend").alias("spend"), A.total("refunds").alias("refunds"), F.count_if("refund").alias("n_refunds"))
+    before = F.lag("spend").over(W.partitionBy("supplier").orderBy("month"))
+    stepped = (before > 0) & (F.abs(F.col("spend").cast("double") / before.cast("double") - 1) >= 0.05)
+    out = months.withColumn("stepped", F.coalesce(stepped, F.lit(False))).groupBy("supplier")
+    money = "decimal(28,2)"
+    return out.agg(F.sum("spend").cast(money).alias("spend"), F.sum("refunds").cast(money).alias("refunds"), F.sum(F.col("spend") - F.col("refunds")).cast(money).alias("net"), F.sum("n_refunds").alias("n_refunds"), F.count("*").alias("months"), F.max("spend").cast(money).alias("largest_month"), F.max_by("month", F.struct("spend", "month")).alias("largest"), F.count_if("stepped").alias("steps"))
+
+
 @query(with_ctes(DOC, DOC_LINE) + """,
 j AS (SELECT doc, line, supplier, product, on_day, CAST(gross * 100 AS BIGINT) AS c, CAST(net * 100 AS BIGINT) AS w FROM doc_line JOIN doc ON doc.id = doc_line.doc),
 l AS (SELECT *, (c * w) // sum(w) OVER (PARTITION BY doc) AS low, row_number() OVER (PARTITION BY doc ORDER BY w DESC, line, supplier, product, on_day) AS rn FROM j)
