@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -11,6 +11,22 @@ from pyspark.sql import functions as F
 from provena.functions.dates import seconds_between
 
 MONEY = "decimal(28,2)"
+#: What a caller may put in as a key: a column's name, or a function of the rows that gives a column.
+Key = str | Callable[[DataFrame], Column]
+
+
+def summed_by(rows: DataFrame, keys: Mapping[str, Key], amounts: Sequence[str], *, levels: bool = False) -> DataFrame:
+    """Sums and counts by keys that the caller puts in by name, with all leading levels and the total if ``levels``.
+
+    A key is any expression over the rows, a registered function's too, so an aggregation never fixes what it groups by.
+    A row whose key is null is a group of its own; of totals the keys left out are null and ``level`` counts them.
+    """
+    told = rows.select(*amounts, *[(F.col(k) if isinstance(k, str) else k(rows)).alias(n) for n, k in keys.items()])
+    sums = [F.sum(a).cast("decimal(28,2)").alias(a) for a in amounts]
+    if not levels:
+        return told.groupBy(*keys).agg(F.count("*").alias("n"), *sums)
+    out = told.rollup(*keys).agg(F.count("*").alias("n"), *sums, F.grouping_id().alias("__id"))
+    return out.withColumn("level", F.bit_count("__id").cast("int")).drop("__id")
 
 
 def total(x: Column | str) -> Column:

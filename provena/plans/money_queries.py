@@ -328,3 +328,13 @@ def coverage_share(spark: SparkSession, sf: str) -> DataFrame:
     """The smaller of the share by count and by volume."""
     rows = doc(spark, sf).withColumn("year", F.date_format("issue_date", "yyyy"))
     return A.coverage_share(rows, ["year"], F.col("doc_type") != "open", "gross")
+
+
+@query("""
+WITH r AS (SELECT upper(p_name[1]) AS initial, CASE WHEN p_size < 10 THEN 'small' WHEN p_size < 30 THEN 'middle' ELSE 'large' END AS band, CAST(p_retailprice AS DECIMAL(18,2)) AS price FROM part)
+SELECT initial, band, count(*) AS n, sum(price)::DECIMAL(28,2) AS price, (GROUPING(initial) + GROUPING(band))::INTEGER AS level FROM r GROUP BY ROLLUP (initial, band)""")
+def prices_by_any_key(spark: SparkSession, sf: str) -> DataFrame:
+    """parts' prices by keys put in as functions: a name's first letter and a band of sizes, with totals."""
+    parts = table(spark, sf, "part").withColumn("price", F.col("p_retailprice").cast("decimal(18,2)"))
+    band = lambda rows: F.when(rows["p_size"] < 10, "small").when(rows["p_size"] < 30, "middle").otherwise("large")
+    return A.summed_by(parts, {"initial": lambda rows: F.upper(F.substring(rows["p_name"], 1, 1)), "band": band}, ["price"], levels=True)
