@@ -30,7 +30,12 @@ def add_months(day: Column | str, months: Column | int) -> Column:
     return F.add_months(_col(day), months)
 
 
+def micros_between(earlier: Column | str, later: Column | str) -> Column:
+    """Microseconds from one moment to a later one: what a limit is held against, since whole seconds hide that it has passed."""
+    micros = lambda x: F.unix_micros(_col(x).cast("timestamp"))
+    return micros(later) - micros(earlier)
+
+
 def seconds_between(earlier: Column | str, later: Column | str) -> Column:
     """Whole seconds from one moment to a later one, rounded down."""
-    micros = lambda x: F.unix_micros(_col(x).cast("timestamp"))
-    return F.floor((micros(later) - micros(earlier)) / 1_000_000)
+    return F.floor(micros_between(earlier, later) / 1_000_000)

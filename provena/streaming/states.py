@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from provena.functions.dates import seconds_between
+from provena.functions.dates import micros_between
 
 
 def backoff_minutes(attempts: Column) -> Column:
@@ -15,14 +15,14 @@ def backoff_minutes(attempts: Column) -> Column:
 
 def job_state(done: Column, attempts: Column, leased_at: Column, now: Column, *, most: int = 5, lease_minutes: int = 10) -> Column:
     """Done; dead after the last attempt; retry once the lease ran out; leased until then."""
-    expired = seconds_between(leased_at, now) > lease_minutes * 60
+    expired = micros_between(leased_at, now) > lease_minutes * 60_000_000
     return F.when(done, "done").when(attempts >= most, "dead").when(expired, "retry").otherwise("leased")
 
 
 def health(last_sync: Column, now: Column, *, stale_hours: int = 36, broken_days: int = 4) -> Column:
     """Healthy, stale or broken by the time since the last success; never without one."""
-    age = seconds_between(last_sync, now)
-    return F.when(last_sync.isNull(), "never").when(age > broken_days * 86400, "broken").when(age > stale_hours * 3600, "stale").otherwise("healthy")
+    age = micros_between(last_sync, now)
+    return F.when(last_sync.isNull(), "never").when(age > broken_days * 86_400_000_000, "broken").when(age > stale_hours * 3_600_000_000, "stale").otherwise("healthy")
 
 
 def due_steps(progress: DataFrame, steps: DataFrame, today: Column, *, close_day: str = "close_on") -> DataFrame:
