@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from provena.functions.text import fold, name_similarity
 from provena.operators.matching import as_of, greedy_one_to_one
+from provena.storage import write_table
 
 #: From worst to best (fixed values).
 RELATIONS = ("different", "different_name", "unclear", "unknown", "similar", "same", "same_vat")
@@ -82,37 +83,59 @@ def match_payouts(payouts: DataFrame, reports: DataFrame, *, before: int = 3, af
     use up all of them. Then differing amounts by a unique reference, then differing amounts alone in a tight and
     quiet window. A null provider fits any. Returns pay_id, report_id, outcome (settled, ambiguous, differs), step.
     """
-    p, r = payouts.alias("p"), reports.alias("r")
-    fits = (F.col("p.currency") == F.col("r.currency")) & F.coalesce(F.col("p.provider") == F.col("r.provider"), F.lit(True))
-    gap = F.datediff("p.booked_on", "r.paid_on")
+    # days in blocks as long as the window: a payout's days lie in two of them at most
+    block = lambda day: F.floor(F.datediff(day, F.lit("1970-01-01").cast("date")) / (before + after + 1))
+    spread = payouts.withColumn("block", F.explode(F.array_distinct(F.array(block(F.date_sub("booked_on", after)), block(F.date_add("booked_on", before))))))
+    p, r = payouts.alias("p"), reports.withColumn("block", block(F.col("paid_on"))).alias("r")
+    same = (F.col("p.currency") == F.col("r.currency")) & F.coalesce(F.col("p.provider") == F.col("r.provider"), F.lit(True)) & F.datediff("p.booked_on", "r.paid_on").between(-before, after)
     by_reference = F.coalesce(F.col("p.quoted") == F.col("r.report_id").cast("string"), F.lit(False))
-    exact = F.col("p.amount") == F.col("r.net")
-    chosen = ["p.pay_id", "r.report_id", "p.provider", "p.booked_on", "r.paid_on", gap.alias("gap"), by_reference.alias("by_reference"), exact.alias("exact")]
-    # pairs come from equal references or from days within the window: never from all of a provider
-    quoted = p.join(r, F.col("p.quoted") == F.col("r.report_id").cast("string")).where(fits)
-    spread = payouts.withColumn("day", F.explode(F.sequence(F.date_sub("booked_on", after), F.date_add("booked_on", before)))).alias("p")
-    dated = spread.join(r, (F.col("p.day") == F.col("r.paid_on")) & (F.col("p.currency") == F.col("r.currency"))).where(fits)
-    pairs = quoted.where(gap.between(-before, after)).select(*chosen).unionByName(dated.select(*chosen)).distinct()
+    exact = spread.alias("p").join(r, (F.col("p.amount") == F.col("r.net")) & (F.col("p.currency") == F.col("r.currency")) & (F.col("p.block") == F.col("r.block"))).where(same)
+    exact = write_table(exact.select("p.pay_id", "r.report_id", by_reference.alias("by_reference")).distinct(), "payouts-exact")
+    quoted = p.join(r, F.col("p.quoted") == F.col("r.report_id").cast("string")).where(same).select("p.pay_id", "r.report_id").distinct()
 
     out: list[DataFrame] = []
 
-    def left_over(rows: DataFrame) -> DataFrame:
+    def left_over(rows: DataFrame, *ids: str) -> DataFrame:
         for done in out:
-            rows = rows.join(done.select("pay_id"), "pay_id", "left_anti").join(done.select("report_id"), "report_id", "left_anti")
+            for i in ids:
+                rows = rows.join(done.select(i), i, "left_anti")
         return rows
 
-    for step, keep in ((1, "exact AND by_reference"), (2, "exact")):
-        found = without_rivals(left_over(pairs.where(keep)), "pay_id", "report_id")
-        out.append(found.select("pay_id", "report_id", F.when(F.col("rivals") == 0, "settled").otherwise("ambiguous").alias("outcome"), F.lit(step).alias("step")))
-    found = without_rivals(left_over(pairs.where("by_reference")), "pay_id", "report_id").where("rivals = 0")
-    out.append(found.select("pay_id", "report_id", F.lit("differs").alias("outcome"), F.lit(3).alias("step")))
-    near = left_over(pairs.where(F.abs("gap") <= quiet))
-    counted = near.withColumns({"n_p": F.count("*").over(W.partitionBy("pay_id")), "n_r": F.count("*").over(W.partitionBy("report_id"))})
-    alone = counted.where((F.col("n_p") == 1) & (F.col("n_r") == 1) & F.col("gap").between(-tight[0], tight[1]))
+    for step, pairs in ((1, exact.where("by_reference")), (2, exact)):
+        found = without_rivals(left_over(pairs, "pay_id", "report_id"), "pay_id", "report_id")
+        out.append(write_table(found.select("pay_id", "report_id", F.when(F.col("rivals") == 0, "settled").otherwise("ambiguous").alias("outcome"), F.lit(step).alias("step")), "payouts"))
+    found = without_rivals(left_over(quoted, "pay_id", "report_id"), "pay_id", "report_id").where("rivals = 0")
+    out.append(write_table(found.select("pay_id", "report_id", F.lit("differs").alias("outcome"), F.lit(3).alias("step")), "payouts"))
+    paid = write_table(left_over(payouts, "pay_id").select("pay_id", "provider", "currency", F.col("booked_on").alias("on")).distinct(), "payouts-left")
+    told = write_table(left_over(reports, "report_id").select("report_id", "provider", "currency", F.col("paid_on").alias("on")).distinct(), "reports-left")
+    early, late = min(before, quiet), min(after, quiet)
+    pairs = _only_partner(paid, told, "pay_id", "report_id", late, early).join(_only_partner(told, paid, "report_id", "pay_id", early, late), ["pay_id", "report_id"])
+    alone = pairs.join(paid.select("pay_id", F.col("on").alias("booked_on")), "pay_id").join(told.select("report_id", F.col("on").alias("paid_on")), "report_id")
+    alone = alone.where(F.datediff("booked_on", "paid_on").between(-tight[0], tight[1]))
     out.append(alone.select("pay_id", "report_id", F.lit("differs").alias("outcome"), F.lit(4).alias("step")))
     return reduce(DataFrame.unionByName, out)
 
 
+def _only_partner(rows: DataFrame, others: DataFrame, row_id: str, other_id: str, back: int, ahead: int) -> DataFrame:
+    """(row_id, other_id) of rows that exactly one of ``others`` fits: from ``back`` days before to ``ahead`` days after.
+
+    Others are counted by day, and rows of one day, provider and currency ask once, so no pair is made. A null
+    provider fits any: it is entered and asked for apart.
+    """
+    key = lambda kind, provider: F.struct(F.lit(kind).alias("kind"), provider.alias("provider"))
+    nobody, provider = F.lit(None).cast(others.schema["provider"].dataType), F.col("provider")
+    entered = F.when(provider.isNull(), F.array(key("any", nobody), key("none", nobody))).otherwise(F.array(key("any", nobody), key("of", provider)))
+    asked = F.when(provider.isNull(), F.array(key("any", nobody))).otherwise(F.array(key("none", nobody), key("of", provider)))
+    hashed = lambda rows: rows.select("currency", "on", *[c for c in rows.columns if c not in ("currency", "on", "k")], F.col("k.kind").alias("kind"), F.coalesce(F.col("k.provider").cast("string"), F.lit("")).alias("who"))
+    days = hashed(others.select("currency", "on", other_id, F.explode(entered).alias("k"))).groupBy("currency", "on", "kind", "who").agg(F.count("*").alias("n"), F.min(other_id).alias(other_id))
+    asks = rows.select("currency", "provider", F.col("on").alias("day")).distinct()
+    spread = asks.withColumn("on", F.explode(F.sequence(F.date_sub("day", back), F.date_add("day", ahead))))
+    met = hashed(spread.withColumn("k", F.explode(asked))).join(days, ["currency", "on", "kind", "who"])
+    one = met.groupBy("currency", "provider", "day").agg(F.sum("n").alias("n"), F.min(other_id).alias(other_id)).where("n = 1")
+    a = rows.alias("a")
+    return a.join(one.alias("o"), (F.col("a.currency") == F.col("o.currency")) & F.col("a.provider").eqNullSafe(F.col("o.provider")) & (F.col("a.on") == F.col("o.day"))).select(f"a.{row_id}", f"o.{other_id}")
+
+
 def check_statement(lines: DataFrame, documents: DataFrame, payments: DataFrame, *, near: int = 10, pay_near: int = 7) -> DataFrame:
     """A supplier's lines (party, row, number, on, amount, is_payment) against our documents and payments.
 
