@@ -101,51 +101,104 @@ def intact(content: Column, claimed: Column) -> Column:
 
 def safe_xml(x: Column) -> Column:
     """XML text of any size without a document type, else null: entities are never expanded. See :func:`xml_problem`."""
-    return F.when(~x.rlike(r"(?i)<!doctype|<!entity"), F.regexp_replace(x, r"<(/?)[A-Za-z0-9]+:", "<$1"))
+    return F.when(~_declares(x), F.regexp_replace(x, r"<(/?)[A-Za-z0-9]+:", "<$1"))
+
+
+def _declares(x: Column) -> Column:
+    """Whether a text has a document type or an entity; the pattern runs only over texts with a declaration at all."""
+    return F.contains(x, F.lit("<!")) & x.rlike(r"(?i)<!doctype|<!entity")
 
 
 def xml_problem(x: Column) -> Column:
     """Why :func:`safe_xml` gives nothing: ``empty`` or ``document_type``; null where it gives the text."""
-    return F.when(x.isNull() | (F.trim(x) == ""), "empty").when(x.rlike(r"(?i)<!doctype|<!entity"), "document_type")
+    return F.when(x.isNull() | (F.trim(x) == ""), "empty").when(_declares(x), "document_type")
+
+
+#: How XML is read: text as it stands; a text that doesn't parse is kept under ``_corrupt_record``.
+XML_OPTIONS = {"ignoreSurroundingSpaces": "false", "ignoreNamespace": "true", "columnNameOfCorruptRecord": "_corrupt_record"}
+
+
+def _xml_fields(paths: Sequence[str]) -> str:
+    """Fields that hold the elements at ``paths`` below an element, each of which may be repeated."""
+    below = [p.split("/", 1) for p in paths]
+    inner = {n: [rest for m, *more in below if m == n for rest in more] for n in dict.fromkeys(p[0] for p in below)}
+    return ", ".join(f"`{n}`: array<{f'struct<{_xml_fields(rest)}>' if rest else 'string'}>" for n, rest in inner.items())
+
+
+def _parsed(x: Column, paths: Sequence[str]) -> Column:
+    """XML text parsed once into the elements at ``paths``: an XPath function parses the whole text for each of them."""
+    return F.from_xml(x, f"struct<{_xml_fields(paths)}, _corrupt_record: string>", XML_OPTIONS)
 
 
-def _path(x: Column, *paths: str) -> Column:
-    found = [F.xpath_string(x, F.lit(p)) for p in paths]
-    return F.coalesce(*[F.when(f != "", f) for f in found])
+def _path(v: Column, *paths: str) -> Column:
+    """The first path whose first element, in the order of the text, is not empty."""
+
+    def first(path: str) -> Column:
+        head, *rest = path.split("/")
+        found = v[head]
+        for name in rest:
+            found = F.flatten(F.filter(found[name], lambda e: e.isNotNull()))
+        return F.get(found, F.lit(0))
+
+    return F.coalesce(*[F.when(first(p) != "", first(p)) for p in paths])
+
+
+_CII = "SupplyChainTradeTransaction"
+EINVOICE_PATHS = {
+    "invoice_number": ("ID", "ExchangedDocument/ID"),
+    "issue_date": ("IssueDate", "ExchangedDocument/IssueDateTime/DateTimeString"),
+    "due_date": ("DueDate", f"{_CII}/ApplicableHeaderTradeSettlement/SpecifiedTradePaymentTerms/DueDateDateTime/DateTimeString"),
+    "currency": ("DocumentCurrencyCode", f"{_CII}/ApplicableHeaderTradeSettlement/InvoiceCurrencyCode"),
+    "supplier_name": ("AccountingSupplierParty/Party/PartyLegalEntity/RegistrationName", "AccountingSupplierParty/Party/PartyName/Name", f"{_CII}/ApplicableHeaderTradeAgreement/SellerTradeParty/Name"),
+    "supplier_tax_id": ("AccountingSupplierParty/Party/PartyTaxScheme/CompanyID", f"{_CII}/ApplicableHeaderTradeAgreement/SellerTradeParty/SpecifiedTaxRegistration/ID"),
+    "net_amount": ("LegalMonetaryTotal/TaxExclusiveAmount", f"{_CII}/ApplicableHeaderTradeSettlement/SpecifiedTradeSettlementHeaderMonetarySummation/TaxBasisTotalAmount"),
+    "vat_amount": ("TaxTotal/TaxAmount", f"{_CII}/ApplicableHeaderTradeSettlement/SpecifiedTradeSettlementHeaderMonetarySummation/TaxTotalAmount"),
+    "gross_amount": ("LegalMonetaryTotal/TaxInclusiveAmount", f"{_CII}/ApplicableHeaderTradeSettlement/SpecifiedTradeSettlementHeaderMonetarySummation/GrandTotalAmount"),
+    "iban": ("PaymentMeans/PayeeFinancialAccount/ID", f"{_CII}/ApplicableHeaderTradeSettlement/SpecifiedTradeSettlementPaymentMeans/PayeePartyCreditorFinancialAccount/IBANID"),
+}
+CII_TYPE = "ExchangedDocument/TypeCode"
 
 
 def einvoice_fields(rows: DataFrame, xml: str) -> DataFrame:
     """The critical fields of UBL 2.1 and UN/CEFACT CII invoices; null where absent, with ``problem`` for a refused text. Prefixes are ignored."""
-    x = safe_xml(F.col(xml))
-    cii = "/CrossIndustryInvoice/SupplyChainTradeTransaction"
     day = lambda c: F.coalesce(F.try_to_date(c, "yyyy-MM-dd"), F.try_to_date(c, "yyyyMMdd"))
-    money = lambda *p: _path(F.col("__x"), *p).try_cast(MONEY)
-    kind = F.when(F.col("__x").rlike(r"<CreditNote\b"), "credit_note").when(F.col("__x").rlike(r"<Invoice\b"), "invoice").when(F.xpath_string("__x", F.lit("/CrossIndustryInvoice/ExchangedDocument/TypeCode")) == "381", "credit_note").when(F.col("__x").rlike(r"<CrossIndustryInvoice\b"), "invoice")
-    return rows.withColumn("__x", x).withColumns(
-        {
-            "problem": xml_problem(F.col(xml)),
-            "doc_type": kind,
-            "invoice_number": _path(F.col("__x"), "/*/ID", "/CrossIndustryInvoice/ExchangedDocument/ID"),
-            "issue_date": day(_path(F.col("__x"), "/*/IssueDate", "/CrossIndustryInvoice/ExchangedDocument/IssueDateTime/DateTimeString")),
-            "due_date": day(_path(F.col("__x"), "/*/DueDate", f"{cii}/ApplicableHeaderTradeSettlement/SpecifiedTradePaymentTerms/DueDateDateTime/DateTimeString")),
-            "currency": _path(F.col("__x"), "/*/DocumentCurrencyCode", f"{cii}/ApplicableHeaderTradeSettlement/InvoiceCurrencyCode"),
-            "supplier_name": _path(F.col("__x"), "/*/AccountingSupplierParty/Party/PartyLegalEntity/RegistrationName", "/*/AccountingSupplierParty/Party/PartyName/Name", f"{cii}/ApplicableHeaderTradeAgreement/SellerTradeParty/Name"),
-            "supplier_tax_id": _path(F.col("__x"), "/*/AccountingSupplierParty/Party/PartyTaxScheme/CompanyID", f"{cii}/ApplicableHeaderTradeAgreement/SellerTradeParty/SpecifiedTaxRegistration/ID"),
-            "net_amount": money("/*/LegalMonetaryTotal/TaxExclusiveAmount", f"{cii}/ApplicableHeaderTradeSettlement/SpecifiedTradeSettlementHeaderMonetarySummation/TaxBasisTotalAmount"),
-            "vat_amount": money("/*/TaxTotal/TaxAmount", f"{cii}/ApplicableHeaderTradeSettlement/SpecifiedTradeSettlementHeaderMonetarySummation/TaxTotalAmount"),
-            "gross_amount": money("/*/LegalMonetaryTotal/TaxInclusiveAmount", f"{cii}/ApplicableHeaderTradeSettlement/SpecifiedTradeSettlementHeaderMonetarySummation/GrandTotalAmount"),
-            "iban": F.regexp_replace(_path(F.col("__x"), "/*/PaymentMeans/PayeeFinancialAccount/ID", f"{cii}/ApplicableHeaderTradeSettlement/SpecifiedTradeSettlementPaymentMeans/PayeePartyCreditorFinancialAccount/IBANID"), r"\s", ""),
-        }
-    ).drop("__x")
+    found = {name: _path(F.col("__v"), *paths) for name, paths in EINVOICE_PATHS.items()}
+    shaped = {"issue_date": day, "due_date": day, **{n: lambda c: c.try_cast(MONEY) for n in ("net_amount", "vat_amount", "gross_amount")}, "iban": lambda c: F.regexp_replace(c, r"\s", "")}
+    whole = F.col("__v._corrupt_record").isNull()
+    tag = lambda name: F.contains("__x", F.lit(name)) & F.col("__x").rlike(rf"<([A-Za-z0-9]+:)?{name}\b")
+    kind = F.when(tag("CreditNote"), "credit_note").when(tag("Invoice"), "invoice").when(_path(F.col("__v"), CII_TYPE) == "381", "credit_note").when(tag("CrossIndustryInvoice"), "invoice")
+    parsed = rows.withColumn("__x", F.when(~_declares(F.col(xml)), F.col(xml))).withColumn("__v", _parsed(F.col("__x"), [CII_TYPE, *(p for paths in EINVOICE_PATHS.values() for p in paths)]))
+    out = {n: F.when(whole, shaped[n](c) if n in shaped else c) for n, c in found.items()}
+    return parsed.withColumns({"problem": F.coalesce(xml_problem(F.col(xml)), F.when(~whole, "malformed")), "doc_type": F.when(whole, kind), **out}).drop("__x", "__v")
+
+
+LINE_PATHS = {
+    "line_id": ("ID",),
+    "description": ("Item/Name",),
+    "quantity": ("InvoicedQuantity", "CreditedQuantity"),
+    "unit_price": ("Price/PriceAmount",),
+    "net": ("LineExtensionAmount",),
+    "rate": ("Item/ClassifiedTaxCategory/Percent",),
+}
 
 
 def einvoice_lines(rows: DataFrame, xml: str, keys: Sequence[str]) -> DataFrame:
-    """The lines of UBL invoices and credit notes: number, description, quantity, unit price, net, rate."""
-    found = F.regexp_extract_all(safe_xml(F.col(xml)), F.lit(r"(?s)(<(?:InvoiceLine|CreditNoteLine)\b.*?</(?:InvoiceLine|CreditNoteLine)>)"), 1)
-    lines = rows.withColumn("__l", found).select(*keys, F.posexplode("__l").alias("__n", "__x"))
-    some = lambda p: _path(F.col("__x"), f"/*/{p}")
-    quantity = F.coalesce(some("InvoicedQuantity"), some("CreditedQuantity")).try_cast("decimal(18,3)")
-    return lines.select(*keys, (F.col("__n") + 1).cast("bigint").alias("line"), some("ID").alias("line_id"), some("Item/Name").alias("description"), quantity.alias("quantity"), some("Price/PriceAmount").try_cast("decimal(18,6)").alias("unit_price"), some("LineExtensionAmount").try_cast(MONEY).alias("net"), some("Item/ClassifiedTaxCategory/Percent").try_cast("decimal(6,3)").alias("rate"))
+    """The lines of UBL invoices and credit notes: number, description, quantity, unit price, net, rate.
+
+    A text is parsed once for all its lines. Where they don't lie right below the root, or the text is broken, each
+    line's element is cut out and parsed alone.
+    """
+    below = [p for paths in LINE_PATHS.values() for p in paths]
+    parsed = rows.withColumn("__x", F.when(~_declares(F.col(xml)), F.col(xml))).withColumn("__v", _parsed(F.col("__x"), [f"{kind}/{p}" for kind in ("InvoiceLine", "CreditNoteLine") for p in below]))
+    whole = F.coalesce(F.col("__v.InvoiceLine"), F.col("__v.CreditNoteLine"))
+    plain = F.col("__v._corrupt_record").isNull() & (F.col("__v.InvoiceLine").isNull() != F.col("__v.CreditNoteLine").isNull())
+    cut = F.when(F.contains("__x", F.lit("InvoiceLine")) | F.contains("__x", F.lit("CreditNoteLine")), F.regexp_extract_all(safe_xml(F.col("__x")), F.lit(r"(?s)(<(?:InvoiceLine|CreditNoteLine)\b.*?</(?:InvoiceLine|CreditNoteLine)>)"), 1))
+    read = F.when(plain, F.transform(whole, lambda v: F.struct(v.alias("v"), F.lit(None).cast("string").alias("x")))).otherwise(F.transform(cut, lambda x: F.struct(F.lit(None).cast(f"struct<{_xml_fields(below)}>").alias("v"), x.alias("x"))))
+    lines = parsed.select(*keys, F.posexplode(read).alias("__n", "__l"))
+    alone = F.from_xml("__l.x", f"struct<{_xml_fields(below)}>", XML_OPTIONS)
+    lines = lines.withColumn("__v", F.when(F.col("__l.x").isNull(), F.col("__l.v")).otherwise(alone))
+    some = lambda n: _path(F.col("__v"), *LINE_PATHS[n])
+    return lines.select(*keys, (F.col("__n") + 1).cast("bigint").alias("line"), some("line_id").alias("line_id"), some("description").alias("description"), some("quantity").try_cast("decimal(18,3)").alias("quantity"), some("unit_price").try_cast("decimal(18,6)").alias("unit_price"), some("net").try_cast(MONEY).alias("net"), some("rate").try_cast("decimal(6,3)").alias("rate"))
 
 
 def json_fields(rows: DataFrame, payload: str, paths: Mapping[str, tuple[str, str]]) -> DataFrame:
