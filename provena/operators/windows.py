@@ -222,22 +222,22 @@ def day_window_matches(rows: DataFrame, targets: DataFrame, key: str, day: str,
     """For each target every run of consecutive days with rows, however long, that sums exactly to it.
 
     ``targets`` (target_id, key, day, amount); a run begins at most ``lookback`` days before its target and ends on
-    the target's day at the latest. A target meets the days of its lookback by equal days, which fixes the running
-    total that a run from there must reach, and that total by equality: runs that do not match are never made.
+    the target's day at the latest. Runs come from one window over a key's daily totals, at most ``lookback`` + 1 for
+    each day with rows however many targets there are, and meet targets by equal sums. Nothing is broadcast: tables
+    that look small in a shuffle are large in the driver's memory.
     Returns target_id, key, day, amount, first_day, last_day, n_days (days with rows) and ``ambiguous`` (more than
     one run); a target without a run has one row with nulls.
     """
-    daily = rows.groupBy(key, day).agg(F.sum(amount).cast("decimal(28,2)").alias("total"))
-    w = W.partitionBy(key).orderBy(day)
-    cum = daily.withColumns({"cum": F.sum("total").over(w.rowsBetween(W.unboundedPreceding, 0)).cast("decimal(28,2)"), "rn": F.row_number().over(w).cast("bigint")})
-    begin = cum.select(key, F.col(day).alias("first_day"), (F.col("cum") - F.col("total")).alias("base"), F.col("rn").alias("rn0"))
-    back = F.explode(F.sequence(F.date_sub(day, lookback), F.col(day), F.expr("INTERVAL 1 DAY"))).alias("first_day")
-    asked = targets.select(target_id, key, F.col(day).alias("until"), F.col(amount).alias("goal"), back).join(begin, [key, "first_day"])
-    reach = asked.withColumn("cum", (F.col("base") + F.col("goal")).cast("decimal(28,2)"))
-    ends = cum.select(key, "cum", F.col(day).alias("last_day"), "rn")
-    hits = reach.join(ends, [key, "cum"]).where(F.col("last_day").between(F.col("first_day"), F.col("until")))
-    found = hits.select(target_id, "first_day", "last_day", (F.col("rn") - F.col("rn0") + 1).alias("n_days"), (F.count("*").over(W.partitionBy(target_id)) > 1).alias("ambiguous"))
-    return targets.select(target_id, key, day, amount).join(found, target_id, "left")
+    daily = rows.where(F.col(day).isNotNull()).groupBy(key, day).agg(F.sum(amount).cast("decimal(28,2)").alias("total"))
+    w = W.partitionBy(key).orderBy(F.datediff(day, F.lit("1970-01-01").cast("date")))
+    cum = daily.withColumn("cum", F.sum("total").over(w.rowsBetween(W.unboundedPreceding, 0)).cast("decimal(28,2)"))
+    ahead = F.collect_list(F.struct(F.col(day).alias("last_day"), "cum")).over(w.rangeBetween(0, lookback))
+    begun = cum.select(key, F.col(day).alias("first_day"), (F.col("cum") - F.col("total")).alias("base"), ahead.alias("ahead"))
+    runs = begun.select(key, "first_day", "base", F.posexplode("ahead").alias("nth", "e")).select(key, "first_day", "e.last_day", (F.col("nth") + 1).cast("bigint").alias("n_days"), (F.col("e.cum") - F.col("base")).cast("decimal(28,2)").alias("goal"))
+    asked = targets.select(target_id, key, F.col(day).alias("until"), F.col(amount).cast("decimal(28,2)").alias("goal"))
+    hits = asked.hint("merge").join(runs.hint("merge"), [key, "goal"]).where((F.col("last_day") <= F.col("until")) & (F.col("first_day") >= F.date_sub("until", lookback)))
+    found = hits.select(target_id, "first_day", "last_day", "n_days", (F.count("*").over(W.partitionBy(target_id)) > 1).alias("ambiguous"))
+    return targets.select(target_id, key, day, amount).hint("merge").join(found.hint("merge"), target_id, "left")
 
 
 def merge_intervals(rows: DataFrame, keys: Sequence[str], start: str, end: str) -> DataFrame:
