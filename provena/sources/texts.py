@@ -237,9 +237,13 @@ def labelled_fields(rows: DataFrame, keys: list[str], text: str, labels: dict[st
 def text_lines(rows: DataFrame, keys: list[str], text: str, tolerance: str = "0.01") -> DataFrame:
     """Rows "description quantity price total" of an invoice text, kept only if quantity * price = total."""
     lines = rows.select(*keys, F.posexplode(F.split(F.coalesce(text, F.lit("")), r"\r?\n")).alias("line", "raw"))
-    part = lambda i: F.regexp_extract("raw", r"^\s*(.+?)\s+([0-9]+(?:[.,][0-9]{1,3})?)\s+([0-9.,]+)\s+([0-9.,]+)\s*$", i)
-    number = lambda i: F.get(amount_readings(part(i)), F.lit(0))
-    out = lines.select(*keys, F.col("line").cast("bigint").alias("line"), F.trim(part(1)).alias("description"), F.replace(part(2), F.lit(","), F.lit(".")).try_cast("decimal(18,3)").alias("quantity"), number(3).alias("unit_price"), number(4).alias("total"))
+    shape = r"^\s*(.+?)\s+([0-9]+(?:[.,][0-9]{1,3})?)\s+([0-9.,]+)\s+([0-9.,]+)\s*$"
+    # each reading is made once: as a generator's output it is not put again into every expression that uses it
+    once = lambda **columns: F.inline(F.array(F.struct(*[c.alias(n) for n, c in columns.items()])))
+    parts = lines.where(F.col("raw").rlike(r"[0-9.,]\s*$")).select(*keys, "line", once(**{f"p{i}": F.regexp_extract("raw", shape, i) for i in (1, 2, 3, 4)})).where("p4 != ''")
+    number = lambda c: F.get(amount_readings(c), F.lit(0))
+    made = {"description": F.trim("p1"), "quantity": F.replace("p2", F.lit(","), F.lit(".")).try_cast("decimal(18,3)"), "unit_price": number("p3"), "total": number("p4")}
+    out = parts.select(*keys, F.col("line").cast("bigint").alias("line"), once(**made))
     return out.where(F.abs(F.col("quantity") * F.col("unit_price") - F.col("total")) <= F.lit(tolerance).cast("decimal(5,2)"))
 
 
