@@ -35,6 +35,26 @@ def test_hits_against_brute_force(spark, monkeypatch):
     assert P.phrase_hits(docs, "id", "t", table.limit(0), "phrase").count() == 0
 
 
+def test_a_large_table_reads_the_texts_once(spark, monkeypatch, tmp_path):
+    texts = [(i, f"supplier {i:05d} paid Café {i:05d}, not supplier 0{i}") for i in range(40)]
+    spark.createDataFrame(texts, "id int, t string").coalesce(1).write.parquet(str(tmp_path / "d"))
+    docs = spark.read.parquet(str(tmp_path / "d"))
+    table = spark.range(3000).select(F.concat(F.lit("Supplier#"), F.lpad(F.col("id").cast("string"), 5, "0")).alias("phrase"))
+    monkeypatch.setattr(P, "SHARD_CHARS", 500)
+    hits = P.phrase_hits(docs, "id", "t", table, "phrase")
+    assert sorted((r.id, r.phrase, r.word) for r in hits.collect()) == [(i, f"Supplier#{i:05d}", 0) for i in range(40)]
+    assert hits._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow") == 1
+
+
+def test_hashes_of_runs_do_not_depend_on_their_place():
+    hashes = P.RunHashes()
+    words = "a b c a b c d".split()
+    found = dict(hashes(words, [1, 3, 7, 8]))
+    assert sorted(found) == [1, 3, 7]
+    assert found[3][0] == found[3][3] and len(set(found[3].tolist())) == 4
+    assert next(hashes(words[3:6], [3]))[1][0] == found[3][0]
+
+
 def test_many_phrases_in_one_pass(spark):
     table = spark.range(20_000).select(F.concat(F.lit("Supplier#"), F.lpad(F.col("id").cast("string"), 9, "0")).alias("phrase"))
     docs = spark.createDataFrame([(1, "paid to Supplier#000012345 and SUPPLIER 000000007."), (2, "supplier#12345")], "id int, t string")
