@@ -1,4 +1,8 @@
+import math
+import random
+
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from provena.operators import matching as M
@@ -69,3 +73,27 @@ def test_odd_rows(spark):
     got = sorted(map(tuple, index.search(df, "id", "v", k=2).select("query_id", "found_id").collect()), key=str)
     assert (1, 5) in got and (5, 1) in got and (1, 1) not in got and not any(q in (2, 3, 4) for q, _ in got)
     assert V.VectorIndex.build(df.where("id = 3"), "id", "v") is None
+
+
+def test_exact_neighbours_meet_in_matrix_products(spark, monkeypatch):
+    monkeypatch.setattr(V.NearestRows, "SLICE_ROWS", 7)
+    monkeypatch.setattr(V.NearestRows, "HELD", 20)
+    r = random.Random(8)
+    rows = [(i, [r.choice([-1.0, 0.5, 1.0]) for _ in range(3)]) for i in range(150)] + [(300 + i, [1.0, 1.0, 1.0]) for i in range(90)]
+    odd = [(900, [0.0] * 3), (901, None), (902, []), (903, [None, 1.0, 1.0]), (904, [float("inf"), 1.0, 1.0])]
+    df = spark.createDataFrame(rows + odd, "id int, v array<double>").repartition(3)
+    found = M.cosine_top_k(df, df.where("id % 10 = 0"), "id", "v", 4)
+    assert "MapInArrow" in found._jdf.queryExecution().optimizedPlan().toString()
+    norm = lambda v: math.sqrt(sum(x * x for x in v))
+    cosine = lambda a, b: round(sum(x * y for x, y in zip(a, b, strict=True)) / norm(a) / norm(b), 6)
+    want = {q: sorted((-cosine(v, x), i) for i, x in rows if i != q)[:4] for q, v in rows if q % 10 == 0}
+    got: dict = {}
+    for x in found.orderBy("query_id", "rank").collect():
+        got.setdefault(x.query_id, []).append((-x.cosine, x.found_id))
+    assert got == want
+    # of rows with one cosine the smallest ids are held, in any number of them
+    near = V.NearestRows(np.array([[1.0, 0.0]]), 3)
+    for at in range(0, 5000, 100):
+        near.add(pa.array(range(5000 - at, 4900 - at, -1)), np.tile([1.0, 0.0], (100, 1)))
+        assert near.n <= 40
+    assert sorted(near.result()[1].tolist()) == [1, 2, 3]
