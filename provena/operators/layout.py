@@ -1,7 +1,7 @@
 """Layout of a page from its boxes (I29): skew, rows, blocks, and the cells of each block's grid.
 
 A box is (page, box, x0, y0, x1, y1, x2, y2): its upper left, upper right and lower left corner, y downwards. Everything
-is windows over the boxes of a page; pages are independent.
+is windows over the boxes of a page; pages are independent. No join: boxes that come dealt by page are not moved again.
 """
 
 from __future__ import annotations
@@ -24,7 +24,8 @@ def page_skew(boxes: DataFrame) -> DataFrame:
 
 def straightened(boxes: DataFrame) -> DataFrame:
     """The boxes turned back by their page's skew: page, box, skew, left, right, top, bottom."""
-    turned = boxes.join(page_skew(boxes), "page")
+    angle = F.degrees(F.atan2(F.col("y1") - F.col("y0"), F.col("x1") - F.col("x0")))
+    turned = boxes.withColumn("skew", F.median(angle).over(W.partitionBy("page")))
     cos, sin = F.cos(F.radians("skew")), F.sin(F.radians("skew"))
     x = lambda k: F.col(f"x{k}") * cos + F.col(f"y{k}") * sin
     y = lambda k: F.col(f"y{k}") * cos - F.col(f"x{k}") * sin
@@ -42,17 +43,17 @@ def page_rows(boxes: DataFrame) -> DataFrame:
     ends where the empty space below a row is over ``BLOCK_GAP`` heights.
     """
     flat = straightened(boxes).withColumn("middle", (F.col("top") + F.col("bottom")) / 2)
-    heights = flat.groupBy("page").agg(F.median(F.col("bottom") - F.col("top")).alias("height"))
+    rows = flat.withColumn("height", F.median(F.col("bottom") - F.col("top")).over(W.partitionBy("page")))
     down = W.partitionBy("page").orderBy("middle", "left", "box")
-    rows = flat.join(heights, "page")
     before = F.lag("middle").over(down)
     rows = _numbered(rows.withColumn("__new", before.isNull() | (F.col("middle") - before > SAME_ROW * F.col("height"))), F.col("__new"), down, "row").drop("__new")
-    spans = rows.groupBy("page", "row").agg(F.min("top").alias("__top"), F.max("bottom").alias("__bottom"), F.first("height").alias("__height"))
-    by_row = W.partitionBy("page").orderBy("row")
-    above = F.max("__bottom").over(by_row.rowsBetween(W.unboundedPreceding, -1))
-    blocks = _numbered(spans.withColumn("__new", above.isNull() | (F.col("__top") - above > BLOCK_GAP * F.col("__height"))), F.col("__new"), by_row, "block").select("page", "row", "block")
-    nth = F.row_number().over(W.partitionBy("page", "row").orderBy("left", "box")) - 1
-    return rows.join(blocks, ["page", "row"]).withColumn("nth", nth.cast("int"))
+    own, by_row = W.partitionBy("page", "row"), W.partitionBy("page").orderBy("row")
+    rows = rows.withColumn("nth", (F.row_number().over(own.orderBy("left", "box")) - 1).cast("int"))
+    above = F.max("bottom").over(by_row.rangeBetween(W.unboundedPreceding, -1))
+    rows = rows.withColumns({"__top": F.min("top").over(own), "__above": above})
+    begins = (F.col("nth") == 0) & (F.col("__above").isNull() | (F.col("__top") - F.col("__above") > BLOCK_GAP * F.col("height")))
+    block = F.count_if(begins).over(by_row.rangeBetween(W.unboundedPreceding, 0)) - 1
+    return rows.withColumn("block", block.cast("int")).drop("__top", "__above")
 
 
 def page_cells(boxes: DataFrame) -> DataFrame:

@@ -28,6 +28,9 @@ def embedding_index_topk(spark: SparkSession, sf: str) -> DataFrame:
     return index.search(e.where("vec_id % 50 = 0"), "vec_id", "embedding")
 
 
+#: Characters of the texts whose boxes a task lays out.
+PAGE_CHARS = 4 << 20
+
 FOLDED_WORDS = r"""regexp_extract_all(translate(lower({}), 'àáâãäåçèéêëìíîïñòóôõöùúûüýÿ', 'aaaaaaceeeeiiiinooooouuuuyy'), '[a-z0-9]+')"""
 
 
@@ -95,7 +98,10 @@ SELECT doc_id AS page, doc_id % 9 - 4 AS skew, sum(n)::BIGINT AS boxes, count(*)
 )
 def page_rows_of_texts(spark: SparkSession, sf: str) -> DataFrame:
     """Every document set as a page of word boxes, turned by up to four degrees: skew, lines and paragraphs are found again."""
-    docs = table(spark, sf, "documents").where("text IS NOT NULL").select(F.col("doc_id").alias("page"), F.posexplode(F.split("text", "\n")).alias("line", "text"))
+    texts = table(spark, sf, "documents").where("text IS NOT NULL").select(F.col("doc_id").alias("page"), "text")
+    # texts are dealt by page, not their boxes, which are many times larger; few enough to a task for its sorts to stay in memory
+    parts = max(1, -(-(texts.agg(F.sum(F.length("text"))).first()[0] or 0) // PAGE_CHARS))
+    docs = texts.repartition(parts, "page").select("page", F.posexplode(F.split("text", "\n")).alias("line", "text"))
     words = docs.select("page", "line", F.posexplode(F.regexp_extract_all("text", F.lit(r"[^\x20\x09-\x0D]+"), 0)).alias("nth", "word"))
     angle = F.radians(F.col("page") % 9 - 4)
     left, top = F.col("nth") * 30.0, F.col("line") * 20.0

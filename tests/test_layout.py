@@ -52,3 +52,12 @@ def test_skew_is_the_median(spark):
     noisy = [(*b[:4], b[4], b[5] + (30 if k % 5 == 0 else 0), *b[6:]) for k, b in enumerate(boxes)]
     assert abs(L.page_skew(spark.createDataFrame(noisy, BOX)).first().skew - 5) < 1e-6
     assert L.page_layout(spark.createDataFrame([], BOX)).count() == 0
+
+
+def test_boxes_dealt_by_page_are_not_moved_again(spark):
+    names = [c.split()[0] for c in BOX.split(",")]
+    df = spark.createDataFrame([(p, 10 * r + c, *map(float, (30 * c, 20 * r, 30 * c + 10, 20 * r, 30 * c, 20 * r + 12))) for p in range(5) for r in (0, 1, 5) for c in range(4)], BOX).repartition(6, names[0])
+    rows = L.page_rows(df)
+    assert sorted((x.row, x.block, x.nth) for x in rows.where("page = 3").collect()) == [(r, int(r == 2), c) for r in range(3) for c in range(4)]
+    assert rows._jdf.queryExecution().sparkPlan().toString().count("Join") == 0
+    assert rows.groupBy("page", "row").count()._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
