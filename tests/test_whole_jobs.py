@@ -110,3 +110,10 @@ def test_subset_sums_are_exact_and_nearest_first(spark):
     got = {r.k: r["items"] for r in M.subset_sums(df, "k", "goal", "item", "amount", near="days").collect()}
     assert got == {"a": [1, 2], "b": [100, 101]}
     assert all(r["items"] is None for r in M.subset_sums(df.where("k = 'b'"), "k", "goal", "item", "amount").collect())
+
+
+def test_price_summary_deals_a_line_once(spark, sf):
+    from provena.plans.money_queries import price_summary
+
+    plan = price_summary(spark, sf)._jdf.queryExecution().executedPlan().toString()
+    assert "Expand" not in plan and plan.count("Exchange hashpartitioning") == 1
