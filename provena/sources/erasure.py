@@ -44,7 +44,10 @@ def tenant_digests(rows: DataFrame, tenant: str, columns: Sequence[str]) -> Data
 
 @dataclass
 class SealedTable:
-    """A table in a folder, in parts (``part=k``) by a hash of the id, so that every part holds several tenants."""
+    """A table in a folder, in parts (``part=k``) by a hash of the id, so that every part holds several tenants.
+
+    A large part is written by several tasks, as files of about the planner's advisory size.
+    """
 
     spark: SparkSession
     path: str
@@ -54,7 +57,7 @@ class SealedTable:
     @classmethod
     def write(cls, rows: DataFrame, tenant: str, columns: Sequence[str], keys: DataFrame, by: Column, parts: int = 8, path: str | None = None) -> SealedTable:
         path = path or scratch_path(rows.sparkSession, "sealed")
-        seal(rows, tenant, columns, keys).withColumn("part", F.pmod(F.xxhash64(by), F.lit(parts))).repartition("part").write.partitionBy("part").parquet(path)
+        seal(rows, tenant, columns, keys).withColumn("part", F.pmod(F.xxhash64(by), F.lit(parts))).hint("rebalance", "part").write.partitionBy("part").parquet(path)
         return cls(rows.sparkSession, path, tenant, tuple(columns))
 
     def read(self) -> DataFrame:
@@ -78,7 +81,7 @@ class SealedTable:
         kept.write.partitionBy("part").parquet(beside)
         new = self.spark.read.schema(kept.schema).parquet(beside)
         left = {r.part for r in new.select("part").distinct().collect()}
-        new.repartition("part").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("part").parquet(self.path)
+        new.hint("rebalance", "part").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("part").parquet(self.path)
         jvm, conf = self.spark.sparkContext._jvm, self.spark.sparkContext._jsc.hadoopConfiguration()
         for folder in [beside, *(f"{self.path}/part={k}" for k in held if k not in left)]:
             at = jvm.org.apache.hadoop.fs.Path(folder)

@@ -46,3 +46,20 @@ def test_a_part_of_one_tenant_goes(spark, tmp_path):
     t = E.SealedTable.write(df, "tenant", ["text"], keys, F.col("tenant"), parts=50, path=str(tmp_path / "t"))
     assert len(t.erase("a")) == 1
     assert [tuple(r) for r in t.readable(keys).select("tenant", "text").collect()] == [("b", "y")]
+
+
+def test_a_large_part_is_written_by_several_tasks(spark, tmp_path):
+    df = spark.range(4000).select("id", F.concat(F.lit("t"), F.col("id") % 3).alias("tenant"), F.repeat(F.sha2(F.col("id").cast("string"), 256), 4).alias("text")).repartition(6)
+    keys = write_table(E.new_keys(df, "tenant"), "keys")
+    held = {k: spark.conf.get(k) for k in ("spark.sql.adaptive.advisoryPartitionSizeInBytes",)}
+    try:
+        spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", "100k")
+        t = E.SealedTable.write(df, "tenant", ["text"], keys, F.col("id"), parts=2, path=str(tmp_path / "t"))
+        files = lambda: [len(list(p.glob("*.parquet"))) for p in (tmp_path / "t").glob("part=*")]
+        assert len(files()) == 2 and min(files()) > 1
+        assert t.erase("t1") == [0, 1]
+        assert min(files()) > 1
+    finally:
+        for k, v in held.items():
+            spark.conf.set(k, v)
+    assert t.readable(keys).where("text IS NOT NULL").count() == 4000 - 1333
