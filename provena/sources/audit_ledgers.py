@@ -19,6 +19,8 @@ _SUM = "decimal(28,2)"
 ACCOUNT = f"AccountID string, AccountDescription string, OpeningDebitBalance {MONEY}, OpeningCreditBalance {MONEY}, ClosingDebitBalance {MONEY}, ClosingCreditBalance {MONEY}, GroupingCategory string, GroupingCode string"
 _LINE = "struct<RecordID: string, AccountID: string, SourceDocumentID: string, Description: string, {}: decimal(18,2)>"
 TRANSACTION = f"TransactionID string, Period int, TransactionDate date, SourceID string, Description string, Lines struct<DebitLine: array<{_LINE.format('DebitAmount')}>, CreditLine: array<{_LINE.format('CreditAmount')}>>"
+#: How ledgers are written: XML packs to a small part of its size; a packed file isn't cut, so its elements are limited.
+PACKED = {"compression": "gzip", "maxRecordsPerFile": 200_000}
 #: Deeper charts are taken for cyclic.
 MOST_LEVELS = 32
 
@@ -110,11 +112,11 @@ def write_ledgers(accounts: DataFrame, postings: DataFrame, path: str) -> None:
     """The chart and the journal as XML files below ``path`` (accounts/, journal/), in the format that the readers take.
 
     ``accounts`` as :func:`read_accounts` gives them; ``postings`` (transaction, day, period, account, debit, credit)
-    are gathered by transaction.
+    are gathered by transaction. Files are packed (gzip), with at most ``PACKED`` elements in one.
     """
     part = lambda c, s: F.when(s * F.col(c) > 0, s * F.col(c)).otherwise(0).cast(MONEY)
     chart = accounts.select(F.col("account").alias("AccountID"), F.col("description").alias("AccountDescription"), part("opening", 1).alias("OpeningDebitBalance"), part("opening", -1).alias("OpeningCreditBalance"), part("closing", 1).alias("ClosingDebitBalance"), part("closing", -1).alias("ClosingCreditBalance"), F.col("category").alias("GroupingCategory"), F.col("parent").alias("GroupingCode"))
-    chart.write.format("xml").option("rootTag", "GeneralLedgerAccounts").option("rowTag", "Account").mode("overwrite").save(f"{path}/accounts")
+    chart.write.format("xml").option("rootTag", "GeneralLedgerAccounts").option("rowTag", "Account").options(**PACKED).mode("overwrite").save(f"{path}/accounts")
 
     def lines(amount: str, name: str):
         row = F.struct(F.concat_ws("-", "transaction", "account").alias("RecordID"), F.col("account").alias("AccountID"), F.col("transaction").alias("SourceDocumentID"), F.col(amount).cast(MONEY).alias(name))
@@ -122,4 +124,4 @@ def write_ledgers(accounts: DataFrame, postings: DataFrame, path: str) -> None:
 
     journal = postings.groupBy("transaction", "day", "period").agg(F.struct(lines("debit", "DebitAmount").alias("DebitLine"), lines("credit", "CreditAmount").alias("CreditLine")).alias("Lines"))
     journal = journal.select(F.col("transaction").alias("TransactionID"), F.col("period").alias("Period"), F.col("day").alias("TransactionDate"), "Lines")
-    journal.write.format("xml").option("rootTag", "Journal").option("rowTag", "Transaction").mode("overwrite").save(f"{path}/journal")
+    journal.write.format("xml").option("rootTag", "Journal").option("rowTag", "Transaction").options(**PACKED).mode("overwrite").save(f"{path}/journal")

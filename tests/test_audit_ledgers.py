@@ -57,3 +57,11 @@ def test_cyclic_chart_raises_and_no_rows(spark):
     none = spark.createDataFrame([], schema)
     journal = spark.createDataFrame([], "transaction string, account string, debit decimal(18,2), credit decimal(18,2)")
     assert A.trial_balance(none, journal).count() == 0
+
+
+def test_ledgers_are_written_packed(spark, tmp_path):
+    accounts = spark.sql("SELECT '1' AS account, 'a' AS description, string(null) AS parent, 'GM' AS category, 0.00BD AS opening, 5.00BD AS closing")
+    postings = spark.sql("SELECT concat('T', id) AS transaction, DATE'2024-01-02' AS day, 1 AS period, '1' AS account, 1.00BD AS debit, 0.00BD AS credit FROM range(5)")
+    A.write_ledgers(accounts, postings, str(tmp_path))
+    assert {p.suffix for k in ("accounts", "journal") for p in (tmp_path / k).glob("part-*")} == {".gz"}
+    assert sorted(r.transaction for r in A.read_journal(spark, str(tmp_path / "journal")).collect()) == [f"T{i}" for i in range(5)]
