@@ -105,67 +105,95 @@ def recurring_series(rows: DataFrame, key: str, day: str, *, fit: float = 0.75,
     months or more, else twice).
 
     Returns key, cadence, n (days), on_cycle, share (of gaps that fit), anchor, season (months, joined by commas),
-    last_seen, next_expected; a key without a rhythm has nulls. All of it is aggregates and windows: an anchor is one sum
-    over the key's days.
+    last_seen, next_expected; a key without a rhythm has nulls. Days are dealt by key once. An anchor is one sum over the
+    key's days, made in the aggregate that also lists them; all the rest is expressions over that list (one date for each
+    distinct day), so that no task holds or sorts more than days and one row for each key.
     """
-    days = rows.select(key, F.col(day).alias("day")).distinct()
+    days = rows.select(key, F.col(day).alias("day")).distinct().repartition(key)
     # how far each anchor is from a day follows from a few small numbers of the day: one sum for each anchor, no row
-    length = lambda k: F.dayofmonth(F.last_day(F.add_months(F.trunc("day", "month"), k)))
-    parts = days.select(key, F.weekday("day").alias("wd"), F.dayofmonth("day").alias("d"), length(-1).alias("l0"), length(0).alias("l1"), length(1).alias("l2"))
-    in_week = lambda a: F.abs(F.pmod(F.lit(a + 3) - F.col("wd"), F.lit(7)) - 3)
-    cut = lambda a, m: F.least(F.lit(a), F.col(m))
-    in_month = lambda a: F.least(F.abs(F.col("d") - cut(a, "l1")), F.col("d") + F.col("l0") - cut(a, "l0"), F.col("l1") - F.col("d") + cut(a, "l2"))
+    wd, d = F.weekday("day"), F.dayofmonth("day")
+    l0, l1, l2 = (F.dayofmonth(F.last_day(F.add_months(F.trunc("day", "month"), k))) for k in (-1, 0, 1))
+    in_week = lambda a: F.abs(F.pmod(F.lit(a + 3) - wd, F.lit(7)) - 3)
+    cut = lambda a, m: F.least(F.lit(a), m)
+    in_month = lambda a: F.least(F.abs(d - cut(a, l1)), d + l0 - cut(a, l0), l1 - d + cut(a, l2))
     families = {"week": [(a, in_week(a)) for a in range(7)], "month": [(a, in_month(a)) for a in range(1, 32)]}
-    costs = parts.groupBy(key).agg(F.count("*").alias("n"), *[F.sum(off).alias(f"{family}{a}") for family, tries in families.items() for a, off in tries])
+    sums = [F.sum(off).alias(f"{family}{a}") for family, tries in families.items() for a, off in tries]
     least = lambda family: F.array_min(F.array(*[F.struct(F.col(f"{family}{a}").alias("cost"), F.lit(a).alias("anchor")) for a, _ in families[family]]))["anchor"]
-    best = costs.select(key, "n", F.explode(F.array(*[F.struct(F.lit(f).alias("family"), least(f).alias("anchor")) for f in families])).alias("b")).select(key, "b.family", "b.anchor", "n")
-    told = days.join(best, key).withColumn("a", _anchored(F.col("day"), F.col("family"), F.col("anchor"))).select(key, "day", "family", "anchor", "n", "a.*")
+    of_key = days.groupBy(key).agg(F.count("*").alias("n"), F.max("day").alias("last_seen"), F.collect_list("day").alias("days"), *sums)
+    # rows without a key follow no rhythm
+    listed = F.when(F.col(key).isNotNull(), F.sort_array("days")).otherwise(F.array().cast(of_key.schema["days"].dataType))
+    out = of_key.select(key, "n", "last_seen", listed.alias("days"), *[least(f).alias(f"{f}_anchor") for f in families])
 
+    def told(family: str) -> Column:
+        at = F.transform("days", lambda x: F.struct(x.alias("day"), _anchored(x, F.lit(family), F.col(f"{family}_anchor")).alias("a")))
+        return F.transform(at, lambda x: F.struct(x["a"]["unit"].alias("unit"), F.abs(x["a"]["off"]).alias("far"), x["day"].alias("day"), x["a"]["at"].alias("at")))
+
+    out = out.withColumns({f"{f}_told": told(f) for f in families}).drop("days")
+    family = {c: "week" if c == "weekly" else "month" for c in PERIODS}
     steps = {"weekly": 1, "monthly": 1, "quarterly": 3, "annual": 12}
-    kinds = F.array(*[F.struct(F.lit(k).alias("order"), F.lit(c).alias("cadence"), F.lit("week" if c == "weekly" else "month").alias("of"), F.lit(nominal).alias("nominal"), F.lit(slack).alias("slack"), F.lit(least).alias("least"), F.lit(steps[c]).alias("per")) for k, (c, (nominal, slack, least)) in enumerate(PERIODS.items())])
-    near = told.withColumn("c", F.explode(F.filter(kinds, lambda c: c["of"] == F.col("family")))).where(F.abs("off") <= F.col("c.slack"))
-    cycle = near.groupBy(key, "c", "unit", "anchor", "n").agg(F.min(F.struct(F.abs("off").alias("far"), "day", "at")).alias("d")).select(key, "c.*", "unit", "anchor", "n", "d.day", "d.at")
-    w = W.partitionBy(key, "order").orderBy("unit")
-    gap, units = F.datediff("day", F.lag("day").over(w)), F.col("unit") - F.lag("unit").over(w)
-    whole = F.round(F.col("gap") / F.col("nominal")).cast("int")
-    by_days = (whole >= 1) & (F.abs(F.col("gap") - whole * F.col("nominal")) <= F.col("slack"))
-    periods = F.when(by_days, whole).when((F.col("units") >= F.col("per")) & (F.col("units") % F.col("per") == 0), (F.col("units") / F.col("per")).cast("int"))
-    seen = cycle.withColumns({"gap": gap, "units": units, "before": F.lag("unit").over(w)}).withColumn("periods", periods)
-    sums = seen.groupBy(key, "order", "cadence", "least", "anchor", "n").agg(
-        F.count("*").alias("on_cycle"),
-        F.count("periods").alias("fitted"),
-        F.count_if(F.col("periods") == 1).alias("singles"),
-        F.sum(F.col("periods") - 1).alias("missed"),
-        F.max(F.struct("day", "at")).alias("last"),
-        F.sort_array(F.collect_set(F.col("unit") % 12 + 1)).alias("months"),
-        F.sort_array(F.collect_list(F.when(F.col("before").isNotNull(), F.struct("before", "unit")))).alias("pairs"),
-    )
-    budget, few = F.greatest(F.lit(1), F.floor(F.col("on_cycle") / 4)), F.col("n") - F.col("on_cycle") <= F.col("n") * extras
-    share = F.col("fitted") / (F.col("on_cycle") - 1)
-    fits = (F.col("on_cycle") >= F.greatest(F.col("least"), F.lit(2))) & few & (F.col("fitted") > 0) & (share >= fit) & (F.col("singles") * 2 > F.col("fitted")) & (F.col("missed") <= budget)
+    # each unit's nearest day is the first of it in order; a day's unit never falls from one day to the next
+    near = lambda c: F.sort_array(F.filter(f"{family[c]}_told", lambda x: x["far"] <= PERIODS[c][1]))
+    before = lambda c, i: F.get(f"{c}_days", i - 1)
+    out = out.withColumns({f"{c}_days": near(c) for c in PERIODS}).drop("week_told", "month_told")
+    first = lambda c: F.filter(f"{c}_days", lambda x, i: (i == 0) | (before(c, i)["unit"] != x["unit"]))
+    out = out.withColumns({f"{c}_days": first(c) for c in PERIODS})
+
+    def periods(c: str) -> Column:
+        nominal, slack, _ = PERIODS[c]
+
+        def of_gap(x: Column, i: Column) -> Column:
+            gap, units = F.datediff(x["day"], before(c, i)["day"]), x["unit"] - before(c, i)["unit"]
+            whole = F.round(gap / nominal).cast("int")
+            by_days = (whole >= 1) & (F.abs(gap - whole * nominal) <= slack)
+            return F.when(by_days, whole).when((units >= steps[c]) & (units % steps[c] == 0), (units / steps[c]).cast("int"))
+
+        return F.filter(F.transform(f"{c}_days", of_gap), lambda x: x.isNotNull())
+
+    apart = F.transform("monthly_days", lambda x, i: F.struct(before("monthly", i)["unit"].alias("before"), x["unit"].alias("unit")))
+    out = out.withColumns({f"{c}_periods": periods(c) for c in PERIODS})
+    out = out.withColumns({"pairs": F.filter(apart, lambda p: p["before"].isNotNull()), "months": F.sort_array(F.array_distinct(F.transform("monthly_days", lambda x: x["unit"] % 12 + 1)))})
+    total = lambda xs: F.aggregate(xs, F.lit(0), lambda a, x: a + x)
 
     starts = F.filter("months", lambda m: ~F.array_contains("months", (m + 10) % 12 + 1))
     one = F.size("months").between(2, 11) & (F.size(starts) == 1)
     season = F.when(one, F.transform(F.sequence(F.lit(0), F.size("months") - 1), lambda i: (starts[0] - 1 + i) % 12 + 1))
     between = F.transform("pairs", lambda p: F.when(p["unit"] - p["before"] > 1, F.sequence(p["before"] + 1, p["unit"] - 1)).otherwise(F.array().cast("array<int>")))
-    off = F.transform(between, lambda ms: F.size(F.filter(ms, lambda m: ~F.array_contains(F.col("months"), m % 12 + 1))))
-    skipped = F.transform(between, lambda ms: F.size(F.filter(ms, lambda m: F.array_contains(F.col("months"), m % 12 + 1))))
+    outside = F.transform(between, lambda ms: F.size(F.filter(ms, lambda m: ~F.array_contains(F.col("months"), m % 12 + 1))))
+    inside = F.transform(between, lambda ms: F.size(F.filter(ms, lambda m: F.array_contains(F.col("months"), m % 12 + 1))))
+    out = out.withColumns({"off": outside, "skipped": inside})
     quiet = 12 - F.size("months")
-    total = lambda xs: F.aggregate(xs, F.lit(0), lambda a, x: a + x)
-    crossings = F.size(F.filter(off, lambda x: x > 0))
-    rhythm = one & F.forall(off, lambda x: (x == 0) | (x == quiet)) & ((crossings >= 2) | (crossings == 1) & (quiet >= 3))
-    steady = (total(skipped) <= budget) & (F.size(F.filter(skipped, lambda x: x == 0)) * 2 > F.size("pairs"))
-    sums = sums.withColumns({"fits": F.coalesce(fits, F.lit(False)), "seasonal": F.coalesce((F.col("cadence") == "monthly") & (F.col("on_cycle") >= F.col("least")) & few & rhythm & steady, F.lit(False)), "season": F.array_join(season, ","), "share": share})
-    # a monthly series that skips months is seasonal if it can be; a season without a rhythm comes after all rhythms
-    wins = sums.where("fits OR seasonal").withColumn("rank", F.when(F.col("fits"), F.col("order")).otherwise(9)).withColumn("as_season", F.col("seasonal") & (~F.col("fits") | (F.col("missed") > 0)))
-    won = wins.groupBy(key).agg(F.min_by(F.struct("cadence", "on_cycle", F.when(F.col("as_season"), 1.0).otherwise(F.col("share")).alias("share"), "anchor", F.when(F.col("as_season"), F.col("season")).alias("season"), "months", "last", "as_season"), "rank").alias("w")).select(key, "w.*")
-    last = F.col("last.at")
-    month = lambda k: F.least(F.date_add(F.add_months(F.trunc(last, "month"), k), F.col("anchor") - 1), F.last_day(F.add_months(F.trunc(last, "month"), k)))
-    in_season = F.array_min(F.filter(F.array(*[month(k) for k in range(1, 13)]), lambda d: F.array_contains("months", F.month(d))))
-    ahead = F.when(F.col("as_season"), in_season).when(F.col("cadence") == "weekly", F.date_add(last, 7)).when(F.col("cadence") == "monthly", month(1)).when(F.col("cadence") == "quarterly", month(3)).otherwise(month(12))
-    every = days.groupBy(key).agg(F.count("*").alias("n"), F.max("day").alias("last_seen"))
-    out = every.join(won.withColumn("next_expected", ahead), key, "left")
-    return out.select(key, "cadence", "n", "on_cycle", "share", "anchor", "season", "last_seen", "next_expected")
+    crossings = F.size(F.filter("off", lambda x: x > 0))
+    rhythm = one & F.forall("off", lambda x: (x == 0) | (x == quiet)) & ((crossings >= 2) | (crossings == 1) & (quiet >= 3))
+
+    def judged(order: int, c: str) -> Column:
+        """Rank and figures of a period that the key's days follow, else null."""
+        on_cycle, fitted = F.size(f"{c}_days"), F.size(f"{c}_periods")
+        budget, few = F.greatest(F.lit(1), F.floor(on_cycle / 4)), F.col("n") - on_cycle <= F.col("n") * extras
+        share, missed = F.when(on_cycle > 1, fitted / (on_cycle - 1)), total(f"{c}_periods") - fitted
+        singles = F.size(F.filter(f"{c}_periods", lambda x: x == 1))
+        fits = (on_cycle >= max(PERIODS[c][2], 2)) & few & (fitted > 0) & (share >= fit) & (singles * 2 > fitted) & (missed <= budget)
+        steady = (total("skipped") <= budget) & (F.size(F.filter("skipped", lambda x: x == 0)) * 2 > F.size("pairs"))
+        seasonal = (on_cycle >= PERIODS[c][2]) & few & rhythm & steady if c == "monthly" else F.lit(False)
+        # a monthly series that skips months is seasonal if it can be; a season without a rhythm comes after all rhythms
+        fits, seasonal = F.coalesce(fits, F.lit(False)), F.coalesce(seasonal, F.lit(False))
+        as_season = seasonal & (~fits | (missed > 0))
+        figures = {
+            "rank": F.when(fits, F.lit(order)).otherwise(9),
+            "cadence": F.lit(c),
+            "on_cycle": on_cycle.cast("bigint"),
+            "share": F.when(as_season, 1.0).otherwise(share),
+            "anchor": F.col(f"{family[c]}_anchor"),
+            "season": F.when(as_season, F.array_join(season, ",")),
+            "last": F.get(f"{c}_days", on_cycle - 1)["at"],
+            "as_season": as_season,
+        }
+        return F.when(fits | seasonal, F.struct(*[x.alias(name) for name, x in figures.items()]))
+
+    out = out.withColumn("w", F.array_min(F.array(*[judged(k, c) for k, c in enumerate(PERIODS)]))).select(key, "n", "last_seen", "months", "w.*")
+    month = lambda k: F.least(F.date_add(F.add_months(F.trunc("last", "month"), k), F.col("anchor") - 1), F.last_day(F.add_months(F.trunc("last", "month"), k)))
+    in_season = F.array_min(F.filter(F.array(*[month(k) for k in range(1, 13)]), lambda x: F.array_contains("months", F.month(x))))
+    ahead = F.when(F.col("as_season"), in_season).when(F.col("cadence") == "weekly", F.date_add("last", 7)).when(F.col("cadence") == "monthly", month(1)).when(F.col("cadence") == "quarterly", month(3)).otherwise(month(12))
+    return out.select(key, "cadence", "n", "on_cycle", "share", "anchor", "season", "last_seen", ahead.alias("next_expected"))
 
 
 def next_expected(last_seen: Column, months: Column, today: Column) -> Column:
